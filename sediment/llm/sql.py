@@ -70,4 +70,10 @@ f AS (SELECT rid, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, lengt
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM u LEFT JOIN f USING (rid)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op7_mixing": OP7, "op9_url_filter": OP9}
+OP10 = r"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256 FROM d
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op7_mixing": OP7, "op9_url_filter": OP9, "op10_exact_dedup": OP10}
