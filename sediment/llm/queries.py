@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules, secret_scan, sharding, token_store, url_filter, warc
+from . import exact_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, token_store, url_filter, warc
 from .common import n_words, scratch, written
 
 
@@ -45,6 +45,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return ngram_join.ngram_join(docs, carry_text=False).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_store.write_store(_documents(spark, sf_dir), path, _tokenizer("byte_bpe_50k.json"), end_id=2)
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_store": op6_token_store,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
