@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,12 +59,12 @@ def unescape_native(text: Column) -> Column:
     return text
 
 
-def html_to_text(html: Column, unescape=unescape_native) -> Column:
+def html_to_text(page: Column, unescape=unescape_native) -> Column:
     """Text of a page: script-like and boilerplate elements and tags go, blocks become lines.
 
     ``unescape`` decodes character references; ``unescape_full`` handles all of them in a Pandas UDF.
     """
-    text = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|form|select)[^>]*>.*?</\1>", " ")
+    text = F.regexp_replace(page, r"(?is)<(script|style|noscript|svg|form|select)[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(text, r"(?is)<(nav|footer|aside)\b[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(text, r"(?is)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", "\n")
     text = unescape(F.regexp_replace(text, r"(?s)<[^>]+>", " "))
@@ -69,17 +72,13 @@ def html_to_text(html: Column, unescape=unescape_native) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def unescape_full(text: Column) -> Column:
-    """Every named and numeric reference decoded, in Arrow batches."""
-    import html
-
-    import pandas as pd
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
 
-    return run(text)
+def unescape_full(text: Column) -> Column:
+    """Every named and numeric reference decoded, in Arrow batches."""
+    return F.pandas_udf(_unescaped, "string")(text)
 
 
 def pseudo_cues(text: Column, max_chars: int = 400) -> Column:
