@@ -111,20 +111,22 @@ def hash60(text: Column) -> Column:
 def shingles(words: Column, k: int = 8) -> Column:
     """Distinct hashes of all runs of ``k`` words; fewer words are one shingle.
 
-    ``words`` should be a plain column: each run would evaluate an expression anew.
+    ``words`` should be a plain column: each run would evaluate an expression anew. Words are got
+    one by one, as a slice would copy the whole array for each run.
     """
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: hash60(F.array_join(F.slice(words, i, k), " ")))
+    run = lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)])
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: hash60(run(i)))
     return F.array_distinct(F.when(F.size(words) < k, F.array(hash60(F.array_join(words, " ")))).otherwise(runs))
 
 
 def bottom_k(hashes: Column, k: int = 128) -> Column:
     """The sketch: the ``k`` smallest hashes, in order."""
-    return F.slice(F.array_sort(hashes), 1, k)
+    return F.slice(F.sort_array(hashes), 1, k)
 
 
 def sketch_jaccard(a: Column, b: Column, k: int = 128) -> Column:
     """Of the ``k`` smallest hashes of both, the share that both have; 0 if either is empty."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(union, a), b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(union))
 
