@@ -24,25 +24,38 @@ from sediment.llm import exact_dedup as exact
 from sediment.llm import mixing as mix
 from sediment.llm import ngram_join, packing
 from sediment.llm import quality_rules as rules
-from sediment.llm.common import n_words, written
+from sediment.llm.common import n_words, named, written
+
+
+USED = ["doc_id", "text", "lang", "source"]
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that stages use, and all others in one, whose names can't clash with any result."""
+    others = [named(c) for c in docs.columns if c not in USED]
+    return docs.select(*USED, F.struct(F.lit(0).alias("__"), *others).alias("carried"))
+
+
+def _unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in USED else F.col("carried").getField(c).alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(docs).where("kept").select(docs.columns)
+    return _unpacked(rules.quality_rules(_packed(docs)).where("kept"), docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact.exact_dedup(docs, keep="largest").where("kept").select(docs.columns)
+    return _unpacked(exact.exact_dedup(_packed(docs), keep="largest").where("kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(docs).where("kept").select(docs.columns)
+    return _unpacked(ngram_join.ngram_join(_packed(docs)).where("kept"), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.withColumn("size", n_words(F.col("text")))
+    sized = _packed(docs).withColumn("size", n_words(F.col("text")))
     chosen = mix.choose(sized, mix.source_targets(sized), F.col("doc_id"))
-    return mix.repeated(chosen).select(docs.columns)
+    return _unpacked(mix.repeated(chosen), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

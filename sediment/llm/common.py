@@ -78,6 +78,17 @@ def drop_written(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_room(df: DataFrame, used: list[str], results: list[str]) -> DataFrame:
+    """``df`` without extra columns whose names an operator needs for its results or its own columns."""
+    taken = {r.lower() for r in results}
+    return df.select(*[named(c) for c in df.columns if c in used or not (c.startswith("__") or c.lower() in taken)])
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs of characters that are not white space; a null has none."""
     bare = F.btrim(text, F.lit(WS))

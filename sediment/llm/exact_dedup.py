@@ -18,7 +18,8 @@ filter is sent to the executors only if its size, ten bits per repeated digest,
 Defined cases: null counts as the empty text; only A-Z are lowered; among rows with one identifier
 and one text exactly one is kept, and they are interchangeable; null identifiers lose to all
 others and a group of nulls keeps one row, whose keep_id is null; an empty table gives an empty
-result; extra columns pass through, clashing names are refused.
+result; extra columns pass through, but one that has the name of a result gives way to it.
+Identifiers are whole numbers.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import named, with_room, written
 
 MEMTABLE = 100_000
 SALT_ROWS = 500
@@ -179,14 +180,15 @@ class DigestIndex:
             total.bits |= np.frombuffer(row[0], np.uint8)
         return self.spark.sparkContext.broadcast(total.bits.tobytes()), n
 
-    def resolve(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def resolve(self, df: DataFrame, id_col: str, text_col: str, carry_text: bool = True) -> DataFrame:
         """``df`` with keep_id, group_size, kept and text_sha256 (the digest in hexadecimal)."""
         if self.level1 is None or self.level0:
             self.compact()
         repeated = self.level1.where(F.col("group_size") > 1)
         sent, n = self._filter(repeated)
-        cols = df.columns
-        shaped = df.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in cols])
+        df = with_room(df, [id_col, text_col], ["keep_id", "group_size", "kept", "text_sha256"])
+        carried = [named(c) for c in df.columns if carry_text or c != text_col]
+        shaped = df.select(F.col(text_col).alias("__text"), *carried)
         schema = T.StructType([*shaped.schema.fields, T.StructField("__digest", T.BinaryType()), T.StructField("__bytes", T.BinaryType())])
         probed = shaped.mapInArrow(_probe(self.normal, self.digest, sent, n), schema).drop("__text")
         entries = repeated.select(F.col("digest").alias("__d"), "keep_id", "group_size")
@@ -224,9 +226,9 @@ class DigestIndex:
         return out.withColumn("text_sha256", F.lower(F.hex("__digest"))).drop("__digest")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "largest", **options) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "largest", carry_text: bool = True, **options) -> DataFrame:
     """All rows of ``df`` with keep_id, group_size, kept and text_sha256."""
     index = DigestIndex(df.sparkSession, keep=keep, **options)
     index.insert(df, id_col, text_col)
     index.compact()
-    return index.resolve(df, id_col, text_col)
+    return index.resolve(df, id_col, text_col, carry_text)

@@ -12,7 +12,8 @@ hash, the buckets' sizes find the one in which the fraction ends, and only its r
 
 Defined cases: a null text counts as empty; null sources come last and are one source; a document
 without words is taken like the others and adds none; a source without words has target 0 and is
-not taken; equal rows share a hash and are interchangeable; an empty table gives an empty result.
+not taken; equal rows share a hash and are interchangeable; an empty table gives an empty result;
+extra columns pass through, but one that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import seeded, written
+from .common import seeded, with_room
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -52,7 +53,7 @@ def source_targets(sized: DataFrame, source: str = "source", weights: tuple[int,
     return s.select(source, "source_size", target.alias("target"))
 
 
-def choose(sized: DataFrame, targets: DataFrame, key: Column, source: str = "source", seed: int = SEED, table: str = "mix") -> DataFrame:
+def choose(sized: DataFrame, targets: DataFrame, key: Column, source: str = "source", seed: int = SEED) -> DataFrame:
     """Adds source_size, target and ``copies`` to rows with ``size``.
 
     ``sized`` must be stable (a written table): it is read for the buckets' sizes, and for the choice.
@@ -60,6 +61,7 @@ def choose(sized: DataFrame, targets: DataFrame, key: Column, source: str = "sou
     t = targets.select(F.col(source).alias("__s"), "source_size", "target")
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     t = t.withColumn("extra", F.when(F.col("source_size") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)))
+    sized = with_room(sized, [source], ["source_size", "target", "copies", "whole", "extra"])
     rows = sized.withColumn("__h", seeded(seed, key)).withColumn("__b", F.shiftright("__h", 60 - BUCKET_BITS).cast("int"))
     buckets = rows.groupBy(source, "__b").agg(F.sum("size").alias("__bs"))
     upto = Window.partitionBy(source).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

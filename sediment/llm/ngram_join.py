@@ -22,8 +22,8 @@ Defined cases: words are runs of characters other than space and ASCII 9 to 13,
 are; a text of one to four words is one shingle; null, empty and blank texts have none, and each
 is a class of its own without links; a document's links are the other documents at or over the
 threshold, copies included; repeated rows count as copies; null identifiers are carried, and a
-class of nulls has a null class id; an empty table gives an empty result; extra columns pass
-through, names that clash with the results are refused. Shingles are compared by 64-bit hashes.
+class of nulls has a null class id; an empty table gives an empty result; extra columns pass through, but one
+that has the name of a result gives way to it. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop_written, written
+from .common import drop_written, named, with_room, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -336,8 +336,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     limit = Fraction(threshold).limit_denominator(1000)
     runs = math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH))
     least = math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
-    cols = df.columns
-    shaped = df.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in cols])
+    df = with_room(df, [id_col, text_col], ["class_id", "class_size", "n_links", "kept", "root"])
+    shaped = df.select(F.col(text_col).alias("__text"), *[named(c) for c in df.columns])
     added = [T.StructField("__set", T.BinaryType()), T.StructField("__size", T.IntegerType()), T.StructField("__sign", T.BinaryType())]
     rows = written(shaped.mapInArrow(_measure, T.StructType([*shaped.schema.fields[1:], *added])), "sets")
 

@@ -9,7 +9,7 @@ quartiles, and the joined documents must lie within them. Native DataFrame opera
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages and
 sources are groups of their own; repeated rows are judged alike, one by one; an empty table gives
-an empty result; extra columns pass through, names that clash with this operator's are refused.
+an empty result; extra columns pass through, but one that has the name of a result gives way to it.
 Windows of five words are compared by 64-bit hashes within a document.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, WS_CLASS, written
+from .common import WS, WS_CLASS, with_room, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -172,6 +172,8 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     The measured table is written once: the sketches and the joined filter both read it. With
     ``carry_text`` false the texts are not in it, nor in the result.
     """
+    results = [*BASE, "n_lines", "base_failed", "kept", "lang_key", "source_key", "level", *[f"{p}_{m}" for m in MEASURES for p in ("m", "lo", "hi")]]
+    df = with_room(df, [text, lang, source], results)
     measured = with_measures(base_counts(df, text)).withColumn("lang_key", group_key(lang)).withColumn("source_key", group_key(source))
     if not carry_text:
         measured = measured.drop(text)

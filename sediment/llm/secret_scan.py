@@ -15,7 +15,7 @@ and nothing of it leaves its task but spans. Rows are independent, so no row is
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned alike; ties of start
 are in the order of ``KINDS``; an empty table gives an empty result; extra columns pass through,
-names that clash with the results are refused.
+but one that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import named, with_room
+
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: A run of 20 or more from the first AKIA on, as a shorter run holds no longer one.
@@ -184,7 +186,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secret_scan(df: DataFrame, text: str = "text", *, carry_text: bool = False) -> DataFrame:
     """``df`` with the base counts, the digest of the base spans, and all spans."""
-    carried = [c for c in df.columns if carry_text or c != text]
-    shaped = df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in carried])
+    df = with_room(df, [text], ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    carried = [named(c) for c in df.columns if carry_text or c != text]
+    shaped = df.select(F.col(text).alias("__text"), *carried)
     added = [T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex")] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
     return shaped.mapInArrow(_scan, T.StructType([*shaped.schema.fields[1:], *added]))

@@ -12,7 +12,8 @@ by one: equal texts are not kept together, which a law of equal counts excludes
 
 Defined cases: null sources are one source; null texts have size 16; equal rows are ordered among
 themselves by size and are interchangeable; an empty table gives an empty result; with fewer rows
-than shards some shards are empty; extra columns pass through, clashing names are refused.
+than shards some shards are empty; extra columns pass through, but one that
+has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered_index, root_buckets, seeded
+from .common import ordered_index, root_buckets, seeded, with_room
 
 SHARDS = 40
 SEED = 29
@@ -28,6 +29,7 @@ SEED = 29
 
 def interleaved_shards(df: DataFrame, order: list[Column], key: Column, source: str = "source", n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds ``shard`` and ``slot``. ``df`` must be stable (a table); ``order`` breaks ties of the hash."""
+    df = with_room(df, [source], ["shard", "slot"])
     n = df.count()
     buckets = root_buckets(n)
     rows = df.withColumn("__h", seeded(seed, key)).withColumn("__hb", F.floor(F.col("__h") / F.lit(float(1 << 60) / buckets)).cast("long"))

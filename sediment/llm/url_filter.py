@@ -15,7 +15,8 @@ otherwise, also the prefixes of these rules' lengths, of which there are few.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, and no rule fits it;
 equal rows get equal verdicts, each its own row; rules without a host or verdict never fit; an
-empty table gives an empty result; extra columns pass through, clashing names are refused.
+empty table gives an empty result; extra columns pass through, but one that has
+the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_room
+
 PREFIX = 8
 
 
@@ -55,6 +58,7 @@ def path_prefixes(path: Column, lengths: list[int]) -> Column:
 
 def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with host, path, rule and verdict. ``rules`` has host, path and verdict."""
+    df = with_room(df, [url], ["host", "path", "rule", "verdict", "bh", "bp", "rv"])
     host, path = host_and_path(F.col(url))
     rows = df.withColumn("host", host).withColumn("path", path)
     valid = rules.where(F.col("host").isNotNull() & (F.col("host") != "") & F.col("verdict").isNotNull())

@@ -1,0 +1,467 @@
+"""Each operator over hard rows and an empty table, and against plain versions."""
+
+import base64
+import collections
+import itertools
+import json
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sediment.llm import exact_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, token_store, url_filter, warc
+from sediment.llm.common import n_words, written
+from sediment.llm.tokens import Encoder
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+WORD = public_tokenizers.path("word_bpe_49k.json")
+
+
+def key(rows):
+    return sorted(map(repr, rows))
+
+
+# ------------------------------------------------------------------ quality rules
+
+
+def plain_counts(text):
+    text = text or ""
+    words, lines = WORDS.findall(text), [x for x in text.split("\n") if WORDS.search(x)]
+    grams = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {i + k for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for k in range(5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_base_counts(spark, hard, hard_rows):
+    texts = [r[1] for r in hard_rows] + ["a b c d e f a b c d e\na b c d e\n\n x \n x ", "r r r r r r r", "# $%\v\f<é>|"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.base_counts(df).collect()}
+    assert got == {i: plain_counts(t) for i, t in enumerate(texts)}
+
+
+def test_quality_rules_on_hard_rows(hard, empty, hard_rows):
+    out = quality_rules.quality_rules(hard)
+    rows = out.collect()
+    assert len(rows) == len(hard_rows) and "a b.c" in out.columns and {type(r.kept) for r in rows} == {bool}
+    assert all(not r.kept for r in rows if not (r.text or "").strip())
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_thresholds_follow_the_source(spark):
+    clean = [(i, " ".join(f"word{(i * 31 + j * j) % 977}" for j in range(40)), "en", "a") for i in range(400)]
+    odd = [(1000 + i, " ".join(f"w#{(i * 37 + j * j) % 983}#&&" for j in range(40)), "en", "b") for i in range(400)]
+    stray = [(5000, odd[0][1] + " x", "en", "a"), (5001, clean[0][1] + " y", "en", "a")]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(clean + odd + stray, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[5000] and got[5001] and sum(got.values()) == 801
+
+
+def test_sketches_merge_and_are_close(spark):
+    values = np.random.default_rng(1).integers(0, 100_000, 3000).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    bins = [r.b for r in df.select(quality_rules.sketch_bin(F.col("v")).alias("b"), "v").where("b > v or (v - b) * 32 > v").collect()]
+    assert bins == []
+    part = df.select(F.lit("=en").alias("lang_key"), F.when(F.col("v") % 2 == 0, "=a").otherwise("=b").alias("source_key"), F.lit("symbols").alias("measure"), quality_rules.sketch_bin(F.col("v")).alias("bin"))
+    parts = part.groupBy("lang_key", "source_key", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+    whole = part.groupBy("lang_key", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+    assert key(quality_rules.merge_sketches(parts, ["lang_key"]).collect()) == key(whole.select("lang_key", "measure", "bin", "n").collect())
+
+
+# ------------------------------------------------------------------ sharding
+
+
+def plain_shards(rows, n_shards, seed=sharding.SEED):
+    import hashlib
+
+    h = lambda i: int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+    by = collections.defaultdict(list)
+    for i, s in rows:
+        by[s].append(i)
+    placed = []
+    for s, ids in by.items():
+        for rank, i in enumerate(sorted(ids, key=lambda i: (h(i), i))):
+            placed.append(((2 * rank + 1) / (2 * len(ids)), s, i))
+    placed.sort()
+    return {i: p * n_shards // len(placed) for p, (_, _, i) in enumerate(placed)}
+
+
+def test_shards_equal_the_plain_version(spark):
+    rows = [(i, f"s{min(i % 7, 3)}") for i in range(1003)]
+    df = written(spark.createDataFrame(rows, "doc_id long, source string"), "t")
+    got = sharding.interleaved_shards(df, [F.col("doc_id")], F.col("doc_id"), n_shards=40).collect()
+    assert {r.doc_id: r.shard for r in got} == plain_shards(rows, 40)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and {len(v) for v in slots.values()} == {25, 26}
+    big = collections.Counter(r.shard for r in got if r.source == "s3")
+    assert max(big.values()) - min(big.values()) <= 4  # one row for each source that ties
+
+
+def test_shards_of_hard_rows(hard, empty, hard_rows, tmp_path):
+    out = sharding.interleaved_shards(hard, [F.col("doc_id"), F.crc32("text")], F.col("doc_id"), n_shards=40)
+    assert out.count() == len(hard_rows) and out.select("shard").distinct().count() == len(hard_rows)
+    assert sharding.interleaved_shards(empty, [F.col("doc_id")], F.col("doc_id")).count() == 0
+    sharding.write_shards(out, str(tmp_path / "shards"))
+    assert out.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(hard_rows)
+
+
+# ------------------------------------------------------------------ secrets
+
+
+KEY = "30770201010420" + "11" * 32 + "a00a06082a8648ce3d030107a14403420004" + "22" * 64
+
+
+def b64(x):
+    return base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+
+
+def ssh_key():
+    s = lambda b: len(b).to_bytes(4, "big") + b
+    return secret_scan.MAGIC + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4, "big") + s(b"pub" * 20) + s(b"private" * 20)
+
+
+def test_structures_are_confirmed_and_look_alikes_are_not():
+    jwt = f"{b64(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{b64(b'{}' + b' ' * 4)}.{b64(b's' * 32)}"
+    assert secret_scan.is_jwt(jwt) and not secret_scan.is_jwt(jwt.replace("eyJ", "eyK", 1))
+    der = bytes.fromhex(KEY)
+    assert secret_scan.is_private_der(der) and not secret_scan.is_private_der(der[:-1]) and not secret_scan.is_private_der(der + b"\0")
+    assert secret_scan.is_private_ssh(ssh_key()) and not secret_scan.is_private_ssh(ssh_key()[:-1])
+    pem = f"-----BEGIN EC PRIVATE KEY-----\n{base64.encodebytes(der).decode()}-----END EC PRIVATE KEY-----"
+    text = f"é {jwt} and {KEY} or {base64.b64encode(ssh_key()).decode()} also\n{pem}"
+    kinds = [s.split(":") for s in secret_scan.scan(text)[4].split(",")]
+    found = {k: text[int(a) : int(b)] for k, a, b in kinds}
+    assert found["jwt"] == jwt and found["pem"] == pem and found["ssh"].startswith("b3Blbn") and {k for k, _, _ in kinds} == {"hex", "jwt", "pem", "der", "ssh"}
+    fake = f"{b64(b'{no json')}.{b64(b'{}')}.x and {'30' * 30} and {base64.b64encode(b'0' * 60).decode()}"
+    assert {s.split(":")[0] for s in secret_scan.scan(fake)[4].split(",")} <= {"hex"}
+
+
+def plain_spans(text):
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
+        out += [(m.start(), 0, m.end())] * (len(m[2]) >= 6)
+    for m in re.finditer(r"AKIA[A-Z0-9]+", text):
+        out += [(m.start(), 1, m.end())] * (len(m[0]) >= 20)
+    for m in re.finditer(r"[0-9a-f]+", text):
+        out += [(m.start(), 2, m.end())] * (len(m[0]) >= 24)
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "PassWord", "api_key", "=", ":", " ", "'", "AKIA", "ABCDEF0123", "deadbeef", "0123456789ab", "x.y", "é", "ſecret"]), max_size=14).map("".join))
+def test_base_spans_equal_the_plain_patterns(text):
+    assert sorted(secret_scan.base_spans(text)) == plain_spans(text)
+
+
+def test_secret_scan_on_hard_rows(hard, empty, hard_rows):
+    rows = secret_scan.secret_scan(hard).collect()
+    assert len(rows) == len(hard_rows) and all(r.spans == "" for r in rows if r.doc_id != 9)
+    assert secret_scan.secret_scan(empty).count() == 0
+
+
+# ------------------------------------------------------------------ tokens, packing, store
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*"aé. ,'1\n\t\xa0Σßİ中", "the", " Word", "don't", "<|endoftext|>", "\x1c", "ﬁ"]), max_size=25).map("".join))
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pieces_encode_like_whole_texts(path, text):
+    enc = test_pieces_encode_like_whole_texts.__dict__.setdefault(path, Encoder(path))
+    assert enc.ids(text) == np.array(enc.memo.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_slices_keep_order_and_nulls():
+    enc = Encoder(BYTE)
+    texts = ["one two", None, "", "x" * 9_000_000, "three.\nFour"]
+    assert [x for s in enc.slices(pa.array(texts)) for x in s] == [enc.ids(t) for t in texts]
+
+
+def check_pieces(rows, texts, size):
+    """Every id in exactly one piece; sequences gapless and at most ``size``; returns the share of padding."""
+    t = Tokenizer.from_file(WORD)
+    ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for i, x in texts.items()}
+    by, seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        seq[r.sequence_id].append(r)
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+    for part, at, whole in [(by, "start", lambda k: len(ids[k])), (seq, "offset", None)]:
+        for k, v in part.items():
+            n = 0
+            for r in sorted(v, key=lambda r: r[at]):
+                assert r[at] == n
+                n += r.length
+            assert n == whole(k) if whole else n <= size
+    assert set(by) == set(ids)
+    return 1 - sum(map(len, ids.values())) / (len(seq) * size)
+
+
+def test_packing_equals_plain_encoding(spark):
+    texts = {i: " ".join(f"word{i * j % 97}" for j in range(1 + i * 13 % 700)) for i in range(300)} | {1000: "long " * 9000, 1001: None, 1002: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    padding = check_pieces(packing.pack(df, WORD).collect(), texts, packing.SIZE)
+    assert padding < 0.02
+    again = packing.pack(df, WORD, size=64, n_open=3, min_piece=4, merge_ids=500, carry_ids=True).collect()
+    check_pieces(again, texts, 64)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in again)
+
+
+def test_packing_of_hard_rows(hard, empty, hard_rows):
+    rows = packing.pack(hard, WORD).collect()
+    assert sum(r.length for r in rows if r.doc_id == 6) == 1 and {r.doc_id for r in rows} == {r[0] for r in hard_rows}
+    assert packing.pack(empty, WORD).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 1 << 40), max_size=300).map(sorted))
+def test_elias_fano_round_trip(values):
+    ef = token_store.EliasFano(token_store.EliasFano.encode(np.array(values, np.uint64)))
+    assert ef.all().tolist() == values
+    assert [ef.select(i) for i in range(0, len(values), 7)] == values[::7]
+
+
+def test_elias_fano_is_small_and_long_gaps_are_found():
+    values = np.cumsum(np.random.default_rng(2).integers(1, 2000, 100_000)).astype(np.uint64)
+    data = token_store.EliasFano.encode(values)
+    assert len(data) * 8 / len(values) < np.log2(1000) + 3
+    sparse = np.array([0] * 500 + [10**9] * 500, np.uint64)
+    ef = token_store.EliasFano(token_store.EliasFano.encode(sparse))
+    assert (ef.select(499), ef.select(500), ef.select(999)) == (0, 10**9, 10**9)
+
+
+def test_store_round_trip(spark, tmp_path):
+    texts = {i: f"text number {i} " * (i % 50) for i in range(500)} | {900: None, 901: "", 902: "é中 \n x"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "store")
+    token_store.write_store(df, path, BYTE, segment_ids=700)
+    rows = sorted(token_store.read_store(spark, path, carry_ids=True).collect())
+    t, at = Tokenizer.from_file(BYTE), 0
+    for r, (i, text) in zip(rows, sorted(texts.items()), strict=True):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert (r.doc_id, r.start, r.n_tokens, r.ids, r.ids_crc32) == (i, at, len(ids) // 4, ids, zlib.crc32(ids))
+        at += len(ids) // 4
+
+
+def test_store_of_hard_rows(spark, hard, empty, hard_rows, tmp_path):
+    token_store.write_store(hard, str(tmp_path / "a"), BYTE)
+    rows = sorted(token_store.read_store(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted((r[0] for r in hard_rows), key=lambda i: (i is not None, i))
+    token_store.write_store(empty, str(tmp_path / "b"), BYTE)
+    assert token_store.read_store(spark, str(tmp_path / "b")).count() == 0
+
+
+# ------------------------------------------------------------------ n-gram join
+
+
+def plain_join(rows):
+    sets = []
+    for _, text in rows:
+        w = WORDS.findall(text or "")
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    up, links = list(range(len(rows))), [0] * len(rows)
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            links[i] += 1
+            links[j] += 1
+            up[root(j)] = root(i)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc), doc)
+    return {doc: (least[root(i)], links[i]) for i, (doc, _) in enumerate(rows)}
+
+
+def near_copies():
+    rng, rows = np.random.default_rng(5), []
+    common = [f"shared{i}" for i in range(60)]
+    for base in range(40):
+        words = [f"b{base}w{rng.integers(500)}" for _ in range(120)] + common
+        for k in range(1 + base % 9):
+            copy = list(words)
+            for at in rng.integers(0, 120, k):
+                copy[at] = f"edit{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    return [*rows, (900, rows[0][1]), (901, "few words"), (902, "few\nwords"), (903, None), (904, ""), (905, "few words more")]
+
+
+@pytest.mark.parametrize("leaf,block", [(48, 512), (2, 3)])
+def test_join_equals_brute_force(spark, monkeypatch, leaf, block):
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = near_copies()
+    out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in out} == plain_join(rows)
+    assert {r.doc_id for r in out if r.kept} == {r.class_id for r in out}
+
+
+def test_join_of_hard_rows(hard, empty, hard_rows):
+    out = ngram_join.ngram_join(hard).collect()
+    assert len(out) == len(hard_rows)
+    one = [r for r in out if r.doc_id == 1]
+    assert [r.n_links for r in one] == [3, 3] and sum(r.kept for r in one) == 1  # its other row, the null one, and 3
+    assert all(r.n_links == 0 and r.kept for r in out if not (r.text or "").strip())
+    assert {r.class_id for r in out if r.doc_id in (7, 11)} == {7} and out[0]["a b.c"] == 5
+    assert ngram_join.ngram_join(empty).count() == 0
+
+
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=1, max_size=25))
+@settings(max_examples=100, deadline=None)
+def test_overlaps(sets):
+    got = ngram_join.overlaps([np.array(sorted(s), np.uint64) for s in sets])
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i, j in itertools.combinations(range(len(sets)), 2))
+
+
+# ------------------------------------------------------------------ mixing
+
+
+def plain_targets(sizes, weights=(5, 2, 1), budget=1.5, top=2):
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, free, target = budget * sum(sizes.values()), set(order), {}
+    while free:
+        share = left / sum(w[s] for s in free)
+        over = [s for s in free if share * w[s] >= top * sizes[s]]
+        if not over:
+            return target | {s: share * w[s] for s in free}
+        for s in over:
+            target[s] = float(top * sizes[s])
+            left -= target[s]
+            free.discard(s)
+    return target
+
+
+def test_mixture_meets_its_targets(spark):
+    rows = [(i, ["a", "b", "c", None, "é"][min(4, i % 9)], int(1 + i * 7919 % 500)) for i in range(3000)]
+    df = written(spark.createDataFrame(rows, "doc_id long, source string, size long"), "t")
+    out = mixing.choose(df, mixing.source_targets(df), F.col("doc_id")).collect()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    for r in out:
+        taken[r.source] += r.copies * r.size
+        assert 0 <= r.copies <= 2
+    want = plain_targets(sizes)
+    assert len(out) == len(rows) and {r.source: r.target for r in out} == pytest.approx(want)
+    assert all(abs(taken[s] - want[s]) <= 500 for s in want)
+    again = mixing.choose(df.repartition(7), mixing.source_targets(df), F.col("doc_id")).collect()
+    assert key((r.doc_id, r.copies) for r in out) == key((r.doc_id, r.copies) for r in again)
+    assert mixing.repeated(mixing.choose(df, mixing.source_targets(df), F.col("doc_id"))).count() == sum(r.copies for r in out)
+
+
+def test_mixture_of_hard_rows(hard, empty, hard_rows):
+    sized = hard.drop("size").withColumn("size", n_words(F.col("text")))
+    out = mixing.choose(sized, mixing.source_targets(sized), F.col("doc_id")).collect()
+    assert len(out) == len(hard_rows) and {r.target for r in out if r.source is None} <= {2.0 * r.source_size for r in out} | {r.target for r in out}
+    none = empty.drop("size").withColumn("size", n_words(F.col("text")))
+    assert mixing.choose(none, mixing.source_targets(none), F.col("doc_id")).count() == 0
+
+
+# ------------------------------------------------------------------ archives
+
+
+def test_derivatives_refer_to_their_response():
+    page = '<html lang="en"><head><title>A &amp; B</title></head><body><nav>no</nav><p>One&nbsp;two</p><a href="/x?a=1&amp;b=2">l</a><!-- c --></body></html>'
+    data = warc.response("http://x.org/\r\nEvil: 1", page)
+    source, block = warc.parse(data)
+    meta, text = (warc.parse(r) for r in warc.derive(data))
+    assert "Evil" not in source and block.endswith(page.encode())
+    for headers, body in (meta, text):
+        assert headers["WARC-Refers-To"] == source["WARC-Record-ID"] and headers["WARC-Source-Payload-Digest"] == source["WARC-Payload-Digest"] == warc.digest(page.encode())
+        assert headers["WARC-Target-URI"] == source["WARC-Target-URI"] and headers["WARC-Block-Digest"] == warc.digest(body)
+    assert text[1].decode() == "A & B\nOne two\nl" and json.loads(meta[1])["links"] == [{"tag": "a", "url": "/x?a=1&b=2"}]
+    assert json.loads(meta[1])["title"] == "A & B" and warc.derive(data) == warc.derive(data)
+
+
+def test_derivatives_of_hard_rows(spark):
+    rows = [(1, "http://a.org/", "<p>x"), (1, "http://a.org/", "<p>x"), (None, None, None), (2, "", ""), (3, "u", "<script>" * 5 + "é" * 200_000)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record string")
+    out = warc.derivatives(df).collect()
+    assert collections.Counter(r.kind for r in out) == {"metadata": 5, "conversion": 5} and all(warc.parse(bytes(r.record)) for r in out)
+    assert warc.derivatives(df.where("false")).count() == 0
+    assert warc.unescape("&amp;lt; &lt; \ue000 &amp;") == "&lt; < \ue000 &"
+
+
+# ------------------------------------------------------------------ urls
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("org", "/fr/x", "block"), ("a.org", "/fr/", "block"), (None, "/", "block")]
+
+
+def plain_verdict(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(h + p), len(h), v, h + p) for h, p, v in RULES if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, "allow", None))
+    return host, path, best[3], best[2]
+
+
+def test_verdicts_equal_the_plain_rules(spark):
+    urls = [f"{s}{h}{p}" for s in ("http://", "x", "HTTPS://") for h in ("Example.NET", "www.example.net", "notexample.net", "a.org", "b.a.org", "example.com:80", "net", "", ".net") for p in ("", "/", "/en/", "/en", "/de/x?/fr/", "/fr/x", "/fr/y#z", "/fr/xyz/", "?q")]
+    urls += [None, "", "://", "http://a.org/fr/\n/x", "http://é.net/ü/", "http://x.net/a://b"]
+    df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id int, url string, rule string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, rules).collect()}
+    assert got == {i: plain_verdict(u) for i, u in enumerate(urls)}
+    assert url_filter.judge_urls(df.where("false"), rules).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(df, rules.where("false")).collect()} == {"allow"}
+
+
+# ------------------------------------------------------------------ exact dedup
+
+
+def plain_groups(rows):
+    by = collections.defaultdict(list)
+    for i, text in rows:
+        by["".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")].append(i)
+    return {t: (max((i for i in v if i is not None), default=None), len(v)) for t, v in by.items()}
+
+
+def weak(data: bytes) -> bytes:
+    return bytes([len(data) % 3])
+
+
+@pytest.mark.parametrize("options", [{}, {"memtable": 2}, {"filter_bytes": 0}, {"digest": weak}])
+def test_dedup_equals_plain_groups(hard, hard_rows, options):
+    out = exact_dedup.exact_dedup(hard, **options).collect()
+    want = plain_groups([(r[0], r[1]) for r in hard_rows])
+    assert len(out) == len(hard_rows) and out[0]["a b.c"] == 5
+    kept = collections.Counter()
+    for r in out:
+        text = exact_dedup.ascii_lower(r.text).decode()
+        assert (r.keep_id, r.group_size) == want[text]
+        kept[text] += r.kept
+        if "digest" not in options:
+            assert r.text_sha256 == exact_dedup.sha256(text.encode()).hex()
+    assert set(kept.values()) == {1}
+
+
+def test_dedup_keeps_the_smallest_if_asked_and_takes_later_batches(spark, empty):
+    df = spark.createDataFrame([(i, f"t{i % 5}") for i in range(50)], "doc_id long, text string")
+    assert {r.doc_id for r in exact_dedup.exact_dedup(df, keep="smallest").where("kept").collect()} == {0, 1, 2, 3, 4}
+    index = exact_dedup.DigestIndex(spark)
+    index.insert(df.where("doc_id < 20"), "doc_id", "text")
+    index.compact()
+    index.insert(df.where("doc_id >= 20"), "doc_id", "text")
+    assert {(r.keep_id, r.group_size) for r in index.resolve(df, "doc_id", "text").collect()} == {(45 + i, 10) for i in range(5)}
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_filter_has_no_false_negatives():
+    keys = [exact_dedup.sha256(str(i).encode()) for i in range(5000)]
+    bloom = exact_dedup.Bloom(len(keys))
+    bloom.add(keys)
+    assert bloom.has(keys).all() and bloom.has([exact_dedup.sha256(b"x%d" % i) for i in range(5000)]).mean() < 0.05
