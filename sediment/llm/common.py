@@ -6,9 +6,11 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: The white space of every word rule here: space and the five ASCII controls 9 to 13.
@@ -89,6 +91,18 @@ def with_room(df: DataFrame, used: list[str], results: list[str]) -> DataFrame:
     return df.select(*[named(c) for c in df.columns if c in used or not (c.startswith("__") or c.lower() in taken)])
 
 
+def map_beside(df: DataFrame, text: str, carried: list[str], func: Callable, added: list[T.StructField]) -> DataFrame:
+    """``df``'s ``carried`` columns and those that ``func`` adds to Arrow batches of (text, row).
+
+    ``func`` returns batches of (row, *added). The carried columns travel as one struct, whose
+    fields may have any name.
+    """
+    row = F.struct(F.lit(0).alias("__"), *[named(c) for c in carried]).alias("__row")
+    shaped = df.select(named(text).alias("__text"), row)
+    out = shaped.mapInArrow(func, T.StructType([shaped.schema["__row"], *added]))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in carried], *[f.name for f in added])
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs of characters that are not white space; a null has none."""
     bare = F.btrim(text, F.lit(WS))

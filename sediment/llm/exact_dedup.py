@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import named, with_room, written
+from .common import map_beside, named, with_room, written
 
 MEMTABLE = 100_000
 SALT_ROWS = 500
@@ -116,7 +116,7 @@ def _runs(normal: Callable, digest: Callable, largest: bool, memtable: int) -> C
 
 
 def _probe(normal: Callable, digest: Callable, sent, keys: int) -> Callable:
-    """Adds the digest to (text, ...) batches, and for hits alone the normalised bytes."""
+    """Adds the digest to (text, row) batches, and for hits alone the normalised bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(keys, np.frombuffer(sent.value, np.uint8)) if sent is not None else None
@@ -126,7 +126,7 @@ def _probe(normal: Callable, digest: Callable, sent, keys: int) -> Callable:
             hit = bloom.has(digests) if bloom else np.ones(len(data), bool)
             keep = [x if h else None for x, h in zip(data, hit, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(digests, pa.binary()), pa.array(keep, pa.binary())], [*batch.schema.names, "__digest", "__bytes"])
+                [batch.column(1), pa.array(digests, pa.binary()), pa.array(keep, pa.binary())], ["__row", "__digest", "__bytes"])
 
     return run
 
@@ -187,10 +187,9 @@ class DigestIndex:
         repeated = self.level1.where(F.col("group_size") > 1)
         sent, n = self._filter(repeated)
         df = with_room(df, [id_col, text_col], ["keep_id", "group_size", "kept", "text_sha256"])
-        carried = [named(c) for c in df.columns if carry_text or c != text_col]
-        shaped = df.select(F.col(text_col).alias("__text"), *carried)
-        schema = T.StructType([*shaped.schema.fields, T.StructField("__digest", T.BinaryType()), T.StructField("__bytes", T.BinaryType())])
-        probed = shaped.mapInArrow(_probe(self.normal, self.digest, sent, n), schema).drop("__text")
+        carried = [c for c in df.columns if carry_text or c != text_col]
+        added = [T.StructField("__digest", T.BinaryType()), T.StructField("__bytes", T.BinaryType())]
+        probed = map_beside(df, text_col, carried, _probe(self.normal, self.digest, sent, n), added)
         entries = repeated.select(F.col("digest").alias("__d"), "keep_id", "group_size")
         probed = probed.join(entries, F.col("__digest") == F.col("__d"), "left").drop("__d")
         probed = written(probed.withColumn("__hit", F.col("group_size").isNotNull()), "probed")
@@ -220,9 +219,9 @@ class DigestIndex:
             again = again.withColumn("keep_id", best.over(group)).withColumn("group_size", F.count(F.lit(1)).over(group))
             place = Window.partitionBy("__digest", "__bytes").orderBy(own.desc(), F.col(id_col))
             again = again.withColumn("__first", F.row_number().over(place) == 1)
-            checked = clean.unionByName(again.select(clean.columns))
+            checked = clean.unionByName(again.select(*map(named, clean.columns)))
         copies = checked.drop("__bytes", "__hit", "__same").withColumnRenamed("__first", "kept")
-        out = unique.unionByName(copies.select(unique.columns))
+        out = unique.unionByName(copies.select(*map(named, unique.columns)))
         return out.withColumn("text_sha256", F.lower(F.hex("__digest"))).drop("__digest")
 
 

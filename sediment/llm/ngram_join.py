@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop_written, named, with_room, written
+from .common import drop_written, map_beside, with_room, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -141,7 +141,7 @@ def paths(signatures: np.ndarray, runs: int) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to (text, ...) batches the set's identity, size, and signature."""
+    """Adds to (text, row) batches the set's identity, size, and signature."""
     for batch in batches:
         ids, sizes, signs = [], [], []
         for s in shingle_sets(batch.column(0)):
@@ -149,8 +149,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             signs.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[1:], pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())],
-            [*batch.schema.names[1:], "__set", "__size", "__sign"])
+            [batch.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["__row", "__set", "__size", "__sign"])
 
 
 def _spread(runs: int) -> callable:
@@ -337,9 +336,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     runs = math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH))
     least = math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
     df = with_room(df, [id_col, text_col], ["class_id", "class_size", "n_links", "kept", "root"])
-    shaped = df.select(F.col(text_col).alias("__text"), *[named(c) for c in df.columns])
     added = [T.StructField("__set", T.BinaryType()), T.StructField("__size", T.IntegerType()), T.StructField("__sign", T.BinaryType())]
-    rows = written(shaped.mapInArrow(_measure, T.StructType([*shaped.schema.fields[1:], *added])), "sets")
+    rows = written(map_beside(df, text_col, df.columns, _measure, added), "sets")
 
     id_ = F.col(f"`{id_col}`").cast("long")
     known = rows.where(F.col("__set").isNotNull())

@@ -29,10 +29,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named, with_room
+from .common import map_beside, with_room
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -181,13 +180,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [list(c) for c in zip(*found, strict=True)] if found else [[], [], [], [], []]
         columns[3] = [hashlib.sha256(x.encode()).hexdigest() for x in columns[3]]
         arrays = [pa.array(c, pa.int64() if i < 3 else pa.string()) for i, c in enumerate(columns)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], [*batch.schema.names[1:], "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), *arrays], ["__row", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
 def secret_scan(df: DataFrame, text: str = "text", *, carry_text: bool = False) -> DataFrame:
     """``df`` with the base counts, the digest of the base spans, and all spans."""
     df = with_room(df, [text], ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-    carried = [named(c) for c in df.columns if carry_text or c != text]
-    shaped = df.select(F.col(text).alias("__text"), *carried)
+    carried = [c for c in df.columns if carry_text or c != text]
     added = [T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex")] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
-    return shaped.mapInArrow(_scan, T.StructType([*shaped.schema.fields[1:], *added]))
+    return map_beside(df, text, carried, _scan, added)

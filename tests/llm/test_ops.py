@@ -430,12 +430,10 @@ def plain_groups(rows):
     return {t: (max((i for i in v if i is not None), default=None), len(v)) for t, v in by.items()}
 
 
-def weak(data: bytes) -> bytes:
-    return bytes([len(data) % 3])
-
-
-@pytest.mark.parametrize("options", [{}, {"memtable": 2}, {"filter_bytes": 0}, {"digest": weak}])
+@pytest.mark.parametrize("options", [{}, {"memtable": 2}, {"filter_bytes": 0}, {"digest": "weak"}])
 def test_dedup_equals_plain_groups(hard, hard_rows, options):
+    if "digest" in options:  # nearly all texts collide
+        options = {"digest": lambda data: bytes([len(data) % 3])}
     out = exact_dedup.exact_dedup(hard, **options).collect()
     want = plain_groups([(r[0], r[1]) for r in hard_rows])
     assert len(out) == len(hard_rows) and out[0]["a b.c"] == 5
