@@ -9,12 +9,16 @@ the shared folder and reads again for the next. All but the last return the colu
 * ``mixing`` takes documents as often as the mix says, so rows may repeat or go;
 * ``packing`` returns the pieces of the packed sequences.
 
+A stage's own tables in the shared folder are removed when the next stage begins, as its result
+has been written by then; so the pipeline holds one stage's tables at a time.
+
 Nulls, empty tables and repeated rows are handled as each operator's docstring says. Columns
 beside those of documents are carried by all stages but the last.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +28,20 @@ from sediment.llm import exact_dedup as exact
 from sediment.llm import mixing as mix
 from sediment.llm import ngram_join, packing
 from sediment.llm import quality_rules as rules
-from sediment.llm.common import n_words, named, written
+from sediment.llm.common import drop_written, n_words, named, owned, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(function: Stage) -> Stage:
+    """The function, with its own tables in place of those of the stage before."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with owned(spark, "pipeline"):
+            return function(spark, docs, sf_dir)
+
+    return run
 
 
 USED = ["doc_id", "text", "lang", "source"]
@@ -40,31 +57,36 @@ def _unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in USED else F.col("carried").getField(c).alias(c) for c in columns])
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(rules.quality_rules(_packed(docs)).where("kept"), docs.columns)
 
 
+@stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(exact.exact_dedup(_packed(docs), keep="largest").where("kept"), docs.columns)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(ngram_join.ngram_join(_packed(docs)).where("kept"), docs.columns)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = _packed(docs).withColumn("size", n_words(F.col("text")))
     chosen = mix.choose(sized, mix.source_targets(sized), F.col("doc_id"))
     return _unpacked(mix.repeated(chosen), docs.columns)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
@@ -78,6 +100,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    before = None
+    for name, function in STAGES[:-1]:
+        docs = written(function(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

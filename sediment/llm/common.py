@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,22 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _roots: dict[str, str] = {}
+#: The tables that each owner's last call wrote, and the lists that are being filled.
+_owned: dict[tuple[str, str], list[str]] = {}
+_filling: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Tables written inside belong to ``owner``; those of its call before are removed first."""
+    key = (spark.sparkContext.applicationId, owner)
+    for path in _owned.pop(key, []):
+        _remove(spark, path)
+    _filling.append([])
+    try:
+        yield
+    finally:
+        _owned[key] = _filling.pop()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -60,7 +77,10 @@ def scratch(spark: SparkSession, name: str) -> str:
                 pass
 
         atexit.register(clean)
-    return f"{_roots[app]}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_roots[app]}/{name}-{uuid.uuid4().hex[:12]}"
+    for paths in _filling:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, *, partition_by: str | None = None, path: str | None = None, **options: str) -> DataFrame:
@@ -103,6 +123,19 @@ def map_beside(df: DataFrame, text: str, carried: list[str], func: Callable, add
     return out.select(*[F.col("__row").getField(c).alias(c) for c in carried], *[f.name for f in added])
 
 
+BROADCAST_ROWS = 50_000
+
+
+def beside_all(df: DataFrame, name: str) -> DataFrame:
+    """A table of one short row for each group, to be joined to all rows.
+
+    It is written and counted: up to BROADCAST_ROWS rows it is sent to the executors, so that the
+    rows it is joined to stay where they are; beyond, the join is left to shuffle.
+    """
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs of characters that are not white space; a null has none."""
     bare = F.btrim(text, F.lit(WS))

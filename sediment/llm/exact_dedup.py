@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_beside, named, with_room, written
+from .common import drop_written, map_beside, named, with_room, written
 
 MEMTABLE = 100_000
 SALT_ROWS = 500
@@ -159,6 +159,8 @@ class DigestIndex:
         self.level1 = written(
             merged.sortWithinPartitions("digest"), "level1", **{"parquet.bloom.filter.enabled#digest": "true"}
         )
+        for run in self.level0:
+            drop_written(run)
         self.level0 = []
         return self.level1
 
