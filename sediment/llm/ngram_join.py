@@ -50,7 +50,7 @@ LEAF = 48
 COORDINATES = 128
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -318,7 +318,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _leaves(spread: DataFrame) -> DataFrame:
     """(leaf, n, s): sets in buckets of two or more, split on while a bucket has over LEAF of them."""
-    out, rest = None, spread
+    out, rest, tables = None, spread, [spread]
     for step in range(DEPTH):
         key = f"k{step}"
         counts = rest.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("leaf"), "n")
@@ -327,7 +327,11 @@ def _leaves(spread: DataFrame) -> DataFrame:
         out = done if out is None else out.unionByName(done)
         if step < DEPTH - 1:
             rest = written(met.where(F.col("n") > LEAF).drop("leaf", "n"), "split")
-    return out
+            tables.append(rest)
+    leaves = written(out, "leaves")
+    for table in tables:
+        drop_written(table)
+    return leaves
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, recall: float = RECALL, carry_text: bool = True) -> DataFrame:
@@ -346,19 +350,20 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     sets = written(sets, "distinct")
 
     spread = sets.select("s", "sign").mapInArrow(_spread(runs), "s binary, " + ", ".join(f"k{k} bigint" for k in range(DEPTH)))
-    leaves = written(_leaves(written(spread, "paths")), "leaves")
+    leaves = _leaves(written(spread, "paths"))
     # The sketch: the low byte of each coordinate's minimum.
     sketch = F.unhex(F.regexp_replace(F.hex("sign"), "(..)......", "$1"))
     buckets = leaves.join(sets.select(F.col("s").alias("__s"), sketch.alias("sketch")), F.col("s") == F.col("__s")).drop("__s")
     buckets = _block_pairs(buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "blocks", "s")
     buckets = buckets.select("leaf", "bi", "bj", "s", "sketch").repartition("leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj")
     met = written(buckets.mapInArrow(_bucket_links(least), "u binary, v binary"), "met")
+    drop_written(leaves)
     comps = components(met).select("s", F.col("root").alias("comp"))
 
     # The text of a set is that of its first document.
     members = comps.join(sets.select("s", "copies", "first", "size"), "s")
     weight = members.groupBy("comp").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("c"))
-    weight = weight.select(F.col("comp").alias("__c"), F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("c") / (4 * BLOCK))).cast("int").alias("blocks"))
+    weight = weight.select(F.col("comp").alias("__c"), F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("c") / (2 * BLOCK))).cast("int").alias("blocks"))
     members = members.join(weight, F.col("comp") == F.col("__c")).drop("__c")
     texts = known.select(F.col("__set"), id_.alias("__id"), F.col(f"`{text_col}`").alias("text"))
     members = members.join(texts, (F.col("s") == F.col("__set")) & F.col("first").eqNullSafe(F.col("__id"))).drop("__set", "__id")

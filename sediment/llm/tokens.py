@@ -24,7 +24,7 @@ OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0               
 #: The letter whose lower case holds a mark, which joins what follows.
 MARKED = "İ"
 ASCII_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-LIMIT = 700_000
+LIMIT = 400_000
 SLICE_BYTES = 8 << 20
 
 
