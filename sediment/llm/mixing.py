@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import seeded, with_room
+from .common import beside_all, seeded, with_room
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -69,7 +69,7 @@ def choose(sized: DataFrame, targets: DataFrame, key: Column, source: str = "sou
     # The bucket in which the fraction ends: the first whose end reaches it. All before it are taken.
     ends = buckets.join(t, F.col(source).eqNullSafe(F.col("__s"))).where(F.col("__before") + F.col("__bs") >= F.col("extra"))
     ends = ends.groupBy("__s").agg(F.min(F.struct("__b", "__before")).alias("__e")).select(F.col("__s").alias("__es"), F.col("__e.__b").alias("__end"), F.col("__e.__before").alias("__before"))
-    t = t.join(ends, F.col("__s").eqNullSafe(F.col("__es")), "left").drop("__es")
+    t = beside_all(t.join(ends, F.col("__s").eqNullSafe(F.col("__es")), "left").drop("__es"), "shares")
     joined = rows.join(t, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
     inside = (F.col("extra") > 0) & (F.col("__b") == F.col("__end"))
     run = Window.partitionBy(source).orderBy("__h", key, "size").rowsBetween(Window.unboundedPreceding, -1)

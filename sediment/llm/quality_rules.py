@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, WS_CLASS, with_room, written
+from .common import WS, WS_CLASS, beside_all, with_room, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -178,4 +178,4 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     if not carry_text:
         measured = measured.drop(text)
     measured = written(measured, "measures")
-    return apply_rules(measured, thresholds(sketches(measured), min_rows))
+    return apply_rules(measured, beside_all(thresholds(sketches(measured), min_rows), "fences"))
