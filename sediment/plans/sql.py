@@ -149,10 +149,10 @@ ORACLES = {
     "merged_table": f"WITH {_VERSIONS} SELECT source_id, chunk_index, content_hash, embedding_model FROM m WHERE action <> 'delete'",
     "upsert_sources": f"""WITH {SOURCES} SELECT id, owner, url, CASE WHEN owner = 'public' THEN 'docs' ELSE kind END AS kind, CASE WHEN owner = 'public' THEN upper(title) ELSE title END AS title, duplicate_of,
       CASE WHEN owner = 'public' THEN 'update' ELSE 'keep' END AS action FROM sources""",
-    "embedding_writeback": f"WITH {CHUNKS} SELECT CASE WHEN embedding IS NULL THEN 'new' ELSE 'stored' END AS embedding_model, count(*) AS n, sum(coalesce(len(embedding), 1)) AS dims FROM chunks GROUP BY ALL",
+    "embedding_writeback": f"WITH {CHUNKS} SELECT CASE WHEN embedding IS NULL THEN 'new' ELSE 'stored' END AS embedding_model, count(*) AS n, sum(coalesce(len(embedding), 1))::BIGINT AS dims FROM chunks GROUP BY ALL",
     "duplicate_titles": f"WITH {SOURCES} SELECT s.id, s.duplicate_of, o.title AS original FROM sources s JOIN sources o ON o.id = s.duplicate_of",
     "cascade_delete": f"WITH {SOURCES}, l AS (SELECT * FROM sources WHERE lang <> 'fr') SELECT count(*) AS sources, count(*) FILTER (duplicate_of IN (SELECT id FROM l)) AS flagged, count(*) AS chunks FROM l",
-    "corpus_stats": f"WITH {CHUNKS} SELECT (SELECT count(*) FROM sources) AS sources, count(*) AS chunks, count(*) FILTER (embedding IS NULL) AS pending, sum(CASE WHEN trim(content) = '' THEN 0 ELSE len(regexp_split_to_array(trim(content), '\\s+')) END) AS tokens FROM chunks",
+    "corpus_stats": f"WITH {CHUNKS} SELECT (SELECT count(*) FROM sources) AS sources, count(*) AS chunks, count(*) FILTER (embedding IS NULL) AS pending, sum(CASE WHEN trim(content) = '' THEN 0 ELSE len(regexp_split_to_array(trim(content), '\\s+')) END)::BIGINT AS tokens FROM chunks",
     "pending_embeddings": f"WITH {CHUNKS} SELECT count(*) FILTER (embedding IS NULL) AS pending FROM chunks",
     "spend_today": f"SELECT round(coalesce(sum({_COST}), 0), 6) AS spend_usd FROM events LEFT JOIN {_PRICES} ON model = event_type WHERE ts >= date_trunc('day', {_NOW})",
     "cost_join": f"SELECT event_type AS model, round(sum({_COST}), 6) AS cost_usd, count(*) AS calls FROM events LEFT JOIN {_PRICES} ON model = event_type GROUP BY event_type",
