@@ -280,8 +280,9 @@ def _verify(threshold: Fraction) -> callable:
                 linked &= block[:, None] != block[None, :]  # pairs within a block are counted by its own task
             links = linked @ copies + copies @ linked
             forest = _Forest(len(ids))
-            for i, j in np.argwhere(linked).tolist():
-                forest.join(i, j)
+            for i in range(len(ids) - 1):
+                for j in np.flatnonzero(linked[i]).tolist():
+                    forest.join(i, j)
             roots = [ids[forest.root(i)] for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], ["s", "links", "root"])
 
