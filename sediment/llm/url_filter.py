@@ -11,7 +11,8 @@ the table is expanded once, and the rules' side is never a hot key. The join's s
 adaptive execution: a rule table below the broadcast limit is sent, a larger one is shuffled.
 
 Path prefixes are those that end in a slash and the whole path; if rules have paths that end
-otherwise, also the prefixes of these rules' lengths, of which there are few.
+otherwise, also the prefixes of these rules' lengths, of which there are few. No expression is
+longer than the rules' longest host and path, so a very long url has no more of them than others.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, and no rule fits it;
 equal rows get equal verdicts, each its own row; rules without a host or verdict never fit; an
@@ -39,17 +40,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def host_suffixes(host: Column, longest: int) -> Column:
+    """Of the host and what follows each of its dots, those of at most ``longest`` characters."""
+    long = F.length(host) > longest
+    parts = F.split(F.when(long, F.right(host, F.lit(longest + 1))).otherwise(host), r"\.")
+    # The first part of a long host's end is the rest of a label, or follows no dot within reach.
+    first = F.when(long, 2).otherwise(1)
+    return F.when(
+        F.size(parts) >= first,
+        F.transform(F.sequence(first, F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")),
+    ).otherwise(F.array().cast("array<string>"))
 
 
-def path_prefixes(path: Column, lengths: list[int]) -> Column:
-    """The prefixes that end in a slash, the whole path, and those of the given lengths."""
+def path_prefixes(path: Column, lengths: list[int], longest: int) -> Column:
+    """Of the prefixes that end in a slash, the whole path, and those of the given lengths, all of at most ``longest`` characters."""
+    whole = F.when(F.length(path) <= longest, F.array(path)).otherwise(F.array().cast("array<string>"))
+    path = F.substr(path, F.lit(1), F.lit(longest))
     parts = F.split(path, "/")
     slashed = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    out = F.array_append(F.coalesce(slashed, F.array().cast("array<string>")), path)
+    out = F.concat(F.coalesce(slashed, F.array().cast("array<string>")), whole)
     if lengths:
         cut = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
         out = F.concat(out, F.transform(cut, lambda n: F.substr(path, F.lit(1), n)))
@@ -63,13 +72,14 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     rows = df.withColumn("host", host).withColumn("path", path)
     valid = rules.where(F.col("host").isNotNull() & (F.col("host") != "") & F.col("verdict").isNotNull())
     valid = valid.select(F.col("host").alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), F.col("verdict").alias("rv"))
+    reach = valid.agg(F.max(F.length("rh")), F.max(F.length("rp"))).first()
     odd = [r[0] for r in valid.where(~F.col("rp").endswith("/")).select(F.length("rp")).distinct().collect()]
     keyed = valid.withColumn("rule", F.concat("rh", "rp")).withColumn("rd", F.sha2(F.concat("rh", F.lit("\n"), "rp"), 256))
     keyed = keyed.groupBy("rd").agg(F.max(F.struct("rule", F.length("rh").alias("hl"), F.length("rule").alias("ln"), "rv")).alias("r"))
     keyed = keyed.select(F.substring("rd", 1, PREFIX).alias("rk"), "rd", "r.*")
     urls = rows.select("host", "path").where(F.col("host") != "").distinct()
-    hosts = urls.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("eh"))
-    digests = hosts.select("host", "path", F.explode(F.transform(path_prefixes(F.col("path"), odd), lambda p: F.sha2(F.concat(F.col("eh"), F.lit("\n"), p), 256))).alias("ed"))
+    hosts = urls.select("host", "path", F.explode(host_suffixes(F.col("host"), reach[0] or 0)).alias("eh"))
+    digests = hosts.select("host", "path", F.explode(F.transform(path_prefixes(F.col("path"), odd, reach[1] or 0), lambda p: F.sha2(F.concat(F.col("eh"), F.lit("\n"), p), 256))).alias("ed"))
     met = digests.withColumn("ek", F.substring("ed", 1, PREFIX)).join(keyed, F.col("ek") == F.col("rk")).where(F.col("ed") == F.col("rd"))
     best = met.groupBy("host", "path").agg(F.max(F.struct("ln", "hl", F.col("rv"), "rule")).alias("b"))
     best = best.select(F.col("host").alias("bh"), F.col("path").alias("bp"), F.col("b.rule").alias("rule"), F.col("b.rv").alias("rv"))

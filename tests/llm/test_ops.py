@@ -412,6 +412,7 @@ def plain_verdict(url):
 def test_verdicts_equal_the_plain_rules(spark):
     urls = [f"{s}{h}{p}" for s in ("http://", "x", "HTTPS://") for h in ("Example.NET", "www.example.net", "notexample.net", "a.org", "b.a.org", "example.com:80", "net", "", ".net") for p in ("", "/", "/en/", "/en", "/de/x?/fr/", "/fr/x", "/fr/y#z", "/fr/xyz/", "?q")]
     urls += [None, "", "://", "http://a.org/fr/\n/x", "http://é.net/ü/", "http://x.net/a://b"]
+    urls += ["http://" + "a." * 20_000 + h + "/en/" + "b/" * 20_000 for h in ("example.net", "xample.net", "org")]
     df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id int, url string, rule string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, rules).collect()}
