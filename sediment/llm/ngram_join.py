@@ -16,7 +16,8 @@ exact links give the classes. So a link is lost only if no chain of met pairs jo
 
 What leaves a task is linear in its sets: a link to the local root, and sums of links. Pairs are
 never rows; components are found by rounds of joins over tables in the shared folder; a copy
-group of any size is one set, weighted by its size.
+group of any size is one set, weighted by its size. Large buckets, classes and copy groups are
+salted where they are joined to their counts.
 
 Defined cases: words are runs of characters other than space and ASCII 9 to 13, compared as they
 are; a text of one to four words is one shingle; null, empty and blank texts have none, and each
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop_written, map_beside, with_room, written
+from .common import drop_written, join_spread, map_beside, with_room, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -322,8 +323,9 @@ def _leaves(spread: DataFrame) -> DataFrame:
     out, rest, tables = None, spread, [spread]
     for step in range(DEPTH):
         key = f"k{step}"
-        counts = rest.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("leaf"), "n")
-        met = rest.join(counts, F.col(key) == F.col("leaf"))
+        counts = written(rest.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("leaf"), "n"), "counts")
+        tables.append(counts)
+        met = join_spread(rest, key, counts, "leaf", "n", F.col("s"), rest.count())
         done = (met if step == DEPTH - 1 else met.where(F.col("n") <= LEAF)).select("leaf", "n", "s")
         out = done if out is None else out.unionByName(done)
         if step < DEPTH - 1:
@@ -377,11 +379,14 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     linked = exact.groupBy("s").agg(F.sum("links").alias("links")).join(joined, "s", "left")
     full = sets.select("s", "copies", "first").join(linked, "s", "left").withColumn("root", F.coalesce("root", "s"))
     full = written(full.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1), "classes")
-    classes = full.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_set = full.select("s", "root", F.col("links").alias("n_links")).join(classes, "root")
+    classes = full.groupBy(F.col("root").alias("__r")).agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("__n"))
+    by_set = full.select("s", "root", F.col("links").alias("n_links"), "copies")
+    by_set = join_spread(by_set, "root", written(classes, "class-sizes"), "__r", "__n", F.col("s"), full.count()).drop("__r", "__n")
 
     own = rows if carry_text else rows.drop(text_col)
-    out = own.drop("__size", "__sign").join(by_set.select(F.col("s").alias("__s"), "root", "class_id", "class_size", "n_links"), F.col("__set") == F.col("__s"), "left").drop("__s")
+    by_set = by_set.select(F.col("s").alias("__s"), "root", "class_id", "class_size", "n_links", F.col("copies").alias("__copies"))
+    hot = full.select(F.col("s").alias("__s"), F.col("copies").alias("__copies"))
+    out = join_spread(own.drop("__size", "__sign"), "__set", by_set, "__s", "__copies", id_, rows.count(), hot=hot, how="left").drop("__s", "__copies")
     alone = F.col("__set").isNull()
     out = out.withColumn("class_id", F.when(alone, id_).otherwise(F.col("class_id")))
     out = out.withColumn("class_size", F.coalesce("class_size", F.lit(1)).cast("long")).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))

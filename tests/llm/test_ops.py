@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sediment.llm import exact_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, token_store, url_filter, warc
+from sediment.llm import common, exact_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, token_store, url_filter, warc
 from sediment.llm.common import n_words, written
 from sediment.llm.tokens import Encoder
 
@@ -300,6 +300,7 @@ def near_copies():
 def test_join_equals_brute_force(spark, monkeypatch, leaf, block):
     monkeypatch.setattr(ngram_join, "LEAF", leaf)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(common, "SALT_ROWS", block)
     rows = near_copies()
     out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: (r.class_id, r.n_links) for r in out} == plain_join(rows)
