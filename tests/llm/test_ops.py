@@ -394,6 +394,20 @@ def test_derivatives_of_hard_rows(spark):
     assert warc.unescape("&amp;lt; &lt; \ue000 &amp;") == "&lt; < \ue000 &"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<p>a</p><svg class="i"/><p>body text</p>', "a\nbody text"),
+    ("<nav><p>menu</p><p>body</p>", "menu\nbody"),
+    ("<nav-bar></nav-bar><p>a</p><footer-x>b</footer-x>", "a\nb"),
+    ("<aside><p>a</p><nav>m</nav><p>b</p>", "a\nb"),
+    ("<nav>m<NAV\nid=x>n</nav>o</nav ><p>a</p>", "a"),
+    ("<nav>m<aside>n</nav><p>a</p></aside>b", "a\nb"),
+    ("<p>a</p></nav><svg><!-- </svg> --><g/></svg>b<script>if (a</nav>)", "a\nb"),
+    ("<nav>" * 50_000 + "<p>a", "a"),
+])
+def test_what_is_left_out_ends_with_its_element(page, text):
+    assert warc.plain_text(page) == text
+
+
 # ------------------------------------------------------------------ urls
 
 
