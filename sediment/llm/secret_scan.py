@@ -6,6 +6,7 @@ before they are reported:
 
 * ``jwt``: three base64url parts, the first a JSON object with a text ``alg``, the second JSON;
 * ``pem``: a private-key armour whose body decodes to a key encoding, or has its cipher headers;
+  its line ends may be escaped, as in JSON;
 * ``der``: a DER sequence whose length is that of the data, in which every nested length closes
   exactly, and whose content is a PKCS#1, PKCS#8, SEC1 or encrypted PKCS#8 private key;
 * ``ssh``: an OpenSSH private key: its magic, then length-prefixed strings that end with the data.
@@ -39,7 +40,9 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.DOTALL)
+ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+#: What may stand between the characters of a body: white space, line ends as JSON and .env files escape them, the escape of a slash.
+BETWEEN = re.compile(r"\s+|\\+[nrt]|\\+(?=/)")
 #: DER sequences begin with byte 0x30 and SSH keys with "openssh-key-v1": these are their first characters.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{38,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9a-f]{2}){24,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])30(?:[0-9A-F]{2}){24,}(?![0-9A-Fa-f])")
@@ -133,10 +136,23 @@ def is_jwt(token: str) -> bool:
 def is_pem(kind: str, body: str) -> bool:
     if "ENCRYPTED" in body[:200] and "DEK-Info:" in body[:400]:
         return True
-    data = from_base64("".join(body.split()))
+    data = from_base64(BETWEEN.sub("", body))
     return is_private_ssh(data) if kind.startswith("OPENSSH") else is_private_der(data)
 
 
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the armoured keys: each END with the last BEGIN before it, so that one without its END hides no other."""
+    out, begin = [], None
+    for m in ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin and begin[2] == m[2]:
+            if is_pem(m[2], text[begin.end() : m.start()]):
+                out.append((begin.start(), m.end()))
+            begin = None
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the base patterns."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
@@ -151,7 +167,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     if "eyJ" in text:
         out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_jwt(m[0])]
     if "PRIVATE KEY-----" in text:
-        out += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if is_pem(m[1], m[2])]
+        out += [(a, 4, b) for a, b in pem_spans(text)]
     for m in BASE64.finditer(text):
         data = from_base64(m[0])
         if is_private_ssh(data):

@@ -143,6 +143,22 @@ def test_structures_are_confirmed_and_look_alikes_are_not():
     assert {s.split(":")[0] for s in secret_scan.scan(fake)[4].split(",")} <= {"hex"}
 
 
+def pem_of(data, kind="EC ", end="\n"):
+    lines = base64.b64encode(data).decode()
+    return end.join([f"-----BEGIN {kind}PRIVATE KEY-----", *(lines[i : i + 64] for i in range(0, len(lines), 64)), f"-----END {kind}PRIVATE KEY-----"])
+
+
+@pytest.mark.parametrize("before", ["", "-----BEGIN EC PRIVATE KEY-----\nMHcC", "-----BEGIN EC PRIVATE KEY-----" * 3, "-----BEGIN RSA PRIVATE KEY-----\n", "-----END EC PRIVATE KEY-----"])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+def test_armour_is_found_behind_stray_ones_and_with_escaped_line_ends(before, end):
+    # The second key has slashes, which JSON may escape.
+    for pem in (pem_of(bytes.fromhex(KEY), end=end), pem_of(bytes.fromhex(KEY.replace("11" * 32, "ff" * 32)), end=end).replace("/", "\\/")):
+        text = f"{before}\n{pem}, -----END EC PRIVATE KEY----- {pem}"
+        found = [s.split(":") for s in secret_scan.scan(text)[4].split(",")]
+        assert [text[int(a) : int(b)] for k, a, b in found if k == "pem"] == [pem, pem]
+    assert "pem" not in secret_scan.scan(f"{before}\n{pem[:100]}")[4]
+
+
 def plain_spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
