@@ -2,16 +2,18 @@
 
 Method. The base patterns find assignments, access keys and long hexadecimal runs. Beside them,
 runs of base64, base64url or hexadecimal characters are candidates, which are decoded and parsed
-before they are reported:
+before they are reported. A run may be broken into lines (also by escaped line ends), a structure
+may begin anywhere in it, and must end with it or with a line:
 
-* ``jwt``: three base64url parts, the first a JSON object with a text ``alg``, the second JSON;
+* ``jwt``: three base64url parts in a line, the first a JSON object with a text ``alg``, the second JSON;
 * ``pem``: a private-key armour whose body decodes to a key encoding, or has its cipher headers;
-  its line ends may be escaped, as in JSON;
+  its line ends may be escaped, as in JSON, and the whole may be in base64 or hexadecimal;
 * ``der``: a DER sequence whose length is that of the data, in which every nested length closes
   exactly, and whose content is a PKCS#1, PKCS#8, SEC1 or encrypted PKCS#8 private key;
 * ``ssh``: an OpenSSH private key: its magic, then length-prefixed strings that end with the data.
 
-Positions are code points, ends exclusive. A text is scanned whole, in one pass for each pattern,
+Positions are code points, ends exclusive. A key in an armour is both ``pem`` and, by its body,
+``der`` or ``ssh``. A text is scanned whole, in one pass for each pattern,
 and nothing of it leaves its task but spans. Rows are independent, so no row is ever moved.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned alike; ties of start
@@ -26,7 +28,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,14 +42,28 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 #: A run of 20 or more from the first AKIA on, as a shorter run holds no longer one.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+CLAIMS = re.compile(r"\.([A-Za-z0-9_-]{2,}+)(?=\.)")
+PART = re.compile(r"[A-Za-z0-9_-]*")
+PART_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+SPACE = re.compile(r"[ \t\r\n]*")
+OBJECT = re.compile(r'\{[ \t\r\n]*"')
 ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
 #: What may stand between the characters of a body: white space, line ends as JSON and .env files escape them, the escape of a slash.
 BETWEEN = re.compile(r"\s+|\\+[nrt]|\\+(?=/)")
-#: DER sequences begin with byte 0x30 and SSH keys with "openssh-key-v1": these are their first characters.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{38,}={0,2}")
-HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9a-f]{2}){24,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])30(?:[0-9A-F]{2}){24,}(?![0-9A-Fa-f])")
+#: Line ends, as they are or escaped, and the indentation behind; the first character is a set, for which re looks fast.
+_END = r"(?:(?<!\\)\\++[nr\r\n]|[\r\n])"
+BREAK = re.compile(rf"[\\\r\n](?:(?<=[\r\n])|(?<!\\\\)\\*+[nr\r\n])(?:[ \t]*+{_END})*+[ \t]*+")
+#: The smallest structure, a SEC1 key of 128 bits, has 23 bytes.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{31,}")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{46,}")
+#: DER sequences begin with byte 0x30, then at most 0x84, and SSH keys with "openssh-key-v1".
+STARTS = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjE")
+HEX_STARTS = re.compile(r"(?=30|6f70656e7373682d6b65792d7631)", re.IGNORECASE)
+#: "-----BEGIN " at each of the three places of a byte in base64, without the characters that it shares.
+ARMOURED = re.compile(r"LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
+HEX_ARMOURED = re.compile(r"2d2d2d2d2d424547494e20", re.IGNORECASE)
 MAGIC = b"openssh-key-v1\0"
+DECODER = json.JSONDecoder()
 
 
 def from_base64(text: str) -> bytes | None:
@@ -80,6 +97,19 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
     return items
 
 
+def der_length(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins so, by its own length; None if its first value is neither number nor sequence."""
+    if len(head) < 3 or head[0] != 0x30:
+        return None
+    length, at = head[1], 2
+    if length >= 0x80:
+        at += length & 0x7F
+        if not 3 <= at <= 6:
+            return None
+        length = int.from_bytes(head[2:at], "big")
+    return at + length if len(head) > at and head[at] in (0x02, 0x30) else None
+
+
 def is_private_der(data: bytes | None) -> bool:
     """Whether the data is one DER private key, to the last byte."""
     outer = der_items(data) if data else None
@@ -100,28 +130,32 @@ def is_private_der(data: bytes | None) -> bool:
     return tags[:6] == [0x02] * 6 and first == b"\0"  # DSA
 
 
-def is_private_ssh(data: bytes | None) -> bool:
-    """Whether the data is an OpenSSH private key: every length-prefixed string lies within it, the last ends it."""
-    if not data or not data.startswith(MAGIC):
-        return False
-    at, strings = len(MAGIC), []
+def ssh_length(data: bytes, at: int = 0) -> int | None:
+    """Bytes of the OpenSSH private key that begins at ``at``: its last length-prefixed string ends it; else None."""
+    first = at
+    if not data.startswith(MAGIC, at):
+        return None
+    at += len(MAGIC)
 
     def string() -> bool:
         nonlocal at
-        if at + 4 > len(data):
-            return False
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or end > len(data):
             return False
-        strings.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
+        at = end
         return True
 
-    if not all(string() for _ in range(3)) or at + 4 > len(data):
-        return False
+    cipher = at + 4
+    if not string() or not data[cipher:at].isascii() or not string() or not string() or at + 4 > len(data):
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 64 and all(string() for _ in range(keys + 1)) and at == len(data) and strings[0].isascii()
+    return at - first if 1 <= keys <= 64 and all(string() for _ in range(keys + 1)) else None
+
+
+def is_private_ssh(data: bytes | None) -> bool:
+    """Whether the data is an OpenSSH private key: every length-prefixed string lies within it, the last ends it."""
+    return bool(data) and ssh_length(data) == len(data)
 
 
 def is_jwt(token: str) -> bool:
@@ -133,6 +167,51 @@ def is_jwt(token: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
+def header_at(head: str) -> int | None:
+    """Where the JWT header that ends ``head`` begins: the first place from which it is a JSON object with a text ``alg``."""
+    found = []
+    for a in range(min(4, len(head))):
+        text = (from_base64(head[a:]) or b"").decode("latin-1")
+        for m in OBJECT.finditer(text):
+            i = m.start()
+            while i % 3 and text[i - 1] in " \t\r\n":
+                i -= 1
+            if i % 3:
+                continue
+            try:
+                value, end = DECODER.raw_decode(text, m.start())
+            except (ValueError, RecursionError):
+                continue
+            if isinstance(value.get("alg"), str) and not text[end:].strip(" \t\r\n"):
+                found.append(a + i // 3 * 4)
+                break
+    return min(found, default=None)
+
+
+def is_object(part: str) -> bool:
+    data = from_base64(part) or b""
+    try:
+        return data.lstrip()[:1] == b"{" and isinstance(json.loads(data), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
+def jwt_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the tokens, found by their middle parts."""
+    out, done = [], 0
+    for m in CLAIMS.finditer(text):
+        if m.start() < done or not is_object(m[1]):
+            continue
+        first = m.start()
+        while first > done and text[first - 1] in PART_CHARS:
+            first -= 1
+        start, end = header_at(text[first : m.start()]), PART.match(text, m.end() + 1).end()
+        if start is not None and is_jwt(text[first + start : end]):
+            out.append((first + start, end))
+            done = end
+    return out
+
+
 def is_pem(kind: str, body: str) -> bool:
     if "ENCRYPTED" in body[:200] and "DEK-Info:" in body[:400]:
         return True
@@ -161,22 +240,97 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def squeezed(text: str) -> tuple[str, list[int], list[int]]:
+    """The text without line ends, the places in it where they were, and the characters that are missing from each on."""
+    parts, cuts, missing, at, gone = [], [], [], 0, 0
+    for m in BREAK.finditer(text):
+        parts.append(text[at : m.start()].rstrip(" \t"))
+        first = at + len(parts[-1])
+        cuts.append(first - gone)
+        gone += m.end() - first
+        missing.append(gone)
+        at = m.end()
+    return "".join([*parts, text[at:]]), cuts, missing
+
+
+def from_hex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) // 2 * 2])
+
+
+def from_run(text: str) -> bytes:
+    return from_base64(text[:-1] if len(text) % 4 == 1 else text) or b""
+
+
+def coded_keys(run: str, starts: re.Pattern, armoured: re.Pattern, decode: Callable[[str], bytes], chars: int, octets: int, ends: Callable[[int], bool]) -> Iterator[tuple[int, int, int]]:
+    """(start, kind's number, end) of the keys in a run that has ``chars`` characters for each ``octets`` bytes.
+
+    DER and SSH keys have their own length, so that a run may go on behind the line that ends one.
+    """
+    held: dict[int, bytes] = {}
+
+    def decoded(shift: int) -> bytes:
+        if shift not in held:
+            held[shift] = decode(run[shift:])
+        return held[shift]
+
+    done = 0
+    for m in starts.finditer(run):
+        k = m.start()
+        if k < done:
+            continue
+        head, at = decode(run[k : k + 4 * chars]), k // chars * octets
+        length = der_length(head) if head[:1] == b"0" else ssh_length(decoded(k % chars), at)
+        if length is None:
+            continue
+        end = k - (-length * chars // octets)
+        if end > len(run) or not ends(end):
+            continue
+        if head[:1] != b"0":
+            yield k, 6, end
+        elif is_private_der(decoded(k % chars)[at : at + length]):
+            yield k, 5, end
+        else:
+            continue
+        done = end
+    if armoured.search(run):
+        for shift in range(chars):
+            text = decoded(shift).decode("latin-1")
+            for a, b in pem_spans(text):
+                end, last = (shift - (-x * chars // octets) for x in (b, SPACE.match(text, b).end()))
+                yield shift + a * chars // octets, 4, last if ends(last) else end
+
+
+def coded_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) of the keys in base64 and hexadecimal runs."""
+    flat, cuts, missing = squeezed(text)
+    out = []
+
+    def place(at: int) -> int:
+        i = bisect_right(cuts, at)
+        return at + (missing[i - 1] if i else 0)
+
+    def spans(first: int, run: str, *how, pad: int = 0) -> None:
+        def ends(at: int) -> bool:
+            i = bisect_left(cuts, first + at)
+            return at == len(run) or (i < len(cuts) and cuts[i] == first + at)
+
+        for a, kind, b in coded_keys(run, *how, ends):
+            out.append((place(first + a), kind, place(first + b + (pad if b == len(run) else 0) - 1) + 1))
+
+    for m in RUN.finditer(flat):
+        pad = 2 if flat.startswith("==", m.end()) else int(flat.startswith("=", m.end()))
+        spans(m.start(), m[0], STARTS, ARMOURED, from_run, 4, 3, pad=pad)
+        for h in HEX_RUN.finditer(m[0]):
+            spans(m.start() + h.start(), h[0], HEX_STARTS, HEX_ARMOURED, from_hex, 2, 1)
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the candidates whose structure holds."""
-    out = []
-    if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_jwt(m[0])]
+    out = [(a, 3, b) for a, b in jwt_spans(text)]
     if "PRIVATE KEY-----" in text:
         out += [(a, 4, b) for a, b in pem_spans(text)]
-    for m in BASE64.finditer(text):
-        data = from_base64(m[0])
-        if is_private_ssh(data):
-            out.append((m.start(), 6, m.end()))
-        elif is_private_der(data):
-            out.append((m.start(), 5, m.end()))
-    if "30" in text:
-        out += [(m.start(), 5, m.end()) for m in HEX_DER.finditer(text) if is_private_der(bytes.fromhex(m[0]))]
-    return out
+    return out + coded_spans(text)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

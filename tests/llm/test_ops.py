@@ -5,6 +5,7 @@ import collections
 import itertools
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -159,6 +160,43 @@ def test_armour_is_found_behind_stray_ones_and_with_escaped_line_ends(before, en
     assert "pem" not in secret_scan.scan(f"{before}\n{pem[:100]}")[4]
 
 
+def wrapped(x, n, end="\n"):
+    return end.join(x[i : i + n] for i in range(0, len(x), n))
+
+
+def test_keys_are_found_in_every_encoding():
+    der, ssh = bytes.fromhex(KEY), ssh_key()
+    pem = pem_of(der).encode() + b"\n"
+    text64, padded = (lambda x: base64.b64encode(x).decode()), base64.b64encode(b"{\"key\": \"" + pem + b"\"}").decode()
+    cases = [("der", x) for x in (text64(der), wrapped(text64(der), 64), wrapped(text64(der), 64, "\r\n    "), wrapped(text64(der), 7, "\\n"), wrapped(KEY, 60), KEY.upper())]
+    cases += [("ssh", x) for x in (text64(ssh), wrapped(text64(ssh), 70), ssh.hex(), wrapped(ssh.hex(), 60))]
+    cases += [("pem", x) for x in (text64(pem), wrapped(text64(pem), 76), pem.hex(), text64(pem.replace(b"\n", b"\\n")), text64(b" " + pem))]
+    for kind, key in cases:
+        for before, after in (("", ""), ("path/", " end"), ("a key-\n", "\nend of text"), ("k_", "."), ("x = '\\n", "\\n'")):
+            spans = [s.split(":") for s in secret_scan.scan(before + key + after)[4].split(",")]
+            a, b = next((int(a), int(b)) for k, a, b in spans if k == kind)
+            # An armour that does not begin its run has no white space before it, and none behind it if the run goes on.
+            assert (b - a > 0.97 * len(key) and a >= len(before) and b <= len(before + key)) if kind == "pem" else (a, b) == (len(before), len(before + key)), (kind, key, before, after, spans)
+    assert "pem:" in secret_scan.scan(wrapped(padded, 76))[4] and "der:" not in secret_scan.scan(text64(der[:-1]) + "\nend")[4]
+    assert {s.split(":")[0] for s in secret_scan.scan(f"{b64(der)}AAAA {KEY}00 {b64(ssh)}AAAA")[4].split(",")} == {"hex"}
+
+
+@pytest.mark.parametrize("header", ['{"alg":"HS256"}', '{ "alg": "HS256" }', '{\n  "alg": "HS256"\n}', ' {"alg":"HS256"}', '{\t"typ":"é","alg":"none"}'])
+@pytest.mark.parametrize("before", ["", "token_", "\\n", "eyJ", "a.b.", "eyJhbGciOiJIUzI1NiJ9.e30.", "x/"])
+def test_tokens_are_found_however_their_header_is_spaced(header, before):
+    jwt = f"{b64(header.encode())}.{b64(b'{ }')}.{b64(b's' * 32)}"
+    text = f"{before}{jwt} end."
+    found = [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in secret_scan.scan(text)[4].split(",") if s) if k == "jwt"]
+    assert found == ([jwt] if "e30." not in before else ["eyJhbGciOiJIUzI1NiJ9.e30." + jwt.split(".")[0]])
+    assert "jwt" not in secret_scan.scan(f"{before[:5]}{b64(header.replace('alg', 'al').encode())}.e30.x")[4]
+
+
+def test_long_candidates_take_linear_time():
+    for text in ("MIIEowIB" * 60_000, "3082" * 100_000, "eyJh" * 50_000 + ".e30.", " " * 300_000, "\\" * 300_000, "b3BlbnNzaC1rZXktdjEA" * 20_000, "LS0tLS1CRUdJTi" * 30_000):
+        at = time.perf_counter()
+        assert "der" not in secret_scan.scan(text)[4] and time.perf_counter() - at < 20
+
+
 def plain_spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
