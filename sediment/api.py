@@ -67,10 +67,10 @@ class Engine:
         return merge.counts(merged)
 
     def find_duplicates(self, threshold: float = dedupe.THRESHOLD) -> DataFrame:
-        """(id, duplicate_of, score) as ingestion in order of identifier would flag them."""
+        """(id, duplicate_of, score) as ingestion in order of identifier would flag them; without an owner column all are public."""
         from .io import written
 
-        sketched = written(dedupe.sketches(self.sources), "sketches")
+        sketched = written(dedupe.sketches(self.sources, owner_col="owner" if "owner" in self.sources.columns else None), "sketches")
         return dedupe.resolve(written(dedupe.scored_pairs(sketched, threshold), "pairs"), lambda df: written(df, "rounds"))
 
     def stats(self) -> DataFrame:

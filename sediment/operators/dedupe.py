@@ -12,21 +12,28 @@ THRESHOLD = 0.60
 SKETCH = 128
 
 
-def sketches(df: DataFrame, id_col: str = "id", text_col: str = "raw_text", k: int = 8, size: int = SKETCH) -> DataFrame:
-    """(id, sketch, n): the smallest hashes of each text's shingles and the number of them all."""
-    words = df.select(F.col(id_col).alias("id"), F.split(X.normalise(F.coalesce(F.col(text_col), F.lit(""))), " ").alias("w"))
-    hashed = words.select("id", X.shingles(F.col("w"), k).alias("h"))
-    return hashed.select("id", X.bottom_k(F.col("h"), size).alias("sketch"), F.size("h").alias("n"))
+def sketches(df: DataFrame, id_col: str = "id", text_col: str = "raw_text", k: int = 8, size: int = SKETCH, owner_col: str | None = None) -> DataFrame:
+    """(id, sketch, n) and, if asked for, owner: the smallest hashes of each text's shingles and the number of them all."""
+    keys = ["id", "owner"] if owner_col else ["id"]
+    owner = [F.col(owner_col).alias("owner")] if owner_col else []
+    words = df.select(F.col(id_col).alias("id"), *owner, F.split(X.normalise(F.coalesce(F.col(text_col), F.lit(""))), " ").alias("w"))
+    hashed = words.select(*keys, X.shingles(F.col("w"), k).alias("h"))
+    return hashed.select(*keys, X.bottom_k(F.col("h"), size).alias("sketch"), F.size("h").alias("n"))
 
 
 def scored_pairs(sketched: DataFrame, threshold: float = THRESHOLD, size: int = SKETCH) -> DataFrame:
     """(a, b, jaccard, score) with a < b: pairs that share a sketch hash, and whose containment reaches the threshold.
 
     Pairs with a positive score share a hash within the window, so meeting on hashes loses none.
+    With owners, ``b`` meets only what its owner sees: public sources and its own.
     ``sketched`` should be a written table: it is read three times.
     """
-    one = sketched.select("id", F.explode("sketch").alias("h"))
-    met = one.alias("x").join(one.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")))
+    owned = "owner" in sketched.columns
+    one = sketched.select("id", *["owner"] * owned, F.explode("sketch").alias("h"))
+    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id"))
+    if owned:
+        meets &= (F.col("x.owner") == "public") | (F.col("x.owner") == F.col("y.owner"))
+    met = one.alias("x").join(one.alias("y"), meets)
     met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     left = sketched.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = sketched.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))

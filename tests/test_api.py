@@ -36,6 +36,18 @@ def test_duplicates_of_an_engine(spark):
     assert {(r.id, r.duplicate_of) for r in Engine(spark, src, none).find_duplicates().collect()} == {(2, 1), (3, 1)}
 
 
+def test_duplicates_are_sought_among_what_the_owner_sees(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    owners = ["ann", "public", "bob", "ann", "public", "bob", None]
+    src = spark.createDataFrame([(i, o, f"u{i}", f"T{i}", text, None, None) for i, o in enumerate(owners, 1)], SOURCES)
+    found = {(r.id, r.duplicate_of) for r in Engine(spark, src, src).find_duplicates().collect()}
+    # 2 is public and sees no private source; 4 sees 1, its owner's, and 2: the smaller of equals.
+    assert found == {(3, 2), (4, 1), (5, 2), (6, 2), (7, 2)}
+    private = src.where("id in (1, 3)")
+    assert Engine(spark, private, private).find_duplicates().count() == 0
+    assert {(r.id, r.duplicate_of) for r in Engine(spark, src.drop("owner"), src).find_duplicates().collect()} == {(i, 1) for i in range(2, 8)}
+
+
 def test_a_stream_of_sources(spark, tmp_path):
     src, none = corpus(spark, [(1, "First text."), (2, "Second text.")])
     src.write.parquet(str(tmp_path / "in"))
