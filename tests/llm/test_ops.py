@@ -462,6 +462,14 @@ def test_what_is_left_out_ends_with_its_element(page, text):
     assert warc.plain_text(page) == text
 
 
+@pytest.mark.parametrize("before", ["", " " * 5000, "<!-- " + "license " * 1000 + "-->", "<!-- <html lang='fr'> -->", "<script>'<html lang=fr>'</script>", "<html-x lang=fr>", "<html>"])
+def test_language_is_found_wherever_the_tag_is(before):
+    meta, _ = warc.derive(warc.response("u", before + '<html class="x" lang="EN-gb"><p>a'))
+    assert json.loads(warc.parse(meta)[1])["lang"] == "en-gb"
+    meta, _ = warc.derive(warc.response("u", before + "<p>a<!-- <html lang=de>"))
+    assert json.loads(warc.parse(meta)[1])["lang"] is None
+
+
 # ------------------------------------------------------------------ urls
 
 
