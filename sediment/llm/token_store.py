@@ -6,7 +6,8 @@ Spark's committer makes writing safe and any store that Spark reads can hold it:
 ``part, segment, before`` (ids of the part before it), ``n_docs, n_nulls, first_doc``, ``ids`` (all ids, little-endian,
 16 bits if the vocabulary allows, else 32), ``ends`` (where documents end) and ``docs`` (their
 identifiers less the first), both Elias-Fano coded: log2(u / n) + 2 bits an entry, no 64-bit table.
-The i-th entry is found through select samples without decoding the others.
+The i-th entry is found through select samples without decoding the others: ``read_store`` takes
+each boundary from there, and ``lookup`` finds single documents by bisection and their offsets.
 
 Defined cases: null identifiers come first, as nulls; equal identifiers are ordered by their
 text's CRC; a null or empty text is the end id alone; a text of any length is in one segment; an
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,14 @@ class EliasFano:
                 return ((place - i) << self.low_bits) | self._low(i)
             left, byte, skip = left - len(ones), byte + 64, 0
 
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where the i-th of the stretches that end at the values starts and ends."""
+        return self.select(i - 1) if i else 0, self.select(i)
+
+    def first_at_least(self, value: int) -> int:
+        """The place of the first entry that is not below the value, by bisection."""
+        return bisect_left(range(self.n), value, key=self.select)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
         values = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
@@ -151,7 +161,8 @@ def _documents(offsets: dict[int, int], carry_ids: bool) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.to_pylist():
-                ends = EliasFano(s["ends"]).all().astype(np.int64)
+                coded = EliasFano(s["ends"])
+                ends = np.array([coded.select(i) for i in range(coded.n)], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = np.frombuffer(s["ids"], f"<u{s['width']}").astype("<u4").tobytes()
                 docs = [None] * s["n_nulls"] + (EliasFano(s["docs"]).all().astype(np.int64) + s["first_doc"]).tolist()
@@ -168,3 +179,34 @@ def read_store(spark: SparkSession, path: str, *, carry_ids: bool = False) -> Da
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
     out = spark.read.parquet(path).mapInArrow(_documents(part_offsets(spark, path), carry_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     return out if carry_ids else out.drop("ids")
+
+
+def _found(offsets: dict[int, int], wanted: list[int | None], carry_ids: bool) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.to_pylist():
+                ends, docs, rows = EliasFano(s["ends"]), EliasFano(s["docs"]), []
+                for doc in wanted:
+                    if doc is None:
+                        places = range(s["n_nulls"])
+                    elif docs.n and s["first_doc"] <= doc <= s["first_doc"] + docs.universe:
+                        first, behind = (docs.first_at_least(doc - s["first_doc"] + k) for k in (0, 1))
+                        places = range(s["n_nulls"] + first, s["n_nulls"] + behind)
+                    else:
+                        continue
+                    for a, b in map(ends.bounds, places):
+                        w = s["width"]
+                        ids = np.frombuffer(s["ids"], f"<u{w}", b - a, a * w).astype("<u4").tobytes() if carry_ids else None
+                        rows.append((doc, a + offsets[s["part"]] + s["before"], b - a, ids))
+                if rows:
+                    columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "start", "n_tokens", "ids"])
+
+    return run
+
+
+def lookup(spark: SparkSession, path: str, docs: Iterable[int | None], *, carry_ids: bool = False) -> DataFrame:
+    """One row for each document of these identifiers: doc_id, start, n_tokens and, if asked for, ids; no other is decoded."""
+    segments = spark.read.parquet(path).drop(*[] if carry_ids else ["ids"])
+    out = segments.mapInArrow(_found(part_offsets(spark, path), list(dict.fromkeys(docs)), carry_ids), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return out if carry_ids else out.drop("ids")

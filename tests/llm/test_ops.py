@@ -311,6 +311,24 @@ def test_store_of_hard_rows(spark, hard, empty, hard_rows, tmp_path):
     assert token_store.read_store(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_documents_are_looked_up_by_select(spark, tmp_path, monkeypatch):
+    rows = [(i // 2 - 40, f"text number {i} " * (i % 50)) for i in range(300)] + [(None, None), (None, "x y"), (10**12, "far")]
+    path = str(tmp_path / "store")
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, BYTE, segment_ids=700)
+    every = token_store.read_store(spark, path, carry_ids=True).collect()
+    wanted = [None, -40, -1, 0, 7, 7, 109, 110, -41, 10**12, 10**13]
+    held = key((r.doc_id, r.start, r.n_tokens, r.ids) for r in every if r.doc_id in wanted)
+    assert key(map(tuple, token_store.lookup(spark, path, wanted, carry_ids=True).collect())) == held and len(held) == 2 + 2 * 5 + 1
+    assert token_store.lookup(spark, path, [7]).columns == ["doc_id", "start", "n_tokens"] and token_store.lookup(spark, path, []).count() == 0
+    # The reader takes every boundary from select.
+    select, calls = token_store.EliasFano.select, []
+    monkeypatch.setattr(token_store.EliasFano, "select", lambda self, i: calls.append(i) or select(self, i))
+    batches = spark.read.parquet(path).toArrow().to_batches()
+    parts = token_store._documents(token_store.part_offsets(spark, path), True)(iter(batches))
+    read = [r for b in parts for r in b.to_pylist()]
+    assert key(tuple(r.values()) for r in read) == key(map(tuple, every)) and len(calls) == len(rows)
+
+
 # ------------------------------------------------------------------ n-gram join
 
 
