@@ -54,7 +54,12 @@ def query_terms(spark, d):
     return S.table(spark, d, "benchmark").select("item_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
 
 
+def df_all_terms(spark, d):
+    return retrieval.doc_freq(retrieval.postings(_seen(spark, d)))
+
+
 def df_terms(spark, d):
+    """The report of the 50 most frequent terms; ``df_all_terms`` has every one."""
     freq = retrieval.doc_freq(retrieval.postings(_seen(spark, d)))
     return freq.orderBy(F.desc("df"), "term").limit(50)
 

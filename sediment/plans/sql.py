@@ -109,6 +109,7 @@ ORACLES = {
     "query_terms": f"""WITH t AS (SELECT item_id, list_filter({_TOK.format('text')}, lambda t: length(t) >= 3 AND NOT list_contains({_LOW}, t)) AS l FROM benchmark),
       f AS (SELECT item_id, term, min(i) AS i FROM (SELECT item_id, unnest(l) AS term, unnest(range(len(l))) AS i FROM t) GROUP BY ALL)
       SELECT t.item_id, coalesce(string_agg(term, ' ' ORDER BY i), '') AS terms FROM t LEFT JOIN f USING (item_id) GROUP BY t.item_id""",
+    "df_all_terms": f"WITH {POSTS} SELECT term, count(*) AS df FROM posts GROUP BY term",
     "df_terms": f"WITH {POSTS} SELECT term, count(*) AS df FROM posts GROUP BY term ORDER BY df DESC, term LIMIT 50",
     "analyse_terms": f"WITH {KEPT} SELECT pos, term, df, total, kept FROM analysed",
     "fulltext_or_match": f"WITH {SEEN} SELECT chunk_id, source_id FROM seen WHERE list_has_any({_TOK.format('content')}, {_LIST})",

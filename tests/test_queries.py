@@ -44,3 +44,9 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_query_has_sql_but_the_chunkers():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"chunk_segments", "chunk_prose"}
+
+
+def test_document_frequency_has_every_term(spark):
+    rows = [tuple(r) for r in catalog.queries()["df_all_terms"](spark, FOLDER).select("term", "df").collect()]
+    top = [tuple(r) for r in catalog.queries()["df_terms"](spark, FOLDER).select("term", "df").collect()]
+    assert len(rows) > len(top) == 50 and sorted(rows, key=lambda r: (-r[1], r[0]))[:50] == top
