@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,10 +85,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, *, partition_by: str | None = None, path: str | None = None, **options: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it cuts the lineage and outlives any executor."""
+#: Rows of a table of short rows that one file should hold at least.
+FILE_ROWS = 200_000
+
+
+def written(df: DataFrame, name: str, *, partition_by: str | None = None, path: str | None = None, rows: int | None = None, **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder: it cuts the lineage and outlives any executor.
+
+    ``rows`` is a bound on the number of its rows, if known and the rows are short: then there are
+    no more files, and tasks that write them, than it needs.
+    """
     spark = df.sparkSession
     path = path or scratch(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     writer = df.write.option("compression", "zstd").options(**options)
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -111,6 +123,33 @@ def with_room(df: DataFrame, used: list[str], results: list[str]) -> DataFrame:
     return df.select(*[named(c) for c in df.columns if c in used or not (c.startswith("__") or c.lower() in taken)])
 
 
+#: What an Arrow batch on its way to Python may hold, so that neither side ever has many long texts at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+
+
+def _returned(func: Callable) -> Callable:
+    """``func``, which at its end gives the memory that it no longer uses back: workers are kept for other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from func(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
+def in_arrow(df: DataFrame, func: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes: the session's limits are lowered to the ones here, never raised."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df.mapInArrow(_returned(func), schema)
+
+
 def map_beside(df: DataFrame, text: str, carried: list[str], func: Callable, added: list[T.StructField]) -> DataFrame:
     """``df``'s ``carried`` columns and those that ``func`` adds to Arrow batches of (text, row).
 
@@ -119,7 +158,7 @@ def map_beside(df: DataFrame, text: str, carried: list[str], func: Callable, add
     """
     row = F.struct(F.lit(0).alias("__"), *[named(c) for c in carried]).alias("__row")
     shaped = df.select(named(text).alias("__text"), row)
-    out = shaped.mapInArrow(func, T.StructType([shaped.schema["__row"], *added]))
+    out = in_arrow(shaped, func, T.StructType([shaped.schema["__row"], *added]))
     return out.select(*[F.col("__row").getField(c).alias(c) for c in carried], *[f.name for f in added])
 
 

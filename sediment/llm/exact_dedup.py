@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop_written, map_beside, named, with_room, written
+from .common import drop_written, in_arrow, map_beside, named, with_room, written
 
 MEMTABLE = 100_000
 SALT_ROWS = 500
@@ -144,7 +144,7 @@ class DigestIndex:
         """Flushes the documents' digests as runs of level 0."""
         schema = "run int, digest binary, id bigint, n bigint, filter binary"
         rows = df.select(F.col(text_col), F.col(id_col).cast("long"))
-        self.level0.append(written(rows.mapInArrow(_runs(self.normal, self.digest, self.largest, self.memtable), schema), "runs"))
+        self.level0.append(written(in_arrow(rows, _runs(self.normal, self.digest, self.largest, self.memtable), schema), "runs"))
 
     def compact(self) -> DataFrame:
         """Merges the runs of both levels into level 1: (digest, keep_id, group_size), sorted by digest."""
@@ -178,7 +178,7 @@ class DigestIndex:
 
         parts = max(1, min(64, self.filter_bytes * 4 // max(1, n * BITS_PER_KEY // 8)))
         total = Bloom(n)
-        for row in repeated.select("digest").coalesce(min(parts, 8)).mapInArrow(bits, "bits binary").toLocalIterator():
+        for row in in_arrow(repeated.select("digest").coalesce(min(parts, 8)), bits, "bits binary").toLocalIterator():
             total.bits |= np.frombuffer(row[0], np.uint8)
         return self.spark.sparkContext.broadcast(total.bits.tobytes()), n
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop_written, join_spread, map_beside, with_room, written
+from .common import drop_written, in_arrow, join_spread, map_beside, with_room, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -50,8 +50,8 @@ DEPTH = 3
 LEAF = 48
 COORDINATES = 128
 BLOCK = 512
-BLOCK_SHINGLES = 1 << 20
-SLICE_BYTES = 2 << 20
+BLOCK_SHINGLES = 1 << 19
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -71,13 +71,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if len(_powers.get("p", ())) < n:
-        for key, base in (("p", _P), ("i", pow(_P, -1, 1 << 64))):
-            a = np.full(n, base, _U)
-            a[0] = 1
-            _powers[key] = np.cumprod(a)
-    return _powers["p"][:n], _powers["i"][:n]
+    """Powers of an odd number and of its inverse modulo 2**64; those of a slice are remembered."""
+    if len(_powers.get("p", ())) >= n:
+        return _powers["p"][:n], _powers["i"][:n]
+    made = {}
+    for key, base in (("p", _P), ("i", pow(_P, -1, 1 << 64))):
+        a = np.full(max(n, SLICE_BYTES), base, _U)
+        a[0] = 1
+        made[key] = np.cumprod(a)
+    if n <= SLICE_BYTES:
+        _powers.update(made)
+    return made["p"][:n], made["i"][:n]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +102,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix((sums[last + 1] - sums[first]) * inverse[first]), np.searchsorted(first, starts)
 
 
+def _stretches(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in stretches of about a slice, which end at white space: no word is cut."""
+    at = 0
+    while at < len(data):
+        end = at + SLICE_BYTES
+        while end < len(data) and not _SPACE[part := data[end : end + SLICE_BYTES]].any():
+            end += SLICE_BYTES
+        if end < len(data):
+            end += int(_SPACE[part].argmax())
+        yield data[at:end]
+        at = end
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingles, in order; a null has none."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -107,7 +124,13 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     for a, b in zip(cuts, cuts[1:], strict=False):
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset + a : texts.offset + b + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] if b > a else np.zeros(0, np.uint8)
-        words, at = word_hashes(data, bounds - bounds[0]) if len(data) else (np.zeros(0, _U), np.zeros(b - a + 1, np.int64))
+        if not len(data):
+            words, at = np.zeros(0, _U), np.zeros(b - a + 1, np.int64)
+        elif b - a == 1 and len(data) > SLICE_BYTES:
+            words = np.concatenate([word_hashes(part, np.zeros(1, np.int64))[0] for part in _stretches(data)])
+            at = np.array([0, len(words)])
+        else:
+            words, at = word_hashes(data, bounds - bounds[0])
         windows = np.zeros(max(0, len(words) - SHINGLE + 1), _U)
         for k in range(SHINGLE):
             windows += words[k : len(words) - SHINGLE + 1 + k] * _Q[k]
@@ -167,20 +190,17 @@ def _spread(runs: int) -> callable:
     return run
 
 
-class _Forest:
-    """Union of positions; the root is the smallest."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
+def local_roots(linked: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+    """Lowers the labels of rows (``first``) and columns (``second``) to the smallest that links reach; both stay as they are where none does."""
+    if not linked.any():
+        return
+    most = max(int(first.max()), int(second.max())) + 1
+    while True:
+        down = np.minimum(second, np.where(linked, first[:, None], most).min(axis=0))
+        up = np.minimum(first, np.where(linked, down[None, :], most).min(axis=1))
+        if (down == second).all() and (up == first).all():
+            return
+        first[:], second[:] = up, down
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -206,86 +226,121 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+class _Sides:
+    """A block pair's rows: those of block ``bi`` and those of ``bj``, which are the same where it is a block with itself."""
+
+    def __init__(self, group: pa.Table):
+        ids = group.column("s").to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        self.ids = [ids[i] for i in order]
+        order, block = np.array(order, np.int64), group.column("block").to_numpy()
+        self.same = group.column("bi")[0].as_py() == group.column("bj")[0].as_py()
+        mine = block[order] == group.column("bi")[0].as_py()
+        #: Places in ``ids`` of each side's rows, and the rows themselves.
+        self.places = (np.flatnonzero(mine), np.flatnonzero(mine if self.same else ~mine))
+        self.rows = tuple(order[p] for p in self.places)
+
+    def roots(self, linked: np.ndarray) -> np.ndarray:
+        """For each place, the first place that it is joined to."""
+        first, second = (p.copy() for p in self.places)
+        local_roots(linked | linked.T if self.same else linked, first, second)
+        out = np.arange(len(self.ids))
+        out[self.places[0]], out[self.places[1]] = first, second
+        return out
+
+
 def _bucket_links(least: int) -> callable:
-    """Sorted (leaf, bi, bj, set, sketch) to links between sets whose sketches agree at ``least`` places."""
+    """Sorted (leaf, bi, bj, block, set, sketch) to links between sets whose sketches agree at ``least`` places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[bytes] = []
-        b: list[bytes] = []
+        u: list[bytes] = []
+        v: list[bytes] = []
         for group in _groups(batches, ["leaf", "bi", "bj"]):
-            sets = group.column("s").to_pylist()
-            order = sorted(range(len(sets)), key=sets.__getitem__)
-            sets = [sets[i] for i in order]
-            m = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)[order]
-            forest = _Forest(len(sets))
-            for i in range(len(sets) - 1):
-                for j in (np.flatnonzero((m[i + 1 :] == m[i]).sum(axis=1) >= least) + i + 1).tolist():
-                    forest.join(i, j)
-            for i in range(len(sets)):
-                if (r := forest.root(i)) != i and sets[i] != sets[r]:
-                    a.append(sets[i])
-                    b.append(sets[r])
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["u", "v"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["u", "v"])
+            sides = _Sides(group)
+            sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            a, b = (sketches[r] for r in sides.rows)
+            linked = np.zeros((len(a), len(b)), bool)
+            for i in range(len(a)):
+                j = i + 1 if sides.same else 0
+                linked[i, j:] = (b[j:] == a[i]).sum(axis=1) >= least
+            for i, r in enumerate(sides.roots(linked).tolist()):
+                if sides.ids[i] != sides.ids[r]:
+                    u.append(sides.ids[i])
+                    v.append(sides.ids[r])
+            if len(u) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+                u, v = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The matrix of intersection sizes: rare shingles by their few pairs, common ones by products of 0/1 blocks."""
-    n = len(sets)
-    out = np.zeros((n, n), np.float32)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    values = np.concatenate(sets) if n else np.zeros(0, _U)
+def _by_value(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of the sets in order, and the number of the set that each is from."""
+    values = np.concatenate(sets) if sets else np.zeros(0, _U)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(values)))
-    for d in range(2, 9):
-        rows = owner[first[counts == d][:, None] + np.arange(d)]
-        for i in range(d):
-            for j in range(i + 1, d):
-                np.add.at(out, (rows[:, i], rows[:, j]), 1)  # owners ascend within a shingle
-    common = np.flatnonzero(counts > 8)
-    upper = np.zeros((n, n), np.float32)
-    for at in range(0, len(common), 1024):
-        part = common[at : at + 1024]
-        dense = np.zeros((n, len(part)), np.float32)
-        column = np.repeat(np.arange(len(part)), counts[part])
-        index = np.repeat(first[part] - (np.cumsum(counts[part]) - counts[part]), counts[part]) + np.arange(counts[part].sum())
-        dense[owner[index], column] = 1
-        upper += dense @ dense.T
-    return np.triu(out + upper, 1)
+    return values[order], owner[order]
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The whole numbers of [start, start + count), one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+COLUMNS, FEW = 512, 16
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The matrix of the intersection sizes of the sets of ``a`` with those of ``b``.
+
+    A shingle that few pairs share adds one to each of them; the others are columns of two 0/1
+    matrices, ``COLUMNS`` at a time, whose product adds them to all pairs at once.
+    """
+    out = np.zeros(len(a) * len(b), np.int64)
+    (va, oa), (vb, ob) = _by_value(a), _by_value(b)
+    shared = np.intersect1d(va, vb)
+    fa, fb = np.searchsorted(va, shared), np.searchsorted(vb, shared)
+    ca, cb = np.searchsorted(va, shared, "right") - fa, np.searchsorted(vb, shared, "right") - fb
+    few = np.flatnonzero(ca * cb <= FEW)
+    for at in range(0, len(few), 1 << 15):
+        k = few[at : at + (1 << 15)]
+        times = ca[k] * cb[k]
+        k, turn = np.repeat(k, times), _spans(np.zeros(len(k), np.int64), times)
+        pair = oa[fa[k] + turn // cb[k]].astype(np.int64) * len(b) + ob[fb[k] + turn % cb[k]]
+        out += np.bincount(pair, minlength=len(out))
+    out = out.reshape(len(a), len(b))
+    many = np.flatnonzero(ca * cb > FEW)
+    for at in range(0, len(many), COLUMNS):
+        k = many[at : at + COLUMNS]
+        sides = []
+        for n, owner, first, count in ((len(a), oa, fa[k], ca[k]), (len(b), ob, fb[k], cb[k])):
+            ones = np.zeros((n, len(k)), np.float32)
+            ones[owner[_spans(first, count)], np.repeat(np.arange(len(k)), count)] = 1
+            sides.append(ones)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
 
 
 def _verify(threshold: Fraction) -> callable:
     """Sorted (comp, bi, bj, block, set, copies, text) to each set's exact links here and its local root."""
+    p, q = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["comp", "bi", "bj"]):
-            ids = group.column("s").to_pylist()
-            texts = group.column("text").combine_chunks()
-            texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-            sets = list(shingle_sets(texts))
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-            copies = np.array(group.column("copies").to_pylist(), np.int64)[order]
-            block = np.array(group.column("block").to_pylist(), np.int64)[order]
-            size = np.array([len(s) for s in sets], np.int64)
-            common = overlaps(sets).astype(np.int64)
-            p, q = threshold.numerator, threshold.denominator
-            linked = np.triu(common * (p + q) >= p * (size[:, None] + size[None, :]), 1)
-            if group.column("bi")[0].as_py() != group.column("bj")[0].as_py():
-                linked &= block[:, None] != block[None, :]  # pairs within a block are counted by its own task
-            links = linked @ copies + copies @ linked
-            forest = _Forest(len(ids))
-            for i in range(len(ids) - 1):
-                for j in np.flatnonzero(linked[i]).tolist():
-                    forest.join(i, j)
-            roots = [ids[forest.root(i)] for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], ["s", "links", "root"])
+            sides = _Sides(group)
+            sets = [s for chunk in group.column("text").chunks for s in shingle_sets(chunk)]
+            a, b = ([sets[i] for i in r.tolist()] for r in sides.rows)
+            copies = group.column("copies").to_numpy()
+            na, nb = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+            linked = overlaps(a, b) * (p + q) >= p * (na[:, None] + nb[None, :])
+            if sides.same:
+                linked = np.triu(linked, 1)
+            links = np.zeros(len(sets), np.int64)
+            links[sides.places[0]] += linked @ copies[sides.rows[1]]
+            links[sides.places[1]] += copies[sides.rows[0]] @ linked
+            roots = [sides.ids[r] for r in sides.roots(linked).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sides.ids, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], ["s", "links", "root"])
 
     return run
 
@@ -301,21 +356,26 @@ def components(links: DataFrame) -> DataFrame:
     """(s, root) for the ends of ``links`` (u, v): the smallest of each connected component.
 
     Labels fall to the smallest among neighbours, then to their label's label, until none falls.
+    An end of many links, and a label of many sets, are salted where they are joined.
     """
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     both = written(both.distinct(), "links")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("s"), F.least("u", "m").alias("root")), "labels")
+    n = both.count()
+    degrees = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    labels = written(degrees.select(F.col("u").alias("s"), F.least("u", "m").alias("root"), "n"), "labels", rows=n)
     while True:
-        near = both.join(labels, F.col("v") == F.col("s")).groupBy("u").agg(F.min("root").alias("near"))
-        step = labels.join(near, F.col("s") == F.col("u")).select("s", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
-        jump = labels.select(F.col("s").alias("__s"), F.col("root").alias("__r"))
-        step = step.join(jump, F.col("mid") == F.col("__s"), "left")
-        new = written(step.select("s", F.least("mid", F.coalesce("__r", "mid")).alias("root"), "was"), "labels")
+        ends = labels.select(F.col("s").alias("__s"), F.col("root").alias("__root"), F.col("n").alias("__n"))
+        near = join_spread(both, "v", ends, "__s", "__n", F.col("u"), n).groupBy(F.col("u").alias("__u")).agg(F.min("__root").alias("near"))
+        step = labels.join(near, F.col("s") == F.col("__u")).select("s", "n", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
+        shared = labels.groupBy(F.col("root").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+        jump = labels.select("s", F.col("root").alias("__r")).join(shared, F.col("s") == F.col("__s"), "left").select(F.col("s").alias("__s"), "__r", F.coalesce("__n", F.lit(0)).alias("__n"))
+        step = join_spread(step, "mid", jump, "__s", "__n", F.col("s"), n, hot=shared, how="left")
+        new = written(step.select("s", F.least("mid", F.coalesce("__r", "mid")).alias("root"), "n", "was"), "labels", rows=n)
         changed = new.where(F.col("root") != F.col("was")).limit(1).count()
         drop_written(labels)
-        labels = new.select("s", "root")
+        labels = new.select("s", "root", "n")
         if not changed:
-            return labels
+            return labels.select("s", "root")
 
 
 def _leaves(spread: DataFrame) -> DataFrame:
@@ -352,28 +412,28 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         F.count(F.lit(1)).alias("copies"), F.min(id_).alias("first"), F.first("__size").alias("size"), F.first("__sign").alias("sign"))
     sets = written(sets, "distinct")
 
-    spread = sets.select("s", "sign").mapInArrow(_spread(runs), "s binary, " + ", ".join(f"k{k} bigint" for k in range(DEPTH)))
+    spread = in_arrow(sets.select("s", "sign"), _spread(runs), "s binary, " + ", ".join(f"k{k} bigint" for k in range(DEPTH)))
     leaves = _leaves(written(spread, "paths"))
     # The sketch: the low byte of each coordinate's minimum.
     sketch = F.unhex(F.regexp_replace(F.hex("sign"), "(..)......", "$1"))
     buckets = leaves.join(sets.select(F.col("s").alias("__s"), sketch.alias("sketch")), F.col("s") == F.col("__s")).drop("__s")
     buckets = _block_pairs(buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "blocks", "s")
-    buckets = buckets.select("leaf", "bi", "bj", "s", "sketch").repartition("leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj")
-    met = written(buckets.mapInArrow(_bucket_links(least), "u binary, v binary"), "met")
+    buckets = buckets.select("leaf", "bi", "bj", "block", "s", "sketch").repartition("leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj")
+    met = written(in_arrow(buckets, _bucket_links(least), "u binary, v binary"), "met")
     drop_written(leaves)
     comps = components(met).select("s", F.col("root").alias("comp"))
 
     # The text of a set is that of its first document.
     members = comps.join(sets.select("s", "copies", "first", "size"), "s")
     weight = members.groupBy("comp").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("c"))
-    weight = weight.select(F.col("comp").alias("__c"), F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("c") / (2 * BLOCK))).cast("int").alias("blocks"))
+    weight = weight.select(F.col("comp").alias("__c"), F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("c") / BLOCK)).cast("int").alias("blocks"))
     members = members.join(weight, F.col("comp") == F.col("__c")).drop("__c")
     texts = known.select(F.col("__set"), id_.alias("__id"), F.col(f"`{text_col}`").alias("text"))
     members = members.join(texts, (F.col("s") == F.col("__set")) & F.col("first").eqNullSafe(F.col("__id"))).drop("__set", "__id")
     members = members.dropDuplicates(["s"])
     pairs = _block_pairs(members, "blocks", "s").select("comp", "bi", "bj", "block", "s", "copies", "text")
     pairs = pairs.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    exact = written(pairs.mapInArrow(_verify(limit), "s binary, links bigint, root binary"), "exact")
+    exact = written(in_arrow(pairs, _verify(limit), "s binary, links bigint, root binary"), "exact")
     joined = components(exact.where(F.col("s") != F.col("root")).select(F.col("s").alias("u"), F.col("root").alias("v")))
 
     linked = exact.groupBy("s").agg(F.sum("links").alias("links")).join(joined, "s", "left")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_arrow, written
 from .tokens import encoder
 
 SIZE = 4096
@@ -143,9 +143,9 @@ def pack(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str
     """One row per piece; with ``carry_ids`` its ids are in ``ids``, else that column is left out."""
     options = {"size": size, "n_open": n_open, "min_piece": min_piece, "carry": carry_ids}
     rows = df.select(F.col(id_col).cast("long"), F.col(text_col))
-    packed = written(rows.mapInArrow(_encode_and_pack(tokenizer, end_id, options), SCHEMA), "packed")
+    packed = written(in_arrow(rows, _encode_and_pack(tokenizer, end_id, options), SCHEMA), "packed")
     left = packed.where(F.col("sequence_id").isNull())
     n = left.agg(F.sum("length")).first()[0] or 0
-    merged = left.repartition(max(1, -(-n // merge_ids))).mapInArrow(_merge(options), SCHEMA)
+    merged = in_arrow(left.repartition(max(1, -(-n // merge_ids))), _merge(options), SCHEMA)
     out = packed.where(F.col("sequence_id").isNotNull()).unionByName(merged)
     return out if carry_ids else out.drop("ids")

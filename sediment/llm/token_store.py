@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .tokens import encoder
 
 SEGMENT_IDS = 1 << 20
@@ -143,7 +144,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_
     """Encodes every text and writes the store to ``path``."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.crc32("text"))
-    segments = rows.mapInArrow(_segments(tokenizer, end_id, segment_ids), SCHEMA)
+    segments = in_arrow(rows, _segments(tokenizer, end_id, segment_ids), SCHEMA)
     # Small row groups bound what a reader holds at once.
     segments.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
@@ -177,7 +178,7 @@ def _documents(offsets: dict[int, int], carry_ids: bool) -> callable:
 
 def read_store(spark: SparkSession, path: str, *, carry_ids: bool = False) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
-    out = spark.read.parquet(path).mapInArrow(_documents(part_offsets(spark, path), carry_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    out = in_arrow(spark.read.parquet(path), _documents(part_offsets(spark, path), carry_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     return out if carry_ids else out.drop("ids")
 
 
@@ -208,5 +209,5 @@ def _found(offsets: dict[int, int], wanted: list[int | None], carry_ids: bool) -
 def lookup(spark: SparkSession, path: str, docs: Iterable[int | None], *, carry_ids: bool = False) -> DataFrame:
     """One row for each document of these identifiers: doc_id, start, n_tokens and, if asked for, ids; no other is decoded."""
     segments = spark.read.parquet(path).drop(*[] if carry_ids else ["ids"])
-    out = segments.mapInArrow(_found(part_offsets(spark, path), list(dict.fromkeys(docs)), carry_ids), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    out = in_arrow(segments, _found(part_offsets(spark, path), list(dict.fromkeys(docs)), carry_ids), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
     return out if carry_ids else out.drop("ids")

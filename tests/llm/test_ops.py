@@ -389,11 +389,39 @@ def test_join_of_hard_rows(hard, empty, hard_rows):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
-@given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=1, max_size=25))
+SETS = st.lists(st.sets(st.integers(0, 60), min_size=1), max_size=25)
+
+
+@given(SETS, SETS)
+@settings(max_examples=100, deadline=None)
+def test_overlaps(first, second):
+    got = ngram_join.overlaps(*([np.array(sorted(s), np.uint64) for s in x] for x in (first, second)))
+    assert got.tolist() == [[len(s & t) for t in second] for s in first] and got.shape == (len(first), len(second))
+
+
+@given(st.integers(1, 12), st.sets(st.tuples(st.integers(0, 11), st.integers(0, 11))))
 @settings(max_examples=100, deadline=None)
-def test_overlaps(sets):
-    got = ngram_join.overlaps([np.array(sorted(s), np.uint64) for s in sets])
-    assert all(got[i, j] == len(sets[i] & sets[j]) for i, j in itertools.combinations(range(len(sets)), 2))
+def test_local_roots(n, pairs):
+    linked = np.zeros((n, n), bool)
+    for i, j in pairs:
+        if i < n and j < n:
+            linked[i, j] = linked[j, i] = True
+    first, second = np.arange(n), np.arange(n)
+    ngram_join.local_roots(linked, first, second)
+    want = list(range(n))
+    for _ in range(n):
+        want = [min([want[i], *(want[j] for j in range(n) if linked[i, j])]) for i in range(n)]
+    assert first.tolist() == second.tolist() == want
+
+
+def test_long_text_is_cut_at_white_space():
+    rng = np.random.default_rng(3)
+    words = ["x" * int(n) for n in rng.integers(1, 9, 300_000)] + ["y" * (3 * ngram_join.SLICE_BYTES)] + ["tail"] * 9
+    text = " ".join(words)
+    whole = ngram_join.word_hashes(np.frombuffer(text.encode(), np.uint8), np.zeros(1, np.int64))[0]
+    parts = [ngram_join.word_hashes(p, np.zeros(1, np.int64))[0] for p in ngram_join._stretches(np.frombuffer(text.encode(), np.uint8))]
+    assert len(parts) > 3 and np.concatenate(parts).tolist() == whole.tolist() and len(whole) == len(words)
+    assert len(next(ngram_join.shingle_sets(pa.array([text])))) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
 
 
 # ------------------------------------------------------------------ mixing
