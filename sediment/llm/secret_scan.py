@@ -6,8 +6,9 @@ before they are reported. A run may be broken into lines (also by escaped line e
 may begin anywhere in it, and must end with it or with a line:
 
 * ``jwt``: three base64url parts in a line, the first a JSON object with a text ``alg``, the second JSON;
-* ``pem``: a private-key armour whose body decodes to a key encoding, or has its cipher headers;
-  its line ends may be escaped, as in JSON, and the whole may be in base64 or hexadecimal;
+* ``pem``: a private-key armour whose body decodes to a key encoding, or, behind headers that name a
+  cipher and its first block, to whole blocks of that cipher; its line ends may be escaped, as in
+  JSON, and the whole may be in base64 or hexadecimal;
 * ``der``: a DER sequence whose length is that of the data, in which every nested length closes
   exactly, and whose content is a PKCS#1, PKCS#8, SEC1 or encrypted PKCS#8 private key;
 * ``ssh``: an OpenSSH private key: its magic, then length-prefixed strings that end with the data.
@@ -47,9 +48,14 @@ PART = re.compile(r"[A-Za-z0-9_-]*")
 PART_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 SPACE = re.compile(r"[ \t\r\n]*")
 OBJECT = re.compile(r'\{[ \t\r\n]*"')
+#: What tells where JSON values nest: brackets, and quotes with the escapes before them.
+MARKS = re.compile(r'\\*"|[{}\[\]]')
 ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
 #: What may stand between the characters of a body: white space, line ends as JSON and .env files escape them, the escape of a slash.
 BETWEEN = re.compile(r"\s+|\\+[nrt]|\\+(?=/)")
+LINE_ENDS = re.compile(r"\\+r\\+n|\\+[nr]|\r\n?")
+HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*): ?(.*)")
+CIPHER = re.compile(r"[A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})")
 #: Line ends, as they are or escaped, and the indentation behind; the first character is a set, for which re looks fast.
 _END = r"(?:(?<!\\)\\++[nr\r\n]|[\r\n])"
 BREAK = re.compile(rf"[\\\r\n](?:(?<=[\r\n])|(?<!\\\\)\\*+[nr\r\n])(?:[ \t]*+{_END})*+[ \t]*+")
@@ -63,7 +69,6 @@ HEX_STARTS = re.compile(r"(?=30|6f70656e7373682d6b65792d7631)", re.IGNORECASE)
 ARMOURED = re.compile(r"LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
 HEX_ARMOURED = re.compile(r"2d2d2d2d2d424547494e20", re.IGNORECASE)
 MAGIC = b"openssh-key-v1\0"
-DECODER = json.JSONDecoder()
 
 
 def from_base64(text: str) -> bytes | None:
@@ -75,8 +80,9 @@ def from_base64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of consecutive DER values that fill ``data`` exactly, nested ones checked; else None."""
+def der_items(data: bytes | memoryview, depth: int = 0) -> list[tuple[int, memoryview]] | None:
+    """(tag, content) of consecutive DER values that fill ``data`` exactly, nested ones checked; else None. Contents are views, not copies."""
+    data = memoryview(data)
     items, at = [], 0
     while at < len(data):
         if at + 2 > len(data):
@@ -110,7 +116,7 @@ def der_length(head: bytes) -> int | None:
     return at + length if len(head) > at and head[at] in (0x02, 0x30) else None
 
 
-def is_private_der(data: bytes | None) -> bool:
+def is_private_der(data: bytes | memoryview | None) -> bool:
     """Whether the data is one DER private key, to the last byte."""
     outer = der_items(data) if data else None
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
@@ -167,24 +173,34 @@ def is_jwt(token: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
+def object_at(text: str) -> int | None:
+    """Where the JSON object that ends the text begins: at the bracket that matches its last one, found from the end."""
+    depth, inside = 0, False
+    for m in reversed(list(MARKS.finditer(text))):
+        if m[0][-1] == '"':
+            inside ^= len(m[0]) % 2 == 1
+        elif not inside:
+            depth += 1 if m[0] in "}]" else -1
+            if depth == 0:
+                return m.start()
+    return None
+
+
 def header_at(head: str) -> int | None:
     """Where the JWT header that ends ``head`` begins: the first place from which it is a JSON object with a text ``alg``."""
     found = []
     for a in range(min(4, len(head))):
-        text = (from_base64(head[a:]) or b"").decode("latin-1")
-        for m in OBJECT.finditer(text):
-            i = m.start()
-            while i % 3 and text[i - 1] in " \t\r\n":
-                i -= 1
-            if i % 3:
-                continue
-            try:
-                value, end = DECODER.raw_decode(text, m.start())
-            except (ValueError, RecursionError):
-                continue
-            if isinstance(value.get("alg"), str) and not text[end:].strip(" \t\r\n"):
+        text = (from_base64(head[a:]) or b"").decode("latin-1").rstrip(" \t\r\n")
+        if not text.endswith("}") or (at := object_at(text)) is None or not OBJECT.match(text, at):
+            continue
+        i = at
+        while i % 3 and text[i - 1] in " \t\r\n":
+            i -= 1
+        try:
+            if i % 3 == 0 and isinstance(json.loads(text[at:]).get("alg"), str):
                 found.append(a + i // 3 * 4)
-                break
+        except (ValueError, RecursionError):
+            continue
     return min(found, default=None)
 
 
@@ -213,9 +229,17 @@ def jwt_spans(text: str) -> list[tuple[int, int]]:
 
 
 def is_pem(kind: str, body: str) -> bool:
-    if "ENCRYPTED" in body[:200] and "DEK-Info:" in body[:400]:
-        return True
-    data = from_base64(BETWEEN.sub("", body))
+    headers, at = {}, 0
+    if ":" in body:
+        body = LINE_ENDS.sub("\n", body).strip()
+        while m := HEADER.match(body, at):
+            headers[m[1]] = m[2].strip()
+            at = SPACE.match(body, m.end()).end()
+    data = from_base64(BETWEEN.sub("", body[at:]))
+    if headers:
+        cipher = CIPHER.fullmatch(headers.get("DEK-Info", ""))
+        # The cipher's first block is as long as all others; the smallest key fills two of them.
+        return bool(data and cipher) and headers.get("Proc-Type") == "4,ENCRYPTED" and len(data) >= 24 and len(data) % (len(cipher[1]) // 2) == 0
     return is_private_ssh(data) if kind.startswith("OPENSSH") else is_private_der(data)
 
 
@@ -287,7 +311,7 @@ def coded_keys(run: str, starts: re.Pattern, armoured: re.Pattern, decode: Calla
             continue
         if head[:1] != b"0":
             yield k, 6, end
-        elif is_private_der(decoded(k % chars)[at : at + length]):
+        elif is_private_der(memoryview(decoded(k % chars))[at : at + length]):
             yield k, 5, end
         else:
             continue
