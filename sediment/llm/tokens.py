@@ -24,8 +24,8 @@ OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0               
 #: The letter whose lower case holds a mark, which joins what follows.
 MARKED = "İ"
 ASCII_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-LIMIT = 100_000
-SLICE_BYTES = 1 << 20
+LIMIT = 200_000
+SLICE_BYTES = 2 << 20
 
 
 def byte_letters() -> list[str]:
