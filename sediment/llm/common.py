@@ -207,6 +207,12 @@ def seeded(seed: int | str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all the row's columns that Spark can hash: it deals rows of one key that are not wholly equal."""
+    plain = [named(f.name) for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and not f.name.startswith("__")]
+    return F.xxhash64(F.lit(0), *plain)
+
+
 def ordered_index(df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
     """Adds ``out``: the row's position from 0 within ``keys``, in the order of ``bucket``, then ``order``.
 

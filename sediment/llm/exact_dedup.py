@@ -2,18 +2,19 @@
 
 Method. Texts are normalised to bytes and hashed. Each task collects digests in a memtable, a map
 from digest to the best identifier so far and a count, and flushes it as a run: entries sorted by
-digest, with a Bloom filter of them. Runs are written to the shared folder (level 0). Compaction
-deals the entries of all runs by digest, merges them into sorted runs of level 1, and keeps for
-each digest the best identifier (the largest or the smallest) and the summed count; the files
-carry Parquet's Bloom filters for later probes by digest. Documents then probe: a filter over the
-digests that occur more than once tells nearly all unique texts apart without their texts leaving
-the task. Hits meet their digest's entry, and each is compared byte by byte with the text that
-stays; hits whose bytes differ (a collision) are grouped anew by their whole bytes.
-
-A copy group of any size is one entry per memtable, so no task sees a group as a whole; for the
-byte comparison the kept text goes to as many salts as the group has ``SALT_ROWS`` rows. The probe
-filter is sent to the executors only if its size, ten bits per repeated digest, is at most
-``filter_bytes``; beyond that every row takes the way of a hit, which gives the same result.
+digest. Runs are written to the shared folder (level 0). Compaction deals the entries of all runs
+to ranges of digests of about ``RUN_ROWS`` entries and merges each range in one pass over its
+sorted entries: equal digests are neighbours, of which the best identifier (the largest or the
+smallest) and the summed count stay. So each range is one sorted run of level 1, whose filter, a
+Bloom filter of the digests that occur more than once, is flushed with it. Documents then probe:
+a digest's range names its run, whose filter tells nearly all unique texts apart without their
+texts leaving the task. Hits meet their digest's entry, and each is compared byte by byte with the
+text that stays; hits whose bytes differ (a collision) are grouped anew by their whole bytes.
+
+A copy group of any size is one entry per memtable, so no task sees a group as a whole; a digest
+of many rows is salted where rows meet its entry and its kept text. The runs' filters are sent to
+the executors only if they have at most ``filter_bytes`` together, ten bits for each repeated
+digest; beyond that every row takes the way of a hit, which gives the same result.
 
 Defined cases: null counts as the empty text; only A-Z are lowered; among rows with one identifier
 and one text exactly one is kept, and they are interchangeable; null identifiers lose to all
@@ -24,20 +25,23 @@ Identifiers are whole numbers.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop_written, in_arrow, map_beside, named, with_room, written
+from .common import drop_written, in_arrow, join_spread, map_beside, named, with_room, written
 
 MEMTABLE = 100_000
-SALT_ROWS = 500
+RUN_ROWS = 1_000_000
+MOST_RUNS = 1 << 20
 FILTER_BYTES = 32 << 20
 BITS_PER_KEY, HASHES = 10, 4
 
@@ -76,57 +80,125 @@ class Bloom:
         return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
-def _runs(normal: Callable, digest: Callable, largest: bool, memtable: int) -> Callable:
-    """(text, id) batches to runs: entry rows sorted by digest, then the run's filter."""
+def better(a: int | None, b: int | None, largest: bool) -> int | None:
+    """The identifier that stays; null loses to all others."""
+    if a is None or b is None:
+        return b if a is None else a
+    return max(a, b) if largest else min(a, b)
+
+
+def run_of(digest: bytes, runs: int) -> int:
+    """The run of level 1 whose range a digest is in, by its first four bytes."""
+    return int.from_bytes(digest[:4].ljust(4, b"\0"), "big") * runs >> 32
+
+
+RUNS = "run int, digest binary, id bigint, n bigint, filter binary"
+_NAMES = ["run", "digest", "id", "n", "filter"]
 
-    def better(a: int | None, b: int | None) -> int | None:
-        if a is None or b is None:
-            return b if a is None else a
-        return max(a, b) if largest else min(a, b)
 
-    def flush(table: dict, run: int) -> Iterator[pa.RecordBatch]:
+def _entries(run: int, keys: list[bytes], values: list[tuple[int | None, int]]) -> pa.RecordBatch:
+    ids, counts = zip(*values, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([run] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(len(keys), pa.binary())], _NAMES)
+
+
+def _runs(normal: Callable, digest: Callable, largest: bool, memtable: int) -> Callable:
+    """(text, id) batches to runs of level 0: entries sorted by digest."""
+
+    def flush(table: dict, run: int) -> pa.RecordBatch:
         keys = sorted(table)
-        bloom = Bloom(len(keys))
-        bloom.add(keys)
-        n = len(keys)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([run] * n, pa.int32()), pa.array(keys, pa.binary()), pa.array([table[k][0] for k in keys], pa.int64()),
-             pa.array([table[k][1] for k in keys], pa.int64()), pa.nulls(n, pa.binary())], ["run", "digest", "id", "n", "filter"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([run], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([n], pa.int64()), pa.array([bloom.bits.tobytes()], pa.binary())],
-            ["run", "digest", "id", "n", "filter"])
+        return _entries(run, keys, [table[k] for k in keys])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[bytes, list] = {}
+        table: dict[bytes, tuple[int | None, int]] = {}
         number = 0
         for batch in batches:
-            for text, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                d = digest(normal(text))
-                if (entry := table.get(d)) is None:
-                    table[d] = [i, 1]
-                else:
-                    entry[0], entry[1] = better(entry[0], i), entry[1] + 1
+            for text, i in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                d = digest(normal(text.as_py()))
+                entry = table.get(d)
+                table[d] = (i, 1) if entry is None else (better(entry[0], i, largest), entry[1] + 1)
             if len(table) >= memtable:
-                yield from flush(table, number)
+                yield flush(table, number)
                 table, number = {}, number + 1
         if table:
-            yield from flush(table, number)
+            yield flush(table, number)
 
     return run
 
 
-def _probe(normal: Callable, digest: Callable, sent, keys: int) -> Callable:
-    """Adds the digest to (text, row) batches, and for hits alone the normalised bytes."""
+def _merge(largest: bool) -> Callable:
+    """Entries sorted by range and digest to runs of level 1: merged entries, then the run's filter and what it holds."""
+
+    def sealed(run: int, repeated: list[bytes]) -> pa.RecordBatch:
+        bloom = Bloom(len(repeated))
+        bloom.add(repeated)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([run], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([len(repeated)], pa.int64()), pa.array([bloom.bits.tobytes()], pa.binary())], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(keys, np.frombuffer(sent.value, np.uint8)) if sent is not None else None
+        current, last, best, total = None, None, None, 0
+        keys: list[bytes] = []
+        values: list[tuple[int | None, int]] = []
+        repeated: list[bytes] = []
+
+        def close() -> None:
+            if last is not None:
+                keys.append(last)
+                values.append((best, total))
+                if total > 1:
+                    repeated.append(last)
+
         for batch in batches:
-            data = [normal(t) for t in batch.column(0).to_pylist()]
-            digests = [digest(x) for x in data]
-            hit = bloom.has(digests) if bloom else np.ones(len(data), bool)
-            keep = [x if h else None for x, h in zip(data, hit, strict=True)]
+            for r, d, i, n in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if d == last:
+                    best, total = better(best, i, largest), total + n
+                    continue
+                close()
+                if r != current:
+                    if keys:
+                        yield _entries(current, keys, values)
+                        keys, values = [], []
+                    if repeated:
+                        yield sealed(current, repeated)
+                        repeated = []
+                    current = r
+                last, best, total = d, i, n
+            if len(keys) > 10_000:
+                yield _entries(current, keys, values)
+                keys, values = [], []
+        close()
+        if keys:
+            yield _entries(current, keys, values)
+        if repeated:
+            yield sealed(current, repeated)
+
+    return run
+
+
+def _probe(normal: Callable, digest: Callable, sent, runs: int) -> Callable:
+    """Adds the digest to (text, row) batches, a number that no other row has, and for hits alone the normalised bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = {r: Bloom(n, np.frombuffer(bits, np.uint8)) for r, (n, bits) in sent.value.items()} if sent is not None else None
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            digests, keep = [], []
+            for text in batch.column(0):
+                data = normal(text.as_py())
+                digests.append(digest(data))
+                keep.append(data)
+            if filters is not None:
+                by_run: dict[int, list[int]] = {}
+                for k, d in enumerate(digests):
+                    by_run.setdefault(run_of(d, runs), []).append(k)
+                for r, places in by_run.items():
+                    hit = filters[r].has([digests[k] for k in places]) if r in filters else np.zeros(len(places), bool)
+                    for k in np.array(places)[~hit].tolist():
+                        keep[k] = None
+            n = len(digests)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(digests, pa.binary()), pa.array(keep, pa.binary())], ["__row", "__digest", "__bytes"])
+                [batch.column(1), pa.array(digests, pa.binary()), pa.array(range(at, at + n), pa.int64()), pa.array(keep, pa.binary())], ["__row", "__digest", "__at", "__bytes"])
+            at += n
 
     return run
 
@@ -139,77 +211,65 @@ class DigestIndex:
         self.memtable, self.filter_bytes = memtable, filter_bytes
         self.level0: list[DataFrame] = []
         self.level1: DataFrame | None = None
+        self.runs = 1
 
     def insert(self, df: DataFrame, id_col: str, text_col: str) -> None:
         """Flushes the documents' digests as runs of level 0."""
-        schema = "run int, digest binary, id bigint, n bigint, filter binary"
         rows = df.select(F.col(text_col), F.col(id_col).cast("long"))
-        self.level0.append(written(in_arrow(rows, _runs(self.normal, self.digest, self.largest, self.memtable), schema), "runs"))
+        self.level0.append(written(in_arrow(rows, _runs(self.normal, self.digest, self.largest, self.memtable), RUNS), "runs"))
 
     def compact(self) -> DataFrame:
-        """Merges the runs of both levels into level 1: (digest, keep_id, group_size), sorted by digest."""
-        best = F.max if self.largest else F.min
-        entries = None
-        for run in self.level0:
-            part = run.where(F.col("digest").isNotNull()).select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
-            entries = part if entries is None else entries.unionByName(part)
-        if self.level1 is not None:
-            entries = self.level1 if entries is None else entries.unionByName(self.level1)
-        merged = entries.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        self.level1 = written(
-            merged.sortWithinPartitions("digest"), "level1", **{"parquet.bloom.filter.enabled#digest": "true"}
-        )
-        for run in self.level0:
-            drop_written(run)
+        """Merges the runs of both levels into level 1, whose entries are (digest, keep_id, group_size) by digest."""
+        entries = functools.reduce(DataFrame.unionByName, [*self.level0, *([self.level1] if self.level1 is not None else [])])
+        entries = entries.where(F.col("digest").isNotNull())
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs = min(MOST_RUNS, max(tasks, -(-entries.count() // RUN_ROWS)))
+        first = F.conv(F.rpad(F.hex(F.substring("digest", 1, 4)), 8, "0"), 16, 10).cast("long")
+        dealt = entries.withColumn("run", F.shiftright(first * self.runs, 32).cast("int")).select("run", "digest", "id", "n")
+        dealt = dealt.repartition(F.col("run"))
+        old, self.level1 = [*self.level0, self.level1], written(in_arrow(dealt.sortWithinPartitions("run", "digest"), _merge(self.largest), RUNS), "level1")
+        for run in old:
+            if run is not None:
+                drop_written(run)
         self.level0 = []
         return self.level1
 
-    def _filter(self, repeated: DataFrame) -> tuple[object, int]:
-        """The repeated digests' filter as a broadcast variable and their number; none if it would be too large."""
-        n = repeated.count()
-        if n * BITS_PER_KEY > 8 * self.filter_bytes:
-            return None, n
-
-        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bloom = Bloom(n)
-            for batch in batches:
-                bloom.add(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([bloom.bits.tobytes()], pa.binary())], ["bits"])
+    def entries(self) -> DataFrame:
+        """(digest, keep_id, group_size) of level 1."""
+        return self.level1.where(F.col("digest").isNotNull()).select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
 
-        parts = max(1, min(64, self.filter_bytes * 4 // max(1, n * BITS_PER_KEY // 8)))
-        total = Bloom(n)
-        for row in in_arrow(repeated.select("digest").coalesce(min(parts, 8)), bits, "bits binary").toLocalIterator():
-            total.bits |= np.frombuffer(row[0], np.uint8)
-        return self.spark.sparkContext.broadcast(total.bits.tobytes()), n
+    def filters(self) -> object:
+        """The runs' filters as a broadcast variable {run: (digests in it, bits)}; none if they would be too large together."""
+        kept = self.level1.where(F.col("filter").isNotNull()).select("run", "n", "filter")
+        if (kept.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) > self.filter_bytes:
+            return None
+        return self.spark.sparkContext.broadcast({r: (n, bytes(bits)) for r, n, bits in kept.toLocalIterator()})
 
     def resolve(self, df: DataFrame, id_col: str, text_col: str, carry_text: bool = True) -> DataFrame:
         """``df`` with keep_id, group_size, kept and text_sha256 (the digest in hexadecimal)."""
         if self.level1 is None or self.level0:
             self.compact()
-        repeated = self.level1.where(F.col("group_size") > 1)
-        sent, n = self._filter(repeated)
         df = with_room(df, [id_col, text_col], ["keep_id", "group_size", "kept", "text_sha256"])
         carried = [c for c in df.columns if carry_text or c != text_col]
-        added = [T.StructField("__digest", T.BinaryType()), T.StructField("__bytes", T.BinaryType())]
-        probed = map_beside(df, text_col, carried, _probe(self.normal, self.digest, sent, n), added)
-        entries = repeated.select(F.col("digest").alias("__d"), "keep_id", "group_size")
-        probed = probed.join(entries, F.col("__digest") == F.col("__d"), "left").drop("__d")
+        added = [T.StructField("__digest", T.BinaryType()), T.StructField("__at", T.LongType()), T.StructField("__bytes", T.BinaryType())]
+        probed = map_beside(df, text_col, carried, _probe(self.normal, self.digest, self.filters(), self.runs), added)
+        repeated = self.entries().where(F.col("group_size") > 1).withColumnRenamed("digest", "__d")
+        total = self.level1.where(F.col("digest").isNotNull()).agg(F.sum("n")).first()[0] or 0
+        probed = join_spread(probed, "__digest", repeated, "__d", "group_size", F.col("__at"), total, how="left").drop("__d")
         probed = written(probed.withColumn("__hit", F.col("group_size").isNotNull()), "probed")
 
-        unique = probed.where(~F.col("__hit")).drop("__bytes", "__hit")
+        unique = probed.where(~F.col("__hit")).drop("__bytes", "__hit", "__at")
         unique = unique.withColumn("keep_id", F.col(id_col).cast("long")).withColumn("group_size", F.lit(1).cast("long")).withColumn("kept", F.lit(True))
 
         hits = probed.where("__hit")
         own = F.col(id_col).cast("long").eqNullSafe(F.col("keep_id"))
-        one = Window.partitionBy("__digest").orderBy(F.crc32("__bytes"), F.col("__bytes"))
-        first = hits.where(own).withColumn("__first", F.row_number().over(one) == 1)
-        others = hits.where(~own).withColumn("__first", F.lit(False))
-        hits = first.unionByName(others)
-        salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-        kept = first.where("__first").select(F.col("__digest").alias("__kd"), F.col("__bytes").alias("__kb"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("__ks"))
-        salt = F.pmod(F.xxhash64(F.col(id_col).cast("string")), salts).cast("int")
-        checked = hits.withColumn("__salt", salt).join(kept, (F.col("__digest") == F.col("__kd")) & (F.col("__salt") == F.col("__ks")), "left")
-        checked = written(checked.withColumn("__same", F.col("__bytes").eqNullSafe(F.col("__kb"))).drop("__kd", "__kb", "__ks", "__salt"), "checked")
+        # The row that stays: the first by its bytes, where there are several that carry the identifier.
+        first = hits.where(own).groupBy(F.col("__digest").alias("__kd")).agg(
+            F.min(F.struct(F.crc32("__bytes").alias("c"), F.col("__bytes").alias("b"), F.col("__at").alias("at"))).alias("__k"), F.first("group_size").alias("__n"))
+        kept = first.select("__kd", F.col("__k.b").alias("__kb"), F.col("__k.at").alias("__ka"), "__n")
+        checked = join_spread(hits, "__digest", kept, "__kd", "__n", F.col("__at"), total, hot=repeated.select(F.col("__d").alias("__kd"), F.col("group_size").alias("__n")), how="left")
+        checked = checked.withColumn("__same", F.col("__bytes").eqNullSafe(F.col("__kb"))).withColumn("__first", F.col("__at") == F.col("__ka"))
+        checked = written(checked.drop("__kd", "__kb", "__ka", "__n", "__at"), "checked")
 
         # Hits whose bytes differ from the kept text's share its digest by chance: their groups are made anew.
         if checked.where(~F.col("__same")).limit(1).count():

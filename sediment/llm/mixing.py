@@ -8,7 +8,8 @@ as often as the whole part of target / size says, and the fraction that is left
 the documents in seeded order, as many as come nearest to it in size.
 
 The seeded order is never sorted as one: documents fall in buckets by the leading bits of their
-hash, the buckets' sizes find the one in which the fraction ends, and only its rows are sorted.
+hash, about as many as the square root of all rows; the buckets' sizes find the one in which the
+fraction ends, and only its rows are sorted.
 
 Defined cases: a null text counts as empty; null sources come last and are one source; a document
 without words is taken like the others and adds none; a source without words has target 0 and is
@@ -22,13 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import beside_all, seeded, with_room
+from .common import beside_all, root_buckets, seeded, with_room
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = 17
-BUCKET_BITS = 12
 
 
 def source_targets(sized: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -53,16 +53,18 @@ def source_targets(sized: DataFrame, source: str = "source", weights: tuple[int,
     return s.select(source, "source_size", target.alias("target"))
 
 
-def choose(sized: DataFrame, targets: DataFrame, key: Column, source: str = "source", seed: int = SEED) -> DataFrame:
+def choose(sized: DataFrame, targets: DataFrame, key: list[Column], source: str = "source", seed: int = SEED) -> DataFrame:
     """Adds source_size, target and ``copies`` to rows with ``size``.
 
-    ``sized`` must be stable (a written table): it is read for the buckets' sizes, and for the choice.
+    ``sized`` must be stable (a written table): it is counted, read for the buckets' sizes, and for
+    the choice. ``key`` tells rows apart as far as they can be: its hash is the seeded order.
     """
+    bits = root_buckets(sized.count()).bit_length()
     t = targets.select(F.col(source).alias("__s"), "source_size", "target")
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     t = t.withColumn("extra", F.when(F.col("source_size") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)))
     sized = with_room(sized, [source], ["source_size", "target", "copies", "whole", "extra"])
-    rows = sized.withColumn("__h", seeded(seed, key)).withColumn("__b", F.shiftright("__h", 60 - BUCKET_BITS).cast("int"))
+    rows = sized.withColumn("__h", seeded(seed, *key)).withColumn("__b", F.shiftright("__h", 60 - bits).cast("int"))
     buckets = rows.groupBy(source, "__b").agg(F.sum("size").alias("__bs"))
     upto = Window.partitionBy(source).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("__before", F.coalesce(F.sum("__bs").over(upto), F.lit(0)))
@@ -72,7 +74,7 @@ def choose(sized: DataFrame, targets: DataFrame, key: Column, source: str = "sou
     t = beside_all(t.join(ends, F.col("__s").eqNullSafe(F.col("__es")), "left").drop("__es"), "shares")
     joined = rows.join(t, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
     inside = (F.col("extra") > 0) & (F.col("__b") == F.col("__end"))
-    run = Window.partitionBy(source).orderBy("__h", key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(source).orderBy("__h", *key, "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = joined.where(inside).withColumn("__run", F.col("__before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("__run") + F.col("size") / 2 < F.col("extra"), 1).otherwise(0))
     below = (F.col("extra") > 0) & (F.col("__end").isNull() | (F.col("__b") < F.col("__end")))

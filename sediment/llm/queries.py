@@ -27,7 +27,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
     )
     docs = written(docs, "shard-rows")
-    out = sharding.interleaved_shards(docs, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("doc_id"))
+    out = sharding.interleaved_shards(docs, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], [F.col("doc_id"), F.col("text_crc32")])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
@@ -57,9 +57,9 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = _documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("seal"))
     docs = written(docs, "mix-rows")
-    out = mixing.choose(docs, mixing.source_targets(docs), F.col("doc_id"))
+    out = mixing.choose(docs, mixing.source_targets(docs), [F.col("doc_id"), F.col("seal")])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 

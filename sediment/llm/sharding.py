@@ -27,12 +27,12 @@ SHARDS = 40
 SEED = 29
 
 
-def interleaved_shards(df: DataFrame, order: list[Column], key: Column, source: str = "source", n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def interleaved_shards(df: DataFrame, order: list[Column], key: list[Column], source: str = "source", n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds ``shard`` and ``slot``. ``df`` must be stable (a table); ``order`` breaks ties of the hash."""
     df = with_room(df, [source], ["shard", "slot"])
     n = df.count()
     buckets = root_buckets(n)
-    rows = df.withColumn("__h", seeded(seed, key)).withColumn("__hb", F.floor(F.col("__h") / F.lit(float(1 << 60) / buckets)).cast("long"))
+    rows = df.withColumn("__h", seeded(seed, *key)).withColumn("__hb", F.floor(F.col("__h") / F.lit(float(1 << 60) / buckets)).cast("long"))
     rows = ordered_index(rows, [source], "__hb", [F.col("__h"), *order], "__rank")
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("__n")).select(F.col(source).alias("__s"), "__n")
     rows = rows.join(sizes, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")

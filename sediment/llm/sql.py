@@ -44,8 +44,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN out USING (rid)
 """
 
+# CRC-32 of the text's bytes, by a table of 256 entries that the polynomial gives.
+OP2 = r"""
+WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+d AS (SELECT doc_id, source, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+c AS (SELECT doc_id, source, size, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1]))) AS text_crc32 FROM d, poly),
+h AS (SELECT *, ('0x' || substr(md5('29:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), 1, 15))::BIGINT AS h FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1 AS rk, count(*) OVER (PARTITION BY source) AS n FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * rk + 1)::DOUBLE / (2 * n), source NULLS LAST, rk) - 1 AS pos, count(*) OVER () AS total FROM r),
+s AS (SELECT *, (pos * 40) // total AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, pos - (shard * total + 39) // 40 AS slot, NULL::INT AS grown_shard, source FROM s
+"""
+
 OP7 = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(text, '')) AS seal FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS cap, (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS total FROM s),
 o AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rest,
@@ -54,7 +66,7 @@ c AS (SELECT *, rest * weight >= cap::DOUBLE * open AS clamped FROM o),
 t AS (SELECT c.source, source_size, CASE WHEN clamped THEN cap::DOUBLE ELSE (SELECT arg_max(rest, open) FROM c WHERE NOT clamped) * weight / (SELECT max(open) FROM c WHERE NOT clamped) END AS target FROM c),
 x AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT d.doc_id, d.size, source_size, target, whole, CASE WHEN source_size > 0 THEN target - whole * source_size ELSE 0 END AS extra,
-        coalesce((sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5('17:' || d.doc_id), 1, 15))::BIGINT, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS run
+        coalesce((sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || seal), 1, 15))::BIGINT, doc_id, seal, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS run
       FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies
 FROM (SELECT *, (whole + CASE WHEN extra > 0 AND run + size / 2 < extra THEN 1 ELSE 0 END)::BIGINT AS copies FROM r)
@@ -76,4 +88,4 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256 FROM d
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op7_mixing": OP7, "op9_url_filter": OP9, "op10_exact_dedup": OP10}
+ORACLES = {"op1_quality_rules": OP1, "op2_sharding": OP2, "op7_mixing": OP7, "op9_url_filter": OP9, "op10_exact_dedup": OP10}

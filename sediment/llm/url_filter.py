@@ -6,9 +6,11 @@ of its path that a rule could have. Expressions and rules meet in an equi-join o
 Of a url's rules the longest wins; at equal length the longer host, then ``block``. Without a
 rule the verdict is ``default``.
 
-Urls are made distinct by host and path before they are expanded, so a url that fills a third of
-the table is expanded once, and the rules' side is never a hot key. The join's strategy is left to
-adaptive execution: a rule table below the broadcast limit is sent, a larger one is shuffled.
+Urls are counted by host and path before they are expanded, so a url that fills a third of the
+table is expanded once, and the rules' side is never a hot key. The join's strategy is left to
+adaptive execution: a rule table below the broadcast limit is sent, a larger one is shuffled. Rows
+are joined to their url's verdict by host and path together, which no two pairs share, as a host
+has no slash; a url of many rows is salted there, and urls without a host meet nothing.
 
 Path prefixes are those that end in a slash and the whole path; if rules have paths that end
 otherwise, also the prefixes of these rules' lengths, of which there are few. No expression is
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_room
+from .common import join_spread, row_hash, with_room, written
 
 PREFIX = 8
 
@@ -67,9 +69,10 @@ def path_prefixes(path: Column, lengths: list[int], longest: int) -> Column:
 
 def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with host, path, rule and verdict. ``rules`` has host, path and verdict."""
-    df = with_room(df, [url], ["host", "path", "rule", "verdict", "bh", "bp", "rv"])
+    df = with_room(df, [url], ["host", "path", "rule", "verdict", "rv"])
     host, path = host_and_path(F.col(url))
-    rows = df.withColumn("host", host).withColumn("path", path)
+    rows = df.withColumn("host", host).withColumn("path", path).withColumn("__by", row_hash(df))
+    rows = rows.withColumn("__u", F.when(F.col("host") != "", F.concat("host", "path")))
     valid = rules.where(F.col("host").isNotNull() & (F.col("host") != "") & F.col("verdict").isNotNull())
     valid = valid.select(F.col("host").alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), F.col("verdict").alias("rv"))
     reach = valid.agg(F.max(F.length("rh")), F.max(F.length("rp"))).first()
@@ -77,11 +80,11 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     keyed = valid.withColumn("rule", F.concat("rh", "rp")).withColumn("rd", F.sha2(F.concat("rh", F.lit("\n"), "rp"), 256))
     keyed = keyed.groupBy("rd").agg(F.max(F.struct("rule", F.length("rh").alias("hl"), F.length("rule").alias("ln"), "rv")).alias("r"))
     keyed = keyed.select(F.substring("rd", 1, PREFIX).alias("rk"), "rd", "r.*")
-    urls = rows.select("host", "path").where(F.col("host") != "").distinct()
-    hosts = urls.select("host", "path", F.explode(host_suffixes(F.col("host"), reach[0] or 0)).alias("eh"))
-    digests = hosts.select("host", "path", F.explode(F.transform(path_prefixes(F.col("path"), odd, reach[1] or 0), lambda p: F.sha2(F.concat(F.col("eh"), F.lit("\n"), p), 256))).alias("ed"))
+    urls = rows.where(F.col("__u").isNotNull()).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    hosts = urls.select("host", "path", "n", F.explode(host_suffixes(F.col("host"), reach[0] or 0)).alias("eh"))
+    digests = hosts.select("host", "path", "n", F.explode(F.transform(path_prefixes(F.col("path"), odd, reach[1] or 0), lambda p: F.sha2(F.concat(F.col("eh"), F.lit("\n"), p), 256))).alias("ed"))
     met = digests.withColumn("ek", F.substring("ed", 1, PREFIX)).join(keyed, F.col("ek") == F.col("rk")).where(F.col("ed") == F.col("rd"))
-    best = met.groupBy("host", "path").agg(F.max(F.struct("ln", "hl", F.col("rv"), "rule")).alias("b"))
-    best = best.select(F.col("host").alias("bh"), F.col("path").alias("bp"), F.col("b.rule").alias("rule"), F.col("b.rv").alias("rv"))
-    out = rows.join(best, (F.col("host") == F.col("bh")) & (F.col("path") == F.col("bp")), "left")
-    return out.withColumn("verdict", F.coalesce("rv", F.lit(default))).drop("bh", "bp", "rv")
+    best = met.groupBy("host", "path").agg(F.max(F.struct("ln", "hl", F.col("rv"), "rule")).alias("b"), F.max("n").alias("__n"))
+    best = written(best.select(F.concat("host", "path").alias("__bu"), "__n", F.col("b.rule").alias("rule"), F.col("b.rv").alias("rv")), "verdicts")
+    out = join_spread(rows, "__u", best, "__bu", "__n", F.col("__by"), df.count(), how="left")
+    return out.withColumn("verdict", F.coalesce("rv", F.lit(default))).drop("__u", "__bu", "__n", "__by", "rv")

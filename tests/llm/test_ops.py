@@ -99,7 +99,7 @@ def plain_shards(rows, n_shards, seed=sharding.SEED):
 def test_shards_equal_the_plain_version(spark):
     rows = [(i, f"s{min(i % 7, 3)}") for i in range(1003)]
     df = written(spark.createDataFrame(rows, "doc_id long, source string"), "t")
-    got = sharding.interleaved_shards(df, [F.col("doc_id")], F.col("doc_id"), n_shards=40).collect()
+    got = sharding.interleaved_shards(df, [F.col("doc_id")], [F.col("doc_id")], n_shards=40).collect()
     assert {r.doc_id: r.shard for r in got} == plain_shards(rows, 40)
     slots = collections.defaultdict(list)
     for r in got:
@@ -110,9 +110,9 @@ def test_shards_equal_the_plain_version(spark):
 
 
 def test_shards_of_hard_rows(hard, empty, hard_rows, tmp_path):
-    out = sharding.interleaved_shards(hard, [F.col("doc_id"), F.crc32("text")], F.col("doc_id"), n_shards=40)
+    out = sharding.interleaved_shards(hard, [F.col("doc_id"), F.crc32("text")], [F.col("doc_id"), F.crc32("text")], n_shards=40)
     assert out.count() == len(hard_rows) and out.select("shard").distinct().count() == len(hard_rows)
-    assert sharding.interleaved_shards(empty, [F.col("doc_id")], F.col("doc_id")).count() == 0
+    assert sharding.interleaved_shards(empty, [F.col("doc_id")], [F.col("doc_id")]).count() == 0
     sharding.write_shards(out, str(tmp_path / "shards"))
     assert out.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(hard_rows)
 
@@ -449,7 +449,7 @@ def plain_targets(sizes, weights=(5, 2, 1), budget=1.5, top=2):
 def test_mixture_meets_its_targets(spark):
     rows = [(i, ["a", "b", "c", None, "é"][min(4, i % 9)], int(1 + i * 7919 % 500)) for i in range(3000)]
     df = written(spark.createDataFrame(rows, "doc_id long, source string, size long"), "t")
-    out = mixing.choose(df, mixing.source_targets(df), F.col("doc_id")).collect()
+    out = mixing.choose(df, mixing.source_targets(df), [F.col("doc_id")]).collect()
     sizes, taken = collections.Counter(), collections.Counter()
     for _, s, n in rows:
         sizes[s] += n
@@ -459,17 +459,17 @@ def test_mixture_meets_its_targets(spark):
     want = plain_targets(sizes)
     assert len(out) == len(rows) and {r.source: r.target for r in out} == pytest.approx(want)
     assert all(abs(taken[s] - want[s]) <= 500 for s in want)
-    again = mixing.choose(df.repartition(7), mixing.source_targets(df), F.col("doc_id")).collect()
+    again = mixing.choose(df.repartition(7), mixing.source_targets(df), [F.col("doc_id")]).collect()
     assert key((r.doc_id, r.copies) for r in out) == key((r.doc_id, r.copies) for r in again)
-    assert mixing.repeated(mixing.choose(df, mixing.source_targets(df), F.col("doc_id"))).count() == sum(r.copies for r in out)
+    assert mixing.repeated(mixing.choose(df, mixing.source_targets(df), [F.col("doc_id")])).count() == sum(r.copies for r in out)
 
 
 def test_mixture_of_hard_rows(hard, empty, hard_rows):
     sized = hard.drop("size").withColumn("size", n_words(F.col("text")))
-    out = mixing.choose(sized, mixing.source_targets(sized), F.col("doc_id")).collect()
+    out = mixing.choose(sized, mixing.source_targets(sized), [F.col("doc_id")]).collect()
     assert len(out) == len(hard_rows) and {r.target for r in out if r.source is None} <= {2.0 * r.source_size for r in out} | {r.target for r in out}
     none = empty.drop("size").withColumn("size", n_words(F.col("text")))
-    assert mixing.choose(none, mixing.source_targets(none), F.col("doc_id")).count() == 0
+    assert mixing.choose(none, mixing.source_targets(none), [F.col("doc_id")]).count() == 0
 
 
 # ------------------------------------------------------------------ archives
@@ -592,6 +592,25 @@ def test_filter_has_no_false_negatives():
     assert bloom.has(keys).all() and bloom.has([exact_dedup.sha256(b"x%d" % i) for i in range(5000)]).mean() < 0.05
 
 
+def test_hot_digest_of_null_identifiers_is_salted(spark, monkeypatch):
+    """A group of 9,000 rows, most without identifier or wholly equal, keeps one row whatever the salts and filters."""
+    monkeypatch.setattr(common, "SALT_ROWS", 512)
+    df = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).alias("doc_id"), F.lit("Same text").alias("text"))
+    df = df.unionByName(spark.createDataFrame([(None, "other"), (None, "OTHER"), (5, "single")], "doc_id long, text string"))
+    for options in ({}, {"filter_bytes": 0}):
+        out = exact_dedup.exact_dedup(df, **options)
+        rows = {(r.keep_id, r.group_size): (r.n, r.kept) for r in out.groupBy("keep_id", "group_size").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept")).collect()}
+        assert rows == {(6, 9_000): (9_000, 1), (None, 2): (2, 1), (5, 1): (1, 1)}
+
+
+def test_hot_url_and_null_urls_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(common, "SALT_ROWS", 64)
+    urls = spark.range(3_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://a.example.net/en/x").when(F.col("id") % 3 == 1, "http://b.net/de/").alias("url"))
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow")], "host string, path string, verdict string")
+    got = url_filter.judge_urls(urls, rules).groupBy("host", "rule", "verdict").count().collect()
+    assert {tuple(r) for r in got} == {("a.example.net", "example.net/en/", "allow", 1000), ("b.net", "net/", "block", 1000), ("", None, "allow", 1000)}
+
+
 # ------------------------------------------------------------------ hostile and plain
 
 
