@@ -9,8 +9,10 @@ the shared folder and reads again for the next. All but the last return the colu
 * ``mixing`` takes documents as often as the mix says, so rows may repeat or go;
 * ``packing`` returns the pieces of the packed sequences.
 
-A stage's own tables in the shared folder are removed when the next stage begins, as its result
-has been written by then; so the pipeline holds one stage's tables at a time.
+A stage's own tables in the shared folder are removed when the next stage of its chain begins, as
+its result has been written by then; so a chain holds one stage's tables at a time. Each call of
+``run`` is a chain of its own, whose last tables stay until the application ends, so that any
+number of results can be held; stages that are called one by one form one chain.
 
 Nulls, empty tables and repeated rows are handled as each operator's docstring says. Columns
 beside those of documents are carried by all stages but the last.
@@ -18,7 +20,9 @@ beside those of documents are carried by all stages but the last.
 
 from __future__ import annotations
 
+import contextvars
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +35,7 @@ from sediment.llm import quality_rules as rules
 from sediment.llm.common import drop_written, n_words, named, owned, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_chain: contextvars.ContextVar[str] = contextvars.ContextVar("chain", default="pipeline")
 
 
 def stage(function: Stage) -> Stage:
@@ -38,7 +43,7 @@ def stage(function: Stage) -> Stage:
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with owned(spark, "pipeline"):
+        with owned(spark, _chain.get()):
             return function(spark, docs, sf_dir)
 
     return run
@@ -75,7 +80,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = _packed(docs).withColumn("size", n_words(F.col("text")))
-    chosen = mix.choose(sized, mix.source_targets(sized), F.col("doc_id"))
+    chosen = mix.choose(sized, mix.source_targets(sized), [F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")))])
     return _unpacked(mix.repeated(chosen), docs.columns)
 
 
@@ -101,9 +106,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
-    for name, function in STAGES[:-1]:
-        docs = written(function(spark, docs, sf_dir), name)
-        if before is not None:
-            drop_written(before)
-        before = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+    chain = _chain.set(f"pipeline-{uuid.uuid4().hex[:12]}")
+    try:
+        for name, function in STAGES[:-1]:
+            docs = written(function(spark, docs, sf_dir), name)
+            if before is not None:
+                drop_written(before)
+            before = docs
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _chain.reset(chain)
