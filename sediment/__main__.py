@@ -1,4 +1,4 @@
-"""Command line over a folder of tables: ``python -m sediment ask|search|stats|manifest``."""
+"""Command line over a folder of tables: ``python -m sediment ask|search|stats|manifest|ingest|verify|record``."""
 
 from __future__ import annotations
 
@@ -10,12 +10,15 @@ from .session import get_session
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sediment", description=__doc__)
-    parser.add_argument("command", choices=["ask", "search", "stats", "manifest"])
+    parser.add_argument("command", choices=["ask", "search", "stats", "manifest", "ingest", "verify", "record"])
     parser.add_argument("words", nargs="*", help="the question, or the manifests' paths")
     parser.add_argument("--tables", help="folder of Parquet tables")
     parser.add_argument("--limit", type=int, default=6)
     parser.add_argument("--user")
     parser.add_argument("--kind", action="append")
+    parser.add_argument("--store", help="folder of stored tables, for ingest; of recordings, for record")
+    parser.add_argument("--fetched", help="Parquet table of fetched pages (url, http_status, text, error), for verify and ingest")
+    parser.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
     spark = get_session("sediment")
     spark.sparkContext.setLogLevel("ERROR")
@@ -26,18 +29,59 @@ def main(argv: list[str] | None = None) -> int:
         manifest.select(sources, kinds=args.kind).select("url", "kind", "title").show(1000, False)
         denied.show(1000, False)
         return 0
+    if args.command == "verify":
+        from .operators import verify
+        from .sources import manifest
+
+        checked = verify.verified(manifest.load(spark, *args.words)[0], spark.read.parquet(args.fetched))
+        checked.select("url", "kind", "ok", "status", "detail").show(1000, False)
+        return 1 if checked.where("not ok").limit(1).count() else 0
     from .api import Engine
-    from .sources import tables
 
-    engine = Engine(spark, tables.sources(spark, args.tables), tables.chunks(spark, args.tables))
+    if args.command == "ingest":
+        return _ingest(spark, args)
+    from .sources import index, tables
+
+    held = index.of(spark, args.tables)
+    engine = Engine(spark, tables.sources(spark, args.tables), held.chunks, postings=held.postings)
     if args.command == "stats":
         engine.stats().show()
     elif args.command == "search":
         engine.search(" ".join(args.words), args.limit, args.user).orderBy("marker").select("marker", "title", "url", "matched_terms", "found_by").show(args.limit, False)
+    elif args.command == "record":
+        from .sources import recordings
+
+        given = engine.ask(" ".join(args.words), args.limit, args.user)
+        recordings.write(spark.read.json(spark.sparkContext.parallelize([json.dumps(given, ensure_ascii=False)])), args.store, args.user)
     else:
         print(json.dumps(engine.ask(" ".join(args.words), args.limit, args.user), indent=2, ensure_ascii=False))
     return 0
 
 
+def _ingest(spark, args) -> int:
+    """Takes the manifests' fetched pages into the stored tables, and shows the report."""
+    from pyspark.sql import functions as F
+
+    from . import schema
+    from .api import Engine
+    from .io import Versions
+    from .sources import manifest
+
+    wanted = manifest.select(manifest.load(spark, *args.words)[0], kinds=args.kind)
+    pages = spark.read.parquet(args.fetched).select("url", F.col("text").alias("raw_text"), "error")
+    new = wanted.join(pages, "url", "left").withColumn("owner", F.lit(args.user or "public")).withColumn("id", F.xxhash64("owner", "url"))
+    new = new.withColumn("error", F.coalesce("error", F.when(F.col("raw_text").isNull(), "not fetched"))).withColumn("raw_segments", F.lit(None).cast(schema.SEGMENTS))
+    tables = {}
+    for name in ("sources", "chunks"):
+        table = Versions(spark, f"{args.store}/{name}")
+        tables[name] = (table, table.read() if table.numbers() else spark.createDataFrame([], schema.schema(name)))
+    engine = Engine(spark, *(t[1] for t in tables.values()))
+    engine.ingest(new.drop("file", "manifest", "pos"), dry_run=args.dry_run).show(100, False)
+    if not args.dry_run:
+        tables["sources"][0].swap(engine.sources)
+        tables["chunks"][0].swap(engine.chunks)
+    return 0
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

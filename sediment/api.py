@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import answers, chunker, dedupe, merge, retrieval, telemetry
+from .io import written
+from .operators import answers, chunker, dedupe, embedding, ingest, merge, retrieval, telemetry
 from .sources import recordings
 
 
 class Engine:
-    """A corpus: sources, chunks, and optionally recorded answers and an embedder for questions."""
+    """A corpus: sources, chunks, and optionally recorded answers, an embedder for questions, stored postings of
+    the chunks, and the model's price per million tokens in and out."""
 
-    def __init__(self, spark: SparkSession, sources: DataFrame, chunks: DataFrame, *, recorded: DataFrame | None = None, embed: Callable[[str], list[float] | None] | None = None, complete: Callable[[str], tuple[str, int, int]] = answers.extractive):
+    def __init__(self, spark: SparkSession, sources: DataFrame, chunks: DataFrame, *, recorded: DataFrame | None = None, embed: Callable[[str], list[float] | None] | None = None, complete: Callable[[str], tuple[str, int, int]] = answers.extractive, postings: DataFrame | None = None, price: tuple[float, float] | None = None):
         self.spark, self.sources, self.chunks, self.recorded, self.embed, self.complete = spark, sources, chunks, recorded, embed, complete
+        self.postings, self.price = postings, price
 
     def vector(self, question: str) -> list[float] | None:
         """The question's vector; without an embedder, or if it fails, search is lexical."""
@@ -31,7 +35,7 @@ class Engine:
             return None
 
     def search(self, question: str, limit: int = 8, user: str | None = None, semantic: bool = True) -> DataFrame:
-        return retrieval.search(self.chunks, question, self.vector(question) if semantic else None, limit, user=user)
+        return retrieval.search(self.chunks, question, self.vector(question) if semantic else None, limit, user=user, posts=self.postings)
 
     def analyse(self, question: str, user: str | None = None) -> DataFrame:
         from .functions.terms import terms_of
@@ -40,36 +44,71 @@ class Engine:
 
     def ask(self, question: str, limit: int = 6, user: str | None = None) -> dict:
         """The response to a question: the recording of exactly this question and tenant, if there is one."""
+        began = time.perf_counter()
         if self.recorded is not None:
             asked = self.spark.createDataFrame([(question, user)], "question string, user string")
             held = recordings.lookup(self.recorded, asked).first()["recorded"]
             if held is not None:
                 return held.asDict(recursive=True) | {"cached": True}
-        a = answers.ask(self.chunks, question, vector=self.vector(question), limit=limit, user=user, complete=self.complete)
-        used = {n for n, _ in a.cited}
+        a = answers.ask(self.chunks, question, vector=self.vector(question), limit=limit, user=user, complete=self.complete, posts=self.postings)
+        per_in, per_out = self.price or (None, None)
+        place = lambda h: {"marker": h.marker, "title": h.title, "url": h.link, "timestamp": h.timestamp, "transcript_kind": h.provenance or None}
+        passages = [
+            place(h) | {"matched_terms": h.matched_terms, "score": round(h.rrf, 4), "similarity": None if h.similarity is None else round(h.similarity, 3), "used": h.marker in a.cited, "found_by": h.found_by}
+            for h in a.hits
+        ]
         return {
             "question": question, "answer": a.text, "abstained": a.abstained, "cached": False, "tokens_in": a.tokens_in, "tokens_out": a.tokens_out,
-            "citations": [{"marker": n, "title": h.title, "url": h.url} for n, h in a.cited],
+            "cost_usd": None if self.price is None else (a.tokens_in * per_in + a.tokens_out * per_out) / 1_000_000,
+            "elapsed_ms": round(1000 * (time.perf_counter() - began)),
+            "citations": [place(h) for h in a.cited.values()],
             "terms": [{"term": t, "doc_freq": 0, "kept": True} for t in a.kept] + [{"term": t, "doc_freq": n, "kept": False} for t, n in a.dropped],
-            "passages": [
-                {"marker": h.marker, "title": h.title, "url": h.url, "matched_terms": h.matched_terms, "score": round(h.rrf, 4), "used": h.marker in used, "found_by": h.found_by,
-                 "similarity": None if h.similarity is None else round(h.similarity, 3)} for h in a.hits
-            ],
+            "passages": passages,
+            "explain": {"passages_used": len(a.cited), "passages": len(passages), "terms_kept": len(a.kept), "steps": a.steps()},
             "trace": a.trace(),
         }
 
-    def ingest(self, new: DataFrame, **options) -> DataFrame:
-        """Merges sources (id, url, owner, raw_text, raw_segments, ...) and their passages; returns the counts written and deleted."""
-        fresh = chunker.chunk_sources(new, **options).drop("cues", "tokenizer")
-        merged = merge.merge_chunks(self.chunks, fresh)
-        self.chunks = merge.replaced(self.chunks, merged)
-        self.sources = merge.upsert_sources(self.sources, new).drop("action")
-        return merge.counts(merged)
+    def ingest(self, new: DataFrame, *, dry_run: bool = False, flag: bool = True, **options) -> DataFrame:
+        """Takes in sources (id, url, owner, kind, raw_text, raw_segments, error, ...) and returns the report (outcome, n).
+
+        Rejected sources are left out; the others' passages are merged, the sources upserted, and
+        duplicates among all sources flagged. A dry run judges and cuts, and changes nothing.
+        """
+        judged = written(ingest.judged(new), "judged")
+        fresh = written(chunker.chunk_sources(judged.where("outcome is null"), **options).drop("cues", "tokenizer"), "passages")
+        decided = ingest.outcomes(judged, fresh)
+        merged = written(merge.merge_chunks(self.chunks, fresh), "merged")
+        if dry_run:
+            return ingest.report(decided, merged, None)
+        let_in = judged.join(decided.where("outcome = 'ingested'").select("id"), "id", "left_semi").select(*new.columns)
+        self.chunks = written(merge.replaced(self.chunks, merged), "chunks")
+        self.sources = written(merge.upsert_sources(self.sources, let_in).drop("action"), "sources")
+        flags = None
+        if flag:
+            flags = written(self.find_duplicates(), "flags")
+            self.sources = written(merge.mark_duplicates(self.sources, flags), "sources")
+        return ingest.report(decided, merged, flags)
+
+    def backfill(self, embed: Callable[[list[str]], list[list[float]]], model: str, *, spent_usd: float = 0.0, budget_usd: float | None = None, **options) -> DataFrame:
+        """Gives passages without an embedding one, unless the budget is spent; returns what is left to do (one row)."""
+        if budget_usd is None or embedding.within_budget(spent_usd, budget_usd):
+            keys = ("chunk_id",) if "chunk_id" in self.chunks.columns else ("source_id", "chunk_index")
+            made = written(embedding.backfill(self.chunks, embed, model, keys=keys, **options), "embeddings")
+            self.chunks = written(merge.write_embeddings(self.chunks, made, keys), "chunks")
+        return embedding.pending(self.chunks).agg(F.count(F.lit(1)).alias("pending"))
+
+    def live(self) -> dict:
+        return {"status": "ok"}
+
+    def ready(self) -> dict:
+        """Whether the corpus can be read."""
+        try:
+            return {"status": "ok", "passages": bool(self.chunks.limit(1).count())}
+        except Exception as e:  # whatever the store raises, the answer is that it is not ready
+            return {"status": "unavailable", "detail": type(e).__name__}
 
     def find_duplicates(self, threshold: float = dedupe.THRESHOLD) -> DataFrame:
         """(id, duplicate_of, score) as ingestion in order of identifier would flag them; without an owner column all are public."""
-        from .io import written
-
         sketched = written(dedupe.sketches(self.sources, owner_col="owner" if "owner" in self.sources.columns else None), "sketches")
         return dedupe.resolve(written(dedupe.scored_pairs(sketched, threshold), "pairs"), lambda df: written(df, "rounds"))
 

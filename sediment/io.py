@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -21,8 +23,59 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_roots: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _roots:
+        root = _roots[sc.applicationId] = f"{shared_dir(spark)}/sediment-tables-{sc.applicationId}"
+
+        def clean() -> None:
+            with contextlib.suppress(Exception):  # the session may have ended already; the folder's owner cleans it then
+                p = sc._jvm.org.apache.hadoop.fs.Path(root)
+                p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+        atexit.register(clean)
+    return f"{_roots[sc.applicationId]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+class Versions:
+    """A stored table that is replaced as a whole: readers see one version or the next, never a part.
+
+    Each version is a numbered folder, and the current one is the last that Spark's committer has
+    marked as complete, so a writer that fails leaves the version before in place. Older versions
+    stay for those who still read them, until ``prune``. There may be one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        """The complete versions, in order."""
+        found = self._fs.globStatus(self._path(f"{self.path}/v-*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or [])
+
+    def read(self, number: int | None = None) -> DataFrame:
+        number = self.numbers()[-1] if number is None else number
+        return self.spark.read.parquet(f"{self.path}/v-{number:09d}")
+
+    def swap(self, df: DataFrame) -> DataFrame:
+        """Writes ``df``, which may read the version before, as the next version."""
+        number = max(self.numbers(), default=0) + 1
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/v-{number:09d}")
+        return self.read(number)
+
+    def prune(self, keep: int = 1) -> None:
+        for number in self.numbers()[:-keep]:
+            self._fs.delete(self._path(f"{self.path}/v-{number:09d}"), True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of its own: computed once, read as often as the plan needs it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

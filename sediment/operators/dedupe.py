@@ -25,24 +25,33 @@ def scored_pairs(sketched: DataFrame, threshold: float = THRESHOLD, size: int =
     """(a, b, jaccard, score) with a < b: pairs that share a sketch hash, and whose containment reaches the threshold.
 
     Pairs with a positive score share a hash within the window, so meeting on hashes loses none.
-    With owners, ``b`` meets only what its owner sees: public sources and its own.
-    ``sketched`` should be a written table: it is read three times.
+    Rows meet with their hash's place in either sketch. Of a pair's shared hashes in order, the
+    i-th has the place ``pa + pb - i`` among the hashes of both, so the places alone tell how many
+    lie within the window, and no sketch is joined again. With owners, ``b`` meets only what its
+    owner sees: public sources and its own. ``sketched`` should be a written table: it is read twice.
     """
     owned = "owner" in sketched.columns
-    one = sketched.select("id", *["owner"] * owned, F.explode("sketch").alias("h"))
+    one = sketched.select("id", *["owner"] * owned, "n", F.size("sketch").alias("k"), F.posexplode("sketch").alias("p", "h"))
     meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id"))
     if owned:
         meets &= (F.col("x.owner") == "public") | (F.col("x.owner") == F.col("y.owner"))
     met = one.alias("x").join(one.alias("y"), meets)
-    met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    left = sketched.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    right = sketched.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    j = X.sketch_jaccard(F.col("sa"), F.col("sb"), size)
-    out = met.join(left, "a").join(right, "b").withColumn("jaccard", j)
+    places = F.sort_array(F.collect_list(F.col("x.p") + F.col("y.p") + 2))
+    counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+        F.size(F.filter(places, lambda p, i: p - i - 1 <= size)).alias("within"), F.first(F.col("x.k") + F.col("y.k")).alias("k"),
+        F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"),
+    )
+    out = counted.withColumn("jaccard", F.col("within") / F.least(F.lit(size), F.col("k") - F.col("shared")))
     score = F.greatest(X.containment(F.col("jaccard"), F.col("na"), F.col("nb")), X.containment(F.col("jaccard"), F.col("nb"), F.col("na")))
     return out.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", "jaccard", "score")
 
 
+def chunk_texts(chunks: DataFrame) -> DataFrame:
+    """(id, raw_text): each source's passages in order, a line each, which is what its fingerprint is taken of."""
+    listed = chunks.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("x"))
+    return listed.select("id", F.array_join(F.transform("x", lambda c: c["content"]), "\n").alias("raw_text"))
+
+
 def best_earlier(pairs: DataFrame) -> DataFrame:
     """(id, duplicate_of, score): the best of the pairs with an earlier source, ties to the smaller identifier."""
     best = Window.partitionBy("b").orderBy(F.desc("score"), "a")

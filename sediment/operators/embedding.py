@@ -7,14 +7,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pending(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("embedding").isNull())
 
 
-def backfill(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, *, batch: int = 64, max_batches: int | None = None) -> DataFrame:
-    """(chunk_id, embedding, embedding_model) of chunks without one, ``batch`` texts a call.
+def backfill(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, *, keys: tuple[str, ...] = ("chunk_id",), batch: int = 64, max_batches: int | None = None) -> DataFrame:
+    """(``keys``, embedding, embedding_model) of chunks without one, ``batch`` texts a call.
 
     ``max_batches`` bounds the pass to the first chunks by identifier; ``embed`` must give one vector for each text.
     """
@@ -26,12 +27,13 @@ def backfill(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]],
                 vectors = embed(part["content"].tolist())
                 if len(vectors) != len(part):
                     raise ValueError("the embedder gave another number of vectors than texts")
-                yield pd.DataFrame({"chunk_id": part["chunk_id"], "embedding": vectors, "embedding_model": model})
+                yield part[list(keys)].assign(embedding=vectors, embedding_model=model)
 
-    todo = pending(chunks).select("chunk_id", "content")
+    todo = pending(chunks).select(*keys, "content")
     if max_batches is not None:
-        todo = todo.orderBy("chunk_id").limit(batch * max_batches)
-    return todo.mapInPandas(run, "chunk_id bigint, embedding array<float>, embedding_model string")
+        todo = todo.orderBy(*keys).limit(batch * max_batches)
+    vector, name = T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embedding_model", T.StringType())
+    return todo.mapInPandas(run, T.StructType([*todo.select(*keys).schema.fields, vector, name]))
 
 
 def within_budget(spent: float, cap: float) -> bool:

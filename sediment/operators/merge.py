@@ -80,10 +80,10 @@ def delete_sources(sources: DataFrame, chunks: DataFrame, gone: DataFrame) -> tu
     return flagged.select(sources.columns), chunks.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti")
 
 
-def write_embeddings(chunks: DataFrame, computed: DataFrame) -> DataFrame:
-    """Chunks with computed (chunk_id, embedding, embedding_model) where there was none: both columns together."""
-    right = computed.select(F.col("chunk_id"), F.col("embedding").alias("__e"), F.col("embedding_model").alias("__m"))
-    out = chunks.join(right, "chunk_id", "left")
+def write_embeddings(chunks: DataFrame, computed: DataFrame, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """Chunks with computed (``keys``, embedding, embedding_model) where there was none: both columns together."""
+    right = computed.select(*keys, F.col("embedding").alias("__e"), F.col("embedding_model").alias("__m"))
+    out = chunks.join(right, list(keys), "left")
     pending = F.col("embedding").isNull()
     out = out.withColumn("embedding_model", F.when(pending, F.col("__m")).otherwise(F.col("embedding_model")))
     return out.withColumn("embedding", F.when(pending, F.col("__e")).otherwise(F.col("embedding"))).select(chunks.columns)

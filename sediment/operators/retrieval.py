@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import terms as T
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, dot, norm
 
 MAX_DOC_FREQ = 0.10
 RRF_K = 60
@@ -30,12 +30,16 @@ def visible(chunks: DataFrame, user: str | None = None) -> DataFrame:
     return chunks.where(F.col("owner").isin(*visible_owners(user)) & F.col("duplicate_of").isNull())
 
 
+#: What postings keep of their passage, so that they are filtered and capped without it.
+CARRIED = ["chunk_id", "source_id", "owner", "duplicate_of"]
+
+
 def postings(chunks: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(chunk_id, term, tf). With ``terms``, other words are dropped before anything is exploded."""
+    """(chunk_id, source_id, owner, duplicate_of, term, tf). With ``terms``, other words are dropped before anything is exploded."""
     words = T.tokens(F.col("content"))
     if terms is not None:
         words = F.filter(words, lambda t: t.isin(*terms) if terms else F.lit(False))
-    return chunks.select("chunk_id", F.explode(words).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return chunks.select(*CARRIED, F.explode(words).alias("term")).groupBy(*CARRIED, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_freq(posts: DataFrame) -> DataFrame:
@@ -78,16 +82,16 @@ def lexical(chunks: DataFrame, terms: list[str] | DataFrame, posts: DataFrame |
         found = postings(chunks, terms) if posts is None else posts.where(F.col("term").isin(*terms))
     else:
         found = (postings(chunks) if posts is None else posts).join(terms.select("term"), "term", "left_semi")
-    scored = found.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("matched_terms"), F.sum("tf").alias("n"))
-    scored = scored.select("chunk_id", "matched_terms", (F.lit(0.1) * F.col("n") * F.col("matched_terms")).alias("score"))
-    return scored.join(chunks.select("chunk_id", "source_id"), "chunk_id")
+    scored = found.groupBy("chunk_id", "source_id").agg(F.count(F.lit(1)).alias("matched_terms"), F.sum("tf").alias("n"))
+    return scored.select("chunk_id", "source_id", "matched_terms", (F.lit(0.1) * F.col("n") * F.col("matched_terms")).alias("score"))
 
 
 def semantic(chunks: DataFrame, vector: list[float] | Column) -> DataFrame:
-    """(chunk_id, source_id, similarity) of all chunks with an embedding: an exact scan."""
+    """(chunk_id, source_id, similarity) of all chunks with an embedding: an exact scan, by stored norms if there is a column ``norm``."""
     v = vector if isinstance(vector, Column) else F.array(*[F.lit(float(x)) for x in vector])
     scanned = chunks.where(F.col("embedding").isNotNull())
-    return scanned.select("chunk_id", "source_id", F.round(cosine(F.col("embedding"), v), 9).alias("similarity"))
+    alike = F.try_divide(dot(F.col("embedding"), v), F.col("norm") * norm(v)) if "norm" in chunks.columns else cosine(F.col("embedding"), v)
+    return scanned.select("chunk_id", "source_id", F.round(alike, 9).alias("similarity"))
 
 
 def pool_size(limit: int) -> int:
@@ -136,20 +140,21 @@ def finalists(fused: DataFrame, limit: int, per_source: int = PER_SOURCE) -> Dat
 def search(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None) -> DataFrame:
     """Hits for a question: (marker, chunk_id, source_id, rrf, matched_terms, similarity, ranks, found_by) and the chunk's other columns.
 
-    Which terms are kept is decided within the plan. Without a vector the ranking is lexical, without terms it is by vector.
+    ``posts`` are the stored postings of all chunks, if there are any. Which terms are kept is
+    decided within the plan. Without a vector the ranking is lexical, without terms it is by vector.
     """
     seen = visible(chunks, user)
     asked = T.terms_of(question)
     lex = None
     if asked:
-        held = (postings(seen, asked) if posts is None else posts.where(F.col("term").isin(*asked)))
+        held = postings(seen, asked) if posts is None else visible(posts, user).where(F.col("term").isin(*asked))
         kept = analyse_terms(seen, asked, held).where("kept")
         lex = lexical_pool(seen, kept, limit, per_source, held)
     vec = semantic_pool(seen, vector, limit, per_source) if vector is not None else None
     if lex is None and vec is None:
         return fuse(lexical_pool(seen, [], limit), None).where("false").withColumn("marker", F.lit(0)).withColumn("found_by", F.lit(""))
     hits = finalists(fuse(lex, vec), limit, per_source)
-    rest = [c for c in chunks.columns if c not in hits.columns and c != "embedding"]
+    rest = [c for c in chunks.columns if c not in hits.columns and c not in ("embedding", "norm")]
     return hits.join(seen.select("chunk_id", *rest), "chunk_id")
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+import time
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +40,26 @@ def record(call: DataFrame, path: str) -> None:
         logging.getLogger("sediment.telemetry").exception("a call could not be recorded")
 
 
+CALL = "created_at timestamp, model string, operation string, tokens_in int, tokens_out int, latency_ms int, error string"
+
+
+@contextlib.contextmanager
+def timed(spark: SparkSession, path: str, model: str, operation: str) -> Iterator[dict]:
+    """Times a call and records it, whether it returns or raises; the caller sets tokens_in and tokens_out."""
+    import datetime
+
+    facts: dict = {"tokens_in": 0, "tokens_out": 0, "error": None}
+    at, began = datetime.datetime.now(), time.perf_counter()
+    try:
+        yield facts
+    except Exception as e:
+        facts["error"] = f"{type(e).__name__}: {e}"
+        raise
+    finally:
+        took = round(1000 * (time.perf_counter() - began))
+        record(spark.createDataFrame([(at, model, operation, facts["tokens_in"], facts["tokens_out"], took, facts["error"])], CALL), path)
+
+
 def corpus_stats(sources: DataFrame, chunks: DataFrame, tokens: Column) -> DataFrame:
     """One row over all owners and duplicates: sources, chunks, pending embeddings, tokens."""
     held = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("embedding").isNull()).alias("pending"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))

@@ -11,8 +11,8 @@ from ..functions import terms as T
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.vectors import cosine
-from ..operators import answers, chunker, constraints, dedupe, merge, retrieval, telemetry
-from ..sources import manifest
+from ..operators import answers, chunker, constraints, dedupe, ingest, merge, retrieval, telemetry, verify
+from ..sources import index, manifest, recordings
 from ..sources import tables as S
 
 QUESTION = "What should the therhean attion of thanedble erblest and eriner be, ndernt or esndha?"
@@ -27,11 +27,21 @@ def _vector(spark: SparkSession, d: str) -> list[float]:
 
 
 def _seen(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.visible(S.chunks(spark, d), USER)
+    return retrieval.visible(index.of(spark, d).chunks, USER)
+
+
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    """The stored postings that the tenant sees."""
+    return retrieval.visible(index.of(spark, d).postings, USER)
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the question's terms."""
+    return _posts(spark, d).where(F.col("term").isin(*TERMS))
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.analyse_terms(_seen(spark, d), TERMS).where("kept")
+    return retrieval.analyse_terms(_seen(spark, d), TERMS, _asked(spark, d)).where("kept")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -55,17 +65,17 @@ def query_terms(spark, d):
 
 
 def df_all_terms(spark, d):
-    return retrieval.doc_freq(retrieval.postings(_seen(spark, d)))
+    return retrieval.doc_freq(_posts(spark, d))
 
 
 def df_terms(spark, d):
     """The report of the 50 most frequent terms; ``df_all_terms`` has every one."""
-    freq = retrieval.doc_freq(retrieval.postings(_seen(spark, d)))
+    freq = retrieval.doc_freq(_posts(spark, d))
     return freq.orderBy(F.desc("df"), "term").limit(50)
 
 
 def analyse_terms(spark, d):
-    return retrieval.analyse_terms(_seen(spark, d), TERMS)
+    return retrieval.analyse_terms(_seen(spark, d), TERMS, _asked(spark, d))
 
 
 def fulltext_or_match(spark, d):
@@ -74,11 +84,11 @@ def fulltext_or_match(spark, d):
 
 
 def lexical_topk(spark, d):
-    return retrieval.top(retrieval.lexical(_seen(spark, d), _kept(spark, d)), "score", 24).select("chunk_id", "source_id", "matched_terms", F.round("score", 6).alias("score"))
+    return retrieval.top(retrieval.lexical(_seen(spark, d), _kept(spark, d), _asked(spark, d)), "score", 24).select("chunk_id", "source_id", "matched_terms", F.round("score", 6).alias("score"))
 
 
 def lexical_capped(spark, d):
-    return retrieval.lexical_pool(_seen(spark, d), _kept(spark, d), LIMIT).select("chunk_id", "source_id", "lexical_rank")
+    return retrieval.lexical_pool(_seen(spark, d), _kept(spark, d), LIMIT, posts=_asked(spark, d)).select("chunk_id", "source_id", "lexical_rank")
 
 
 def semantic_topk(spark, d):
@@ -92,7 +102,7 @@ def semantic_capped(spark, d):
 
 def _fused(spark, d):
     seen = _seen(spark, d)
-    return retrieval.fuse(retrieval.lexical_pool(seen, _kept(spark, d), LIMIT), retrieval.semantic_pool(seen, _vector(spark, d), LIMIT))
+    return retrieval.fuse(retrieval.lexical_pool(seen, _kept(spark, d), LIMIT, posts=_asked(spark, d)), retrieval.semantic_pool(seen, _vector(spark, d), LIMIT))
 
 
 def rrf_fused(spark, d):
@@ -100,7 +110,8 @@ def rrf_fused(spark, d):
 
 
 def hybrid_search(spark, d):
-    hits = retrieval.search(S.chunks(spark, d), QUESTION, _vector(spark, d), LIMIT, user=USER)
+    held = index.of(spark, d)
+    hits = retrieval.search(held.chunks, QUESTION, _vector(spark, d), LIMIT, user=USER, posts=held.postings)
     return hits.select("marker", "chunk_id", "source_id", "matched_terms", F.round("similarity", 6).alias("similarity"), F.round("rrf", 9).alias("rrf"), "found_by", "title")
 
 
@@ -114,7 +125,8 @@ def abstain_decision(spark, d):
 
 
 def prompt_build(spark, d):
-    hits = retrieval.search(S.chunks(spark, d), QUESTION, _vector(spark, d), LIMIT, user=USER)
+    held = index.of(spark, d)
+    hits = retrieval.search(held.chunks, QUESTION, _vector(spark, d), LIMIT, user=USER, posts=held.postings)
     return answers.prompt(hits, QUESTION)
 
 
@@ -140,7 +152,7 @@ def shingle_sketch(spark, d):
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.scored_pairs(io.written(dedupe.sketches(_docs(spark, d), "doc_id", "text"), "sketches"))
+    return dedupe.scored_pairs(io.written(dedupe.sketches(S.sources(spark, d), owner_col="owner"), "sketches"))
 
 
 def near_dup_pairs(spark, d):
@@ -172,8 +184,24 @@ def html_to_text(spark, d):
     return _pages(spark, d).select("page_id", F.md5(X.html_to_text(F.col("html"))).alias("text_md5"))
 
 
+def _as_videos(u: Column) -> Column:
+    """English pages as watch pages, French ones as short links, German ones as a channel, of one video host."""
+    number = F.lpad(F.col("page_id").cast("string"), 11, "a")
+    watch = F.concat(F.lit("http://m.youtube.com/watch?list=x&v="), number, F.lit("&t=1m"))
+    return (
+        F.when(F.contains(u, F.lit("/en/")), watch).when(F.contains(u, F.lit("/fr/")), F.concat(F.lit("https://youtu.be/"), number, F.lit("?si=1")))
+        .when(F.contains(u, F.lit("/de/")), F.lit("https://www.youtube.com/channel/abc")).otherwise(u)
+    )
+
+
 def canonical_url(spark, d):
-    return _pages(spark, d).select("page_id", U.canonical_url(F.col("url")).alias("url"))
+    """Of every page, and of the page put on a video host."""
+    return _pages(spark, d).select("page_id", U.canonical_url(F.col("url")).alias("url"), U.canonical_url(_as_videos(F.col("url"))).alias("video_url"))
+
+
+def index_pages(spark, d):
+    u = _as_videos(F.col("url"))
+    return _pages(spark, d).select("page_id", U.video_id(u).alias("video"), U.is_index_page(u).alias("index_page"), U.kind_of(u).alias("kind"))
 
 
 def url_parts(spark, d):
@@ -182,9 +210,10 @@ def url_parts(spark, d):
 
 
 def domain_filter(spark, d):
-    """Pages whose host is not one of two that are excluded here."""
-    deny = ("spam-farm.example.org", "casino-win.example.com")
-    return _pages(spark, d).where(~U.host(F.col("url")).isin(*deny)).select("page_id", "url")
+    """Pages that policy does not exclude, where German ones are put on a host that it does, French ones on one that only ends alike."""
+    moved = lambda h: F.concat(F.lit(f"https://{h}"), U.path(F.col("url")))
+    url = F.when(F.contains("url", F.lit("/de/")), moved("WWW.gdcvault.com")).when(F.contains("url", F.lit("/fr/")), moved("notgdcvault.com")).otherwise(F.col("url"))
+    return _pages(spark, d).select("page_id", url.alias("url")).where(~U.is_denied(F.col("url")))
 
 
 def github_raw_urls(spark, d):
@@ -213,19 +242,31 @@ def chunk_segments(spark, d):
     return chunker.chunk_cues(S.cues(spark, d), target=120, overlap=30)
 
 
+def chunk_segments_across(spark, d):
+    """As ``chunk_segments``, but a passage after a silence carries words from before it."""
+    return chunker.chunk_cues(S.cues(spark, d), target=120, overlap=30, overlap_across_gap=True)
+
+
+def chunk_texts(spark, d):
+    """The text that a conversation's fingerprint is taken of: its passages in order."""
+    return dedupe.chunk_texts(chunk_segments(spark, d)).select(F.col("id").alias("source_id"), F.md5("raw_text").alias("text_md5"))
+
+
 def chunk_prose(spark, d):
     docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text"))
     return chunker.chunk_cues(chunker.prose_cues(docs), timed=False)
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Turns as stored passages, and the next version: assistants' turns rewritten, last turns gone."""
+    """Turns as stored passages, and the next version: assistants' turns rewritten, last turns gone, one turn more in every third conversation."""
     c = S.table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").cast("int").alias("chunk_index"), F.col("text").alias("content"), "role")
     old = c.withColumn("content_hash", F.sha2("content", 256)).withColumn("embedding_model", F.lit("m")).drop("role")
     last = c.groupBy("source_id").agg(F.max("chunk_index").alias("last"))
     new = c.join(last, "source_id").where((F.col("chunk_index") < F.col("last")) | (F.col("last") == 0))
     new = new.withColumn("content", F.when(F.col("role") == "assistant", F.concat("content", F.lit(" (revised)"))).otherwise(F.col("content")))
-    return old, new.withColumn("content_hash", F.sha2("content", 256)).select("source_id", "chunk_index", "content", "content_hash")
+    more = last.where("source_id % 3 = 0 AND last > 0").select("source_id", (F.col("last") + 1).alias("chunk_index"), F.concat(F.lit("more of "), F.col("source_id").cast("string")).alias("content"))
+    new = new.select("source_id", "chunk_index", "content").unionByName(more)
+    return old, new.withColumn("content_hash", F.sha2("content", 256))
 
 
 def merge_actions(spark, d):
@@ -245,9 +286,10 @@ def merged_table(spark, d):
 
 
 def upsert_sources(spark, d):
-    """Sources upserted with pages of the same owner: urls that were there keep their sticky columns."""
-    old = S.sources(spark, d).select("id", "url", "kind", "title", "owner", "duplicate_of")
-    new = old.where("kind = 'blog' and owner = 'public'").select("owner", "url", F.lit("docs").alias("kind"), F.upper("title").alias("title"))
+    """Sources upserted: urls of the same owner keep their sticky columns, French ones are new."""
+    every = S.sources(spark, d)
+    old = every.where("lang <> 'fr'").select("id", "url", "kind", "title", "owner", "duplicate_of")
+    new = every.where("owner = 'public'").select("owner", "url", (-F.col("id")).alias("id"), F.lit("docs").alias("kind"), F.upper("title").alias("title"))
     out = merge.upsert_sources(old, new)
     return out.select("id", "owner", "url", "kind", "title", "duplicate_of", "action")
 
@@ -346,10 +388,56 @@ def provenance(spark, d):
 def sample_lookup(spark, d):
     """Questions, in other spacing, looked up among the recorded ones of their tenant."""
     b = S.table(spark, d, "benchmark")
-    recorded = b.select(X.question_key(F.col("text")).alias("key"), F.lit(None).cast("string").alias("u"), F.col("item_id").alias("recorded_item"))
+    recorded = b.select(X.question_key(F.col("text")).alias("key"), F.lit(None).cast("string").alias("recorded_for_user"), F.col("item_id").alias("recorded_item"))
     asked = b.select("item_id", F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("  "))).alias("question"), F.when(F.length("text") > 200, "test1").alias("user"))
-    on = (X.question_key(F.col("question")) == F.col("key")) & F.col("user").eqNullSafe(F.col("u"))
-    return asked.join(recorded, on, "left").groupBy("item_id").agg(F.min("recorded_item").alias("recorded_item"))
+    return recordings.lookup(recorded, asked).groupBy("item_id").agg(F.min("recorded.recorded_item").alias("recorded_item"))
+
+
+def recording_parity(spark, d):
+    """Recorded answers against the same ones given now, of which every fifth reads otherwise and every seventh is gone."""
+    b = S.table(spark, d, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(" "), "text").alias("question"), F.lit(None).cast("string").alias("user"), "item_id", F.length("text").alias("answer"))
+    again = b.where("item_id % 7 <> 0").withColumn("answer", F.when(F.col("item_id") % 5 == 0, -F.col("answer")).otherwise(F.col("answer")))
+    found = verify.recording_differences(b, again, "answer", "item_id")
+    return found.select(F.regexp_extract("question", r"^(\d+)", 1).cast("long").alias("item_id"), "column")
+
+
+def citation_checks(spark, d):
+    """Citations of turns at times of which some lie outside, some of flagged sources, and some of no passage."""
+    c = chunker.clamped(S.cues(spark, d)).select(F.concat_ws(":", "source_id", "pos").alias("chunk_id"), "source_id", F.col("start").alias("start_ts"), F.col("end").alias("end_ts"), "pos")
+    cited = c.select(F.when(F.col("pos") % 11 == 10, "none").otherwise(F.col("chunk_id")).alias("chunk_id"), F.col("chunk_id").alias("answer_id"), (F.col("start_ts") + F.col("pos") % 5).alias("at"))
+    flagged = c.select(F.col("source_id").alias("id"), F.when(F.col("source_id") % 9 == 0, 1).alias("duplicate_of")).distinct()
+    return verify.citation_violations(cited, c, flagged)
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as sources and as what was fetched: French ones failed, German ones were not fetched, Spanish ones answered 404."""
+    p = _pages(spark, d)
+    u = F.col("url")
+    sources = p.select("page_id", F.col("page_id").cast("string").alias("url"), F.when(F.col("page_id") % 2 == 0, "repo").otherwise("blog").alias("kind"))
+    fetched = p.where(~F.contains(u, F.lit("/de/"))).select(
+        F.col("page_id").cast("string").alias("url"), F.when(F.contains(u, F.lit("/es/")), 404).otherwise(200).alias("http_status"), F.col("html").alias("text"),
+        F.when(F.contains(u, F.lit("/fr/")), "timeout").alias("error"))
+    return verify.verified(sources, fetched)
+
+
+def verified_sources(spark, d):
+    return _checked(spark, d).select("page_id", "ok", "status", "detail")
+
+
+def verified_by_kind(spark, d):
+    return verify.by_kind(_checked(spark, d))
+
+
+def ingest_outcomes(spark, d):
+    """What becomes of every page as a source: policy, failed fetches, bot walls, talks without cues, and pages without text."""
+    u = F.col("url")
+    text = F.when(F.col("page_id") % 13 == 0, F.lit(" ")).when(F.contains(u, F.lit("/de/")), F.concat(F.lit("Just a moment... "), X.html_to_text(F.col("html")))).otherwise(X.html_to_text(F.col("html")))
+    src = _pages(spark, d).select(
+        F.col("page_id").alias("id"), F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("https://gdcvault.com/"), F.col("page_id").cast("string"))).otherwise(u).alias("url"),
+        F.when(F.contains(u, F.lit("/es/")), "talk").otherwise("blog").alias("kind"), text.alias("raw_text"), F.lit(None).cast("array<struct<text:string,start:double,duration:double>>").alias("raw_segments"),
+        F.when(F.contains(u, F.lit("/fr/")), "timeout").alias("error"))
+    judged = ingest.judged(src)
+    return ingest.outcomes(judged, chunker.chunk_sources(judged.where("outcome is null")))
 
 
 def manifest_dedupe(spark, d):

@@ -45,7 +45,8 @@ _H = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 SKETCH = f"""norm AS (SELECT doc_id AS id, {_NORM} AS t FROM documents), w AS (SELECT id, t, string_split(t, ' ') AS w FROM norm),
  sh AS (SELECT id, CASE WHEN len(w) < 8 THEN [{_H.format('t')}] ELSE list_distinct(list_transform(range(1, len(w) - 6), lambda i: {_H.format("array_to_string(w[i:i+7], ' ')")})) END AS h FROM w),
  sk AS (SELECT id, list_sort(h)[1:128] AS sketch, len(h) AS n FROM sh)"""
-PAIRS = SKETCH + """, one AS (SELECT id, unnest(sketch) AS h FROM sk), met AS (SELECT DISTINCT x.id AS a, y.id AS b FROM one x JOIN one y ON x.h = y.h AND x.id < y.id),
+PAIRS = SKETCH + """, own AS (SELECT doc_id, CASE WHEN lang = 'es' THEN 'test1' ELSE 'public' END AS owner FROM documents), one AS (SELECT id, owner, unnest(sketch) AS h FROM sk JOIN own ON doc_id = id),
+ met AS (SELECT DISTINCT x.id AS a, y.id AS b FROM one x JOIN one y ON x.h = y.h AND x.id < y.id AND (x.owner = 'public' OR x.owner = y.owner)),
  j AS (SELECT a, b, s.n AS na, t.n AS nb, list_sort(list_distinct(list_concat(s.sketch, t.sketch)))[1:128] AS u, list_intersect(s.sketch, t.sketch) AS c FROM met JOIN sk s ON s.id = a JOIN sk t ON t.id = b),
  q AS (SELECT a, b, na, nb, len(list_intersect(u, c)) / len(u) AS jaccard FROM j),
  pairs AS (SELECT a, b, jaccard, CASE WHEN jaccard = 0 THEN 0 ELSE greatest(least(1.0::DOUBLE, jaccard * (na + nb) / (1 + jaccard) / na), least(1.0::DOUBLE, jaccard * (na + nb) / (1 + jaccard) / nb)) END AS score FROM q)"""
@@ -81,11 +82,39 @@ _CUES = f"flatten(list_transform(list_filter(list_transform(regexp_split_to_arra
 _CUETABLE = """cues AS (SELECT conv_id AS source_id, turn AS pos, turn * 4.0::DOUBLE + CASE WHEN role = 'system' THEN 20.0::DOUBLE ELSE 0 END AS start, 6.4::DOUBLE AS duration FROM conversations),
  cl AS (SELECT *, greatest(least(start + duration, coalesce(lead(start) OVER w, 'inf'::DOUBLE)), start) AS e FROM cues WINDOW w AS (PARTITION BY source_id ORDER BY pos)),
  gaps AS (SELECT *, start - lag(e) OVER (PARTITION BY source_id ORDER BY pos) AS gap FROM cl)"""
+_TALK = _CUETABLE.replace("SELECT conv_id AS source_id, turn AS pos, ", "SELECT conv_id AS source_id, turn AS pos, text, ") + ", every_cue AS (SELECT * FROM gaps)"
+_PROSE = f"prose AS (SELECT doc_id AS source_id, {_CUES} AS pieces FROM documents), every_cue AS (SELECT source_id, unnest(pieces) AS text, unnest(range(len(pieces))) AS pos, 0.0::DOUBLE AS start, 0.0::DOUBLE AS e, 0.0::DOUBLE AS gap FROM prose)"
 _VERSIONS = """c AS (SELECT conv_id AS source_id, turn AS chunk_index, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
  o AS (SELECT source_id, chunk_index, sha256(text) AS h FROM c),
- n AS (SELECT source_id, chunk_index, sha256(CASE WHEN role = 'assistant' THEN text || ' (revised)' ELSE text END) AS h FROM c WHERE chunk_index < last OR last = 0),
+ n AS (SELECT source_id, chunk_index, sha256(CASE WHEN role = 'assistant' THEN text || ' (revised)' ELSE text END) AS h FROM c WHERE chunk_index < last OR last = 0
+   UNION ALL SELECT DISTINCT source_id, last + 1, sha256('more of ' || source_id) FROM c WHERE source_id % 3 = 0 AND last > 0),
  m AS (SELECT source_id, chunk_index, CASE WHEN o.h IS NULL THEN 'insert' WHEN n.h IS NULL THEN 'delete' WHEN o.h = n.h THEN 'keep' ELSE 'update' END AS action,
    CASE WHEN o.h IS NOT NULL AND (n.h IS NULL OR o.h = n.h) THEN 'm' END AS embedding_model, CASE WHEN n.h IS NULL THEN o.h ELSE n.h END AS content_hash FROM o FULL JOIN n USING (source_id, chunk_index))"""
+
+
+def _passages(cues: str, target: int, overlap: int, across: bool, timed: bool) -> str:
+    """Greedy passages as a recursion over each source's lists of running sums, silences and ends of sentences."""
+    reached = "(r.upto[e + 1] - r.upto[{0} + 1] >= {1} OR (r.upto[e + 1] - r.upto[{0} + 1] >= {2} AND r.sentence[e]))"
+
+    def end(first: str) -> str:
+        full = reached.format(first, int(target * 1.25), target)
+        return f"list_min(list_filter(range({first} + 1, r.n + 1), lambda e: e = r.n OR r.silent[e + 1] OR {full}))"
+
+    full = reached.format("r.first", int(target * 1.25), target).replace("[e + 1]", "[r.last + 1]").replace("[e]", "[r.last]")
+    back = f"greatest(r.first + 1, coalesce(list_max(list_filter(range(r.first + 1, r.last + 1), lambda b: r.upto[r.last + 1] - r.upto[b + 1] >= {overlap})), 0))"
+    after = back if across else f"CASE WHEN r.silent[r.last + 1] AND NOT {full} THEN r.last ELSE {back} END"
+    times = ("round(starts[first + 1], 3)::DECIMAL(10, 3)", "round(ends[last], 3)::DECIMAL(10, 3)") if timed else ("NULL::DECIMAL(10, 3)",) * 2
+    return f"""WITH RECURSIVE {cues},
+ counted AS (SELECT *, CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')) END AS k FROM every_cue),
+ s AS (SELECT source_id, count(*) AS n, list_prepend(0::BIGINT, list(total ORDER BY pos)) AS upto, list(text ORDER BY pos) AS texts, list(start ORDER BY pos) AS starts, list(e ORDER BY pos) AS ends,
+   list(coalesce(gap > 8.0, false) ORDER BY pos) AS silent, list(regexp_matches(text, '[.!?]["'')\\]]*$') ORDER BY pos) AS sentence
+   FROM (SELECT *, (sum(k) OVER (PARTITION BY source_id ORDER BY pos))::BIGINT AS total FROM counted) GROUP BY source_id),
+ walk AS (SELECT r.*, 0 AS i, 0::BIGINT AS first, {end("0")} AS last FROM s r
+   UNION ALL SELECT * EXCLUDE (first, last), first, {end("r.first")} AS last FROM (SELECT * EXCLUDE (i, first, last, after), i + 1 AS i, after AS first, last FROM (SELECT r.*, {after} AS after FROM walk r WHERE r.last < r.n)) r)
+SELECT source_id, i::INT AS chunk_index, array_to_string(texts[first + 1:last], ' ') AS content, sha256(array_to_string(texts[first + 1:last], ' ')) AS content_hash,
+  (upto[last + 1] - upto[first + 1])::INT AS token_count, {times[0]} AS start_ts, {times[1]} AS end_ts, (last - first)::INT AS cues, 'words' AS tokenizer FROM walk"""
+
+
 _NOW = "(SELECT max(ts) FROM events)"
 _PRICES = "(VALUES ('click', 5.0::DOUBLE, 25.0::DOUBLE), ('view', 3.0, 15.0), ('error', 1.0, 5.0)) AS p(model, pi, po)"
 _COST = "(user_id * pi + user_id * 2 * po) / 1000000"
@@ -134,9 +163,13 @@ ORACLES = {
     "token_counts": "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END AS tokens FROM documents",
     "pseudo_cues": f"SELECT doc_id, len({_CUES}) AS n, md5(array_to_string({_CUES}, chr(10))) AS cues_md5 FROM documents",
     "html_to_text": f"SELECT page_id, md5({_html()}) AS text_md5 FROM pages",
-    "canonical_url": f"SELECT page_id, {CANON} AS url FROM pages",
+    "canonical_url": f"""SELECT page_id, {CANON} AS url, CASE WHEN contains(url, '/en/') THEN 'https://youtube.com/watch?v=' || lpad(page_id::VARCHAR, 11, 'a') || '&t=1m'
+      WHEN contains(url, '/fr/') THEN 'https://youtube.com/watch?v=' || lpad(page_id::VARCHAR, 11, 'a') WHEN contains(url, '/de/') THEN 'https://youtube.com/channel/abc' ELSE {CANON} END AS video_url FROM pages""",
+    "index_pages": f"""SELECT page_id, CASE WHEN contains(url, '/en/') OR contains(url, '/fr/') THEN lpad(page_id::VARCHAR, 11, 'a') END AS video, contains(url, '/de/') AND NOT contains(url, '/en/') AND NOT contains(url, '/fr/') AS index_page,
+      CASE WHEN contains(url, '/en/') OR contains(url, '/fr/') OR contains(url, '/de/') THEN 'talk' ELSE {_KIND} END AS kind FROM pages""",
     "url_parts": f"SELECT page_id, {_HOST} AS host, {_KIND} AS kind, CASE {_KIND} WHEN 'talk' THEN 'gdc-youtube-free' WHEN 'repo' THEN 'public-source' ELSE 'public-web' END AS license, {_KIND} = 'talk' AS index_page, substr(sha256(url), 1, 16) AS cache_key FROM pages",
-    "domain_filter": f"SELECT page_id, url FROM pages WHERE {_HOST} NOT IN ('spam-farm.example.org', 'casino-win.example.com')",
+    "domain_filter": f"""SELECT page_id, CASE WHEN contains(url, '/fr/') THEN 'https://notgdcvault.com' || {_PATH} ELSE url END AS url FROM pages
+      WHERE NOT contains(url, '/de/') AND {_HOST} NOT IN ('gdcvault.com', 'vault.gdconf.com')""",
     "github_raw_urls": f"""WITH f AS (SELECT page_id, {_FAKE} AS f FROM pages), s AS (SELECT page_id, {_SEG} AS s FROM f)
       SELECT page_id, CASE WHEN len(s) > 4 AND s[3] = 'blob' THEN 'https://raw.githubusercontent.com/' || s[1] || '/' || s[2] || '/' || s[4] || '/' || array_to_string(s[5:], '/')
         WHEN len(s) = 2 THEN array_to_string(flatten(list_transform(['HEAD', 'main', 'master'], lambda b: list_transform(['README.md', 'readme.md', 'README.rst', 'README'], lambda n: 'https://raw.githubusercontent.com/' || s[1] || '/' || s[2] || '/' || b || '/' || n))), ' ')
@@ -148,8 +181,8 @@ ORACLES = {
     "merge_actions": f"WITH {_VERSIONS} SELECT action, count(*) AS n, count(embedding_model) AS embedded FROM m GROUP BY action",
     "stale_tail": f"WITH {_VERSIONS} SELECT source_id, chunk_index FROM m WHERE action = 'delete'",
     "merged_table": f"WITH {_VERSIONS} SELECT source_id, chunk_index, content_hash, embedding_model FROM m WHERE action <> 'delete'",
-    "upsert_sources": f"""WITH {SOURCES} SELECT id, owner, url, CASE WHEN owner = 'public' THEN 'docs' ELSE kind END AS kind, CASE WHEN owner = 'public' THEN upper(title) ELSE title END AS title, duplicate_of,
-      CASE WHEN owner = 'public' THEN 'update' ELSE 'keep' END AS action FROM sources""",
+    "upsert_sources": f"""WITH {SOURCES} SELECT CASE WHEN lang = 'fr' THEN -id ELSE id END AS id, owner, url, CASE WHEN owner = 'public' THEN 'docs' ELSE kind END AS kind, CASE WHEN owner = 'public' THEN upper(title) ELSE title END AS title,
+      CASE WHEN lang <> 'fr' THEN duplicate_of END AS duplicate_of, CASE WHEN lang = 'fr' THEN 'insert' WHEN owner = 'public' THEN 'update' ELSE 'keep' END AS action FROM sources""",
     "embedding_writeback": f"WITH {CHUNKS} SELECT CASE WHEN embedding IS NULL THEN 'new' ELSE 'stored' END AS embedding_model, count(*) AS n, sum(coalesce(len(embedding), 1))::BIGINT AS dims FROM chunks GROUP BY ALL",
     "duplicate_titles": f"WITH {SOURCES} SELECT s.id, s.duplicate_of, o.title AS original FROM sources s JOIN sources o ON o.id = s.duplicate_of",
     "cascade_delete": f"WITH {SOURCES}, l AS (SELECT * FROM sources WHERE lang <> 'fr') SELECT count(*) AS sources, count(*) FILTER (duplicate_of IN (SELECT id FROM l)) AS flagged, count(*) AS chunks FROM l",
@@ -178,3 +211,18 @@ _MORE = "url || '/more'"
 ORACLES["markdown_links"] = f"""WITH p AS (SELECT page_id, 0 AS pass, url, 'Page ' || page_id AS title, 'first' AS note FROM pages UNION ALL SELECT page_id, 1, {_MORE}, 'ref', 'second' FROM pages),
   c AS (SELECT page_id, pass, {CANON} AS u, title, note, {_KIND} AS kind FROM p)
   SELECT page_id::VARCHAR AS manifest, u AS url, title, note, kind, 'public-web' AS license FROM c QUALIFY row_number() OVER (PARTITION BY page_id, u ORDER BY pass) = 1"""
+ORACLES["chunk_segments"] = _passages(_TALK, 120, 30, False, True)
+ORACLES["chunk_segments_across"] = _passages(_TALK, 120, 30, True, True)
+ORACLES["chunk_prose"] = _passages(_PROSE, 400, 50, False, False)
+ORACLES["chunk_texts"] = f"SELECT source_id, md5(string_agg(content, chr(10) ORDER BY chunk_index)) AS text_md5 FROM ({ORACLES['chunk_segments']}) GROUP BY source_id"
+ORACLES["recording_parity"] = """SELECT item_id, '(missing)' AS "column" FROM benchmark WHERE item_id % 7 = 0 UNION ALL SELECT item_id, 'answer' FROM benchmark WHERE item_id % 7 <> 0 AND item_id % 5 = 0 AND length(text) <> 0"""
+ORACLES["citation_checks"] = f"""WITH {_CUETABLE}, a AS (SELECT *, source_id || ':' || pos AS own, pos % 11 = 10 AS lost, start + pos % 5 AS t FROM gaps)
+  SELECT 'no_passage' AS rule, own || ':none' AS row_key FROM a WHERE lost UNION ALL SELECT 'outside_span', own || ':' || own FROM a WHERE NOT lost AND t > e
+  UNION ALL SELECT 'cites_duplicate', own || ':' || own FROM a WHERE NOT lost AND source_id % 9 = 0"""
+_CHECKED = f"""checked AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'repo' ELSE 'blog' END AS kind, CASE WHEN contains(url, '/de/') THEN 'not fetched' WHEN contains(url, '/fr/') THEN 'error' WHEN contains(url, '/es/') THEN 'error'
+  WHEN ({_marker('html', X.WALL_MARKERS, 20000)}) IS NOT NULL THEN 'wall' WHEN length(html) < 6000 AND page_id % 2 <> 0 THEN 'thin' ELSE 'ok' END AS status,
+  CASE WHEN contains(url, '/de/') THEN NULL WHEN contains(url, '/fr/') THEN 'timeout' WHEN contains(url, '/es/') THEN '404' ELSE '200' END AS detail FROM pages)"""
+ORACLES["verified_sources"] = f"WITH {_CHECKED} SELECT page_id, status = 'ok' AS ok, status, detail FROM checked"
+ORACLES["verified_by_kind"] = f"WITH {_CHECKED} SELECT row_number() OVER (ORDER BY n DESC, kind) AS place, kind, n FROM (SELECT kind, count(*) AS n FROM checked WHERE status = 'ok' GROUP BY kind)"
+ORACLES["ingest_outcomes"] = f"""SELECT page_id AS id, CASE WHEN page_id % 10 = 0 THEN 'denied' WHEN contains(url, '/fr/') THEN 'failed' WHEN page_id % 13 <> 0 AND contains(url, '/de/') THEN 'bot wall' WHEN ({_marker('t', X.CHALLENGE_MARKERS, 600)}) IS NOT NULL AND page_id % 13 <> 0 THEN 'bot wall'
+  WHEN contains(url, '/es/') THEN 'talk without cues' WHEN page_id % 13 = 0 OR t = '' THEN 'no content' ELSE 'ingested' END AS outcome FROM (SELECT page_id, url, {_html()} AS t FROM pages)"""

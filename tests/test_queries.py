@@ -42,8 +42,8 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(columns) == names and ours == theirs
 
 
-def test_every_query_has_sql_but_the_chunkers():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"chunk_segments", "chunk_prose"}
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_document_frequency_has_every_term(spark):
