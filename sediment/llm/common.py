@@ -184,14 +184,15 @@ def join_spread(df: DataFrame, on: str, small: DataFrame, key: str, n: str, by:
     A key with more than ``limit`` rows is dealt by ``by`` to as many salts as it has limits. The
     keys that are salted are sent to the executors: with ``total`` rows in ``df`` there are fewer
     than 40,000 of them, whatever the total. They are read from ``hot`` (key, n), or from ``small``. Null keys meet nothing
-    and are dealt anywhere.
+    and are dealt anywhere. ``small`` is never sent as a whole: its size in files, by which Spark would
+    judge, is that of compressed columns.
     """
     limit = max(SALT_ROWS, total // 40_000)
     salts = F.greatest(F.ceil(F.col(n) / limit), F.lit(1)).cast("int")
     hot = (small if hot is None else hot).where(F.col(n) > limit).select(F.col(key).alias("__hk"), salts.alias("__hs"))
     left = df.join(F.broadcast(hot), F.col(on) == F.col("__hk"), "left")
     left = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__hs", F.when(F.col(on).isNull(), 1 << 10), F.lit(1))).cast("int")).drop("__hk", "__hs")
-    right = small.withColumn("__part", F.explode(F.sequence(F.lit(0), salts - 1)))
+    right = small.withColumn("__part", F.explode(F.sequence(F.lit(0), salts - 1))).hint("merge")
     return left.join(right, (F.col(on) == F.col(key)) & (F.col("__salt") == F.col("__part")), how).drop("__salt", "__part")
 
 

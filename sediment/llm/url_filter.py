@@ -10,7 +10,8 @@ Urls are counted by host and path before they are expanded, so a url that fills
 table is expanded once, and the rules' side is never a hot key. The join's strategy is left to
 adaptive execution: a rule table below the broadcast limit is sent, a larger one is shuffled. Rows
 are joined to their url's verdict by host and path together, which no two pairs share, as a host
-has no slash; a url of many rows is salted there, and urls without a host meet nothing.
+has no slash; a url of many rows is salted there, and urls without a host meet nothing. As the verdicts grow with
+the table, they are never sent to all rows.
 
 Path prefixes are those that end in a slash and the whole path; if rules have paths that end
 otherwise, also the prefixes of these rules' lengths, of which there are few. No expression is
