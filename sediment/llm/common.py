@@ -8,6 +8,7 @@ import ctypes
 import math
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -85,6 +86,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Where each table of ``written`` lies, as long as its frame is held.
+_written_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Rows of a table of short rows that one file should hold at least.
 FILE_ROWS = 200_000
 
@@ -103,13 +106,14 @@ def written(df: DataFrame, name: str, *, partition_by: str | None = None, path:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written_at[out] = path
+    return out
 
 
 def drop_written(df: DataFrame) -> None:
-    """Frees the files of a table of ``written`` that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+    """Frees the files of a table of ``written`` that nothing reads any more; ``df`` must be what that returned."""
+    _remove(df.sparkSession, _written_at.pop(df))
 
 
 def named(name: str) -> Column:

@@ -362,7 +362,8 @@ def components(links: DataFrame) -> DataFrame:
     both = written(both.distinct(), "links")
     n = both.count()
     degrees = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    labels = written(degrees.select(F.col("u").alias("s"), F.least("u", "m").alias("root"), "n"), "labels", rows=n)
+    table = written(degrees.select(F.col("u").alias("s"), F.least("u", "m").alias("root"), "n"), "labels", rows=n)
+    labels = table
     while True:
         ends = labels.select(F.col("s").alias("__s"), F.col("root").alias("__root"), F.col("n").alias("__n"))
         near = join_spread(both, "v", ends, "__s", "__n", F.col("u"), n).groupBy(F.col("u").alias("__u")).agg(F.min("__root").alias("near"))
@@ -372,8 +373,8 @@ def components(links: DataFrame) -> DataFrame:
         step = join_spread(step, "mid", jump, "__s", "__n", F.col("s"), n, hot=shared, how="left")
         new = written(step.select("s", F.least("mid", F.coalesce("__r", "mid")).alias("root"), "n", "was"), "labels", rows=n)
         changed = new.where(F.col("root") != F.col("was")).limit(1).count()
-        drop_written(labels)
-        labels = new.select("s", "root", "n")
+        drop_written(table)
+        table, labels = new, new.select("s", "root", "n")
         if not changed:
             return labels.select("s", "root")
 

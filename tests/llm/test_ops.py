@@ -392,6 +392,35 @@ def test_join_of_hard_rows(hard, empty, hard_rows):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_join_equals_all_pairs_over_a_whole_table(spark):
+    """sf0.01: every class and number of links, against all pairs that share a shingle; so the recall measured here is 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets, holders = {}, collections.defaultdict(list)
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        sets[r.doc_id] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+        for s in sets[r.doc_id]:
+            holders[s].append(r.doc_id)
+    common = collections.Counter(pair for ids in holders.values() if len(ids) > 1 for pair in itertools.combinations(sorted(ids), 2))
+    links, up = collections.Counter(), {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    want = {i: (root(i), links[i]) for i in sets}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(docs, carry_text=False).collect()}
+    assert got == want and links
+
+
 SETS = st.lists(st.sets(st.integers(0, 60), min_size=1), max_size=25)
 
 
