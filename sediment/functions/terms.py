@@ -11,11 +11,11 @@ WORD = "[A-Za-z0-9_+#-]+"
 MIN_LENGTH = 3
 #: Words too common in speech to be evidence.
 LOW_SIGNAL = (
-    "should would could about what when where which have has had this that these those there here just make made "
-    "really going want need know think thing things people team person good better best use using used lot bit way "
-    "ways kind sort the and for with from into over under you your our are was were but not can will how why who its "
-    "than then"
-).split()
+    "should", "would", "could", "about", "what", "when", "where", "which", "have", "has", "had", "this", "that", "these", "those", "there", "here", "just", "make", "made",
+    "really", "going", "want", "need", "know", "think", "thing", "things", "people", "team", "person", "good", "better", "best", "use", "using", "used", "lot", "bit", "way",
+    "ways", "kind", "sort", "the", "and", "for", "with", "from", "into", "over", "under", "you", "your", "our", "are", "was", "were", "but", "not", "can", "will", "how", "why", "who", "its",
+    "than", "then",
+)
 
 
 def tokens(text: Column) -> Column:

@@ -24,6 +24,15 @@ CHALLENGE_WINDOW = 600
 WALL_MARKERS = ("not a bot", "just a moment", "attention required", "cf-browser-verification", "checking your browser", "enable javascript and cookies")
 WALL_WINDOW = 20_000
 MIN_PAGE = 6_000
+#: What is dropped from a page, what ends a line in it, what a tag is, and any other character reference.
+DROPPED = r"(?is)<(script|style|noscript|svg|form|select)[^>]*>.*?</\1>"
+BOILERPLATE = r"(?is)<(nav|footer|aside)\b[^>]*>.*?</\1>"
+LINE_ENDS = r"(?is)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>"
+TAG = r"(?s)<[^>]+>"
+REFERENCE = r"&(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z])"
+#: A caption's artefact, and the white space between two sentences.
+ARTEFACT = r"\[[^\]]{1,20}\]"
+BETWEEN_SENTENCES = r"(?<=[.!?])\s+(?=[A-Z(\"'])"
 #: Named character references that are decoded natively; ``&amp;`` comes last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -36,7 +45,7 @@ def collapse(text: Column, unicode_space: bool = False) -> Column:
 
 def clean_text(text: Column, unicode_space: bool = False) -> Column:
     """Caption artefacts such as ``[Music]`` go, white space collapses; case and marks stay."""
-    return collapse(F.regexp_replace(text, r"\[[^\]]{1,20}\]", " "), unicode_space)
+    return collapse(F.regexp_replace(text, ARTEFACT, " "), unicode_space)
 
 
 def clean_segments(segments: Column) -> Column:
@@ -59,15 +68,25 @@ def unescape_native(text: Column) -> Column:
     return text
 
 
-def html_to_text(page: Column, unescape=unescape_native) -> Column:
+def unescape_any(text: Column) -> Column:
+    """Every reference decoded, hard spaces to plain ones: natively where a text has only those of ENTITIES, else in Arrow batches of such texts alone."""
+    bare = text
+    for name, _ in ENTITIES:
+        bare = F.replace(bare, F.lit(name), F.lit(" "))
+    # A name without its semicolon counts too, so the native way must see nothing that looks like one.
+    full = F.translate(unescape_full(F.when(F.regexp_like(bare, F.lit(REFERENCE)), text)), "\xa0", " ")
+    return F.coalesce(full, unescape_native(text))
+
+
+def html_to_text(page: Column, unescape=None) -> Column:
     """Text of a page: script-like and boilerplate elements and tags go, blocks become lines.
 
-    ``unescape`` decodes character references; ``unescape_full`` handles all of them in a Pandas UDF.
+    ``unescape`` decodes character references: all of them by ``unescape_any``, if none is given.
     """
-    text = F.regexp_replace(page, r"(?is)<(script|style|noscript|svg|form|select)[^>]*>.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?is)<(nav|footer|aside)\b[^>]*>.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?is)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>", "\n")
-    text = unescape(F.regexp_replace(text, r"(?s)<[^>]+>", " "))
+    text = page
+    for pattern, mark in ((DROPPED, " "), (BOILERPLATE, " "), (LINE_ENDS, "\n"), (TAG, " ")):
+        text = F.regexp_replace(text, pattern, mark)
+    text = (unescape or unescape_any)(text)
     lines = F.transform(F.split(text, "\r\n|\r|\n"), lambda x: collapse(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
@@ -84,7 +103,7 @@ def unescape_full(text: Column) -> Column:
 def pseudo_cues(text: Column, max_chars: int = 400) -> Column:
     """Pieces of prose: lines, and sentences of lines that are longer than ``max_chars``."""
     lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), lambda x: clean_text(x)), lambda x: x != "")
-    cut = lambda x: F.split(x, r"(?<=[.!?])\s+(?=[A-Z(\"'])")
+    cut = lambda x: F.split(x, BETWEEN_SENTENCES)
     return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) <= max_chars, F.array(x)).otherwise(cut(x))))
 
 

@@ -49,16 +49,22 @@ def video_id(url: Column) -> Column:
     return F.when(F.endswith(h, F.lit("youtu.be")), short).when(watch, F.substring(parameter(url, "v"), 1, 11))
 
 
+def recoded(part: Column) -> Column:
+    """A parameter's name or value decoded and coded again, so that spellings of one text are one; broken codes stay as they are."""
+    coded = F.url_encode(F.coalesce(F.try_url_decode(part), part))
+    return F.replace(F.replace(coded, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
     """https, bare lower-case host, no trailing slash, only meaningful parameters, in order; one form for videos."""
     video, start = video_id(url), parameter(url, "t")
-    watch = F.concat(F.lit("https://youtube.com/watch?v="), video, F.coalesce(F.concat(F.lit("&t="), start), F.lit("")))
-    bare = F.regexp_replace(path(url), "/+$", "")
-    name = lambda p: F.split(p, "=", 2)[0]
-    pairs = F.filter(F.split(query(url), "&"), lambda p: F.lower(name(p)).isin(*MEANINGFUL))
+    watch = F.concat(F.lit("https://youtube.com/watch?v="), video, F.coalesce(F.concat(F.lit("&t="), recoded(start)), F.lit("")))
+    # A last segment's own parameters, behind a semicolon, name no other document.
+    bare = F.regexp_replace(F.regexp_replace(path(url), ";[^/]*$", ""), "/+$", "")
     # A name without a sign is a parameter with an empty value.
-    pairs = F.array_sort(F.transform(pairs, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))))
-    tail = F.array_join(pairs, "&")
+    split = F.transform(F.split(query(url), "&"), lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("name"), F.regexp_replace(p, "^[^=]*=?", "").alias("value")))
+    pairs = F.filter(split, lambda p: F.lower(p["name"]).isin(*MEANINGFUL))
+    tail = F.array_join(F.array_sort(F.transform(pairs, lambda p: F.concat(recoded(p["name"]), F.lit("="), recoded(p["value"])))), "&")
     plain = F.concat(F.lit("https://"), host(url), F.when(bare == "", "/").otherwise(bare), F.when(tail == "", "").otherwise(F.concat(F.lit("?"), tail)))
     return F.when(video.isNotNull(), watch).otherwise(plain)
 

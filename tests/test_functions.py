@@ -9,6 +9,7 @@ def values(spark, inputs, expression):
     return [r[0] for r in df.select("i", expression(F.col("x")).alias("y")).orderBy("i").select("y").collect()]
 
 
+#: Urls and the spelling that each must get.
 URLS = [
     ("http://example.com/a", "https://example.com/a"),
     ("https://WWW.Example.com/a", "https://example.com/a"),
@@ -24,6 +25,22 @@ URLS = [
 ]
 
 
+#: Cases of this engine's own: codes, parameters of a segment, names in capitals, repeated and empty values.
+MORE = [
+    ("https://a.org/x?q=a%20b&q=a+c", "https://a.org/x?q=a+b&q=a+c"),
+    ("https://a.org/x?q=%7Eme%2a&id=%C3%A9", "https://a.org/x?id=%C3%A9&q=~me%2A"),
+    ("https://a.org/x;session=1?page=2", "https://a.org/x?page=2"),
+    ("https://a.org/x?q=100%&v", "https://a.org/x?q=100%25&v="),
+    ("https://a.org/x?q=a=b", "https://a.org/x?q=a%3Db"),
+]
+
+
+def test_spellings_of_parameters(spark):
+    got = values(spark, [u for u, _ in MORE], urls.canonical_url)
+    assert got == [v for _, v in MORE]
+    assert values(spark, got, urls.canonical_url) == got
+
+
 def test_canonical_url_and_idempotence(spark):
     got = values(spark, [u for u, _ in URLS], urls.canonical_url)
     assert got == [v for _, v in URLS]
@@ -55,8 +72,10 @@ def test_clean_text_is_idempotent(spark):
 
 def test_html_to_text(spark):
     page = '<html><script>var a="</p>";</script><nav>menu</nav><p>One &amp; two</p><div>three<br/>four &#8212;</div><!-- x --></html>'
-    assert values(spark, [page], text.html_to_text) == ["One & two\nthree\nfour &#8212;"]
-    assert values(spark, [page, None], lambda c: text.html_to_text(c, text.unescape_full)) == ["One & two\nthree\nfour —", None]
+    assert values(spark, [page], lambda c: text.html_to_text(c, text.unescape_native)) == ["One & two\nthree\nfour &#8212;"]
+    assert values(spark, [page, None, "a &lt;b&gt;"], text.html_to_text) == ["One & two\nthree\nfour —", None, "a <b>"]
+    given = ["&amp;lt;", "&copy &eacute;", "&nbsp;&hearts;x", "R&D", "&#39;&#x27;", "no & reference", None]
+    assert values(spark, given, text.unescape_any) == ["&lt;", "© é", " ♥x", "R&D", "''", "no & reference", None]
 
 
 def test_challenge_marker_is_looked_for_at_the_top(spark):
