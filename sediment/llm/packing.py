@@ -29,7 +29,7 @@ from .tokens import encoder
 SIZE = 4096
 OPEN = 24
 MIN_PIECE = 32
-MERGE_IDS = 1 << 22
+MERGE_IDS = 1 << 18
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = [pa.binary() if x.endswith("binary") else pa.int64() for x in SCHEMA.split(", ")]
