@@ -137,18 +137,18 @@ def finalists(fused: DataFrame, limit: int, per_source: int = PER_SOURCE) -> Dat
     return top(capped(fused, "rrf", per_source), "rrf", limit, "marker").withColumn("found_by", found_by())
 
 
-def search(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None, report: DataFrame | None = None) -> DataFrame:
     """Hits for a question: (marker, chunk_id, source_id, rrf, matched_terms, similarity, ranks, found_by) and the chunk's other columns.
 
     ``posts`` are the stored postings of all chunks, if there are any. Which terms are kept is
-    decided within the plan. Without a vector the ranking is lexical, without terms it is by vector.
+    decided within the plan, unless ``report``, a result of ``analyse_terms``, says so. Without a vector the ranking is lexical, without terms it is by vector.
     """
     seen = visible(chunks, user)
     asked = T.terms_of(question)
     lex = None
     if asked:
         held = postings(seen, asked) if posts is None else visible(posts, user).where(F.col("term").isin(*asked))
-        kept = analyse_terms(seen, asked, held).where("kept")
+        kept = (analyse_terms(seen, asked, held) if report is None else report).where("kept")
         lex = lexical_pool(seen, kept, limit, per_source, held)
     vec = semantic_pool(seen, vector, limit, per_source) if vector is not None else None
     if lex is None and vec is None:
@@ -158,6 +158,14 @@ def search(chunks: DataFrame, question: str, vector: list[float] | None = None,
     return hits.join(seen.select("chunk_id", *rest), "chunk_id")
 
 
+def search_traced(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, *, user: str | None = None, posts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, report): the terms are analysed once, and the search goes by that report, a table of a row for each term."""
+    asked, spark = T.terms_of(question), chunks.sparkSession
+    found = analyse_terms(visible(chunks, user), asked, None if posts is None else visible(posts, user))
+    report = spark.createDataFrame(found.orderBy("pos").collect(), found.schema)
+    return search(chunks, question, vector, limit, user=user, posts=posts, report=report), report
+
+
 def best_similarity(hits: DataFrame) -> DataFrame:
     return hits.agg(F.max("similarity").alias("best_similarity"))
 

@@ -11,8 +11,8 @@ from ..functions import terms as T
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.vectors import cosine
-from ..operators import answers, chunker, constraints, dedupe, ingest, merge, retrieval, telemetry, verify
-from ..sources import index, manifest, recordings
+from ..operators import answers, chunker, constraints, dedupe, embedding, ingest, merge, retrieval, telemetry, verify
+from ..sources import cache, index, manifest, recordings
 from ..sources import tables as S
 
 QUESTION = "What should the therhean attion of thanedble erblest and eriner be, ndernt or esndha?"
@@ -130,6 +130,19 @@ def prompt_build(spark, d):
     return answers.prompt(hits, QUESTION)
 
 
+def citation_join(spark, d):
+    """The hits that answers cite: each question's answer cites its length's last digit and hit 3; markers without a hit go."""
+    held = index.of(spark, d)
+    hits = retrieval.search(held.chunks, QUESTION, _vector(spark, d), LIMIT, user=USER, posts=held.postings)
+    given = S.table(spark, d, "benchmark").select("item_id", F.concat(F.lit("See ["), (F.length("text") % 10).cast("string"), F.lit("], [3].")).alias("answer"))
+    return answers.citations(given, hits, "item_id").select("item_id", "marker", "chunk_id")
+
+
+def search_report(spark, d):
+    held = index.of(spark, d)
+    return retrieval.search_traced(held.chunks, QUESTION, _vector(spark, d), LIMIT, user=USER, posts=held.postings)[1]
+
+
 def citation_markers(spark, d):
     """Sentences of the questions as answers, each citing its length's last two digits and hit 3."""
     text = F.concat(F.col("text"), F.lit(" ["), (F.length("text") % 100).cast("string"), F.lit("] [3] [3]"))
@@ -318,6 +331,28 @@ def corpus_stats(spark, d):
     return telemetry.corpus_stats(S.sources(spark, d), S.chunks(spark, d), X.word_count(F.col("content")))
 
 
+def pending_batches(spark, d):
+    """The first two batches of passages without an embedding, embedded by their length."""
+    lengths = lambda texts: [[float(len(t))] for t in texts]
+    made = embedding.backfill(S.chunks(spark, d), lengths, "len", batch=64, max_batches=2)
+    return made.select("chunk_id", F.col("embedding")[0].cast("long").alias("length"), "embedding_model")
+
+
+def mark_duplicates(spark, d):
+    """Sources whose flags are all set anew, from those of equal texts."""
+    s = S.sources(spark, d)
+    flags = s.where("duplicate_of is not null").select("id", "duplicate_of")
+    return merge.mark_duplicates(s.withColumn("duplicate_of", F.lit(-1).cast("long")), flags).select("id", "duplicate_of")
+
+
+def clean_segments(spark, d):
+    """Turns as cues with an artefact before them, of which those of the system are nothing else."""
+    c = S.cues(spark, d).join(S.table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("pos"), "role"), ["source_id", "pos"])
+    text = F.when(F.col("role") == "system", "[Music]").otherwise(F.concat(F.lit(" [Music]  "), "text"))
+    segments = F.array(F.struct(text.alias("text"), F.when(F.col("pos") > 0, F.col("start")).alias("start"), "duration"))
+    return c.select("source_id", "pos", F.explode(X.clean_segments(segments)).alias("s")).select("source_id", "pos", F.md5("s.text").alias("text_md5"), "s.start")
+
+
 def pending_embeddings(spark, d):
     return S.chunks(spark, d).agg(F.count_if(F.col("embedding").isNull()).alias("pending"))
 
@@ -448,6 +483,39 @@ def manifest_dedupe(spark, d):
     return kept.select("url", "title", "manifest")
 
 
+def _json_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON manifest of each page: a bare list or a named one, with and without title, kind and license."""
+    title = F.when(F.col("page_id") % 4 > 0, F.concat(F.lit("Page "), F.col("page_id").cast("string"))).otherwise("")
+    kind = F.when(F.col("page_id") % 3 == 0, "docs").when(F.col("page_id") % 3 == 1, "poem")
+    item = F.struct("url", kind.alias("kind"), title.alias("title"), F.when(F.col("page_id") % 5 == 0, "cc-by").alias("license"))
+    value = F.when(F.col("page_id") % 2 == 0, F.to_json(F.array(item))).otherwise(F.to_json(F.struct(F.array(item).alias("sources"))))
+    return manifest.parse_json(_pages(spark, d).select(F.col("page_id").cast("string").alias("manifest"), value.alias("value")))
+
+
+def manifest_json(spark, d):
+    return _json_manifests(spark, d).select("manifest", "url", "kind", "title", "license")
+
+
+def manifest_select(spark, d):
+    """Of the manifests' sources, the first ten of a kind, in order."""
+    ranked = _json_manifests(spark, d).withColumn("file", F.lit(0)).withColumn("pos", F.col("manifest").cast("long"))
+    return manifest.select(ranked, kinds=["docs"], limit=10).select("manifest", "url")
+
+
+def cache_missing(spark, d):
+    """Pages whose response is not kept: those of even numbers are."""
+    p = _pages(spark, d)
+    cached = p.where("page_id % 2 = 0").select(U.cache_key(F.col("url")).alias("cache_key"))
+    return cache.missing(p, cached).select("page_id", "cache_key")
+
+
+def cache_rejects(spark, d):
+    """Kept responses by whether they are errors."""
+    p = _pages(spark, d).select(U.cache_key(F.col("url")).alias("cache_key"), F.when(F.col("page_id") % 7 == 0, "timeout").alias("error"))
+    usable, rejects = cache.split(p)
+    return usable.select("cache_key", F.lit(None).cast("string").alias("reason")).unionByName(rejects)
+
+
 def markdown_links(spark, d):
     """Pages as Markdown with an inline link and a reference, parsed back to sources."""
     md = F.concat(F.lit("See [Page "), F.col("page_id").cast("string"), F.lit("]("), "url", F.lit(' "first").\n[ref]: '), "url", F.lit('/more "second"\n'))

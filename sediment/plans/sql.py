@@ -226,3 +226,15 @@ ORACLES["verified_sources"] = f"WITH {_CHECKED} SELECT page_id, status = 'ok' AS
 ORACLES["verified_by_kind"] = f"WITH {_CHECKED} SELECT row_number() OVER (ORDER BY n DESC, kind) AS place, kind, n FROM (SELECT kind, count(*) AS n FROM checked WHERE status = 'ok' GROUP BY kind)"
 ORACLES["ingest_outcomes"] = f"""SELECT page_id AS id, CASE WHEN page_id % 10 = 0 THEN 'denied' WHEN contains(url, '/fr/') THEN 'failed' WHEN page_id % 13 <> 0 AND contains(url, '/de/') THEN 'bot wall' WHEN ({_marker('t', X.CHALLENGE_MARKERS, 600)}) IS NOT NULL AND page_id % 13 <> 0 THEN 'bot wall'
   WHEN contains(url, '/es/') THEN 'talk without cues' WHEN page_id % 13 = 0 OR t = '' THEN 'no content' ELSE 'ingested' END AS outcome FROM (SELECT page_id, url, {_html()} AS t FROM pages)"""
+ORACLES["citation_join"] = f"""WITH {HITS}, a AS (SELECT item_id, length(text) % 10 AS m FROM benchmark UNION SELECT item_id, 3 FROM benchmark)
+  SELECT item_id, marker::INT AS marker, chunk_id FROM a JOIN hits ON marker = m"""
+ORACLES["search_report"] = ORACLES["analyse_terms"]
+_JSON = f"""j AS (SELECT page_id::VARCHAR AS manifest, page_id, {CANON} AS url, CASE WHEN page_id % 3 = 0 THEN 'docs' ELSE 'blog' END AS kind, CASE WHEN page_id % 4 > 0 THEN 'Page ' || page_id ELSE url END AS title,
+  CASE WHEN page_id % 5 = 0 THEN 'cc-by' ELSE 'public-web' END AS license FROM pages)"""
+ORACLES["manifest_json"] = f"WITH {_JSON} SELECT manifest, url, kind, title, license FROM j"
+ORACLES["manifest_select"] = f"WITH {_JSON} SELECT manifest, url FROM j WHERE kind = 'docs' ORDER BY page_id LIMIT 10"
+ORACLES["cache_missing"] = "SELECT page_id, substr(sha256(url), 1, 16) AS cache_key FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)"
+ORACLES["cache_rejects"] = "SELECT substr(sha256(url), 1, 16) AS cache_key, CASE WHEN page_id % 7 = 0 THEN 'timeout' END AS reason FROM pages"
+ORACLES["pending_batches"] = f"WITH {CHUNKS} SELECT chunk_id, length(content) AS length, 'len' AS embedding_model FROM chunks WHERE embedding IS NULL ORDER BY chunk_id LIMIT 128"
+ORACLES["mark_duplicates"] = f"WITH {SOURCES} SELECT id, duplicate_of FROM sources"
+ORACLES["clean_segments"] = f"SELECT conv_id AS source_id, turn AS pos, md5({_clean('text')}) AS text_md5, CASE WHEN turn > 0 THEN turn * 4.0::DOUBLE ELSE 0 END AS start FROM conversations WHERE role <> 'system' AND {_clean('text')} <> ''"

@@ -17,8 +17,12 @@ COLUMNS = ["url", "kind", "title", "author", "license", "note", "manifest", "pos
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Sources of a JSON manifest: a list, or an object with a list named ``sources``."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("manifest"), "value")
+    """Sources of JSON manifests."""
+    return parse_json(spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("manifest"), "value"))
+
+
+def parse_json(raw: DataFrame) -> DataFrame:
+    """Sources of JSON texts (manifest, value): a list, or an object with a list named ``sources``."""
     listed = F.from_json("value", f"array<{ITEM}>")
     boxed = F.from_json("value", f"struct<sources:array<{ITEM}>>")["sources"]
     items = raw.select("manifest", F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(boxed)).alias("pos", "s"))
