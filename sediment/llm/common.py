@@ -89,7 +89,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 #: Where each table of ``written`` lies, as long as its frame is held.
 _written_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Rows of a table of short rows that one file should hold at least.
-FILE_ROWS = 200_000
+FILE_ROWS = 100_000
 
 
 def written(df: DataFrame, name: str, *, partition_by: str | None = None, path: str | None = None, rows: int | None = None, **options: str) -> DataFrame:

@@ -359,7 +359,7 @@ def components(links: DataFrame) -> DataFrame:
     An end of many links, and a label of many sets, are salted where they are joined.
     """
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = written(both.distinct(), "links")
+    both = written(both.distinct(), "links", rows=both.count())
     n = both.count()
     degrees = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     table = written(degrees.select(F.col("u").alias("s"), F.least("u", "m").alias("root"), "n"), "labels", rows=n)
@@ -382,17 +382,19 @@ def components(links: DataFrame) -> DataFrame:
 def _leaves(spread: DataFrame) -> DataFrame:
     """(leaf, n, s): sets in buckets of two or more, split on while a bucket has over LEAF of them."""
     out, rest, tables = None, spread, [spread]
+    every = left = spread.count()
     for step in range(DEPTH):
         key = f"k{step}"
-        counts = written(rest.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("leaf"), "n"), "counts")
+        counts = written(rest.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("leaf"), "n"), "counts", rows=left)
         tables.append(counts)
-        met = join_spread(rest, key, counts, "leaf", "n", F.col("s"), rest.count())
+        met = join_spread(rest, key, counts, "leaf", "n", F.col("s"), left)
         done = (met if step == DEPTH - 1 else met.where(F.col("n") <= LEAF)).select("leaf", "n", "s")
         out = done if out is None else out.unionByName(done)
         if step < DEPTH - 1:
-            rest = written(met.where(F.col("n") > LEAF).drop("leaf", "n"), "split")
+            rest = written(met.where(F.col("n") > LEAF).drop("leaf", "n"), "split", rows=left)
+            left = rest.count()
             tables.append(rest)
-    leaves = written(out, "leaves")
+    leaves = written(out, "leaves", rows=every)
     for table in tables:
         drop_written(table)
     return leaves
@@ -442,7 +444,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     full = written(full.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1), "classes")
     classes = full.groupBy(F.col("root").alias("__r")).agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("__n"))
     by_set = full.select("s", "root", F.col("links").alias("n_links"), "copies")
-    by_set = join_spread(by_set, "root", written(classes, "class-sizes"), "__r", "__n", F.col("s"), full.count()).drop("__r", "__n")
+    n_sets = full.count()
+    by_set = join_spread(by_set, "root", written(classes, "class-sizes", rows=n_sets), "__r", "__n", F.col("s"), n_sets).drop("__r", "__n")
 
     own = rows if carry_text else rows.drop(text_col)
     by_set = by_set.select(F.col("s").alias("__s"), "root", "class_id", "class_size", "n_links", F.col("copies").alias("__copies"))
