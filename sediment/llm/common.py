@@ -244,6 +244,26 @@ def ordered_index(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     )
 
 
+RUN_ROWS = 100_000
+
+
+def running(df: DataFrame, order: list[Column], value: Column, out: str, rows: int) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over all rows before a row in ``order``, however large the table.
+
+    The rows are laid in files by ranges of the order, where equal rows are dealt apart, and each
+    file's sum, one row for RUN_ROWS of them, gives the next its start. ``rows`` is their number.
+    """
+    deal = F.xxhash64(F.monotonically_increasing_id())
+    laid = df.withColumn("__deal", deal).repartitionByRange(max(1, -(-rows // RUN_ROWS)), *order, F.col("__deal")).sortWithinPartitions(*order, "__deal").drop("__deal")
+    laid = written(laid.withColumn("__at", F.monotonically_increasing_id()), "laid").withColumn("__file", F.shiftright("__at", 33))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = laid.groupBy("__file").agg(F.sum(value).alias("__sum"))
+    starts = sums.select(F.col("__file").alias("__of"), F.coalesce(F.sum("__sum").over(upto(F.lit(0)).orderBy("__file")), F.lit(0)).alias("__start")).hint("merge")
+    inside = F.coalesce(F.sum(value).over(upto("__file").orderBy("__at")), F.lit(0))
+    both = laid.withColumn("__in", inside).join(starts, F.col("__file") == F.col("__of"))
+    return both.withColumn(out, F.col("__start") + F.col("__in")).drop("__at", "__file", "__of", "__start", "__in")
+
+
 def root_buckets(n: int) -> int:
     """About the square root of ``n``: then buckets and the rows in each grow alike."""
     return max(1, math.isqrt(max(n, 1)))

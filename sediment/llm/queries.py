@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, token_store, url_filter, warc
+from . import dominance, exact_dedup, mixing, ngram_join, packing, quality_rules, resampling, secret_scan, sharding, token_store, url_filter, warc
 from .common import n_words, scratch, written
 
 
@@ -83,6 +83,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, carry_text=False).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = spark.read.parquet(f"{sf_dir}/sales.parquet")
+    copies = 1 + F.pmod(F.crc32(F.coalesce(F.col("sale_id").cast("string"), F.lit("")).cast("binary")), F.lit(3))
+    rows = sales.select("sale_id", dominance.day_slot(sales, "sold_at").alias("slot"), dominance.cents_level(F.col("total")).alias("level"), copies.alias("weight"))
+    out = dominance.dominance(rows)
+    return out.select("sale_id", "slot", "level", F.col("n_above").alias("n_sales"), F.col("w_above").alias("n_rows"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = resampling.resample(_documents(spark, sf_dir).select("doc_id", "text"), target)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -94,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_dominance": op12_dominance,
+    "op13_resampling": op13_resampling,
 }
 
 

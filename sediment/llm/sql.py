@@ -44,11 +44,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN out USING (rid)
 """
 
-# CRC-32 of the text's bytes, by a table of 256 entries that the polynomial gives.
-OP2 = r"""
-WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
-d AS (SELECT doc_id, source, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
-c AS (SELECT doc_id, source, size, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1]))) AS text_crc32 FROM d, poly),
+# CRC-32 of bytes, by a table of 256 entries that the polynomial gives.
+_POLY = "poly AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab)"
+
+
+def _bytes(of: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({of})), '..'), lambda h: ('0x' || h)::BIGINT)"
+
+
+def _crc(listed: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {listed}), lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1])))"
+
+
+OP2 = rf"""
+WITH {_POLY},
+d AS (SELECT doc_id, source, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, {_bytes("coalesce(text, '')")} AS b FROM documents),
+c AS (SELECT doc_id, source, size, {_crc("b")} AS text_crc32 FROM d, poly),
 h AS (SELECT *, ('0x' || substr(md5('29:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), 1, 15))::BIGINT AS h FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1 AS rk, count(*) OVER (PARTITION BY source) AS n FROM h),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rk + 1)::DOUBLE / (2 * n), source NULLS LAST, rk) - 1 AS pos, count(*) OVER () AS total FROM r),
@@ -88,4 +99,35 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256 FROM d
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op2_sharding": OP2, "op7_mixing": OP7, "op9_url_filter": OP9, "op10_exact_dedup": OP10}
+OP12 = rf"""
+WITH {_POLY},
+s AS (SELECT sale_id, CASE WHEN sold_at IS NOT NULL THEN floor(epoch(sold_at) / 86400)::BIGINT END AS slot, floor(floor(100 * total + 0.5) / 1000)::BIGINT AS level,
+             1 + {_crc(_bytes("coalesce(sale_id::VARCHAR, '')"))} % 3 AS w FROM sales, poly),
+c AS (SELECT slot, level, count(*) AS n, sum(w) AS w FROM s WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY slot, level),
+a AS (SELECT x.slot, x.level, sum(y.n) AS n, sum(y.w) AS w FROM c x JOIN c y ON y.slot < x.slot AND y.level > x.level GROUP BY x.slot, x.level)
+SELECT sale_id, s.slot, s.level, CASE WHEN s.slot + s.level IS NOT NULL THEN coalesce(a.n, 0)::BIGINT END AS n_sales, CASE WHEN s.slot + s.level IS NOT NULL THEN coalesce(a.w, 0)::BIGINT END AS n_rows
+FROM s LEFT JOIN a ON s.slot = a.slot AND s.level = a.level
+"""
+
+_TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH {_POLY},
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_TOKENS} AS w FROM documents),
+dw AS (SELECT rid, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_TOKENS}) AS word FROM benchmark),
+v AS (SELECT word, {_crc(_bytes("word"))} % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), poly),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN v USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT b AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain
+      FROM range(10000) AS r(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+m AS (SELECT rid, count(*) AS n, sum(gain)::BIGINT AS g FROM dw JOIN v USING (word) JOIN g USING (bucket) GROUP BY rid),
+x AS (SELECT rid, doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END::BIGINT AS weight,
+             ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (rid)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_words >= 20 AS fit FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) OVER (PARTITION BY fit) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 10 * n // 100 THEN r END AS rank FROM z
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op2_sharding": OP2, "op7_mixing": OP7, "op9_url_filter": OP9, "op10_exact_dedup": OP10,
+           "op12_dominance": OP12, "op13_resampling": OP13}
