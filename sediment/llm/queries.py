@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dominance, exact_dedup, mixing, ngram_join, packing, quality_rules, resampling, secret_scan, sharding, token_store, url_filter, warc
+from . import dominance, exact_dedup, mixing, ngram_join, packing, pieces, quality_rules, resampling, secret_scan, sharding, token_store, url_filter, warc
 from .common import n_words, scratch, written
 
 
@@ -83,6 +83,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, carry_text=False).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _tokenizer("piece_bpe_32k.model")
+    encoded = pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), model, end_id=2, carry_text=False)
+    facts = encoded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("end_byte"), F.crc32(F.array_join(F.col("ends").cast("array<string>"), " ").cast("binary")).alias("ends_crc32"),
+    )
+    out = pieces.decode(facts, model, carried=["doc_id", "n_tokens", "ids_sha256", "end_byte", "ends_crc32"])
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "end_byte", "ends_crc32")
+
+
 def op12_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = spark.read.parquet(f"{sf_dir}/sales.parquet")
     copies = 1 + F.pmod(F.crc32(F.coalesce(F.col("sale_id").cast("string"), F.lit("")).cast("binary")), F.lit(3))
@@ -108,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_dominance": op12_dominance,
     "op13_resampling": op13_resampling,
 }
