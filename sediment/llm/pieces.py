@@ -3,8 +3,9 @@
 Method. The model's file is read as it is. Its compiled character map is a double-array trie; a text
 is normalised by the longest prefix that the trie knows, else one character at a time, and each
 byte of the result records the byte of the text that it came from. The normalised text is cut
-before each run of word marks, where no piece can lie across; each distinct part is segmented once by the
-library, with a copy of the model that does not normalise, and remembered. The pieces' bounds in the
+before each run of word marks, and between Latin letters and the rest of ASCII, as no piece of the
+model lies across (this is checked); each distinct part is segmented once by the library, with a
+copy of the model that does not normalise, and remembered. The pieces' bounds in the
 normalised text then project to byte spans of the original: they are in order, and from the first
 character that is kept to the last they leave no byte out.
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,7 +34,9 @@ from .common import map_beside, with_room
 
 MARK = "▁"
 LIMIT, REMEMBERED_CHARS = 200_000, 64
-OUT_IDS = 200_000
+GROUP_BYTES = 1 << 20
+#: Latin letters, and the rest of ASCII: no piece of the usual vocabularies holds one beside the other, which is checked.
+LETTER, OTHER = r"[A-Za-zÀ-ÖØ-öø-ɏ]", r"[\x00-\x40\[-`{-\x7F]"
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -102,7 +106,9 @@ class Normaliser:
             return "", np.zeros(1, np.int64)
         if self.map is None and self.escape and not self.squeeze:
             kept = np.frombuffer(raw, np.uint8)
-            origin = np.repeat(np.arange(len(raw)), np.where(kept == 32, 3, 1))
+            # A place within a character is that of its first byte.
+            origin = np.maximum.accumulate(np.where(kept & 0xC0 == 0x80, 0, np.arange(len(raw))))
+            origin = np.repeat(origin, np.where(kept == 32, 3, 1))
             lead = np.zeros(3 * self.dummy, np.int64)
             return MARK * self.dummy + text.replace(" ", MARK), np.concatenate([lead, origin, [len(raw)]])
         return self._walk(raw)
@@ -149,7 +155,7 @@ class Normaliser:
 
 
 class Encoder:
-    """One model file. ``encode`` gives a text's ids and the byte span of each."""
+    """One model file. ``encode_all`` gives texts' ids and the byte span of each."""
 
     def __init__(self, path: str, limit: int = LIMIT):
         import sentencepiece
@@ -163,34 +169,71 @@ class Encoder:
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=bare)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         ids = range(self.bare.get_piece_size())
-        across = any(re.search(f"[^{MARK}]{MARK}", self.bare.id_to_piece(i)) for i in ids)
+        shown = {i: self.bare.id_to_piece(i) for i in ids if not (self.bare.is_byte(i) or self.bare.is_control(i) or self.bare.is_unknown(i))}
+        #: Bytes of the text that a piece stands for; an unknown one stands for what the library says.
+        self.sizes = np.array([len(shown[i].encode()) if i in shown else 1 for i in ids], np.int64)
+        self.falls_back = any(map(self.bare.is_byte, ids))
         # Without bytes to fall back on, the library joins what it doesn't know into one piece over any bound.
-        self.parts = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if any(map(self.bare.is_byte, ids)) and not across else None
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-
-    def _segment(self, part: str) -> tuple[bytes, bytes]:
-        """Ids of a normalised part, and the end in bytes of each one's surface in it."""
-        made = self.bare.encode(part, return_type="proto").pieces
-        found = array("i", [p.id for p in made]).tobytes(), array("q", [p.end for p in made]).tobytes()
-        if len(self.memo) < self.limit and len(part) <= REMEMBERED_CHARS:
-            self.memo[part] = found
+        across = lambda x, y: any(re.search(x + y, p) for p in shown.values())
+        self.parts = self.finer = None
+        if self.falls_back and not across(f"[^{MARK}]", MARK):
+            self.parts = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+            if not across(LETTER, OTHER) and not across(OTHER, LETTER):
+                self.finer = re.compile(f"{MARK}*(?:{LETTER}+|{OTHER}+)|{MARK}+")
+        self.foreign = re.compile(f"(?!{LETTER}|{OTHER}|{MARK}).", re.DOTALL)
+        self.memo: dict[str, np.ndarray] = {}
+
+    def cut(self, shown: str) -> list[str]:
+        """The parts of a normalised text over whose bounds no piece goes."""
+        if self.parts is None:
+            return [shown] if shown else []
+        return (self.finer if self.finer and not self.foreign.search(shown) else self.parts).findall(shown)
+
+    def _ids(self, parts: list[str]) -> list[np.ndarray]:
+        memo = self.memo
+        new = [p for p in parts if p not in memo]
+        made = dict(zip(new, (np.array(x, np.int32) for x in self.bare.encode(new)), strict=True)) if new else {}
+        found = [made[p] if p in made else memo[p] for p in parts]
+        for part in new:
+            if len(memo) >= self.limit:
+                break
+            if len(part) <= REMEMBERED_CHARS:
+                memo[part] = made[part]
         return found
 
+    def _gathered(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in order, and how many each has; parts that recur are looked up once."""
+        coded = pa.array(parts, pa.large_string()).dictionary_encode()
+        distinct = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        pool = np.concatenate([*distinct, np.zeros(0, np.int32)])
+        codes = coded.indices.to_numpy()
+        counts = sizes[codes]
+        upto = np.cumsum(counts)
+        return pool[np.repeat((np.cumsum(sizes) - sizes)[codes] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)], counts
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, ends, bounds) without end ids: text i has bounds[i] to bounds[i + 1] of them. Starts and ends are bytes of its text."""
+        aligned = [self.normaliser.align(t or "") for t in texts]
+        lists = [self.cut(shown) for shown, _ in aligned]
+        ids, counts = self._gathered([p for parts in lists for p in parts])
+        if self.falls_back:
+            sizes = self.sizes[ids]
+        else:
+            made = [p for parts in lists for x in parts for p in self.bare.encode(x, return_type="proto").pieces]
+            sizes = np.array([p.end - p.begin for p in made], np.int64)
+        of_text = np.cumsum([0, *map(len, lists)])
+        bounds = np.concatenate([[0], np.cumsum(counts)])[of_text]
+        # All texts' alignments in one: each begins where the one before ends, and has a place more than it has bytes.
+        begins = np.cumsum([0, *(len(o) for _, o in aligned)])[:-1]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        within = np.repeat(begins - upto[bounds[:-1]], np.diff(bounds))
+        origin = np.concatenate([*(o for _, o in aligned), np.zeros(0, np.int64)])
+        return ids, origin[within + upto[:-1]], origin[within + upto[1:]], bounds
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, ends) without an end id; starts and ends are bytes of the text."""
-        shown, origin = self.normaliser.align(text or "")
-        parts = self.parts.findall(shown) if self.parts else [shown] if shown else []
-        memo = self.memo
-        found = [memo.get(p) or self._segment(p) for p in parts]
-        ids = np.frombuffer(b"".join(f[0] for f in found), np.int32)
-        ends = np.frombuffer(b"".join(f[1] for f in found), np.int64)
-        if not len(ids):
-            return ids, ends, ends
-        # A part's last end is its length; what precedes a part is added to its ends.
-        counts = np.fromiter((len(f[0]) for f in found), np.int64, len(found)) // 4
-        sizes = ends[np.cumsum(counts) - 1]
-        ends = origin[ends + np.repeat(np.cumsum(sizes) - sizes, counts)]
-        return ids, np.concatenate([origin[:1], ends[:-1]]), ends
+        """(ids, starts, ends) of one text."""
+        return self.encode_all([text])[:3]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -204,29 +247,27 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]), kind))
+def _ended(values: np.ndarray, bounds: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The texts' values with one more at the end of each."""
+    return np.insert(values, bounds[1:], last)
 
 
 def _encoding(path: str, end_id: int | None, spans: bool) -> callable:
-    end = [] if end_id is None else [end_id]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            first, held, size = 0, [], 0
-            for i, text in enumerate(batch.column(0)):
-                text = text.as_py()
-                ids, starts, ends = enc.encode(text)
-                at = [ends[-1] if len(ends) else 0] * len(end)  # the end id stands for nothing, at the end
-                held.append((np.concatenate([ids, end]), np.concatenate([starts, at]), np.concatenate([ends, at])))
-                size += len(ids)
-                if size >= OUT_IDS or i + 1 == batch.num_rows:
-                    columns = [_lists(list(c), k) for c, k in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)][: 3 if spans else 1]
-                    rows = batch.column(1).slice(first, i + 1 - first)
-                    yield pa.RecordBatch.from_arrays([rows, *columns], [batch.schema.names[1], "ids", "starts", "ends"][: 1 + len(columns)])
-                    first, held, size = i + 1, [], 0
+            size = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = (np.cumsum(size) - size) // GROUP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for first, after in zip(cuts, cuts[1:], strict=False):
+                ids, starts, ends, bounds = enc.encode_all(batch.column(0).slice(first, after - first).to_pylist())
+                if end_id is not None:  # it stands for nothing, at the end of what the pieces stand for
+                    at = np.where(np.diff(bounds) > 0, ends[bounds[1:] - 1] if len(ends) else 0, 0)
+                    ids, starts, ends = _ended(ids, bounds, np.full(len(at), end_id)), _ended(starts, bounds, at), _ended(ends, bounds, at)
+                    bounds = bounds + np.arange(len(bounds))
+                offsets = pa.array(bounds.astype(np.int32))
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(c, k)) for c, k in ((ids, pa.int32()), (starts, pa.int64()), (ends, pa.int64()))][: 3 if spans else 1]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, after - first), *columns], [batch.schema.names[1], "ids", "starts", "ends"][: 1 + len(columns)])
 
     return run
 
@@ -244,7 +285,7 @@ def _decoding(path: str) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(path).library
         for batch in batches:
-            texts = [library.decode(ids.values.to_pylist()) if ids.is_valid else None for ids in batch.column(0)]
+            texts = [library.decode(ids.values.to_numpy()) if ids.is_valid else None for ids in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], [batch.schema.names[1], "decoded"])
 
     return run

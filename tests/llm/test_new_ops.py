@@ -77,6 +77,7 @@ def test_spans_equal_the_librarys(models, which):
 def test_memory_is_bounded_and_changes_nothing():
     few, many = pieces.Encoder(MODEL, limit=3), pieces.Encoder(MODEL)
     text = " ".join(f"word{i % 17} {'y' * (i % 90)}" for i in range(500))
+    assert few.encode(text)[0].tolist() == many.encode(text)[0].tolist()
     assert few.encode(text)[0].tolist() == many.encode(text)[0].tolist() and len(few.memo) == 3
 
 
