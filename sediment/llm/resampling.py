@@ -134,6 +134,6 @@ def drawn(scored: DataFrame, id_col: str = "doc_id", share: int = SHARE, min_wor
 def resample(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", n: int = N, buckets: int = BUCKETS, share: int = SHARE, min_words: int = MIN_WORDS, seed: str = SEED, chunk_words: int = CHUNK_WORDS, long_bytes: int = LONG_BYTES) -> DataFrame:
     """(id_col, n_words, n_features, weight, score, rank) of every document; rank 1 is the first drawn."""
     cut = {"chunk_words": chunk_words, "long_bytes": long_bytes}
-    gained = written(gains(bucket_counts(docs, text_col, n, buckets, **cut), bucket_counts(target, target_text, n, buckets, **cut), buckets), "gains", rows=buckets)
+    gained = written(gains(bucket_counts(docs, text_col, n, buckets, **cut), bucket_counts(target, target_text, n, buckets, **cut), buckets), "gains")
     scored = written(weighed(docs, gained, id_col, text_col, n, buckets, seed, **cut), "scored")
     return drawn(scored, id_col, share, min_words)
