@@ -18,6 +18,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--kind", action="append")
     parser.add_argument("--store", help="folder of stored tables, for ingest; of recordings, for record")
     parser.add_argument("--fetched", help="Parquet table of fetched pages (url, http_status, text, error), for verify and ingest")
+    parser.add_argument("--source", help="take in only this url")
+    parser.add_argument("--first", type=int, help="take in so many of the manifests' sources")
     parser.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
     spark = get_session("sediment")
@@ -42,8 +44,11 @@ def main(argv: list[str] | None = None) -> int:
         return _ingest(spark, args)
     from .sources import index, tables
 
-    held = index.of(spark, args.tables)
-    engine = Engine(spark, tables.sources(spark, args.tables), held.chunks, postings=held.postings)
+    if args.tables:
+        held = index.of(spark, args.tables)
+        engine = Engine(spark, tables.sources(spark, args.tables), held.chunks, postings=held.postings)
+    else:
+        engine = Engine.stored(spark, args.store)
     if args.command == "stats":
         engine.stats().show()
     elif args.command == "search":
@@ -59,27 +64,25 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _ingest(spark, args) -> int:
-    """Takes the manifests' fetched pages into the stored tables, and shows the report."""
+    """Takes the manifests' fetched pages into the store in one commit, and shows the report."""
     from pyspark.sql import functions as F
 
-    from . import schema
     from .api import Engine
-    from .io import Versions
     from .sources import manifest
 
     wanted = manifest.select(manifest.load(spark, *args.words)[0], kinds=args.kind)
-    pages = spark.read.parquet(args.fetched).select("url", F.col("text").alias("raw_text"), "error")
-    new = wanted.join(pages, "url", "left").withColumn("owner", F.lit(args.user or "public")).withColumn("id", F.xxhash64("owner", "url"))
-    new = new.withColumn("error", F.coalesce("error", F.when(F.col("raw_text").isNull(), "not fetched"))).withColumn("raw_segments", F.lit(None).cast(schema.SEGMENTS))
-    tables = {}
-    for name in ("sources", "chunks"):
-        table = Versions(spark, f"{args.store}/{name}")
-        tables[name] = (table, table.read() if table.numbers() else spark.createDataFrame([], schema.schema(name)))
-    engine = Engine(spark, *(t[1] for t in tables.values()))
-    engine.ingest(new.drop("file", "manifest", "pos"), dry_run=args.dry_run).show(100, False)
-    if not args.dry_run:
-        tables["sources"][0].swap(engine.sources)
-        tables["chunks"][0].swap(engine.chunks)
+    if args.source:
+        wanted = wanted.where(F.col("url") == args.source)
+    if args.first:
+        wanted = wanted.orderBy("file", "pos").limit(args.first)
+    fetched = spark.read.parquet(args.fetched)
+    failed = F.when(F.col("http_status") >= 400, F.concat(F.lit("http "), F.col("http_status").cast("string"))) if "http_status" in fetched.columns else F.lit(None).cast("string")
+    kept = [c for c in ("raw_segments", "transcript_kind") if c in fetched.columns]
+    pages = fetched.select("url", F.col("text").alias("raw_text"), F.coalesce("error", failed).alias("error"), *kept)
+    new = wanted.join(pages, "url", "left").withColumn("owner", F.lit(args.user or "public"))
+    missing = F.col("raw_text").isNull() & (F.col("raw_segments").isNull() if "raw_segments" in kept else F.lit(True))
+    new = new.withColumn("error", F.coalesce("error", F.when(missing, "not fetched")))
+    Engine.stored(spark, args.store).ingest(new, dry_run=args.dry_run).show(100, False)
     return 0
 
 

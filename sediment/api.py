@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
+from .corpus import Corpus
 from .io import written
 from .operators import answers, chunker, dedupe, embedding, ingest, merge, retrieval, telemetry
 from .sources import recordings
@@ -16,12 +17,30 @@ from .sources import recordings
 
 class Engine:
     """A corpus: sources, chunks, and optionally recorded answers, an embedder for questions, stored postings of
-    the chunks, and the model's price per million tokens in and out."""
+    the chunks, and the model's price per million tokens in and out. With a stored ``corpus`` its tables are
+    searched, and ingestion commits to it."""
 
-    def __init__(self, spark: SparkSession, sources: DataFrame, chunks: DataFrame, *, recorded: DataFrame | None = None, embed: Callable[[str], list[float] | None] | None = None, complete: Callable[[str], tuple[str, int, int]] = answers.extractive, postings: DataFrame | None = None, price: tuple[float, float] | None = None):
+    def __init__(self, spark: SparkSession, sources: DataFrame, chunks: DataFrame, *, recorded: DataFrame | None = None, embed: Callable[[str], list[float] | None] | None = None, complete: Callable[[str], tuple[str, int, int]] = answers.extractive, postings: DataFrame | None = None, price: tuple[float, float] | None = None, corpus: Corpus | None = None):
+        self.corpus = corpus
         self.spark, self.sources, self.chunks, self.recorded, self.embed, self.complete = spark, sources, chunks, recorded, embed, complete
         self.postings, self.price = postings, price
 
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, **options) -> Engine:
+        """The engine over a folder of stored tables, which need not be there yet."""
+        corpus = Corpus(spark, path)
+        return cls(spark, corpus.sources, corpus.chunks, postings=corpus.postings, corpus=corpus, **options)
+
+    def _refreshed(self) -> None:
+        """The frames of the corpus's last commit."""
+        if self.corpus is not None:
+            self.corpus.store.refresh()
+            self.sources, self.chunks, self.postings = self.corpus.sources, self.corpus.chunks, self.corpus.postings
+
+    def _stored(self, user: str | None) -> dict:
+        """What a search is told of a stored corpus."""
+        return {} if self.corpus is None else {"total": self.corpus.total(user), "fetch": self.corpus.fetch}
+
     def vector(self, question: str) -> list[float] | None:
         """The question's vector; without an embedder, or if it fails, search is lexical."""
         if self.embed is None:
@@ -35,26 +54,26 @@ class Engine:
             return None
 
     def search(self, question: str, limit: int = 8, user: str | None = None, semantic: bool = True) -> DataFrame:
-        return retrieval.search(self.chunks, question, self.vector(question) if semantic else None, limit, user=user, posts=self.postings)
+        return retrieval.search(self.chunks, question, self.vector(question) if semantic else None, limit, user=user, posts=self.postings, **self._stored(user))
 
     def analyse(self, question: str, user: str | None = None) -> DataFrame:
         from .functions.terms import terms_of
 
         return retrieval.analyse_terms(retrieval.visible(self.chunks, user), terms_of(question))
 
-    def ask(self, question: str, limit: int = 6, user: str | None = None) -> dict:
-        """The response to a question: the recording of exactly this question and tenant, if there is one."""
+    def ask(self, question: str, limit: int = 6, user: str | None = None, explain: bool = False) -> dict:
+        """The response to a question: the recording of exactly this question and tenant, if there is one. ``explain`` adds the trace."""
         began = time.perf_counter()
         if self.recorded is not None:
             asked = self.spark.createDataFrame([(question, user)], "question string, user string")
             held = recordings.lookup(self.recorded, asked).first()["recorded"]
             if held is not None:
                 return held.asDict(recursive=True) | {"cached": True}
-        a = answers.ask(self.chunks, question, vector=self.vector(question), limit=limit, user=user, complete=self.complete, posts=self.postings)
+        a = answers.ask(self.chunks, question, vector=self.vector(question), limit=limit, user=user, complete=self.complete, posts=self.postings, **self._stored(user))
         per_in, per_out = self.price or (None, None)
-        place = lambda h: {"marker": h.marker, "title": h.title, "url": h.link, "timestamp": h.timestamp, "transcript_kind": h.provenance or None}
+        place = lambda h: {"marker": h.marker, "title": h.title, "url": h.link, "timestamp": h.timestamp, "transcript_kind": getattr(h, "transcript_kind", None)}
         passages = [
-            place(h) | {"matched_terms": h.matched_terms, "score": round(h.rrf, 4), "similarity": None if h.similarity is None else round(h.similarity, 3), "used": h.marker in a.cited, "found_by": h.found_by}
+            place(h) | {"matched_terms": h.matched_terms, "score": round(h.score, 4), "rrf": round(h.rrf, 4), "provenance": h.provenance or None, "similarity": None if h.similarity is None else round(h.similarity, 3), "used": h.marker in a.cited, "found_by": h.found_by}
             for h in a.hits
         ]
         return {
@@ -65,7 +84,7 @@ class Engine:
             "terms": [{"term": t, "doc_freq": 0, "kept": True} for t in a.kept] + [{"term": t, "doc_freq": n, "kept": False} for t, n in a.dropped],
             "passages": passages,
             "explain": {"passages_used": len(a.cited), "passages": len(passages), "terms_kept": len(a.kept), "steps": a.steps()},
-            "trace": a.trace(),
+            "trace": a.trace() if explain else None,
         }
 
     def ingest(self, new: DataFrame, *, dry_run: bool = False, flag: bool = True, **options) -> DataFrame:
@@ -74,6 +93,10 @@ class Engine:
         Rejected sources are left out; the others' passages are merged, the sources upserted, and
         duplicates among all sources flagged. A dry run judges and cuts, and changes nothing.
         """
+        if self.corpus is not None:
+            told = written(self.corpus.ingest(new, dry_run=dry_run, flag=flag, **options), "report")
+            self._refreshed()
+            return told
         judged = written(ingest.judged(new), "judged")
         fresh = written(chunker.chunk_sources(judged.where("outcome is null"), **options).drop("cues", "tokenizer"), "passages")
         decided = ingest.outcomes(judged, fresh)
@@ -108,8 +131,19 @@ class Engine:
             return {"status": "unavailable", "detail": type(e).__name__}
 
     def find_duplicates(self, threshold: float = dedupe.THRESHOLD) -> DataFrame:
-        """(id, duplicate_of, score) as ingestion in order of identifier would flag them; without an owner column all are public."""
-        sketched = written(dedupe.sketches(self.sources, owner_col="owner" if "owner" in self.sources.columns else None), "sketches")
+        """(id, duplicate_of, score) as ingestion in order of identifier would flag them; without an owner column all are public.
+
+        What is compared is what is indexed: a source's passages in order, and its text only if it has
+        none. A source without a word in either has no fingerprint and is nobody's duplicate.
+        """
+        owned = ["owner"] * ("owner" in self.sources.columns)
+        texts = self.sources.select("id", *owned, F.col("raw_text").alias("__raw"))
+        if {"source_id", "chunk_index", "content"} <= set(self.chunks.columns):
+            texts = texts.join(dedupe.chunk_texts(self.chunks), "id", "left").withColumn("raw_text", F.coalesce("raw_text", "__raw"))
+        else:
+            texts = texts.withColumnRenamed("__raw", "raw_text")
+        worded = texts.where(F.lower("raw_text").rlike("[a-z0-9]"))
+        sketched = written(dedupe.sketches(worded, owner_col="owner" if owned else None), "sketches")
         return dedupe.resolve(written(dedupe.scored_pairs(sketched, threshold), "pairs"), lambda df: written(df, "rounds"))
 
     def stats(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,31 +21,46 @@ def sketches(df: DataFrame, id_col: str = "id", text_col: str = "raw_text", k: i
     return hashed.select(*keys, X.bottom_k(F.col("h"), size).alias("sketch"), F.size("h").alias("n"))
 
 
-def scored_pairs(sketched: DataFrame, threshold: float = THRESHOLD, size: int = SKETCH) -> DataFrame:
-    """(a, b, jaccard, score) with a < b: pairs that share a sketch hash, and whose containment reaches the threshold.
+def places(sketched: DataFrame) -> DataFrame:
+    """(id, owner, n, k, p, h): each hash of the sketches (id, owner, sketch, n), its place, and the size of its sketch."""
+    return sketched.select("id", *["owner"] * ("owner" in sketched.columns), "n", F.size("sketch").alias("k"), F.posexplode("sketch").alias("p", "h"))
 
-    Pairs with a positive score share a hash within the window, so meeting on hashes loses none.
-    Rows meet with their hash's place in either sketch. Of a pair's shared hashes in order, the
-    i-th has the place ``pa + pb - i`` among the hashes of both, so the places alone tell how many
-    lie within the window, and no sketch is joined again. With owners, ``b`` meets only what its
-    owner sees: public sources and its own. ``sketched`` should be a written table: it is read twice.
+
+def scored_met(left: DataFrame, right: DataFrame, meets: Column, threshold: float = THRESHOLD, size: int = SKETCH) -> DataFrame:
+    """(a, b, jaccard, score) of ``left`` (as x) and ``right`` (as y), results of ``places``, that share a hash and of which ``meets`` holds.
+
+    Of a pair's shared hashes in order, the i-th has the place ``pa + pb - i`` among the hashes of
+    both, so the places alone tell how many lie within the window, and no sketch is joined again.
     """
-    owned = "owner" in sketched.columns
-    one = sketched.select("id", *["owner"] * owned, "n", F.size("sketch").alias("k"), F.posexplode("sketch").alias("p", "h"))
-    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id"))
-    if owned:
-        meets &= (F.col("x.owner") == "public") | (F.col("x.owner") == F.col("y.owner"))
-    met = one.alias("x").join(one.alias("y"), meets)
-    places = F.sort_array(F.collect_list(F.col("x.p") + F.col("y.p") + 2))
+    met = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & meets)
+    at = F.sort_array(F.collect_list(F.col("x.p") + F.col("y.p") + 2))
     counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.size(F.filter(places, lambda p, i: p - i - 1 <= size)).alias("within"), F.first(F.col("x.k") + F.col("y.k")).alias("k"),
+        F.size(F.filter(at, lambda p, i: p - i - 1 <= size)).alias("within"), F.first(F.col("x.k") + F.col("y.k")).alias("k"),
         F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"),
     )
+    return _scored(counted, threshold, size)
+
+
+def _scored(counted: DataFrame, threshold: float, size: int) -> DataFrame:
     out = counted.withColumn("jaccard", F.col("within") / F.least(F.lit(size), F.col("k") - F.col("shared")))
     score = F.greatest(X.containment(F.col("jaccard"), F.col("na"), F.col("nb")), X.containment(F.col("jaccard"), F.col("nb"), F.col("na")))
     return out.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", "jaccard", "score")
 
 
+def scored_pairs(sketched: DataFrame, threshold: float = THRESHOLD, size: int = SKETCH) -> DataFrame:
+    """(a, b, jaccard, score) with a < b: pairs that share a sketch hash, and whose containment reaches the threshold.
+
+    Pairs with a positive score share a hash within the window, so meeting on hashes loses none.
+    With owners, ``b`` meets only what its owner sees: public sources and its own. ``sketched``
+    should be a written table: it is read twice.
+    """
+    one = places(sketched)
+    meets = F.col("x.id") < F.col("y.id")
+    if "owner" in sketched.columns:
+        meets &= (F.col("x.owner") == "public") | (F.col("x.owner") == F.col("y.owner"))
+    return scored_met(one, one, meets, threshold, size)
+
+
 def chunk_texts(chunks: DataFrame) -> DataFrame:
     """(id, raw_text): each source's passages in order, a line each, which is what its fingerprint is taken of."""
     listed = chunks.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("x"))

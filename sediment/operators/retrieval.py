@@ -7,6 +7,8 @@ are joined back to the few rows that are left.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,13 +54,13 @@ def visible_total(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total"))
 
 
-def analyse_terms(chunks: DataFrame, terms: list[str], posts: DataFrame | None = None, max_df: float = MAX_DOC_FREQ) -> DataFrame:
-    """(pos, term, df, total, kept): a term is kept if some chunk holds it, and at most ``max_df`` of them do."""
+def analyse_terms(chunks: DataFrame, terms: list[str], posts: DataFrame | None = None, max_df: float = MAX_DOC_FREQ, total: DataFrame | None = None) -> DataFrame:
+    """(pos, term, df, total, kept): a term is kept if some chunk holds it, and at most ``max_df`` of them do. ``total``, one row, is their stored number."""
     spark = chunks.sparkSession
     asked = spark.createDataFrame(list(enumerate(terms)), "pos int, term string")
     freq = doc_freq(postings(chunks, terms) if posts is None else posts.where(F.col("term").isin(*terms)))
     out = asked.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    out = out.join(visible_total(chunks), F.lit(True), "left")
+    out = out.join(visible_total(chunks) if total is None else total, F.lit(True), "left")
     return out.withColumn("kept", (F.col("df") > 0) & (F.col("df") / F.col("total") <= max_df))
 
 
@@ -109,7 +111,7 @@ def semantic_pool(chunks: DataFrame, vector, limit: int, per_source: int = PER_S
 
 
 def fuse(lex: DataFrame | None, vec: DataFrame | None) -> DataFrame:
-    """Reciprocal rank fusion. Only a lexical row has matched terms, only a vector row a similarity."""
+    """Reciprocal rank fusion. Only a lexical row has matched terms and a score above 0, only a vector row a similarity."""
     if lex is None and vec is None:
         raise ValueError("nothing to fuse")
     part = lambda rank: F.coalesce(1.0 / (RRF_K + F.col(rank)), F.lit(0.0))
@@ -117,12 +119,12 @@ def fuse(lex: DataFrame | None, vec: DataFrame | None) -> DataFrame:
     if vec is None:
         both = lex.withColumn("similarity", none("double")).withColumn("vector_rank", none("int"))
     elif lex is None:
-        both = vec.withColumn("matched_terms", none("long")).withColumn("lexical_rank", none("int"))
+        both = vec.withColumn("matched_terms", none("long")).withColumn("lexical_rank", none("int")).withColumn("score", none("double"))
     else:
         right = vec.select("chunk_id", F.col("source_id").alias("__s"), "similarity", "vector_rank")
         both = lex.join(right, "chunk_id", "full_outer").withColumn("source_id", F.coalesce("source_id", "__s")).drop("__s")
     return both.select(
-        "chunk_id", "source_id", F.coalesce("matched_terms", F.lit(0)).alias("matched_terms"), "similarity", "lexical_rank", "vector_rank",
+        "chunk_id", "source_id", F.coalesce("matched_terms", F.lit(0)).alias("matched_terms"), F.coalesce("score", F.lit(0.0)).alias("score"), "similarity", "lexical_rank", "vector_rank",
         F.round(part("lexical_rank") + part("vector_rank"), 12).alias("rrf"),
     )
 
@@ -137,33 +139,36 @@ def finalists(fused: DataFrame, limit: int, per_source: int = PER_SOURCE) -> Dat
     return top(capped(fused, "rrf", per_source), "rrf", limit, "marker").withColumn("found_by", found_by())
 
 
-def search(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None, report: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None, report: DataFrame | None = None, total: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Hits for a question: (marker, chunk_id, source_id, rrf, matched_terms, similarity, ranks, found_by) and the chunk's other columns.
 
     ``posts`` are the stored postings of all chunks, if there are any. Which terms are kept is
     decided within the plan, unless ``report``, a result of ``analyse_terms``, says so. Without a vector the ranking is lexical, without terms it is by vector.
+    ``fetch`` adds the chunks' other columns to the hits where a store can do so without a scan.
     """
     seen = visible(chunks, user)
     asked = T.terms_of(question)
     lex = None
     if asked:
         held = postings(seen, asked) if posts is None else visible(posts, user).where(F.col("term").isin(*asked))
-        kept = (analyse_terms(seen, asked, held) if report is None else report).where("kept")
+        kept = (analyse_terms(seen, asked, held, total=total) if report is None else report).where("kept")
         lex = lexical_pool(seen, kept, limit, per_source, held)
     vec = semantic_pool(seen, vector, limit, per_source) if vector is not None else None
     if lex is None and vec is None:
         return fuse(lexical_pool(seen, [], limit), None).where("false").withColumn("marker", F.lit(0)).withColumn("found_by", F.lit(""))
     hits = finalists(fuse(lex, vec), limit, per_source)
+    if fetch is not None:
+        return fetch(hits)
     rest = [c for c in chunks.columns if c not in hits.columns and c not in ("embedding", "norm")]
     return hits.join(seen.select("chunk_id", *rest), "chunk_id")
 
 
-def search_traced(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, *, user: str | None = None, posts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search_traced(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, *, user: str | None = None, posts: DataFrame | None = None, total: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, report): the terms are analysed once, and the search goes by that report, a table of a row for each term."""
     asked, spark = T.terms_of(question), chunks.sparkSession
-    found = analyse_terms(visible(chunks, user), asked, None if posts is None else visible(posts, user))
+    found = analyse_terms(visible(chunks, user), asked, None if posts is None else visible(posts, user), total=total)
     report = spark.createDataFrame(found.orderBy("pos").collect(), found.schema)
-    return search(chunks, question, vector, limit, user=user, posts=posts, report=report), report
+    return search(chunks, question, vector, limit, user=user, posts=posts, report=report, fetch=fetch), report
 
 
 def best_similarity(hits: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ VERSIONS = [
     (2, "chunks", "id bigint, source_id bigint, chunk_index int, content string, content_hash string, token_count int, start_ts decimal(10,3), end_ts decimal(10,3), embedding array<float>, embedding_model string, metadata map<string,string>, created_at timestamp"),
     (3, "sources", "owner string, added_by string"),
     (4, "sources", "shingle_sketch array<bigint>, shingle_count int, duplicate_of bigint"),
+    (5, "sources", "chunk_count int"),
 ]
 DEFAULTS = {"owner": "public"}
 

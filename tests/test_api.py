@@ -82,20 +82,33 @@ def test_ingest_rejects_flags_and_replaces(spark):
     assert left == engine.chunks.count() and engine.backfill(lambda texts: [[1.0] for _ in texts], "m").first()[0] == 0
 
 
-def test_command_line_ingests_into_versions(spark, tmp_path, capsys):
+def test_command_line_ingests_into_a_store(spark, tmp_path, capsys):
     import json
 
     from sediment.__main__ import main
-    from sediment.io import Versions
+    from sediment.corpus import Corpus
 
-    (tmp_path / "m.json").write_text(json.dumps([{"url": "https://a.org/1", "title": "One"}, {"url": "https://a.org/2", "title": "Two"}]))
-    spark.createDataFrame([("https://a.org/1", 200, "Some words here. " * 600, None)], "url string, http_status int, text string, error string").write.parquet(f"file://{tmp_path}/pages")
+    (tmp_path / "m.json").write_text(json.dumps([{"url": f"https://a.org/{i}", "title": t} for i, t in ((1, "One"), (2, "Two"), (3, "Three"))]))
+    pages = [("https://a.org/1", 200, "Some words here. " * 600, None), ("https://a.org/3", 404, "gone", None)]
+    spark.createDataFrame(pages, "url string, http_status int, text string, error string").write.parquet(f"file://{tmp_path}/pages")
     args = [str(tmp_path / "m.json"), "--fetched", f"file://{tmp_path}/pages"]
-    assert main(["ingest", *args, "--store", f"file://{tmp_path}/store", "--dry-run"]) == 0 and not (tmp_path / "store").exists()
-    for _ in range(2):
-        assert main(["ingest", *args, "--store", f"file://{tmp_path}/store"]) == 0
-    held = Versions(spark, f"file://{tmp_path}/store/sources")
-    assert held.numbers() == [1, 2] and [r.url for r in held.read().collect()] == ["https://a.org/1"] and held.read(1).count() == 1
-    held.prune()
-    assert held.numbers() == [2] and Versions(spark, f"file://{tmp_path}/store/chunks").read().count() > 0
+    store = f"file://{tmp_path}/store"
+    assert main(["ingest", *args, "--store", store, "--dry-run", "--first", "1"]) == 0 and not (tmp_path / "store").exists()
+    assert "failed" not in capsys.readouterr().out
+    assert main(["ingest", *args, "--store", store, "--source", "https://a.org/2"]) == 0 and Corpus(spark, store).sources.count() == 0
+    assert main(["ingest", *args, "--store", store]) == 0
+    held = Corpus(spark, store)
+    assert [r.url for r in held.sources.collect()] == ["https://a.org/1"] and held.chunks.count() == held.total().first()[0] > 0
+    assert main(["stats", "--store", store]) == 0
     assert main(["verify", *args]) == 1 and "not fetched" in capsys.readouterr().out
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    from sediment.io import Versions
+
+    table = Versions(spark, f"file://{tmp_path}/t")
+    for n in (3, 5):
+        table.swap(spark.range(n))
+    assert table.numbers() == [1, 2] and table.read(1).count() == 3 and table.read().count() == 5
+    table.prune()
+    assert table.numbers() == [2]
