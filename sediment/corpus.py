@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
+from .functions.text import hash60
 from .io import written
 from .operators import chunker, dedupe, ingest, merge, retrieval
 from .store import Change, Store
@@ -124,7 +125,7 @@ class Corpus:
         keep = F.row_number().over(retrieval.Window.partitionBy("owner", "url").orderBy(F.desc("id"), F.desc_nulls_last("raw_text")))
         judged = written(ingest.judged(new.withColumn("__rn", keep).where("__rn = 1").drop("__rn")), "judged")
         fresh = chunker.chunk_sources(judged.where("outcome is null"), **options).drop("cues", "tokenizer")
-        fresh = written(fresh.withColumn("id", F.xxhash64("source_id", "chunk_index")), "passages")
+        fresh = written(fresh.withColumn("id", hash60(F.concat_ws(":", "source_id", "chunk_index"))), "passages")
         decided = ingest.outcomes(judged, fresh)
         touched = [r[0] for r in fresh.select(store.bucket("source_id")).distinct().collect()]
         old = self.passages(touched)

@@ -7,6 +7,7 @@ are joined back to the few rows that are left.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -163,6 +164,137 @@ def search(chunks: DataFrame, question: str, vector: list[float] | None = None,
     return hits.join(seen.select("chunk_id", *rest), "chunk_id")
 
 
+def top_each(ranked: DataFrame, score: str, n: int, rank: str) -> DataFrame:
+    """The best ``n`` of each question (qid), with their place from 1."""
+    best = Window.partitionBy("qid").orderBy(F.desc(score), "chunk_id")
+    return ranked.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= n)
+
+
+def _kept_terms(questions: DataFrame, posts: DataFrame, total: DataFrame, max_df: float = MAX_DOC_FREQ) -> DataFrame:
+    """(qid, term) of all questions' terms that are kept: each distinct term is looked up and judged once."""
+    asked = questions.select("qid", F.explode(T.query_terms(F.col("question"))).alias("term"))
+    found = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    judged = doc_freq(found).join(F.broadcast(total)).where(F.col("df") / F.col("total") <= max_df)  # one row
+    return asked.join(judged.select("term"), "term")
+
+
+def _similar(chunks: DataFrame, block: list, window: int) -> DataFrame:
+    """(qid, chunk_id, source_id, similarity): for each question of the block the ``window`` nearest passages of each task.
+
+    The products run over a block of questions and an Arrow batch of passages at once, dimension
+    by dimension, so that sums are the same as those of a single search.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    qids, matrix = np.array([r.qid for r in block]), np.array([r.vector for r in block], float)
+
+    def dots(a, b):
+        out = np.zeros((len(a), len(b)))
+        for d in range(a.shape[1]):
+            out += a[:, d, None] * b[None, :, d]
+        return out
+
+    def norms(m):
+        out = np.zeros(len(m))
+        for d in range(m.shape[1]):
+            out += m[:, d] * m[:, d]
+        return np.sqrt(out)
+
+    lengths, wide = norms(matrix), matrix.shape[1]
+
+    def run(batches):
+        ids, sources = np.zeros(0, np.int64), np.zeros(0, object)
+        held = [(ids, sources, np.zeros(0))] * len(qids)
+        for batch in batches:
+            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, wide)
+            ids, sources = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alike = np.round(dots(matrix, vectors) / (lengths[:, None] * norms(vectors)[None, :]), 9)
+            for i, row in enumerate(alike):
+                near = np.flatnonzero(~np.isnan(row))
+                if len(near) > window:  # those below the window's last are never in it, those equal to it may be
+                    near = near[row[near] >= -np.partition(-row[near], window - 1)[window - 1]]
+                both = [np.concatenate(x) for x in zip(held[i], (ids[near], sources[near], row[near]), strict=True)]
+                order = np.lexsort((both[0], -both[2]))[:window]
+                held[i] = tuple(x[order] for x in both)
+        counts = [len(h[0]) for h in held]
+        columns = [np.repeat(qids, counts), *(np.concatenate(x) for x in zip(*held, strict=True))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types, strict=True)], out.names)
+
+    rows = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == wide)).select("chunk_id", "source_id", "embedding")
+    source = rows.schema["source_id"].dataType
+    schema = f"qid long, chunk_id long, source_id {source.simpleString()}, similarity double"
+    out = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("source_id", pa.string() if source.simpleString() == "string" else pa.int64()), ("similarity", pa.float64())])
+    return rows.mapInArrow(run, schema)
+
+
+QUESTION_BLOCK = 512
+
+
+def semantic_many(chunks: DataFrame, questions: DataFrame, limit: int, per_source: int = PER_SOURCE, block: int = QUESTION_BLOCK) -> DataFrame | None:
+    """(qid, chunk_id, source_id, similarity, vector_rank): every question's pool of nearest passages, exact.
+
+    Questions (qid, question, vector) go over the passages in blocks, as many vectors at a time as
+    ``block`` says, which bounds what a task is sent.
+    """
+    window, parts = SCAN_FACTOR * pool_size(limit), []
+    vectors = questions.where(F.col("vector").isNotNull()).select("qid", "vector").toLocalIterator()
+    held: list = []
+    for row in vectors:
+        held.append(row)
+        if len(held) == block:
+            parts, held = [*parts, _similar(chunks, held, window)], []
+    if held:
+        parts.append(_similar(chunks, held, window))
+    if not parts:
+        return None
+    near = functools.reduce(DataFrame.unionByName, parts)
+    near = top_each(near, "similarity", window, "place").drop("place")
+    return top_each(capped(near, "similarity", 2 * per_source, "qid"), "similarity", pool_size(limit), "vector_rank")
+
+
+def lexical_many(questions: DataFrame, posts: DataFrame, total: DataFrame, limit: int, per_source: int = PER_SOURCE) -> DataFrame:
+    """(qid, chunk_id, source_id, matched_terms, score, lexical_rank): every question's pool of passages by words.
+
+    Terms of too many passages are dropped before postings are met, so none brings more than its share of the corpus.
+    """
+    met = posts.join(_kept_terms(questions, posts, total), "term")
+    scored = met.groupBy("qid", "chunk_id", "source_id").agg(F.count(F.lit(1)).alias("matched_terms"), F.sum("tf").alias("n"))
+    scored = scored.select("qid", "chunk_id", "source_id", "matched_terms", (F.lit(0.1) * F.col("n") * F.col("matched_terms")).alias("score"))
+    return top_each(capped(scored, "score", 2 * per_source, "qid"), "score", pool_size(limit), "lexical_rank")
+
+
+def search_many(chunks: DataFrame, questions: DataFrame, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None, total: DataFrame | None = None) -> DataFrame:
+    """The hits of all ``questions`` (qid, question, vector) in one plan: (qid, marker, chunk_id, source_id, ranks, rrf, found_by, ...).
+
+    Each question's hits are those that ``search`` gives it alone. A question without a kept term
+    is searched by its vector, one without a vector by its words, one with neither has no hits.
+    """
+    seen = visible(chunks, user)
+    held = postings(seen) if posts is None else visible(posts, user)
+    lex = lexical_many(questions, held, visible_total(seen) if total is None else total, limit, per_source)
+    vec = semantic_many(seen, questions, limit, per_source)
+    if vec is None:
+        vec = lex.where("false").select("qid", "chunk_id", "source_id", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("vector_rank"))
+    right = vec.select("qid", "chunk_id", F.col("source_id").alias("__s"), "similarity", "vector_rank")
+    both = lex.join(right, ["qid", "chunk_id"], "full_outer").withColumn("source_id", F.coalesce("source_id", "__s"))
+    part = lambda rank: F.coalesce(1.0 / (RRF_K + F.col(rank)), F.lit(0.0))
+    fused = both.select(
+        "qid", "chunk_id", "source_id", F.coalesce("matched_terms", F.lit(0)).alias("matched_terms"), F.coalesce("score", F.lit(0.0)).alias("score"), "similarity",
+        "lexical_rank", "vector_rank", F.round(part("lexical_rank") + part("vector_rank"), 12).alias("rrf"),
+    )
+    return top_each(capped(fused, "rrf", per_source, "qid"), "rrf", limit, "marker").withColumn("found_by", found_by())
+
+
+def abstains_many(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, hits, best_matched, best_similarity, abstained) of every question, those without a hit too."""
+    facts = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.max("matched_terms").alias("best_matched"), F.max("similarity").alias("best_similarity"))
+    out = questions.select("qid").join(facts, "qid", "left").fillna(0, ["hits", "best_matched"])
+    stands = (F.col("best_matched") >= MIN_MATCHED) | F.coalesce(F.col("best_similarity") >= MIN_SIMILARITY, F.lit(False))
+    return out.withColumn("abstained", (F.col("hits") < 1) | ~stands)
+
+
 def search_traced(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, *, user: str | None = None, posts: DataFrame | None = None, total: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, report): the terms are analysed once, and the search goes by that report, a table of a row for each term."""
     asked, spark = T.terms_of(question), chunks.sparkSession

@@ -540,3 +540,41 @@ def sources_per_owner(spark, d):
     w = Window.partitionBy("source_id").orderBy(F.desc("similarity"), "chunk_id")
     ranked = retrieval.semantic(_seen(spark, d), _vector(spark, d)).withColumn("rn", F.row_number().over(w)).where("rn <= 1")
     return ranked.select("source_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
+def stored_passages(spark, d):
+    """The passages that two ingestions leave in a store."""
+    return index.corpus(spark, d).passages().select("source_id", "chunk_index", "content_hash", "token_count")
+
+
+def stored_terms(spark, d):
+    """Document frequency and occurrences of every term, from the store's postings as they are after a re-ingestion."""
+    return index.corpus(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+
+
+def stored_search(spark, d):
+    """A search by words over the store: postings, the sources' counts, and only the buckets of the hits."""
+    hits = index.corpus(spark, d).search(QUESTION, None, LIMIT, USER)
+    return hits.select("marker", "source_id", "chunk_index", "matched_terms", F.round("score", 6).alias("score"), "content_hash", "title")
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """All of ``benchmark`` as questions, each with the embedding of its number, if there is one."""
+    vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")).join(vectors, "qid", "left")
+
+
+def _found_many(spark: SparkSession, d: str) -> DataFrame:
+    held = index.of(spark, d)
+    return retrieval.search_many(held.chunks, _questions(spark, d), LIMIT, user=USER, posts=held.postings)
+
+
+def search_many(spark, d):
+    """Every question's hits over all visible passages, in one plan."""
+    return _found_many(spark, d).select("qid", "marker", "chunk_id", "source_id", "matched_terms", F.round("similarity", 6).alias("similarity"), F.round("rrf", 9).alias("rrf"), "found_by")
+
+
+def abstain_many(spark, d):
+    """Which of all questions are refused."""
+    out = retrieval.abstains_many(_questions(spark, d), _found_many(spark, d))
+    return out.withColumn("best_similarity", F.round("best_similarity", 6))

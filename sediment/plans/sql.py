@@ -238,3 +238,31 @@ ORACLES["cache_rejects"] = "SELECT substr(sha256(url), 1, 16) AS cache_key, CASE
 ORACLES["pending_batches"] = f"WITH {CHUNKS} SELECT chunk_id, length(content) AS length, 'len' AS embedding_model FROM chunks WHERE embedding IS NULL ORDER BY chunk_id LIMIT 128"
 ORACLES["mark_duplicates"] = f"WITH {SOURCES} SELECT id, duplicate_of FROM sources"
 ORACLES["clean_segments"] = f"SELECT conv_id AS source_id, turn AS pos, md5({_clean('text')}) AS text_md5, CASE WHEN turn > 0 THEN turn * 4.0::DOUBLE ELSE 0 END AS start FROM conversations WHERE role <> 'system' AND {_clean('text')} <> ''"
+
+_STORED = f"""stored AS (SELECT p.*, owner, title, ('0x' || substr(md5(p.source_id || ':' || chunk_index), 1, 15))::BIGINT AS chunk_id FROM ({ORACLES['chunk_prose']}) p JOIN sources ON id = p.source_id),
+ sposts AS (SELECT chunk_id, source_id, owner, term, count(*) AS tf FROM (SELECT chunk_id, source_id, owner, unnest({_TOK.format('content')}) AS term FROM stored) GROUP BY ALL)"""
+ORACLES["stored_passages"] = f"SELECT source_id, chunk_index, content_hash, token_count FROM ({ORACLES['chunk_prose']})"
+ORACLES["stored_terms"] = f"WITH {SOURCES}, {_STORED} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM sposts GROUP BY term"
+ORACLES["stored_search"] = f"""WITH {SOURCES}, {_STORED}, mine AS (SELECT * FROM sposts WHERE owner IN ('public', 'test1')),
+ kept AS (SELECT term FROM mine WHERE list_contains({_LIST}, term) GROUP BY term HAVING count(*) / (SELECT count(*) FROM stored WHERE owner IN ('public', 'test1')) <= 0.10),
+ lex AS (SELECT chunk_id, source_id, count(*) AS matched_terms, 0.1::DOUBLE * sum(tf) * count(*) AS score FROM mine JOIN kept USING (term) GROUP BY ALL),
+ pool AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS lexical_rank FROM ({_CAP.format('score', 'lex', 4)}) QUALIFY lexical_rank <= 32),
+ hits AS (SELECT *, row_number() OVER (ORDER BY lexical_rank) AS marker FROM (SELECT * EXCLUDE (rn) FROM ({_CAP.format('score', 'pool', 2)})) QUALIFY marker <= 8)
+SELECT marker, source_id, chunk_index, matched_terms, round(score, 6) AS score, content_hash, title FROM hits JOIN stored USING (chunk_id, source_id)"""
+
+_EACH = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY {0} DESC, chunk_id) AS rn FROM {1}) WHERE rn <= {2}"
+_MANY = POSTS + f""", asked AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) WHERE length(term) >= 3 AND NOT list_contains({_LOW}, term)),
+ kept AS (SELECT term FROM posts GROUP BY term HAVING count(*) / (SELECT greatest(count(*), 1) FROM seen) <= 0.10),
+ lex AS (SELECT qid, chunk_id, source_id, count(*) AS matched_terms, 0.1::DOUBLE * sum(tf) * count(*) AS score FROM posts JOIN seen USING (chunk_id) JOIN kept USING (term) JOIN asked USING (term) GROUP BY ALL),
+ lexpool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS lexical_rank FROM ({_EACH.format('score', 'lex', 4)}) QUALIFY lexical_rank <= 32),
+ sem AS (SELECT item_id AS qid, chunk_id, source_id, round(list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM benchmark JOIN embeddings e ON vec_id = item_id, seen s WHERE s.embedding IS NOT NULL),
+ win AS (SELECT * FROM sem QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) <= 256),
+ vecpool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS vector_rank FROM ({_EACH.format('similarity', 'win', 4)}) QUALIFY vector_rank <= 32),
+ fused AS (SELECT coalesce(l.qid, v.qid) AS qid, coalesce(l.chunk_id, v.chunk_id) AS chunk_id, coalesce(l.source_id, v.source_id) AS source_id, coalesce(matched_terms, 0) AS matched_terms, similarity,
+   round(coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 12) AS rrf,
+   CASE WHEN lexical_rank IS NOT NULL AND vector_rank IS NOT NULL THEN 'both' WHEN lexical_rank IS NOT NULL THEN 'words' ELSE 'meaning' END AS found_by
+   FROM lexpool l FULL JOIN vecpool v ON l.qid = v.qid AND l.chunk_id = v.chunk_id),
+ hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) AS marker FROM ({_EACH.format('rrf', 'fused', 2)}) QUALIFY marker <= 8)"""
+ORACLES["search_many"] = f"WITH {_MANY} SELECT qid, marker, chunk_id, source_id, matched_terms, round(similarity, 6) AS similarity, round(rrf, 9) AS rrf, found_by FROM hits"
+ORACLES["abstain_many"] = f"""WITH {_MANY}, f AS (SELECT item_id AS qid, count(chunk_id) AS hits, coalesce(max(matched_terms), 0) AS best_matched, max(similarity) AS s FROM benchmark LEFT JOIN hits ON qid = item_id GROUP BY item_id)
+ SELECT qid, hits, best_matched, round(s, 6) AS best_similarity, hits < 1 OR NOT (best_matched >= 2 OR coalesce(s >= 0.45, false)) AS abstained FROM f"""

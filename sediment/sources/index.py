@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import io
+from ..corpus import Corpus
 from ..functions.vectors import norm
 from ..operators import retrieval
 from . import tables
@@ -48,3 +49,22 @@ def of(spark: SparkSession, folder: str) -> Index:
     if key not in _made or _made[key][0] != now:
         _made[key] = (now, build(tables.chunks(spark, folder)))
     return _made[key][1]
+
+
+_stored: dict[tuple[str, str], Corpus] = {}
+
+
+def corpus(spark: SparkSession, folder: str) -> Corpus:
+    """The folder's documents as a stored corpus, in two commits, once an application: French ones first had another ending.
+
+    What the second commit leaves must be what the documents alone give.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        docs = tables.sources(spark, folder).select("id", "url", "owner", "kind", "title", "lang", "raw_text")
+        held = Corpus(spark, io.scratch(spark, "corpus"))
+        ending = F.when(F.col("lang") == "fr", F.concat("raw_text", F.lit(" Superseded ending of a former version."))).otherwise(F.col("raw_text"))
+        held.ingest(docs.withColumn("raw_text", ending), flag=False)
+        held.ingest(docs, flag=False)
+        _stored[key] = held
+    return _stored[key]
