@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,18 +49,82 @@ def _scored(counted: DataFrame, threshold: float, size: int) -> DataFrame:
     return out.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", "jaccard", "score")
 
 
-def scored_pairs(sketched: DataFrame, threshold: float = THRESHOLD, size: int = SKETCH) -> DataFrame:
-    """(a, b, jaccard, score) with a < b: pairs that share a sketch hash, and whose containment reaches the threshold.
+#: Differences of size classes (powers of two of the number of shingles) that share one bound on the overlap; the last is open.
+SPANS = ((0, 0), (1, 2), (3, 5), (6, None))
+
 
-    Pairs with a positive score share a hash within the window, so meeting on hashes loses none.
-    With owners, ``b`` meets only what its owner sees: public sources and its own. ``sketched``
-    should be a written table: it is read twice.
+def least_overlap(k: Column, span: tuple[int, int | None], threshold: float, size: int) -> Column:
+    """How many hashes a sketch of ``k`` shares at least with one that it reaches ``threshold`` with, their classes apart as ``span`` says.
+
+    With r times as many shingles on the larger side the Jaccard is threshold / (1 + r - threshold)
+    at least, and the window over both sketches holds ``k`` hashes or more.
+    """
+    if span[1] is None:
+        return F.lit(1)
+    jaccard = threshold / (1 + 2.0 ** (span[1] + 1) - threshold)
+    return F.greatest(F.lit(1), F.ceil(F.lit(jaccard) * F.least(F.lit(size), k) - 1e-9)).cast("int")
+
+
+def candidates(sketched: DataFrame, threshold: float = THRESHOLD, size: int = SKETCH) -> DataFrame:
+    """(a, b) with a < b: all pairs that may reach the threshold, each once, by their rarest hashes.
+
+    Hashes are ordered from the rarest to the most frequent. Two sketches that share o hashes share
+    one among all but the o - 1 most frequent of either, so each meets the others on that prefix
+    only; hashes that no other sketch has take up places in it and meet nothing. How large o must
+    be follows from the two numbers of shingles: sources meet by size class, with the prefix that
+    their difference of classes allows. So a shingle that very many sources hold is in nobody's
+    prefix but where it is all that a source has, or where sizes are so far apart that one hash is
+    enough for a result.
     """
+    owned = ["owner"] * ("owner" in sketched.columns)
     one = places(sketched)
-    meets = F.col("x.id") < F.col("y.id")
-    if "owner" in sketched.columns:
-        meets &= (F.col("x.owner") == "public") | (F.col("x.owner") == F.col("y.owner"))
-    return scored_met(one, one, meets, threshold, size)
+    shared = one.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by_rarity = Window.partitionBy("id").orderBy("df", "h")
+    known = one.join(shared, "h").withColumn("at", F.row_number().over(by_rarity)).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    rows = known.select("id", *owned, "h", "k", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int").alias("c"), (F.col("k") - F.col("many") + F.col("at")).alias("place"))
+    there = sorted(r[0] for r in sketched.select(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int")).distinct().collect())  # as many as a number has bits
+    found = []
+    for span in SPANS:
+        low, high = span[0], span[1] if span[1] is not None else 64
+        pairs = [(x, y) for x in there for y in there if low <= y - x <= high]
+        if not pairs:
+            continue
+        prefix = rows.where(F.col("place") <= F.col("k") - least_overlap(F.col("k"), span, threshold, size) + 1)
+        small = prefix.where(F.col("c").isin(*{x for x, _ in pairs}))
+        large = prefix.where(F.col("c").isin(*{y for _, y in pairs}))
+        if high == 64:  # by the hash alone, whatever the classes
+            meets = (F.col("x.h") == F.col("y.h")) & (F.col("y.c") - F.col("x.c") >= low)
+        else:  # a row for each class that the larger one's partners may have
+            large = large.withColumn("to", F.explode(F.sequence(F.col("c") - high, F.col("c") - low)))
+            meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") == F.col("y.to"))
+        meets &= F.col("x.id") < F.col("y.id") if high == 0 else F.col("x.id") != F.col("y.id")
+        if owned:
+            first, last = (F.when(F.col("x.id") < F.col("y.id"), F.col(f"{u}.owner")).otherwise(F.col(f"{v}.owner")) for u, v in (("x", "y"), ("y", "x")))
+            meets &= (first == "public") | (first == last)
+        met = small.alias("x").join(large.alias("y"), meets)
+        found.append(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    if not found:
+        return one.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def scored_pairs(sketched: DataFrame, threshold: float = THRESHOLD, size: int = SKETCH) -> DataFrame:
+    """(a, b, jaccard, score) with a < b: the pairs whose containment reaches the threshold, none lost.
+
+    Candidates by ``candidates``; their sketches are then compared. The i-th of a pair's shared
+    hashes has the place ``pa + pb - i`` among the hashes of both, which tells whether it lies in
+    the window. With owners, ``b`` meets only what its owner sees: public sources and its own.
+    ``sketched`` should be a written table: it is read several times.
+    """
+    side = lambda s: sketched.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    both = candidates(sketched, threshold, size).join(side("a"), "a").join(side("b"), "b")
+    place = lambda s, h: F.array_position(s, h)
+    shared = F.sort_array(F.array_intersect("sa", "sb"))
+    inside = F.filter(F.col("c"), lambda h, i: place("sa", h) + place("sb", h) - i - 1 <= size)
+    counted = both.withColumn("c", shared).select(
+        "a", "b", "na", "nb", F.size(inside).alias("within"), F.size("c").alias("shared"), (F.size("sa") + F.size("sb")).alias("k"),
+    )
+    return _scored(counted.where("within > 0"), threshold, size)
 
 
 def chunk_texts(chunks: DataFrame) -> DataFrame:
