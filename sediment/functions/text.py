@@ -1,11 +1,12 @@
-"""Column functions on text: cleaning, sentences, fingerprints, labels. All native expressions."""
+"""Column functions on text: cleaning, sentences, fingerprints, labels. Native expressions, but for rare character references."""
 
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases of interstitial pages, in order of precedence, and how far they are looked for.
@@ -25,11 +26,13 @@ WALL_MARKERS = ("not a bot", "just a moment", "attention required", "cf-browser-
 WALL_WINDOW = 20_000
 MIN_PAGE = 6_000
 #: What is dropped from a page, what ends a line in it, what a tag is, and any other character reference.
-DROPPED = r"(?is)<(script|style|noscript|svg|form|select)[^>]*>.*?</\1>"
-BOILERPLATE = r"(?is)<(nav|footer|aside)\b[^>]*>.*?</\1>"
+DROPPED = ("script", "style", "noscript", "svg", "form", "select")
+BOILERPLATE = ("nav", "footer", "aside")
 LINE_ENDS = r"(?is)<br\s*/?>|</p>|</div>|</li>|</h[1-6]>"
 TAG = r"(?s)<[^>]+>"
 REFERENCE = r"&(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z])"
+#: A character that no text has, in begins that must not be found.
+DEAD = "\uffff"
 #: A caption's artefact, and the white space between two sentences.
 ARTEFACT = r"\[[^\]]{1,20}\]"
 BETWEEN_SENTENCES = r"(?<=[.!?])\s+(?=[A-Z(\"'])"
@@ -61,6 +64,11 @@ def clean_segments(segments: Column) -> Column:
     return F.filter(cleaned, lambda s: s["text"] != "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is evaluated once however often it is used; no Python within."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def unescape_native(text: Column) -> Column:
     """The named references of ENTITIES decoded."""
     for name, char in ENTITIES:
@@ -68,36 +76,85 @@ def unescape_native(text: Column) -> Column:
     return text
 
 
+def needs_full(text: Column) -> Column:
+    """Whether a text has a reference that is none of ENTITIES; a name without its semicolon counts too."""
+    plain = "|".join(name[1:] for name, _ in ENTITIES)
+    return F.regexp_like(text, F.lit(f"&(?!{plain}){REFERENCE[1:]}"))
+
+
 def unescape_any(text: Column) -> Column:
     """Every reference decoded, hard spaces to plain ones: natively where a text has only those of ENTITIES, else in Arrow batches of such texts alone."""
-    bare = text
-    for name, _ in ENTITIES:
-        bare = F.replace(bare, F.lit(name), F.lit(" "))
-    # A name without its semicolon counts too, so the native way must see nothing that looks like one.
-    full = F.translate(unescape_full(F.when(F.regexp_like(bare, F.lit(REFERENCE)), text)), "\xa0", " ")
+    full = F.translate(unescape_full(F.when(needs_full(text), text)), "\xa0", " ")
     return F.coalesce(full, unescape_native(text))
 
 
-def html_to_text(page: Column, unescape=None) -> Column:
-    """Text of a page: script-like and boilerplate elements and tags go, blocks become lines.
+#: So many elements' begins may be searched for their end in vain before they are looked at beforehand.
+FEW = 32
+
+
+def _without_dead(text: Column, names: tuple[str, ...], ends: str) -> Column:
+    """``text`` with a mark in begins of elements that no end follows, so that their pattern passes them by.
 
-    ``unescape`` decodes character references: all of them by ``unescape_any``, if none is given.
+    A begin is dead if no ``>`` lies between it and the last end of its name.
     """
-    text = page
-    for pattern, mark in ((DROPPED, " "), (BOILERPLATE, " "), (LINE_ENDS, "\n"), (TAG, " ")):
-        text = F.regexp_replace(text, pattern, mark)
-    text = (unescape or unescape_any)(text)
+    for name in names:
+        def marked(t: Column, name: str = name) -> Column:
+            return bound(F.length(F.regexp_extract(t, f"(?is)^(.*>)[^>]*</{name}>", 1)), lambda n: F.concat(F.left(t, n), F.regexp_replace(F.substring(t, n + 1, F.length(t)), f"(?i)<({name}{ends})", f"<{DEAD}$1")))
+
+        text = bound(text, marked)
+    return text
+
+
+def _elements(text: Column, names: tuple[str, ...], ends: str) -> Column:
+    """``text`` with a space for each element of these names, from its begin to the next end of its name; linear in the text's length."""
+    begins, whole = f"(?i)<(?:{'|'.join(names)}){ends}", rf"(?is)<({'|'.join(names)}){ends}[^>]*>.*?</\1>"
+    dropped = lambda t: F.regexp_replace(t, whole, " ")
+    safe = lambda t: F.replace(dropped(_without_dead(t, names, ends)), F.lit(f"<{DEAD}"), F.lit("<"))
+    return bound(text, lambda t: F.when(F.regexp_count(t, F.lit(begins)) <= FEW, dropped(t)).otherwise(safe(t)))
+
+
+def _tags(text: Column) -> Column:
+    """``text`` with a space for each tag. Behind the last ``>`` none can end, and it would be searched for from each ``<``."""
+    after = lambda t: F.substring_index(t, ">", -1)
+    return bound(text, lambda t: F.concat(F.regexp_replace(F.left(t, F.length(t) - F.length(after(t))), TAG, " "), after(t)))
+
+
+def stripped(page: Column) -> Column:
+    """A page without its tags and what is no text in it, lines where blocks end; references are as they were."""
+    text = _elements(_elements(page, DROPPED, ""), BOILERPLATE, r"\b")
+    return _tags(F.regexp_replace(text, LINE_ENDS, "\n"))
+
+
+def as_lines(text: Column) -> Column:
+    """Lines with white space collapsed, without empty ones."""
     lines = F.transform(F.split(text, "\r\n|\r|\n"), lambda x: collapse(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def html_to_text(page: Column) -> Column:
+    """Text of a page: script-like and boilerplate elements and tags go, blocks become lines.
+
+    Native, so only the references of ENTITIES are decoded; ``page_text`` decodes all.
+    """
+    return as_lines(unescape_native(stripped(page)))
+
+
+def page_text(df: DataFrame, page: str, out: str) -> DataFrame:
+    """``df`` with ``out``: a column's text as ``html_to_text`` gives it, with every reference decoded.
+
+    Each page is stripped once, in a projection of its own, and only pages with rare references go to Python.
+    """
+    df = df.withColumn("__stripped", stripped(F.col(page)))
+    return df.withColumn(out, as_lines(unescape_any(F.col("__stripped")))).drop("__stripped")
+
+
 def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
 def unescape_full(text: Column) -> Column:
-    """Every named and numeric reference decoded, in Arrow batches."""
-    return F.pandas_udf(_unescaped, "string")(text)
+    """Every named and numeric reference decoded, in Arrow batches. Filters stay above it, so that no text is decoded twice."""
+    return F.pandas_udf(_unescaped, "string").asNondeterministic()(text)
 
 
 def pseudo_cues(text: Column, max_chars: int = 400) -> Column:

@@ -194,7 +194,7 @@ def pseudo_cues(spark, d):
 
 
 def html_to_text(spark, d):
-    return _pages(spark, d).select("page_id", F.md5(X.html_to_text(F.col("html"))).alias("text_md5"))
+    return X.page_text(_pages(spark, d), "html", "t").select("page_id", F.md5("t").alias("text_md5"))
 
 
 def _as_videos(u: Column) -> Column:
@@ -466,8 +466,8 @@ def verified_by_kind(spark, d):
 def ingest_outcomes(spark, d):
     """What becomes of every page as a source: policy, failed fetches, bot walls, talks without cues, and pages without text."""
     u = F.col("url")
-    text = F.when(F.col("page_id") % 13 == 0, F.lit(" ")).when(F.contains(u, F.lit("/de/")), F.concat(F.lit("Just a moment... "), X.html_to_text(F.col("html")))).otherwise(X.html_to_text(F.col("html")))
-    src = _pages(spark, d).select(
+    text = F.when(F.col("page_id") % 13 == 0, F.lit(" ")).when(F.contains(u, F.lit("/de/")), F.concat(F.lit("Just a moment... "), "t")).otherwise(F.col("t"))
+    src = X.page_text(_pages(spark, d), "html", "t").select(
         F.col("page_id").alias("id"), F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("https://gdcvault.com/"), F.col("page_id").cast("string"))).otherwise(u).alias("url"),
         F.when(F.contains(u, F.lit("/es/")), "talk").otherwise("blog").alias("kind"), text.alias("raw_text"), F.lit(None).cast("array<struct<text:string,start:double,duration:double>>").alias("raw_segments"),
         F.when(F.contains(u, F.lit("/fr/")), "timeout").alias("error"))
@@ -525,10 +525,10 @@ def markdown_links(spark, d):
 
 def ingest_report(spark, d):
     """What becomes of every page: denied, a bot wall, without content, or ingested."""
-    text = X.html_to_text(F.col("html"))
+    pages, text = X.page_text(_pages(spark, d), "html", "t"), F.col("t")
     deny = U.host(F.col("url")).isin("spam-farm.example.org", "casino-win.example.com")
     outcome = F.when(deny, "denied").when(X.challenge_marker(text).isNotNull(), "skipped").when(text == "", "no content").otherwise("ingested")
-    return telemetry.ingest_report(_pages(spark, d).select(outcome.alias("outcome")))
+    return telemetry.ingest_report(pages.select(outcome.alias("outcome")))
 
 
 def kinds_count(spark, d):

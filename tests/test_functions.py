@@ -72,8 +72,9 @@ def test_clean_text_is_idempotent(spark):
 
 def test_html_to_text(spark):
     page = '<html><script>var a="</p>";</script><nav>menu</nav><p>One &amp; two</p><div>three<br/>four &#8212;</div><!-- x --></html>'
-    assert values(spark, [page], lambda c: text.html_to_text(c, text.unescape_native)) == ["One & two\nthree\nfour &#8212;"]
-    assert values(spark, [page, None, "a &lt;b&gt;"], text.html_to_text) == ["One & two\nthree\nfour —", None, "a <b>"]
+    assert values(spark, [page], text.html_to_text) == ["One & two\nthree\nfour &#8212;"]
+    pages = spark.createDataFrame([(0, page), (1, None), (2, "a &lt;b&gt;")], "i int, p string")
+    assert [r.t for r in text.page_text(pages, "p", "t").orderBy("i").collect()] == ["One & two\nthree\nfour —", None, "a <b>"]
     given = ["&amp;lt;", "&copy &eacute;", "&nbsp;&hearts;x", "R&D", "&#39;&#x27;", "no & reference", None]
     assert values(spark, given, text.unescape_any) == ["&lt;", "© é", " ♥x", "R&D", "''", "no & reference", None]
 
@@ -108,3 +109,25 @@ def test_query_terms(spark, question, expected):
 
 def test_question_key(spark):
     assert values(spark, ["  Should I   use\nECS? "], text.question_key) == ["should i use ecs?"]
+
+
+def test_pages_that_are_made_to_take_long(spark):
+    """Begins without ends, tags without ends, ends without begins: linear, and as the plain patterns say."""
+    import re
+    import time
+
+    def plain(page):
+        for names, ends in ((text.DROPPED, ""), (text.BOILERPLATE, r"\b")):
+            page = re.sub(rf"(?is)<({'|'.join(names)}){ends}[^>]*>.*?</\1>", " ", page)
+        return re.sub(r"(?s)<[^>]+>", " ", re.sub(text.LINE_ENDS, "\n", page))
+
+    parts = ["<script>", "</script>", "<style", ">", "</STYLE>", "<nav x>", "</nav>", "<navy>", "<formula>", "</form>", "a", " b ", "<", "<p>", "</p>", "<svg></svg>"]
+    import random
+
+    rng = random.Random(8)
+    pages = ["".join(rng.choice(parts) for _ in range(rng.choice([12, 60, 400]))) for _ in range(150)]
+    assert values(spark, pages, text.stripped) == [plain(p) for p in pages]
+    hostile = ["<" * 1_000_000, "<script>" * 50_000, "<script " * 50_000 + "</script>", "<script></style>" * 30_000, "<nav>" * 50_000 + "</nav", "<br " * 90_000, "&" * 300_000]
+    began = time.perf_counter()
+    spark.createDataFrame([(p,) for p in hostile], "p string").repartition(8).select(text.stripped(F.col("p"))).write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 20
