@@ -41,6 +41,14 @@ class Engine:
         """What a search is told of a stored corpus."""
         return {} if self.corpus is None else {"total": self.corpus.total(user), "fetch": self.corpus.fetch}
 
+    def _completed(self, text: str) -> tuple[str, int, int]:
+        """The model's answer; over a stored corpus the call is recorded, with its cost, also if it fails."""
+        if self.corpus is None:
+            return self.complete(text)
+        with self.corpus.metered("answer", getattr(self.complete, "__name__", "model"), self.price) as facts:
+            out, facts["tokens_in"], facts["tokens_out"] = self.complete(text)
+        return out, facts["tokens_in"], facts["tokens_out"]
+
     def vector(self, question: str) -> list[float] | None:
         """The question's vector; without an embedder, or if it fails, search is lexical."""
         if self.embed is None:
@@ -69,7 +77,7 @@ class Engine:
             held = recordings.lookup(self.recorded, asked).first()["recorded"]
             if held is not None:
                 return held.asDict(recursive=True) | {"cached": True}
-        a = answers.ask(self.chunks, question, vector=self.vector(question), limit=limit, user=user, complete=self.complete, posts=self.postings, **self._stored(user))
+        a = answers.ask(self.chunks, question, vector=self.vector(question), limit=limit, user=user, complete=self._completed, posts=self.postings, **self._stored(user))
         per_in, per_out = self.price or (None, None)
         place = lambda h: {"marker": h.marker, "title": h.title, "url": h.link, "timestamp": h.timestamp, "transcript_kind": getattr(h, "transcript_kind", None)}
         passages = [
@@ -113,7 +121,14 @@ class Engine:
         return ingest.report(decided, merged, flags)
 
     def backfill(self, embed: Callable[[list[str]], list[list[float]]], model: str, *, spent_usd: float = 0.0, budget_usd: float | None = None, **options) -> DataFrame:
-        """Gives passages without an embedding one, unless the budget is spent; returns what is left to do (one row)."""
+        """Gives passages without an embedding one, unless the budget is spent; returns what is left to do (one row).
+
+        Over a stored corpus the pass is metered: see ``Corpus.backfill``, which takes the same options and a price.
+        """
+        if self.corpus is not None:
+            done = self.corpus.backfill(embed, model, budget_usd=budget_usd, **options)
+            self._refreshed()
+            return self.spark.createDataFrame([(done["pending"],)], "pending long")
         if budget_usd is None or embedding.within_budget(spent_usd, budget_usd):
             keys = ("chunk_id",) if "chunk_id" in self.chunks.columns else ("source_id", "chunk_index")
             made = written(embedding.backfill(self.chunks, embed, model, keys=keys, **options), "embeddings")

@@ -4,6 +4,8 @@
   buckets that hold its sources.
 * ``postings`` (term, chunk_id, source_id, owner, tf) is a log: new and changed passages are one
   segment, and changed and removed ones get a tombstone.
+* ``vectors`` (chunk_id, embedding, embedding_model) is a log of what an embedding pass has made.
+* ``calls`` is a log of model calls with their cost, in order of time, and ``ledger`` of migrations.
 * ``shingles`` (h, id, owner, p, k, n) is a log of the sources' sketches, hash by hash: a changed
   source meets stored ones on its own hashes, and no other source is sketched again.
 
@@ -14,16 +16,26 @@ ones the order is that of identifiers; against all others what they are flagged
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+import logging
+import time
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .functions.text import hash60
+from .functions.text import hash60, word_count
 from .io import written
-from .operators import chunker, dedupe, ingest, merge, retrieval
+from .operators import chunker, dedupe, embedding, ingest, merge, retrieval, telemetry
 from .store import Change, Store
 
 POSTINGS = "term string, chunk_id long, source_id long, owner string, tf long"
+VECTORS = "chunk_id long, embedding array<float>, embedding_model string"
+CALLS = "created_at timestamp, model string, operation string, tokens_in long, tokens_out long, latency_ms long, cost_usd double, error string"
+LEDGER = "version int, applied_at timestamp"
+KEYS = {"sources": ("owner", "url"), "chunks": ("source_id",)}
 SHINGLES = "h long, id long, owner string, p int, k int, n int"
 
 
@@ -47,8 +59,22 @@ class Corpus:
 
     @property
     def chunks(self) -> DataFrame:
-        """Passages with what search needs of their source: owner, flag, title, url."""
-        return self.passages().withColumnRenamed("id", "chunk_id").join(self._known(), "source_id")
+        """Passages with their vectors, and with what search needs of their source: owner, flag, title, url."""
+        bare = self.passages().withColumnRenamed("id", "chunk_id").drop("embedding", "embedding_model")
+        return bare.join(self.vectors, "chunk_id", "left").join(self._known(), "source_id")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.store.live("vectors", VECTORS, "chunk_id").drop("seg")
+
+    @property
+    def calls(self) -> DataFrame:
+        return self.store.rows("calls", CALLS).drop("seg")
+
+    @property
+    def pending(self) -> DataFrame:
+        """Passages (id, content) without a vector."""
+        return self.passages().select("id", "content").join(self.vectors.select(F.col("chunk_id").alias("id")), "id", "left_anti")
 
     @property
     def postings(self) -> DataFrame:
@@ -156,7 +182,8 @@ class Corpus:
     def _log(self, change: Change, merged: DataFrame, owners: DataFrame, prints: DataFrame, replaces: bool) -> None:
         """Postings and shingles of what has changed, and tombstones for what they replace."""
         if replaces:
-            change.end("postings", merged.where("action in ('update', 'delete')").select("id"))
+            for log in ("postings", "vectors"):
+                change.end(log, merged.where("action in ('update', 'delete')").select("id"))
             change.end("shingles", self.sources.where("shingle_sketch is not null").select("id").join(prints, "id", "left_semi"))
         added = merged.where("action in ('insert', 'update')").select(F.col("id").alias("chunk_id"), "source_id", "content")
         added = added.join(owners.select(F.col("id").alias("source_id"), "owner"), "source_id").withColumn("duplicate_of", F.lit(None).cast("long"))
@@ -186,7 +213,95 @@ class Corpus:
     def compact(self) -> dict[str, list[int]]:
         """Joins the logs' segments where enough of one level have come together; a commit of its own, if anything was joined."""
         change = self.store.begin()
-        made = {"postings": change.compacted("postings", POSTINGS, "chunk_id", ["term", "chunk_id"]), "shingles": change.compacted("shingles", SHINGLES, "id", ["h", "id"])}
+        made = {"vectors": change.compacted("vectors", VECTORS, "chunk_id", ["chunk_id"]), "calls": change.compacted("calls", CALLS, "created_at", ["created_at"])}
+        made |= {"postings": change.compacted("postings", POSTINGS, "chunk_id", ["term", "chunk_id"]), "shingles": change.compacted("shingles", SHINGLES, "id", ["h", "id"])}
         if any(made.values()):
             change.commit()
         return made
+
+    # ---------------------------------------------------------------- model calls
+
+    def _call(self, operation: str, model: str, tokens: tuple[int, int], began: float, cost: float | None, error: str | None = None) -> DataFrame:
+        took = round(1000 * (time.perf_counter() - began))
+        return self.spark.createDataFrame([(datetime.datetime.now(), model, operation, *tokens, took, cost, error)], CALLS)
+
+    @contextlib.contextmanager
+    def metered(self, operation: str, model: str, price: tuple[float, float] | None = None) -> Iterator[dict]:
+        """Records a model call with its cost, whether it returns or raises; the caller sets tokens_in and tokens_out.
+
+        A call that can't be recorded is logged and stops nobody.
+        """
+        facts, began = {"tokens_in": 0, "tokens_out": 0}, time.perf_counter()
+        error = None
+        try:
+            yield facts
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            raise
+        finally:
+            tokens = facts["tokens_in"], facts["tokens_out"]
+            cost = None if price is None else (tokens[0] * price[0] + tokens[1] * price[1]) / 1_000_000
+            try:
+                change = self.store.begin()
+                change.append("calls", self._call(operation, model, tokens, began, cost, error), ["created_at"])
+                change.commit()
+            except Exception:
+                logging.getLogger("sediment.telemetry").exception("a call could not be recorded")
+
+    def spent_today(self) -> float:
+        return telemetry.spend_today(self.calls, F.current_timestamp()).first()[0]
+
+    def backfill(self, embed: Callable[[list[str]], list[list[float]]], model: str, *, price: float = 0.0, budget_usd: float | None = None, batch: int = 64, max_batches: int | None = None) -> dict:
+        """Gives passages without a vector one, batch by batch; returns {written, batches, pending, stopped}.
+
+        What today's calls cost, of whatever kind, is read from the log before each batch, and the
+        pass stops at the budget. A batch's vectors and its call are one commit, so a pass that
+        stops, or dies, has written whole batches, and the next goes on from there. Batches hold
+        about ``batch`` passages, by a hash of their identifier, which are embedded in the tasks.
+        ``price`` is per million tokens, counted as words.
+        """
+        todo = written(self.pending, "pending")
+        n = todo.count()
+        groups = max(1, -(-n // batch))
+        todo = written(todo.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")), "batches")
+        done = {"written": 0, "batches": 0, "pending": n, "stopped": None}
+        for number in sorted(r[0] for r in todo.select("batch").distinct().toLocalIterator()):
+            if max_batches is not None and done["batches"] >= max_batches:
+                return done | {"stopped": "batches"}
+            if budget_usd is not None and not embedding.within_budget(self.spent_today(), budget_usd):
+                return done | {"stopped": "budget"}
+            mine, began = todo.where(F.col("batch") == number), time.perf_counter()
+            tokens = mine.agg(F.sum(word_count(F.col("content")))).first()[0] or 0
+            try:
+                made = embedding.backfill(mine.withColumn("embedding", F.lit(None)), embed, model, keys=("id",), batch=batch)
+                made = written(made.withColumnRenamed("id", "chunk_id"), "vectors")
+            except Exception as e:
+                with contextlib.suppress(Exception), self.metered("embed", model):
+                    raise RuntimeError(type(e).__name__) from e
+                raise
+            change = self.store.begin()
+            done["written"] += change.append("vectors", made, ["chunk_id"])
+            change.append("calls", self._call("embed", model, (tokens, 0), began, tokens * price / 1_000_000), ["created_at"])
+            change.commit()
+            done["batches"] += 1
+            done["pending"] = n - done["written"]
+        self.compact()
+        return done
+
+    # ---------------------------------------------------------------- migrations
+
+    def migrate(self) -> list[int]:
+        """Brings stored tables to the latest schema, one version a commit, in order, each once; returns those applied now."""
+        held = self.store.refresh().rows("ledger", LEDGER).select("version").collect()
+        applied = []
+        for version in sorted({v for v, _, _ in schema.VERSIONS} - {r.version for r in held}):
+            change = self.store.begin()
+            for table in {t for v, t, _ in schema.VERSIONS if v == version and t in KEYS and t in self.store.state["tables"]}:
+                now = self.store.read(table)
+                grown = schema.migrate(now, table, version) if len(now.columns) < len(schema.schema(table, version).fields) else now
+                if grown is not now:
+                    change.replace(table, grown, [int(b) for b in self.store.state["tables"][table]["folders"]], *KEYS[table])
+            change.append("ledger", self.spark.createDataFrame([(version, datetime.datetime.now())], LEDGER), ["version"])
+            change.commit()
+            applied.append(version)
+        return applied

@@ -190,3 +190,38 @@ def test_flags_equal_one_after_the_other(spark, tmp_path):
     assert {r.id: r.duplicate_of for r in whole.collect()} == want and any(want.values())
     assert corpus.store.live("postings", POSTINGS, "chunk_id").select("chunk_id").distinct().count() == corpus.passages().count()
     assert corpus.total("ann").first()[0] == retrieval.visible(corpus.chunks, "ann").count()
+
+
+def test_a_pass_stops_at_the_budget_and_goes_on(spark, tmp_path):
+    corpus = Corpus(spark, f"file://{tmp_path}/store")
+    rows = [(i, "public", f"Passage number{i} here.") for i in range(12)]
+    corpus.ingest(sources(spark, *rows), flag=False)
+    embed = lambda texts: [[1.0, float(len(t))] for t in texts]
+    # A passage has three words; batches of about four cost 12 or so each, and two of them pass 13.
+    first = corpus.backfill(embed, "m", price=1e6, budget_usd=13.0, batch=4)
+    assert first["stopped"] == "budget" and first["batches"] == corpus.calls.where("operation = 'embed'").count() <= 2
+    assert first["written"] == corpus.vectors.count() == 12 - first["pending"] and 13 <= corpus.spent_today() == 3 * first["written"]
+    assert corpus.backfill(embed, "m", budget_usd=13.0)["batches"] == 0
+    with pytest.raises(Exception):  # noqa: B017  the worker's error
+        corpus.backfill(lambda texts: [], "m")
+    assert corpus.calls.where("error is not null").count() == 1
+    assert corpus.backfill(embed, "m")["pending"] == 0 and corpus.vectors.count() == 12
+    assert corpus.chunks.where("embedding is not null and embedding_model = 'm'").count() == 12
+    # A passage that changes loses its vector, no other does.
+    corpus.ingest(sources(spark, (3, "public", "Another text now.")), flag=False)
+    assert [r.content for r in corpus.pending.collect()] == ["Another text now."]
+
+
+def test_migrations_are_applied_once_and_in_order(spark, tmp_path):
+    from sediment import schema
+
+    corpus = Corpus(spark, f"file://{tmp_path}/store")
+    old = spark.createDataFrame([(1, "u1", "blog")], "id long, url string, kind string")
+    change = corpus.store.begin()
+    first = schema.migrate(old, "sources", 2)
+    change.replace("sources", first, [0], "id")
+    change.commit()
+    assert corpus.migrate() == [1, 2, 3, 4, 5] and corpus.migrate() == []
+    assert corpus.sources.schema.names == schema.schema("sources").names and corpus.sources.first().owner == "public"
+    held = [r.version for r in corpus.store.rows("ledger").orderBy("seg").collect()]
+    assert held == [1, 2, 3, 4, 5] and corpus.sources.count() == 1
