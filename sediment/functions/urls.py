@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: Hosts that may not be ingested, parameters that name a document, and hosts by kind.
 DENIED = ("gdcvault.com", "vault.gdconf.com")
 MEANINGFUL = ("v", "t", "id", "p", "page", "q")
@@ -36,17 +38,24 @@ def query(url: Column) -> Column:
     return _part(url, r"^[^?#]*\?([^#]*)")
 
 
+def _parameter(asked: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(asked, rf"(?:^|&){name}=([^&]+)", 1), F.lit(""))
+
+
 def parameter(url: Column, name: str) -> Column:
     """The first value of a parameter, if it has one that is not empty."""
-    return F.nullif(_part(query(url), rf"(?:^|&){name}=([^&]+)"), F.lit(""))
+    return _parameter(query(url), name)
+
+
+def _video(h: Column, p: Column, q: Column) -> Column:
+    short = F.nullif(F.substring(F.regexp_replace(p, "^/+", ""), 1, 11), F.lit(""))
+    watch = F.contains(h, F.lit("youtube.com")) & F.startswith(p, F.lit("/watch"))
+    return F.when(F.endswith(h, F.lit("youtu.be")), short).when(watch, F.substring(_parameter(q, "v"), 1, 11))
 
 
 def video_id(url: Column) -> Column:
     """The eleven characters that name a video; null for other pages."""
-    h = host(url)
-    short = F.nullif(F.substring(F.regexp_replace(path(url), "^/+", ""), 1, 11), F.lit(""))
-    watch = F.contains(h, F.lit("youtube.com")) & F.startswith(path(url), F.lit("/watch"))
-    return F.when(F.endswith(h, F.lit("youtu.be")), short).when(watch, F.substring(parameter(url, "v"), 1, 11))
+    return _video(host(url), path(url), query(url))
 
 
 def recoded(part: Column) -> Column:
@@ -55,18 +64,30 @@ def recoded(part: Column) -> Column:
     return F.replace(F.replace(coded, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _tail(q: Column) -> Column:
+    """The meaningful parameters in order; a name without a sign is a parameter with an empty value."""
+    split = F.transform(F.split(q, "&"), lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("name"), F.regexp_replace(p, "^[^=]*=?", "").alias("value")))
+    pairs = F.filter(split, lambda p: F.lower(p["name"]).isin(*MEANINGFUL))
+    return F.array_join(F.array_sort(F.transform(pairs, lambda p: F.concat(recoded(p["name"]), F.lit("="), recoded(p["value"])))), "&")
+
+
 def canonical_url(url: Column) -> Column:
-    """https, bare lower-case host, no trailing slash, only meaningful parameters, in order; one form for videos."""
-    video, start = video_id(url), parameter(url, "t")
-    watch = F.concat(F.lit("https://youtube.com/watch?v="), video, F.coalesce(F.concat(F.lit("&t="), recoded(start)), F.lit("")))
+    """https, bare lower-case host, no trailing slash, only meaningful parameters, in order; one form for videos.
+
+    Host, path and query are cut out once, as are what is made of them.
+    """
+    parts = F.struct(host(url).alias("h"), path(url).alias("p"), query(url).alias("q"))
     # A last segment's own parameters, behind a semicolon, name no other document.
-    bare = F.regexp_replace(F.regexp_replace(path(url), ";[^/]*$", ""), "/+$", "")
-    # A name without a sign is a parameter with an empty value.
-    split = F.transform(F.split(query(url), "&"), lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("name"), F.regexp_replace(p, "^[^=]*=?", "").alias("value")))
-    pairs = F.filter(split, lambda p: F.lower(p["name"]).isin(*MEANINGFUL))
-    tail = F.array_join(F.array_sort(F.transform(pairs, lambda p: F.concat(recoded(p["name"]), F.lit("="), recoded(p["value"])))), "&")
-    plain = F.concat(F.lit("https://"), host(url), F.when(bare == "", "/").otherwise(bare), F.when(tail == "", "").otherwise(F.concat(F.lit("?"), tail)))
-    return F.when(video.isNotNull(), watch).otherwise(plain)
+    bare = lambda u: F.regexp_replace(F.regexp_replace(u["p"], ";[^/]*$", ""), "/+$", "")
+    tail = lambda u: F.when(u["q"] == "", "").otherwise(_tail(u["q"]))
+    made = lambda u: F.struct(u["h"].alias("h"), bare(u).alias("p"), tail(u).alias("t"), _video(u["h"], u["p"], u["q"]).alias("v"), _parameter(u["q"], "t").alias("s"))
+
+    def spelled(m: Column) -> Column:
+        watch = F.concat(F.lit("https://youtube.com/watch?v="), m["v"], F.coalesce(F.concat(F.lit("&t="), recoded(m["s"])), F.lit("")))
+        plain = F.concat(F.lit("https://"), m["h"], F.when(m["p"] == "", "/").otherwise(m["p"]), F.when(m["t"] == "", "").otherwise(F.concat(F.lit("?"), m["t"])))
+        return F.when(m["v"].isNotNull(), watch).otherwise(plain)
+
+    return bound(bound(parts, made), spelled)
 
 
 def is_denied(url: Column) -> Column:
