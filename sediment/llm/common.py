@@ -200,6 +200,18 @@ def join_spread(df: DataFrame, on: str, small: DataFrame, key: str, n: str, by:
     return left.join(right, (F.col(on) == F.col(key)) & (F.col("__salt") == F.col("__part")), how).drop("__salt", "__part")
 
 
+def beside_groups(df: DataFrame, on: str, groups: DataFrame, key: str, n: str, by: Column, total: int, name: str) -> DataFrame:
+    """``df`` left-joined to a table of one short row for each group, by a key that is never null.
+
+    As ``beside_all``, but beyond BROADCAST_ROWS groups those with many of ``df``'s ``total`` rows, as ``n`` counts
+    them, are salted by ``by``.
+    """
+    table = written(groups, name)
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), F.col(on) == F.col(key), "left")
+    return join_spread(df, on, table, key, n, by, total, how="left")
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs of characters that are not white space; a null has none."""
     bare = F.btrim(text, F.lit(WS))

@@ -5,16 +5,22 @@ times its size is clamped there, and what it leaves goes to the others by weight
 above: with sources in order of cap by weight, the clamped ones are a prefix, and each other's
 target is its weight's part of what the prefix leaves. Then every document of a source is taken
 as often as the whole part of target / size says, and the fraction that is left is taken from
-the documents in seeded order, as many as come nearest to it in size.
+the documents in seeded order, up to the first that would go beyond it. What that one leaves open
+is filled with the shortest documents not yet taken, in order of size, then hash, the last of them
+if its middle is below the target. So a source misses its target by half of its shortest
+document not taken at most, however long the document at which the seeded order ends.
 
-The seeded order is never sorted as one: documents fall in buckets by the leading bits of their
-hash, about as many as the square root of all rows; the buckets' sizes find the one in which the
-fraction ends, and only its rows are sorted.
+Neither order is ever sorted as one. Documents fall in buckets by the leading bits of their hash,
+about as many as the square root of all rows; the buckets' sums find the one in which an order
+ends, and the sums of its hashes the hash. A source's distinct sizes are fewer than the square root of twice its
+words. So what is chosen of a source is stated by a few numbers, and equal rows are added up
+before they meet; only if the last hash is one of several rows, these are numbered.
 
 Defined cases: a null text counts as empty; null sources come last and are one source; a document
-without words is taken like the others and adds none; a source without words has target 0 and is
-not taken; equal rows share a hash and are interchangeable; an empty table gives an empty result;
-extra columns pass through, but one that has the name of a result gives way to it.
+without words is taken like the others in seeded order and adds none; a source without words has
+target 0 and is not taken; equal rows share a hash, are interchangeable, and in seeded order are
+taken all or none; an empty table gives an empty result; extra columns pass through, but one that
+has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import beside_all, root_buckets, seeded, with_room
+from .common import beside_groups, root_buckets, row_hash, seeded, with_room, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -31,6 +37,11 @@ MAX_EPOCHS = 2
 SEED = 17
 
 
+def _group(source: str) -> Column:
+    """A key of the source that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
+
+
 def source_targets(sized: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target): one row per source, of which there may be many but each is small."""
     s = sized.groupBy(source).agg(F.sum("size").alias("source_size"))
@@ -53,34 +64,69 @@ def source_targets(sized: DataFrame, source: str = "source", weights: tuple[int,
     return s.select(source, "source_size", target.alias("target"))
 
 
+def _ends(rows: DataFrame, t: DataFrame, at: str, value: Column, limit: str, end: str, left: str) -> DataFrame:
+    """``t`` with ``end``, the first ``at`` of a source by which its rows' sum of ``value`` exceeds ``limit``, and what the sum before leaves of it.
+
+    Both are null where the sum never exceeds it.
+    """
+    sums = rows.groupBy("__sk", at).agg(F.sum(value).alias("__v"))
+    upto = Window.partitionBy("__sk").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__v").over(upto), F.lit(0)))
+    over = sums.join(t.select("__s", F.col(limit).alias("__limit")), F.col("__sk") == F.col("__s")).where(F.col("__before") + F.col("__v") > F.col("__limit"))
+    first = over.groupBy("__s").agg(F.min(F.struct(F.col(at).alias("at"), (F.col("__limit") - F.col("__before")).alias("left"))).alias("__e"))
+    return t.join(first, "__s", "left").withColumn(end, F.col("__e.at")).withColumn(left, F.col("__e.left")).drop("__e")
+
+
+def _limits(thin: DataFrame, t: DataFrame, total: int) -> DataFrame:
+    """``t`` with what states the choice of each source's fraction ``extra``.
+
+    Rows with a hash below ``h1`` are taken (all, if it is null), of the others up to twice ``gap`` those shorter than
+    ``s2`` (all, if it is null), of those as long as ``s2`` the ones with a hash below ``h3`` (all, if it is null), and ``k3`` with ``h3``.
+    """
+    beside = lambda t: beside_groups(thin, "__sk", t, "__s", "__rows", F.col("__h"), total, "shares")
+    size, one = F.col("size"), F.lit(1)
+    t = written(_ends(thin, t, "__b", size, "extra", "b1", "left1"), "shares")
+    t = _ends(beside(t).where(F.col("__b") == F.col("b1")), t, "__h", size, "left1", "h1", "gap")
+    t = written(t, "shares")
+    behind = lambda t: beside(t).where((F.col("__h") >= F.col("h1")) & (size > 0) & (size <= 2 * F.col("gap")))
+    t = _ends(behind(t), t, "size", size, "gap", "s2", "left2")
+    t = written(t.withColumn("k", F.ceil(F.col("left2") / F.col("s2") - 0.5)), "shares")
+    t = written(_ends(behind(t).where(size == F.col("s2")), t, "__b", one, "k", "b3", "left3"), "shares")
+    t = _ends(behind(t).where((size == F.col("s2")) & (F.col("__b") == F.col("b3"))), t, "__h", one, "left3", "h3", "k3")
+    return t.drop("b1", "left1", "left2", "k", "b3", "left3")
+
+
 def choose(sized: DataFrame, targets: DataFrame, key: list[Column], source: str = "source", seed: int = SEED) -> DataFrame:
     """Adds source_size, target and ``copies`` to rows with ``size``.
 
-    ``sized`` must be stable (a written table): it is counted, read for the buckets' sizes, and for
-    the choice. ``key`` tells rows apart as far as they can be: its hash is the seeded order.
+    ``sized`` must be stable (a written table): its sizes and hashes are written for the choice, to
+    which it is joined then. ``key`` tells rows apart as far as they can be: its hash is the seeded order.
     """
-    bits = root_buckets(sized.count()).bit_length()
-    t = targets.select(F.col(source).alias("__s"), "source_size", "target")
+    made = ["source_size", "target", "copies", "whole", "extra", "h1", "gap", "s2", "h3", "k3"]
+    sized = with_room(sized, [source, "size"], made)
+    rows = sized.withColumn("__sk", _group(source)).withColumn("__h", seeded(seed, *key)).withColumn("__by", row_hash(sized))
+    thin = written(rows.select("__sk", "__h", "size"), "mix-sizes")
+    total = thin.count()
+    thin = thin.withColumn("__b", F.shiftright("__h", 60 - root_buckets(total).bit_length()).cast("int"))
+    counted = thin.groupBy("__sk").agg(F.count(F.lit(1)).alias("__rows"))
+    t = targets.select(_group(source).alias("__s"), "source_size", "target").join(counted, F.col("__s") == F.col("__sk")).drop("__sk")
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     t = t.withColumn("extra", F.when(F.col("source_size") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)))
-    sized = with_room(sized, [source], ["source_size", "target", "copies", "whole", "extra"])
-    rows = sized.withColumn("__h", seeded(seed, *key)).withColumn("__b", F.shiftright("__h", 60 - bits).cast("int"))
-    buckets = rows.groupBy(source, "__b").agg(F.sum("size").alias("__bs"))
-    upto = Window.partitionBy(source).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("__before", F.coalesce(F.sum("__bs").over(upto), F.lit(0)))
-    # The bucket in which the fraction ends: the first whose end reaches it. All before it are taken.
-    ends = buckets.join(t, F.col(source).eqNullSafe(F.col("__s"))).where(F.col("__before") + F.col("__bs") >= F.col("extra"))
-    ends = ends.groupBy("__s").agg(F.min(F.struct("__b", "__before")).alias("__e")).select(F.col("__s").alias("__es"), F.col("__e.__b").alias("__end"), F.col("__e.__before").alias("__before"))
-    t = beside_all(t.join(ends, F.col("__s").eqNullSafe(F.col("__es")), "left").drop("__es"), "shares")
-    joined = rows.join(t, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
-    inside = (F.col("extra") > 0) & (F.col("__b") == F.col("__end"))
-    run = Window.partitionBy(source).orderBy("__h", *key, "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.where(inside).withColumn("__run", F.col("__before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("__run") + F.col("size") / 2 < F.col("extra"), 1).otherwise(0))
-    below = (F.col("extra") > 0) & (F.col("__end").isNull() | (F.col("__b") < F.col("__end")))
-    rest = joined.where(~F.coalesce(inside, F.lit(False))).withColumn("copies", F.col("whole") + F.when(below, 1).otherwise(0))
-    both = rest.unionByName(edge.drop("__run"))
-    return both.drop("__h", "__b", "__end", "__before", "whole", "extra")
+    t = _limits(thin, t, total)
+    joined = beside_groups(rows, "__sk", t, "__s", "__rows", F.col("__by"), total, "choice")
+    h, size = F.col("__h"), F.col("size")
+    first = F.col("h1").isNull() | (h < F.col("h1"))
+    filler = ~first & (size > 0) & (size <= 2 * F.col("gap"))
+    exact = filler & (size == F.col("s2"))
+    shorter = filler & (F.col("s2").isNull() | (size < F.col("s2")) | (exact & (F.col("h3").isNull() | (h < F.col("h3")))))
+    last = F.coalesce((F.col("extra") > 0) & exact & (h == F.col("h3")), F.lit(False))
+    taken = (F.col("extra") > 0) & F.coalesce(first | shorter, F.lit(False))
+    rest = joined.where(~last).withColumn("copies", F.col("whole") + F.when(taken, 1).otherwise(0))
+    turn = F.row_number().over(Window.partitionBy("__sk").orderBy(*key))
+    edge = joined.where(last & (F.col("k3") > 0)).withColumn("copies", F.col("whole") + F.when(turn <= F.col("k3"), 1).otherwise(0))
+    none = joined.where(last & (F.col("k3") <= 0)).withColumn("copies", F.col("whole"))
+    both = rest.unionByName(none).unionByName(edge)
+    return both.drop("__sk", "__s", "__h", "__by", "__rows", *[c for c in made if c not in ("source_size", "target", "copies")])
 
 
 def repeated(chosen: DataFrame) -> DataFrame:

@@ -47,16 +47,19 @@ class Packer:
         offset = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next, offset, ids if self.carry else None))
+            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next, offset, bytes(ids) if self.carry else None))
             offset += n
         self.next += 1
 
     def place(self, piece: tuple) -> None:
         doc, start, ids, total = piece
         size = self.size
-        while len(ids) >= 4 * size:
-            self.emit([(doc, start, ids[: 4 * size], total)])
-            start, ids = start + size, ids[4 * size :]
+        whole = len(ids) // (4 * size) * size
+        if whole:
+            view = memoryview(ids)
+            for at in range(0, whole, size):
+                self.emit([(doc, start + at, view[4 * at : 4 * (at + size)], total)])
+            start, ids = start + whole, bytes(view[4 * whole :])  # the rest alone, so that a window never holds the document
         if not ids:
             return
         n = len(ids) // 4

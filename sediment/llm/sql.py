@@ -76,11 +76,14 @@ o AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NU
 c AS (SELECT *, rest * weight >= cap::DOUBLE * open AS clamped FROM o),
 t AS (SELECT c.source, source_size, CASE WHEN clamped THEN cap::DOUBLE ELSE (SELECT arg_max(rest, open) FROM c WHERE NOT clamped) * weight / (SELECT max(open) FROM c WHERE NOT clamped) END AS target FROM c),
 x AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-r AS (SELECT d.doc_id, d.size, source_size, target, whole, CASE WHEN source_size > 0 THEN target - whole * source_size ELSE 0 END AS extra,
-        coalesce((sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || seal), 1, 15))::BIGINT, doc_id, seal, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS run
-      FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
+r AS (SELECT d.doc_id, d.source, d.size, seal, source_size, target, whole, CASE WHEN source_size > 0 THEN target - whole * source_size ELSE 0 END AS extra,
+        ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || seal), 1, 15))::BIGINT AS h
+      FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+a AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT <= extra AS early FROM r),
+g AS (SELECT *, extra - (sum(CASE WHEN early THEN size ELSE 0 END) OVER (PARTITION BY source))::BIGINT AS gap FROM a),
+f AS (SELECT *, coalesce((sum(size) OVER (PARTITION BY source, early, size > 0 ORDER BY size, h, doc_id, seal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS run FROM g)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies
-FROM (SELECT *, (whole + CASE WHEN extra > 0 AND run + size / 2 < extra THEN 1 ELSE 0 END)::BIGINT AS copies FROM r)
+FROM (SELECT *, (whole + CASE WHEN extra > 0 AND (early OR (size > 0 AND run + size / 2 < gap)) THEN 1 ELSE 0 END)::BIGINT AS copies FROM f)
 """
 
 OP9 = r"""

@@ -101,11 +101,15 @@ def test_every_stage_equals_a_plain_version(spark, tmp_path):
     targets, want = plain_targets(dict(sizes)), collections.Counter()
     for source, total in sizes.items():
         whole = int(targets[source] // total) if total else 0
-        extra, run = (targets[source] - whole * total if total else 0), 0
-        mine = [(int(hashlib.md5(f"17:{i}:{crc}".encode()).hexdigest()[:15], 16), i, size) for s, i, size, crc in rows if s == source]
-        for _, i, size in sorted(mine):
-            want[i] += whole + (extra > 0 and run + size / 2 < extra)
-            run += size
+        extra = targets[source] - whole * total if total else 0
+        mine = sorted((int(hashlib.md5(f"17:{i}:{crc}".encode()).hexdigest()[:15], 16), i, size) for s, i, size, crc in rows if s == source)
+        want.update({i: whole for _, i, _ in mine})
+        while extra > 0 and mine and mine[0][2] <= extra:
+            _, i, size = mine.pop(0)
+            want[i], extra = want[i] + 1, extra - size
+        for size, _, i in sorted((size, h, i) for h, i, size in mine if size):
+            if extra > 0 and size / 2 < extra:
+                want[i], extra = want[i] + 1, extra - size
     assert collections.Counter(ids("mixing")) == +want
 
     # Every copy's ids lie in pieces, each once: starts and lengths tile as many documents as there are copies.
