@@ -170,9 +170,14 @@ def top_each(ranked: DataFrame, score: str, n: int, rank: str) -> DataFrame:
     return ranked.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= n)
 
 
-def _kept_terms(questions: DataFrame, posts: DataFrame, total: DataFrame, max_df: float = MAX_DOC_FREQ) -> DataFrame:
-    """(qid, term) of all questions' terms that are kept: each distinct term is looked up and judged once."""
+def _kept_terms(questions: DataFrame, posts: DataFrame, total: DataFrame, max_df: float = MAX_DOC_FREQ, stems: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(qid, term) of all questions' terms that are kept: each distinct term is looked up and judged once.
+
+    ``stems`` puts stems in place of words; words of one question that share a stem are a row each.
+    """
     asked = questions.select("qid", F.explode(T.query_terms(F.col("question"))).alias("term"))
+    if stems is not None:
+        asked = stems(asked).select("qid", "term")
     found = posts.join(asked.select("term").distinct(), "term", "left_semi")
     judged = doc_freq(found).join(F.broadcast(total)).where(F.col("df") / F.col("total") <= max_df)  # one row
     return asked.join(judged.select("term"), "term")
@@ -254,26 +259,27 @@ def semantic_many(chunks: DataFrame, questions: DataFrame, limit: int, per_sourc
     return top_each(capped(near, "similarity", 2 * per_source, "qid"), "similarity", pool_size(limit), "vector_rank")
 
 
-def lexical_many(questions: DataFrame, posts: DataFrame, total: DataFrame, limit: int, per_source: int = PER_SOURCE) -> DataFrame:
+def lexical_many(questions: DataFrame, posts: DataFrame, total: DataFrame, limit: int, per_source: int = PER_SOURCE, stems: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(qid, chunk_id, source_id, matched_terms, score, lexical_rank): every question's pool of passages by words.
 
     Terms of too many passages are dropped before postings are met, so none brings more than its share of the corpus.
     """
-    met = posts.join(_kept_terms(questions, posts, total), "term")
+    met = posts.join(_kept_terms(questions, posts, total, stems=stems), "term")
     scored = met.groupBy("qid", "chunk_id", "source_id").agg(F.count(F.lit(1)).alias("matched_terms"), F.sum("tf").alias("n"))
     scored = scored.select("qid", "chunk_id", "source_id", "matched_terms", (F.lit(0.1) * F.col("n") * F.col("matched_terms")).alias("score"))
     return top_each(capped(scored, "score", 2 * per_source, "qid"), "score", pool_size(limit), "lexical_rank")
 
 
-def search_many(chunks: DataFrame, questions: DataFrame, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None, total: DataFrame | None = None) -> DataFrame:
+def search_many(chunks: DataFrame, questions: DataFrame, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None, total: DataFrame | None = None, stems: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The hits of all ``questions`` (qid, question, vector) in one plan: (qid, marker, chunk_id, source_id, ranks, rrf, found_by, ...).
 
     Each question's hits are those that ``search`` gives it alone. A question without a kept term
     is searched by its vector, one without a vector by its words, one with neither has no hits.
+    With ``stems`` (``stems.asked_stems``) ``posts`` must be stemmed postings.
     """
     seen = visible(chunks, user)
     held = postings(seen) if posts is None else visible(posts, user)
-    lex = lexical_many(questions, held, visible_total(seen) if total is None else total, limit, per_source)
+    lex = lexical_many(questions, held, visible_total(seen) if total is None else total, limit, per_source, stems)
     vec = semantic_many(seen, questions, limit, per_source)
     if vec is None:
         vec = lex.where("false").select("qid", "chunk_id", "source_id", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("vector_rank"))

@@ -11,7 +11,7 @@ from ..functions import terms as T
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.vectors import cosine
-from ..operators import answers, chunker, constraints, dedupe, embedding, ingest, merge, retrieval, telemetry, verify
+from ..operators import answers, chunker, constraints, dedupe, embedding, ingest, merge, retrieval, stems, telemetry, verify
 from ..sources import cache, index, manifest, recordings
 from ..sources import tables as S
 
@@ -578,3 +578,21 @@ def abstain_many(spark, d):
     """Which of all questions are refused."""
     out = retrieval.abstains_many(_questions(spark, d), _found_many(spark, d))
     return out.withColumn("best_similarity", F.round("best_similarity", 6))
+
+
+def _stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return stems.stemmed(_posts(spark, d))
+
+
+def stem_vocabulary(spark, d):
+    """Every stem of the visible passages: its words, passages and occurrences."""
+    words = stems.vocabulary(_posts(spark, d)).groupBy(F.col("stem").alias("term")).agg(F.array_sort(F.collect_list("term")).alias("words"))
+    held = _stemmed(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+    return held.join(words, "term").select(F.col("term").alias("stem"), F.array_join("words", " ").alias("words"), "df", "occurrences")
+
+
+def stem_search_many(spark, d):
+    """Every question's hits by stems and vectors over all visible passages, in one plan."""
+    held = index.of(spark, d)
+    out = retrieval.search_many(held.chunks, _questions(spark, d), LIMIT, user=USER, posts=stems.stemmed(held.postings), stems=stems.asked_stems)
+    return out.select("qid", "marker", "chunk_id", "source_id", "matched_terms", F.round("similarity", 6).alias("similarity"), F.round("rrf", 9).alias("rrf"), "found_by")
