@@ -1,6 +1,8 @@
 """Stems by their published examples, and searches by stems against plain counts."""
 
 import collections
+import os
+import re
 
 import pytest
 from hypothesis import given
@@ -8,6 +10,8 @@ from hypothesis import strategies as st
 
 from sediment.functions.stemmer import STOP_WORDS, stem
 from sediment.operators import retrieval, stems
+from sediment.plans import stemmed
+from sediment.sources import index
 
 EXAMPLES = """
 consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist
@@ -47,3 +51,17 @@ def test_terms_are_met_by_stem_and_words_of_one_stem_count_each(spark):
     assert [(r.qid, r.chunk_id, r.matched_terms, round(r.score, 6)) for r in hits] == [(1, 0, 3, 1.5), (1, 1, 3, 0.9), (1, 2, 2, 0.4)]
     exact = retrieval.search_many(chunks, asked, 5, posts=words).collect()
     assert {(r.chunk_id, r.matched_terms) for r in exact} == {(0, 2), (1, 1)}
+
+
+def test_vocabulary_of_the_test_tables_equals_plain_counts(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    counts, seen = collections.Counter(), collections.defaultdict(set)
+    for r in retrieval.visible(index.of(spark, folder).chunks, "test1").select("chunk_id", "content").collect():
+        for w in re.findall("[A-Za-z0-9_+#-]+", r.content or ""):
+            if w.lower() not in STOP_WORDS:
+                counts[stem(w.lower())] += 1
+                seen[stem(w.lower())].add(r.chunk_id)
+    got = {r.stem: (r.df, r.occurrences) for r in stemmed.queries()["stem_vocabulary"](spark, folder).collect()}
+    assert got == {s: (len(seen[s]), n) for s, n in counts.items()}
