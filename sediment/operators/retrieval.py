@@ -105,9 +105,10 @@ def lexical_pool(chunks: DataFrame, terms, limit: int, per_source: int = PER_SOU
     return top(capped(lexical(chunks, terms, posts), "score", 2 * per_source), "score", pool_size(limit), "lexical_rank")
 
 
-def semantic_pool(chunks: DataFrame, vector, limit: int, per_source: int = PER_SOURCE) -> DataFrame:
-    """The scan's window is bounded before the cap, so one source can fill it."""
-    window = top(semantic(chunks, vector), "similarity", SCAN_FACTOR * pool_size(limit))
+def semantic_pool(chunks: DataFrame, vector, limit: int, per_source: int = PER_SOURCE, near: Callable[[list[float], int], DataFrame] | None = None) -> DataFrame:
+    """The scan's window is bounded before the cap, so one source can fill it. ``near`` gives a vector's exact window without the scan."""
+    n = SCAN_FACTOR * pool_size(limit)
+    window = top(semantic(chunks, vector), "similarity", n) if near is None else near(vector, n)
     return top(capped(window, "similarity", 2 * per_source), "similarity", pool_size(limit), "vector_rank")
 
 
@@ -140,12 +141,13 @@ def finalists(fused: DataFrame, limit: int, per_source: int = PER_SOURCE) -> Dat
     return top(capped(fused, "rrf", per_source), "rrf", limit, "marker").withColumn("found_by", found_by())
 
 
-def search(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None, report: DataFrame | None = None, total: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def search(chunks: DataFrame, question: str, vector: list[float] | None = None, limit: int = 8, per_source: int = PER_SOURCE, user: str | None = None, posts: DataFrame | None = None, report: DataFrame | None = None, total: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[list[float], int], DataFrame] | None = None) -> DataFrame:
     """Hits for a question: (marker, chunk_id, source_id, rrf, matched_terms, similarity, ranks, found_by) and the chunk's other columns.
 
     ``posts`` are the stored postings of all chunks, if there are any. Which terms are kept is
     decided within the plan, unless ``report``, a result of ``analyse_terms``, says so. Without a vector the ranking is lexical, without terms it is by vector.
     ``fetch`` adds the chunks' other columns to the hits where a store can do so without a scan.
+    ``near`` finds the tenant's nearest passages, as ``VectorBlocks.nearest`` does, in place of the scan.
     """
     seen = visible(chunks, user)
     asked = T.terms_of(question)
@@ -154,7 +156,7 @@ def search(chunks: DataFrame, question: str, vector: list[float] | None = None,
         held = postings(seen, asked) if posts is None else visible(posts, user).where(F.col("term").isin(*asked))
         kept = (analyse_terms(seen, asked, held, total=total) if report is None else report).where("kept")
         lex = lexical_pool(seen, kept, limit, per_source, held)
-    vec = semantic_pool(seen, vector, limit, per_source) if vector is not None else None
+    vec = semantic_pool(seen, vector, limit, per_source, near) if vector is not None else None
     if lex is None and vec is None:
         return fuse(lexical_pool(seen, [], limit), None).where("false").withColumn("marker", F.lit(0)).withColumn("found_by", F.lit(""))
     hits = finalists(fuse(lex, vec), limit, per_source)

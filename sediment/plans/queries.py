@@ -96,6 +96,12 @@ def semantic_topk(spark, d):
     return ranked.select("chunk_id", "source_id", F.round("similarity", 6).alias("similarity"))
 
 
+def semantic_pruned(spark, d):
+    """The same from blocks of vectors, of which only those are read that can hold a hit."""
+    hits, _ = index.blocks(spark, d).nearest(_vector(spark, d), 24, USER)
+    return hits.select("chunk_id", "source_id", F.round("similarity", 6).alias("similarity"))
+
+
 def semantic_capped(spark, d):
     return retrieval.semantic_pool(_seen(spark, d), _vector(spark, d), LIMIT).select("chunk_id", "source_id", "vector_rank")
 

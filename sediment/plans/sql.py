@@ -145,6 +145,7 @@ ORACLES = {
     "lexical_topk": f"WITH {LEX} SELECT chunk_id, source_id, matched_terms, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, chunk_id LIMIT 24",
     "lexical_capped": f"WITH {LEXPOOL} SELECT chunk_id, source_id, lexical_rank FROM lexpool",
     "semantic_topk": f"WITH {SEEN}{_SEM} SELECT chunk_id, source_id, round(similarity, 6) AS similarity FROM sem ORDER BY sem.similarity DESC, chunk_id LIMIT 24",
+    "semantic_pruned": f"WITH {SEEN}{_SEM} SELECT chunk_id, source_id, round(similarity, 6) AS similarity FROM sem ORDER BY sem.similarity DESC, chunk_id LIMIT 24",
     "semantic_capped": f"WITH {SEEN}{_SEM}{_VECPOOL} SELECT chunk_id, source_id, vector_rank FROM vecpool",
     "semantic_all": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings",
     "rrf_fused": f"WITH {FUSED} SELECT chunk_id, source_id, matched_terms, lexical_rank, vector_rank, round(rrf, 9) AS rrf FROM fused",

@@ -16,6 +16,7 @@ from .. import io
 from ..corpus import Corpus
 from ..functions.vectors import norm
 from ..operators import retrieval
+from ..operators.nearest import VectorBlocks
 from . import tables
 
 _made: dict[tuple[str, str], tuple[str, Index]] = {}
@@ -51,6 +52,18 @@ def of(spark: SparkSession, folder: str) -> Index:
     return _made[key][1]
 
 
+_blocks: dict[tuple[str, str], tuple[str, VectorBlocks]] = {}
+
+
+def blocks(spark: SparkSession, folder: str) -> VectorBlocks:
+    """The folder's vectors in blocks for exact searches that read a part of them."""
+    key, chunks = (spark.sparkContext.applicationId, folder), of(spark, folder).chunks
+    now = _made[key][0]
+    if key not in _blocks or _blocks[key][0] != now:
+        _blocks[key] = (now, VectorBlocks.build(chunks))
+    return _blocks[key][1]
+
+
 _stored: dict[tuple[str, str], Corpus] = {}
 
 
