@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered_index, root_buckets, seeded, with_room
+from .common import beside_groups, ordered_index, root_buckets, seeded, with_room
 
 SHARDS = 40
 SEED = 29
@@ -34,8 +34,10 @@ def interleaved_shards(df: DataFrame, order: list[Column], key: list[Column], so
     buckets = root_buckets(n)
     rows = df.withColumn("__h", seeded(seed, *key)).withColumn("__hb", F.floor(F.col("__h") / F.lit(float(1 << 60) / buckets)).cast("long"))
     rows = ordered_index(rows, [source], "__hb", [F.col("__h"), *order], "__rank")
-    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("__n")).select(F.col(source).alias("__s"), "__n")
-    rows = rows.join(sizes, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
+    # A key that is never null: the sources' sizes are sent if they are few, else hot sources are salted.
+    label = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    sizes = df.groupBy(label.alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = beside_groups(rows.withColumn("__label", label), "__label", sizes, "__s", "__n", F.col("__h"), n, "sizes").drop("__s", "__label")
     frac = (2 * F.col("__rank") + 1) / (2 * F.col("__n"))
     rows = rows.withColumn("__f", frac).withColumn("__fb", F.floor(F.col("__f") * buckets).cast("long"))
     rows = ordered_index(rows, [], "__fb", [F.col("__f"), F.col(source).asc_nulls_last(), F.col("__rank")], "__pos")

@@ -7,8 +7,9 @@ Of a url's rules the longest wins; at equal length the longer host, then ``block
 rule the verdict is ``default``.
 
 Urls are counted by host and path before they are expanded, so a url that fills a third of the
-table is expanded once, and the rules' side is never a hot key. The join's strategy is left to
-adaptive execution: a rule table below the broadcast limit is sent, a larger one is shuffled. Rows
+table is expanded once, and the rules' side is never a hot key. Up to BROADCAST_ROWS rules, which are
+counted, are sent to the urls. More are met by distinct expressions; those that have a rule go back to the
+urls salted by how many have them, as a third of all urls may end in ``com/``. Rows
 are joined to their url's verdict by host and path together, which no two pairs share, as a host
 has no slash; a url of many rows is salted there, and urls without a host meet nothing. As the verdicts grow with
 the table, they are never sent to all rows.
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, row_hash, with_room, written
+from .common import BROADCAST_ROWS, join_spread, row_hash, with_room, written
 
 PREFIX = 8
 
@@ -68,6 +69,22 @@ def path_prefixes(path: Column, lengths: list[int], longest: int) -> Column:
     return F.array_distinct(out)
 
 
+def _met(digests: DataFrame, rules: DataFrame) -> DataFrame:
+    """``digests`` (host, path, ed) with the rule (rk, rd, ...) of each expression that has one.
+
+    Few rules are sent to the urls. Many are met by distinct expressions, each counted, and what is met goes
+    back to the urls salted by its count: an expression like ``com/``, which a third of all urls may have, is one row there.
+    """
+    same = (F.col("ek") == F.col("rk")) & (F.col("ed") == F.col("rd"))
+    prefix = F.substring("ed", 1, PREFIX)
+    if rules.count() <= BROADCAST_ROWS:
+        return digests.withColumn("ek", prefix).join(F.broadcast(rules), same)
+    counted = written(digests.groupBy("ed").agg(F.count(F.lit(1)).alias("__en")), "expressions")
+    found = counted.withColumn("ek", prefix).join(rules.hint("merge"), same).drop("ek", "ed")
+    total = counted.agg(F.sum("__en")).first()[0] or 0
+    return join_spread(digests, "ed", written(found, "met"), "rd", "__en", F.xxhash64("host", "path"), total).drop("__en")
+
+
 def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with host, path, rule and verdict. ``rules`` has host, path and verdict."""
     df = with_room(df, [url], ["host", "path", "rule", "verdict", "rv"])
@@ -84,7 +101,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     urls = rows.where(F.col("__u").isNotNull()).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     hosts = urls.select("host", "path", "n", F.explode(host_suffixes(F.col("host"), reach[0] or 0)).alias("eh"))
     digests = hosts.select("host", "path", "n", F.explode(F.transform(path_prefixes(F.col("path"), odd, reach[1] or 0), lambda p: F.sha2(F.concat(F.col("eh"), F.lit("\n"), p), 256))).alias("ed"))
-    met = digests.withColumn("ek", F.substring("ed", 1, PREFIX)).join(keyed, F.col("ek") == F.col("rk")).where(F.col("ed") == F.col("rd"))
+    met = _met(digests, written(keyed, "rules"))
     best = met.groupBy("host", "path").agg(F.max(F.struct("ln", "hl", F.col("rv"), "rule")).alias("b"), F.max("n").alias("__n"))
     best = written(best.select(F.concat("host", "path").alias("__bu"), "__n", F.col("b.rule").alias("rule"), F.col("b.rv").alias("rv")), "verdicts")
     out = join_spread(rows, "__u", best, "__bu", "__n", F.col("__by"), df.count(), how="left")

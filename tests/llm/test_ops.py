@@ -678,6 +678,30 @@ def test_hot_url_and_null_urls_are_salted(spark, monkeypatch):
     assert {tuple(r) for r in got} == {("a.example.net", "example.net/en/", "allow", 1000), ("b.net", "net/", "block", 1000), ("", None, "allow", 1000)}
 
 
+def test_many_rules_are_met_by_distinct_expressions(spark, monkeypatch):
+    """Rules beyond what is sent, one of them an expression that two thirds of the urls have."""
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "SALT_ROWS", 64)
+    urls = spark.range(3_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, ".org/fr/x").otherwise(".example.com/de/y")).alias("url"))
+    urls = urls.unionByName(spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "http://net/"), (-4, "http://net/")], "page_id long, url string"))
+    rules = spark.createDataFrame([*RULES, ("com", "", "block"), ("h7.example.com", "/de/", "allow"), ("unmet.net", "/", "block")], "host string, path string, verdict string")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    many = sorted(tuple(r) for r in url_filter.judge_urls(urls, rules).select(*columns).collect())
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 50_000)
+    assert many == sorted(tuple(r) for r in url_filter.judge_urls(urls, rules).select(*columns).collect())
+    assert len(many) == 3_004 and collections.Counter(r[3] for r in many)["h7.example.com/de/"] == 1
+
+
+def test_hot_and_null_sources_are_salted_beyond_what_is_sent(spark, monkeypatch):
+    df = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("s"), (F.col("id") % 50).cast("string"))).alias("source"))
+    df = written(df, "hot_sources")
+    dealt = lambda: sorted(tuple(r) for r in sharding.interleaved_shards(df, [F.col("doc_id")], [F.col("doc_id")]).select("doc_id", "shard", "slot").collect())
+    sent = dealt()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "SALT_ROWS", 64)
+    assert dealt() == sent and len(sent) == 3_000
+
+
 # ------------------------------------------------------------------ hostile and plain
 
 
