@@ -84,8 +84,7 @@ def needs_full(text: Column) -> Column:
 
 def unescape_any(text: Column) -> Column:
     """Every reference decoded, hard spaces to plain ones: natively where a text has only those of ENTITIES, else in Arrow batches of such texts alone."""
-    full = F.translate(unescape_full(F.when(needs_full(text), text)), "\xa0", " ")
-    return F.coalesce(full, unescape_native(text))
+    return F.translate(F.coalesce(unescape_full(F.when(needs_full(text), text)), unescape_native(text)), "\xa0", " ")
 
 
 #: So many elements' begins may be searched for their end in vain before they are looked at beforehand.

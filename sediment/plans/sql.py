@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+
 from ..functions import terms as T
 from ..functions import text as X
 from . import queries as Q
@@ -60,19 +63,35 @@ CANON = f"'https://' || {_HOST} || CASE WHEN {_BARE} = '' THEN '/' ELSE {_BARE}
 _KIND = f"CASE WHEN {_HOST} LIKE '%youtube.com%' OR {_HOST} LIKE '%youtu.be%' THEN 'talk' WHEN {_HOST} LIKE '%github.com%' OR {_HOST} LIKE '%gitlab.com%' OR {_HOST} LIKE '%sourceforge.net%' THEN 'repo' ELSE 'blog' END"
 
 
-def _html(col: str = "html") -> str:
+def _stripped(col: str = "html") -> str:
     x = col
     for tag in ("script", "style", "noscript", "svg", "form", "select"):
         x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
     for tag in ("nav", "footer", "aside"):
         x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
     x = f"regexp_replace({x}, '(?is)<br\\s*/?>|</p>|</div>|</li>|</h[1-6]>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '(?s)<[^>]+>', ' ', 'g')"
-    for name, char in X.ENTITIES:
-        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace({x}, '(?s)<[^>]+>', ' ', 'g')"
+
+
+def _lines(x: str) -> str:
     return f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '\\r\\n|\\r|\\n'), lambda l: {_trim('l')}), lambda l: l <> ''), chr(10))"
 
 
+#: Every character reference of the standard: a number, or the longest name of its list that the reference begins with.
+_REF = "'&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)'"
+_SPECIAL = [(n, t) for n in (*range(0xA0), *range(0xFDD0, 0xFDF0), *((p << 16) | low for p in range(17) for low in (0xFFFE, 0xFFFF))) if (t := html.unescape(f"&#{n};")) != chr(n)]
+_TEXTS = f"""names(name, chars) AS (VALUES {", ".join(f"('{n}', {'||'.join(f'chr({ord(c)})' for c in t)})" for n, t in html5.items())}),
+ special(code, chars) AS (VALUES {", ".join(f"({n}, {'||'.join(f'chr({ord(c)})' for c in t) or chr(39) * 2})" for n, t in _SPECIAL)}),
+ bare AS (SELECT page_id, url, {_stripped()} AS b FROM pages),
+ refs AS (SELECT DISTINCT unnest(regexp_extract_all(b, {_REF})) AS ref FROM bare),
+ coded AS (SELECT ref, CASE WHEN ref ~ '&#[xX].*' THEN CASE WHEN length(h) > 12 THEN NULL ELSE ('0x0' || h)::BIGINT END ELSE try_cast(regexp_extract(ref, '[0-9]+') AS BIGINT) END AS code
+  FROM (SELECT ref, ltrim(regexp_extract(ref, '^&#[xX]([0-9a-fA-F]+)', 1), '0') AS h FROM refs WHERE ref LIKE '&#%')),
+ known AS (SELECT ref, max_by(chars || substr(ref, 2 + length(name)), length(name)) AS chars FROM refs JOIN names ON starts_with(substr(ref, 2), name) GROUP BY ref
+  UNION ALL SELECT ref, CASE WHEN special.code IS NOT NULL THEN chars WHEN c.code IS NULL OR c.code > 1114111 OR c.code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(c.code::INT) END FROM coded c LEFT JOIN special ON special.code = c.code),
+ texts AS (SELECT page_id, url, CASE WHEN b IS NOT NULL THEN {_lines(f"""translate(array_to_string(list_transform(list_zip(regexp_split_to_array(b, {_REF}), regexp_extract_all(b, {_REF})),
+  lambda z: z[1] || coalesce(m[z[2]], z[2], '')), ''), chr(160), ' ')""")} END AS t FROM bare, (SELECT map(list(ref), list(chars)) AS m FROM known))"""
+
+
 def _clean(x: str) -> str:
     return _trim(f"regexp_replace({x}, '\\[[^\\]]{{1,20}}\\]', ' ', 'g')")
 
@@ -163,7 +182,7 @@ ORACLES = {
     "clean_text": f"SELECT doc_id, md5({_clean('text')}) AS clean_md5 FROM documents",
     "token_counts": "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END AS tokens FROM documents",
     "pseudo_cues": f"SELECT doc_id, len({_CUES}) AS n, md5(array_to_string({_CUES}, chr(10))) AS cues_md5 FROM documents",
-    "html_to_text": f"SELECT page_id, md5({_html()}) AS text_md5 FROM pages",
+    "html_to_text": f"WITH {_TEXTS} SELECT page_id, md5(t) AS text_md5 FROM texts",
     "canonical_url": f"""SELECT page_id, {CANON} AS url, CASE WHEN contains(url, '/en/') THEN 'https://youtube.com/watch?v=' || lpad(page_id::VARCHAR, 11, 'a') || '&t=1m'
       WHEN contains(url, '/fr/') THEN 'https://youtube.com/watch?v=' || lpad(page_id::VARCHAR, 11, 'a') WHEN contains(url, '/de/') THEN 'https://youtube.com/channel/abc' ELSE {CANON} END AS video_url FROM pages""",
     "index_pages": f"""SELECT page_id, CASE WHEN contains(url, '/en/') OR contains(url, '/fr/') THEN lpad(page_id::VARCHAR, 11, 'a') END AS video, contains(url, '/de/') AND NOT contains(url, '/en/') AND NOT contains(url, '/fr/') AS index_page,
@@ -203,7 +222,7 @@ ORACLES = {
     "sample_lookup": f"""WITH r AS (SELECT item_id AS recorded_item, {_KEY.format('text')} AS key FROM benchmark), a AS (SELECT item_id, {_KEY.format("'  ' || replace(text, ' ', '  ')")} AS key, length(text) > 200 AS private FROM benchmark)
       SELECT item_id, min(recorded_item) AS recorded_item FROM a LEFT JOIN r ON a.key = r.key AND NOT private GROUP BY item_id""",
     "manifest_dedupe": f"SELECT c AS url, url AS title, 'a' AS manifest FROM (SELECT page_id, url, {CANON} AS c FROM pages) QUALIFY row_number() OVER (PARTITION BY c ORDER BY page_id) = 1",
-    "ingest_report": f"SELECT {_OUT} AS outcome, count(*) AS n FROM (SELECT url, {_html()} AS t FROM pages) GROUP BY 1",
+    "ingest_report": f"WITH {_TEXTS} SELECT {_OUT} AS outcome, count(*) AS n FROM texts GROUP BY 1",
     "kinds_count": f"SELECT {_KIND} AS kind, {_HOST} AS host, count(*) AS n FROM pages GROUP BY ALL",
     "sources_per_owner": f"WITH {SEEN}{_SEM} SELECT source_id, chunk_id, round(similarity, 6) AS similarity FROM ({_CAP.format('similarity', 'sem', 1)})",
 }
@@ -225,8 +244,8 @@ _CHECKED = f"""checked AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'repo'
   CASE WHEN contains(url, '/de/') THEN NULL WHEN contains(url, '/fr/') THEN 'timeout' WHEN contains(url, '/es/') THEN '404' ELSE '200' END AS detail FROM pages)"""
 ORACLES["verified_sources"] = f"WITH {_CHECKED} SELECT page_id, status = 'ok' AS ok, status, detail FROM checked"
 ORACLES["verified_by_kind"] = f"WITH {_CHECKED} SELECT row_number() OVER (ORDER BY n DESC, kind) AS place, kind, n FROM (SELECT kind, count(*) AS n FROM checked WHERE status = 'ok' GROUP BY kind)"
-ORACLES["ingest_outcomes"] = f"""SELECT page_id AS id, CASE WHEN page_id % 10 = 0 THEN 'denied' WHEN contains(url, '/fr/') THEN 'failed' WHEN page_id % 13 <> 0 AND contains(url, '/de/') THEN 'bot wall' WHEN ({_marker('t', X.CHALLENGE_MARKERS, 600)}) IS NOT NULL AND page_id % 13 <> 0 THEN 'bot wall'
-  WHEN contains(url, '/es/') THEN 'talk without cues' WHEN page_id % 13 = 0 OR t = '' THEN 'no content' ELSE 'ingested' END AS outcome FROM (SELECT page_id, url, {_html()} AS t FROM pages)"""
+ORACLES["ingest_outcomes"] = f"""WITH {_TEXTS} SELECT page_id AS id, CASE WHEN page_id % 10 = 0 THEN 'denied' WHEN contains(url, '/fr/') THEN 'failed' WHEN page_id % 13 <> 0 AND contains(url, '/de/') THEN 'bot wall' WHEN ({_marker('t', X.CHALLENGE_MARKERS, 600)}) IS NOT NULL AND page_id % 13 <> 0 THEN 'bot wall'
+  WHEN contains(url, '/es/') THEN 'talk without cues' WHEN page_id % 13 = 0 OR t = '' THEN 'no content' ELSE 'ingested' END AS outcome FROM texts"""
 ORACLES["citation_join"] = f"""WITH {HITS}, a AS (SELECT item_id, length(text) % 10 AS m FROM benchmark UNION SELECT item_id, 3 FROM benchmark)
   SELECT item_id, marker::INT AS marker, chunk_id FROM a JOIN hits ON marker = m"""
 ORACLES["search_report"] = ORACLES["analyse_terms"]
