@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import terms as T
+from ..functions.text import bound
 from ..functions.vectors import cosine, dot, norm
 
 MAX_DOC_FREQ = 0.10
@@ -37,12 +38,22 @@ def visible(chunks: DataFrame, user: str | None = None) -> DataFrame:
 CARRIED = ["chunk_id", "source_id", "owner", "duplicate_of"]
 
 
+def counted(words: Column) -> Column:
+    """An array of (term, tf): each distinct word of an array with its number, from the places where the sorted words change."""
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    runs = lambda w, at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf")))
+    return bound(F.sort_array(words), lambda w: F.when(F.size(w) > 0, bound(starts(w), lambda at: runs(w, at))))
+
+
 def postings(chunks: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(chunk_id, source_id, owner, duplicate_of, term, tf). With ``terms``, other words are dropped before anything is exploded."""
+    """(chunk_id, source_id, owner, duplicate_of, term, tf). With ``terms``, other words are dropped before anything is exploded.
+
+    A row holds all of its passage, so its words are counted where it is read, and nothing is shuffled.
+    """
     words = T.tokens(F.col("content"))
     if terms is not None:
         words = F.filter(words, lambda t: t.isin(*terms) if terms else F.lit(False))
-    return chunks.select(*CARRIED, F.explode(words).alias("term")).groupBy(*CARRIED, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return chunks.select(*CARRIED, counted(words).alias("__w")).select(*CARRIED, F.inline("__w"))
 
 
 def doc_freq(posts: DataFrame) -> DataFrame:

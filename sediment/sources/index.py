@@ -1,13 +1,13 @@
 """What a search reads, written once for a folder of tables: passages, their postings, their vectors' norms.
 
 The tables lie in the shared folder as long as the application lives, and are written anew when
-the folder's documents or embeddings have changed. Postings are dealt to files by ranges of terms
+the folder's documents or embeddings have changed. Postings are dealt to files by a hash of their term
 and sorted, so that a search for a few terms reads the row groups that may hold them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +19,27 @@ from ..operators import retrieval
 from ..operators.nearest import VectorBlocks
 from . import tables
 
+#: So many files at most have a term's postings.
+SPREAD = 8
+
 _made: dict[tuple[str, str], tuple[str, Index]] = {}
 
 
-@dataclass
 class Index:
-    chunks: DataFrame
-    postings: DataFrame
+    """The tables of passages (chunk_id, source_id, content, owner, duplicate_of, embedding, ...), each written when it is first asked for."""
+
+    def __init__(self, plan: DataFrame):
+        self._plan = plan
+
+    @functools.cached_property
+    def chunks(self) -> DataFrame:
+        return io.written(self._plan.withColumn("norm", norm(F.col("embedding"))), "chunks")
+
+    @functools.cached_property
+    def postings(self) -> DataFrame:
+        """Dealt by a hash of the term, a frequent one to several files: no pass over the texts to find ranges."""
+        posts = retrieval.postings(self.chunks)
+        return io.written(posts.repartition("term", F.pmod("chunk_id", F.lit(SPREAD))).sortWithinPartitions("term"), "postings")
 
 
 def stamp(spark: SparkSession, path: str) -> str:
@@ -38,10 +52,7 @@ def stamp(spark: SparkSession, path: str) -> str:
 
 
 def build(chunks: DataFrame) -> Index:
-    """The tables of passages (chunk_id, source_id, content, owner, duplicate_of, embedding, ...)."""
-    held = io.written(chunks.withColumn("norm", norm(F.col("embedding"))), "chunks")
-    posts = retrieval.postings(held)
-    return Index(held, io.written(posts.repartitionByRange("term").sortWithinPartitions("term"), "postings"))
+    return Index(chunks)
 
 
 def of(spark: SparkSession, folder: str) -> Index:
