@@ -53,7 +53,8 @@ def postings(chunks: DataFrame, terms: list[str] | None = None) -> DataFrame:
     words = T.tokens(F.col("content"))
     if terms is not None:
         words = F.filter(words, lambda t: t.isin(*terms) if terms else F.lit(False))
-    return chunks.select(*CARRIED, counted(words).alias("__w")).select(*CARRIED, F.inline("__w"))
+    made = chunks.select(*CARRIED, counted(words).alias("__w"))
+    return made.select(*CARRIED, F.inline_outer("__w")).where("term is not null")  # without ``outer`` the planner would count twice, to filter
 
 
 def doc_freq(posts: DataFrame) -> DataFrame:

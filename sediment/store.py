@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 BUCKETS = 32
 FANOUT = 4
+#: So many files at most have a log's rows of one key.
+SPREAD = 8
 
 
 class Conflict(Exception):
@@ -174,7 +176,9 @@ class Change:
         """One more segment of a log, sorted by ``order`` so that a reader skips what it doesn't ask for; returns its rows."""
         folder = f"{name}/w-{uuid.uuid4().hex[:16]}"
         number = self.state["number"] if number is None else number
-        laid = df.withColumn("seg", F.lit(number).cast("long")).repartitionByRange(*order).sortWithinPartitions(*order)
+        laid = df.withColumn("seg", F.lit(number).cast("long"))
+        # Ranges would compute the rows a second time to find their limits. A key that many rows have goes to several files.
+        laid = laid.repartition(order[0], *[F.pmod(F.xxhash64(c), F.lit(SPREAD)) for c in order[1:]]).sortWithinPartitions(*order)
         laid.write.option("compression", "zstd").parquet(f"{self.store.path}/{folder}")
         n = self.store.spark.read.schema(laid.schema).parquet(f"{self.store.path}/{folder}").count()
         held = self._table(name, laid.schema, "segments")

@@ -3,7 +3,10 @@
 import collections
 import re
 
-from sediment.operators import chunker, retrieval
+from pyspark.sql import functions as F
+
+from sediment.functions import text as X
+from sediment.operators import chunker, dedupe, retrieval
 from sediment.sources import index
 
 CHUNKS = "chunk_id long, source_id string, content string, owner string, duplicate_of long, embedding array<float>"
@@ -32,3 +35,27 @@ def test_postings_need_no_shuffle_and_equal_counts(spark):
     made = index.build(chunks)
     assert "postings" not in vars(made) and made.chunks.count() == len(texts) and "postings" not in vars(made)  # written when asked for
     assert {(r.chunk_id, r.term): r.tf for r in made.postings.collect()} == want
+
+
+def test_sketches_equal_those_of_expressions(spark):
+    texts = [None, "", "é", "one", "One two, THREE", " ".join(f"w{i % 40}" for i in range(300)), " ".join(f"w{i}" for i in range(900)), "a b c d e f g h", "a b c d e f g h i"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, raw_text string")
+    words = rows.select("id", F.split(X.normalise(F.coalesce("raw_text", F.lit(""))), " ").alias("w"))
+    hashed = words.select("id", X.shingles(F.col("w")).alias("h"))
+    want = {r.id: (r.s, r.n) for r in hashed.select("id", X.bottom_k(F.col("h")).alias("s"), F.size("h").alias("n")).collect()}
+    assert {r.id: (r.sketch, r.n) for r in dedupe.sketches(rows).collect()} == want
+
+
+def test_a_segment_is_computed_once(spark, tmp_path):
+    from sediment.store import Store
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    change = Store(spark, f"file://{tmp_path}/s").begin()
+    assert change.append("log", spark.range(0, 1000, 1, 4).selectExpr("id % 7 AS h", "id").mapInArrow(counted, "h long, id long"), ["h", "id"]) == 1000
+    assert seen.value == 1000
