@@ -184,16 +184,23 @@ def top_each(ranked: DataFrame, score: str, n: int, rank: str) -> DataFrame:
     return ranked.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= n)
 
 
-def _kept_terms(questions: DataFrame, posts: DataFrame, total: DataFrame, max_df: float = MAX_DOC_FREQ, stems: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(qid, term) of all questions' terms that are kept: each distinct term is looked up and judged once.
+#: So many rows of questions' terms at most are sent to the executors, so that postings stay where they are read; beyond, both are dealt by term.
+SENT_TERMS = 50_000
 
-    ``stems`` puts stems in place of words; words of one question that share a stem are a row each.
-    """
+
+def few(terms: DataFrame) -> bool:
+    return terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+
+
+def asked_terms(questions: DataFrame, stems: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(qid, term) of all questions. ``stems`` puts stems in place of words; words of one question that share a stem are a row each."""
     asked = questions.select("qid", F.explode(T.query_terms(F.col("question"))).alias("term"))
-    if stems is not None:
-        asked = stems(asked).select("qid", "term")
-    found = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    judged = doc_freq(found).join(F.broadcast(total)).where(F.col("df") / F.col("total") <= max_df)  # one row
+    return asked if stems is None else stems(asked).select("qid", "term")
+
+
+def _kept_terms(asked: DataFrame, posts: DataFrame, total: DataFrame, max_df: float = MAX_DOC_FREQ) -> DataFrame:
+    """The rows of ``asked`` (qid, term) whose term is kept: each distinct term is looked up and judged once."""
+    judged = doc_freq(posts).join(F.broadcast(total)).where(F.col("df") / F.col("total") <= max_df)  # one row
     return asked.join(judged.select("term"), "term")
 
 
@@ -278,7 +285,10 @@ def lexical_many(questions: DataFrame, posts: DataFrame, total: DataFrame, limit
 
     Terms of too many passages are dropped before postings are met, so none brings more than its share of the corpus.
     """
-    met = posts.join(_kept_terms(questions, posts, total, stems=stems), "term")
+    asked = asked_terms(questions, stems)
+    beside = F.broadcast if few(asked) else lambda terms: terms
+    found = posts.join(beside(asked.select("term").distinct()), "term", "left_semi")
+    met = posts.join(beside(_kept_terms(asked, found, total)), "term")
     scored = met.groupBy("qid", "chunk_id", "source_id").agg(F.count(F.lit(1)).alias("matched_terms"), F.sum("tf").alias("n"))
     scored = scored.select("qid", "chunk_id", "source_id", "matched_terms", (F.lit(0.1) * F.col("n") * F.col("matched_terms")).alias("score"))
     return top_each(capped(scored, "score", 2 * per_source, "qid"), "score", pool_size(limit), "lexical_rank")

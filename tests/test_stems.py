@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from sediment.functions.stemmer import STOP_WORDS, stem
 from sediment.operators import retrieval, stems
+from sediment.plans import queries as Q
 from sediment.plans import stemmed
 from sediment.sources import index
 
@@ -65,3 +66,65 @@ def test_vocabulary_of_the_test_tables_equals_plain_counts(spark):
                 seen[stem(w.lower())].add(r.chunk_id)
     got = {r.stem: (r.df, r.occurrences) for r in stemmed.queries()["stem_vocabulary"](spark, folder).collect()}
     assert got == {s: (len(seen[s]), n) for s, n in counts.items()}
+
+
+def _passages(spark):
+    texts = ["imported meshes import", "The Importing, the mesh", None, "", "the and", "İmport Kept ſtones c++ a_b-c#", *[f"Fillers w{i % 7} relate{i % 3}d filling x{i}" for i in range(600)]]
+    return spark.createDataFrame([(i, i % 9, x, "public", 1 if i == 8 else None, None) for i, x in enumerate(texts)], CHUNKS).coalesce(1)
+
+
+def test_passages_stemmed_where_they_are_read_have_the_postings_of_their_words(spark):
+    chunks = _passages(spark)
+    words = retrieval.postings(chunks)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    want = rows(stems.stemmed(words))
+    got = stems.postings(chunks)
+    assert got.columns == words.columns and rows(got) == want and len(want) > 2000
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([("filler",), ("import",), ("import",), ("nowhere",)], "term string")
+    assert rows(stems.postings(chunks, asked)) == [r for r in want if r[4] in ("filler", "import")]
+    assert stems.postings(chunks.where("false")).count() == 0
+    known, said = collections.defaultdict(set), {r.stem: r for r in stems.words_met(chunks).collect()}
+    for r in stems.vocabulary(words).collect():
+        known[r.stem].add(r.term)
+    assert {s: r.words for s, r in said.items()} == {s: sorted(w) for s, w in known.items()}
+    posts = collections.Counter(r[4] for r in want)
+    assert {s: r.df for s, r in said.items()} == posts and sum(r.occurrences for r in said.values()) == sum(r[5] for r in want)
+
+
+def test_a_word_is_stemmed_after_words_are_distinct_whatever_the_stem_is_joined_to(spark):
+    asked = spark.createDataFrame([("import",)], "term string")
+    plan = stems.stemmed(retrieval.postings(_passages(spark))).join(asked, "term", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    udf = plan.index("ArrowEvalPython")
+    assert "Aggregate [term" in plan[udf:] and "ArrowEvalPython" not in plan[udf + 1 :]
+
+
+def test_postings_stay_where_they_are_read_unless_too_many_terms_are_asked(spark, monkeypatch):
+    chunks = _passages(spark)
+    posts = stems.postings(chunks)
+    asked = spark.createDataFrame([(1, "import imported mesh very w3", None), (2, "related w5 w6", None), (3, "very", None)], "qid long, question string, vector array<float>")
+    find = lambda: retrieval.lexical_many(asked, posts, retrieval.visible_total(chunks), 5, stems=stems.asked_stems)
+    joins = lambda df: re.findall("SortMergeJoin|ShuffledHashJoin", df._jdf.queryExecution().executedPlan().toString())
+    near = find()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = find()
+        n = len(joins(sent))
+        monkeypatch.setattr(retrieval, "SENT_TERMS", 2)
+        dealt = find()
+        assert len(joins(dealt)) >= n + 2  # postings to asked and to kept terms
+        want = sorted(tuple(r) for r in near.collect())
+        assert want and sorted(tuple(r) for r in sent.collect()) == want == sorted(tuple(r) for r in dealt.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hits_by_stems_of_the_test_tables_are_those_by_postings_of_words(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    held, columns = index.of(spark, folder), ["qid", "marker", "chunk_id", "matched_terms", "found_by"]
+    whole = retrieval.search_many(held.chunks, Q._questions(spark, folder), Q.LIMIT, user=Q.USER, posts=stems.stemmed(held.postings), stems=stems.asked_stems)
+    want = sorted(tuple(r) for r in whole.select(*columns).collect())
+    assert sorted(tuple(r) for r in stemmed.queries()["stem_search_many"](spark, folder).select(*columns).collect()) == want and want
