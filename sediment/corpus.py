@@ -6,7 +6,7 @@
   segment, and changed and removed ones get a tombstone.
 * ``vectors`` (chunk_id, embedding, embedding_model) is a log of what an embedding pass has made.
 * ``calls`` is a log of model calls with their cost, in order of time, and ``ledger`` of migrations.
-* ``shingles`` (h, id, owner, p, k, n) is a log of the sources' sketches, hash by hash: a changed
+* ``shingles`` (h, id, owner, p, k, n) is a log of the sources' sketches, hash by hash, each in one place: a changed
   source meets stored ones on its own hashes, and no other source is sketched again.
 
 Flags of duplicates follow the texts: a source whose passages change is compared anew and may lose
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions.text import hash60, word_count
-from .io import written
+from .io import beside, discard, size_of, written
 from .operators import chunker, dedupe, embedding, ingest, merge, retrieval, telemetry
 from .store import Change, Store
 
@@ -37,6 +37,8 @@ CALLS = "created_at timestamp, model string, operation string, tokens_in long, t
 LEDGER = "version int, applied_at timestamp"
 KEYS = {"sources": ("owner", "url"), "chunks": ("source_id",)}
 SHINGLES = "h long, id long, owner string, p int, k int, n int"
+#: A table's buckets are rewritten in rounds, each of about so many bytes of new sources, in so many at most.
+ROUND_BYTES, ROUNDS = 16 << 20, 16
 
 
 class Corpus:
@@ -121,7 +123,7 @@ class Corpus:
         return out
 
     def _prints(self, chunks: DataFrame, changed: DataFrame) -> DataFrame:
-        """(id, owner, chunk_count, sketch, n) of changed (id, owner) sources, of all their passages; a text without a word has no sketch."""
+        """(id, owner, url, chunk_count, sketch, n) of changed (id, owner, url) sources, of all their passages; a text without a word has no sketch."""
         mine = chunks.join(changed.select(F.col("id").alias("source_id")), "source_id", "left_semi")
         counted = mine.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         texts = dedupe.chunk_texts(mine).where(F.lower("raw_text").rlike("[a-z0-9]"))
@@ -143,60 +145,85 @@ class Corpus:
     def ingest(self, new: DataFrame, *, dry_run: bool = False, flag: bool = True, threshold: float = dedupe.THRESHOLD, **options) -> DataFrame:
         """Takes in sources (url, owner, kind, title, raw_text, raw_segments, error, ...) in one commit; returns the report (outcome, n).
 
-        Of several rows of one owner and url the last by identifier and text is taken.
+        Of several rows of one owner and url the last by identifier and text is taken. What is merged are
+        the passages' hashes; texts are read where they are written, and what an ingestion wrote for itself goes as soon as
+        nothing reads it.
         """
         change = self.store.begin()
-        store, spark = self.store, self.spark
+        store = self.store
         new = self._identified(new)
         keep = F.row_number().over(retrieval.Window.partitionBy("owner", "url").orderBy(F.desc("id"), F.desc_nulls_last("raw_text")))
         judged = written(ingest.judged(new.withColumn("__rn", keep).where("__rn = 1").drop("__rn")), "judged")
         fresh = chunker.chunk_sources(judged.where("outcome is null"), **options).drop("cues", "tokenizer")
         fresh = written(fresh.withColumn("id", hash60(F.concat_ws(":", "source_id", "chunk_index"))), "passages")
-        decided = ingest.outcomes(judged, fresh)
+        decided = written(ingest.outcomes(judged, fresh), "outcomes")
         touched = [r[0] for r in fresh.select(store.bucket("source_id")).distinct().collect()]
-        old = self.passages(touched)
-        merged = written(merge.merge_chunks(old, fresh), "merged")
+        names = ["source_id", "chunk_index", "id", "content_hash"]
+        merged = written(merge.merge_chunks(self.passages(touched).select(*names), fresh.select(*names)), "merged")
         if dry_run:
-            return ingest.report(decided, merged, None)
-        let_in = judged.join(decided.where("outcome = 'ingested'").select("id"), "id", "left_semi").drop("outcome", "error")
-        after = written(merge.replaced(old, merged), "after")
-        owners = judged.select("id", "owner")
-        changed = merged.where("action <> 'keep'").select(F.col("source_id").alias("id")).distinct().join(owners, "id")
+            return self._told(decided, merged, None, judged, fresh)
+        nothing = written(decided.where("outcome = 'no content'").select("id"), "nothing")
+        let_in = judged.where("outcome is null").join(beside(nothing), "id", "left_anti").drop("outcome", "error")
+        keys = judged.select("id", "owner", "url")
+        changed = merged.where("action <> 'keep'").select(F.col("source_id").alias("id")).distinct().join(keys, "id")
         done = {r["action"]: r["count"] for r in merged.groupBy("action").count().collect()}
-        prints = written(self._prints(after, changed), "prints")
-        flags, again = None, prints.select("id")
+        prints = written(self._prints(fresh, changed), "prints")  # all passages of a source that has changed are fresh ones
+        flags, again, rounds = None, prints.select("id"), max(1, min(ROUNDS, -(-size_of(judged) // ROUND_BYTES)))
         if set(done) - {"keep"}:
-            self._log(change, merged, owners, prints, bool(done.get("update") or done.get("delete")))
-            change.replace("chunks", after, touched, "source_id")
+            come, stay = self._moves(fresh, merged, set(done) <= {"insert"})
+            self._log(change, come, merged, keys.select("id", "owner"), prints, bool(done.get("update") or done.get("delete")))
+            after = lambda part: stay(self.passages(part)).unionByName(schema.migrate(come.where(store.bucket("source_id").isin(part)), "chunks"))
+            change.replace("chunks", after, touched, "source_id", rounds=min(rounds, len(touched)))
+        discard(fresh)
         if flag and set(done) - {"keep"}:
             copies = self.sources.select("id", "owner", F.col("shingle_sketch").alias("sketch"), F.col("shingle_count").alias("n"), "duplicate_of")
             copies = copies.join(prints.select(F.col("id").alias("duplicate_of")), "duplicate_of", "left_semi").join(prints, "id", "left_anti")
             probes = written(prints.select("id", "owner", "sketch", "n").unionByName(copies.select("id", "owner", "sketch", "n")), "probes")
             flags = written(self._flags(probes, change._view().live("shingles", SHINGLES, "id").drop("seg"), threshold), "flags")
             again = probes.select("id")
-        self._sources(change, let_in, prints, flags, again)
+        self._sources(change, let_in, prints, flags, again, rounds)
         change.commit()
+        told = self._told(decided, merged, flags, judged, prints, nothing)
         self.compact()
-        return ingest.report(decided, merged, flags)
-
-    def _log(self, change: Change, merged: DataFrame, owners: DataFrame, prints: DataFrame, replaces: bool) -> None:
+        return told
+
+    def _told(self, decided: DataFrame, merged: DataFrame, flags: DataFrame | None, *read: DataFrame) -> DataFrame:
+        """The report as a table; the tables that it was made of, and others that were read, are discarded."""
+        told = written(ingest.report(decided, merged, flags), "report")
+        discard(decided, merged, *read)
+        return told
+
+    def _moves(self, fresh: DataFrame, merged: DataFrame, all_new: bool) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        """The passages of ``fresh`` that are inserted or updated, and what leaves of stored ones those that stay."""
+        if all_new:
+            return fresh, lambda old: old
+        keys = ["source_id", "chunk_index"]
+        some = lambda actions, name: beside(written(merged.where(F.col("action").isin(*actions)).select(*keys), name))
+        come, gone = some(("insert", "update"), "come"), some(("update", "delete"), "gone")
+        return fresh.join(come, keys, "left_semi"), lambda old: old.join(gone, keys, "left_anti")
+
+    def _log(self, change: Change, come: DataFrame, merged: DataFrame, owners: DataFrame, prints: DataFrame, replaces: bool) -> None:
         """Postings and shingles of what has changed, and tombstones for what they replace."""
         if replaces:
             for log in ("postings", "vectors"):
                 change.end(log, merged.where("action in ('update', 'delete')").select("id"))
             change.end("shingles", self.sources.where("shingle_sketch is not null").select("id").join(prints, "id", "left_semi"))
-        added = merged.where("action in ('insert', 'update')").select(F.col("id").alias("chunk_id"), "source_id", "content")
+        added = come.select(F.col("id").alias("chunk_id"), "source_id", "content")
         added = added.join(owners.select(F.col("id").alias("source_id"), "owner"), "source_id").withColumn("duplicate_of", F.lit(None).cast("long"))
         change.append("postings", retrieval.postings(added).select(*[c.split()[0] for c in POSTINGS.split(", ")]), ["term", "chunk_id"])
-        change.append("shingles", dedupe.places(prints.where("sketch is not null")).select(*[c.split()[0] for c in SHINGLES.split(", ")]), ["h", "id"])
+        change.append("shingles", dedupe.places(prints.where("sketch is not null")).select(*[c.split()[0] for c in SHINGLES.split(", ")]), ["id", "p"])
 
-    def _sources(self, change: Change, let_in: DataFrame, prints: DataFrame, flags: DataFrame | None, again: DataFrame) -> None:
+    def _sources(self, change: Change, let_in: DataFrame, prints: DataFrame, flags: DataFrame | None, again: DataFrame, rounds: int) -> None:
         """The buckets of sources that were let in, or whose flag was looked at, after the change."""
         keys = let_in.select("owner", "url").unionByName(self.sources.join(again, "id", "left_semi").select("owner", "url"))
         touched = [r[0] for r in keys.select(self.store.bucket("owner", "url")).distinct().collect()]
-        if not touched:
-            return
-        held = self.store.read("sources", schema.schema("sources"), buckets=touched)
+        if touched:
+            change.replace("sources", lambda part: self._upserted(let_in, prints, flags, again, part), touched, "owner", "url", rounds=min(rounds, len(touched)))
+
+    def _upserted(self, let_in: DataFrame, prints: DataFrame, flags: DataFrame | None, again: DataFrame, part: list[int]) -> DataFrame:
+        """The sources of some buckets after the change."""
+        let_in, prints = (df.where(self.store.bucket("owner", "url").isin(part)) for df in (let_in, prints))
+        held = self.store.read("sources", schema.schema("sources"), buckets=part)
         up = merge.upsert_sources(held, let_in).drop("action", "shingle_sketch", "shingle_count", "chunk_count")
         kept = held.select("id", F.col("shingle_sketch").alias("__s"), F.col("shingle_count").alias("__n"), F.col("chunk_count").alias("__c"))
         up = up.join(kept, "id", "left").join(prints.select("id", "sketch", "n", "chunk_count", F.lit(True).alias("__new")), "id", "left")
@@ -207,14 +234,13 @@ class Corpus:
             flag = F.when(F.col("__again"), F.col("__of")).otherwise(F.col("duplicate_of"))
         facts = [pick("sketch", "__s", "shingle_sketch"), pick("n", "__n", "shingle_count"), pick("chunk_count", "__c", "chunk_count"), flag.alias("duplicate_of")]
         made = {"shingle_sketch", "shingle_count", "chunk_count", "duplicate_of"}
-        out = up.select(*[c for c in held.columns if c not in made], *facts).select(*held.columns)
-        change.replace("sources", out, touched, "owner", "url")
+        return up.select(*[c for c in held.columns if c not in made], *facts).select(*held.columns)
 
     def compact(self) -> dict[str, list[int]]:
         """Joins the logs' segments where enough of one level have come together; a commit of its own, if anything was joined."""
         change = self.store.begin()
         made = {"vectors": change.compacted("vectors", VECTORS, "chunk_id", ["chunk_id"]), "calls": change.compacted("calls", CALLS, "created_at", ["created_at"])}
-        made |= {"postings": change.compacted("postings", POSTINGS, "chunk_id", ["term", "chunk_id"]), "shingles": change.compacted("shingles", SHINGLES, "id", ["h", "id"])}
+        made |= {"postings": change.compacted("postings", POSTINGS, "chunk_id", ["term", "chunk_id"]), "shingles": change.compacted("shingles", SHINGLES, "id", ["id", "p"])}
         if any(made.values()):
             change.commit()
         return made

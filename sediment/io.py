@@ -6,8 +6,11 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,8 +77,61 @@ class Versions:
             self._fs.delete(self._path(f"{self.path}/v-{number:09d}"), True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files: they go when it is there, not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+#: Where each table of ``written`` lies, as long as its frame is held.
+_written_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of its own: computed once, read as often as the plan needs it."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with freeing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written_at[out] = path
+    return out
+
+
+def _located(df: DataFrame):
+    """The file system and path of a table of ``written``."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_written_at[df])
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes in the files of a table of ``written``."""
+    fs, path = _located(df)
+    return fs.getContentSummary(path).getLength()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        fs, path = _located(df)
+        fs.delete(path, True)
+
+
+#: So many short rows at most are sent to the executors, so that what they are joined to stays where it is.
+SENT_ROWS = 500_000
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """A written table of short rows, to be joined to long ones: sent if it has few, else left to the planner."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df

@@ -85,10 +85,11 @@ def corpus(spark: SparkSession, folder: str) -> Corpus:
     """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _stored:
-        docs = tables.sources(spark, folder).select("id", "url", "owner", "kind", "title", "lang", "raw_text")
+        docs = tables.unflagged(tables.table(spark, folder, "documents")).select("id", "url", "owner", "kind", "title", "lang", "raw_text")
         held = Corpus(spark, io.scratch(spark, "corpus"))
         ending = F.when(F.col("lang") == "fr", F.concat("raw_text", F.lit(" Superseded ending of a former version."))).otherwise(F.col("raw_text"))
         held.ingest(docs.withColumn("raw_text", ending), flag=False)
         held.ingest(docs, flag=False)
+        held.store.vacuum()
         _stored[key] = held
     return _stored[key]

@@ -17,15 +17,16 @@ from __future__ import annotations
 import copy
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .io import freeing
+
 BUCKETS = 32
 FANOUT = 4
-#: So many files at most have a log's rows of one key.
-SPREAD = 8
 
 
 class Conflict(Exception):
@@ -158,28 +159,38 @@ class Change:
         held["schema"] = schema.jsonValue()
         return held
 
-    def replace(self, name: str, df: DataFrame, buckets: list[int], *key: str) -> None:
-        """``df`` becomes the content of these buckets of a table; all others stay as they are."""
-        folder = f"{name}/w-{uuid.uuid4().hex[:16]}"
-        held = self._table(name, df.schema, "folders")
-        # A large bucket is split into several files where the plan finds it out of proportion.
-        dealt = df.withColumn("__b", self.store.bucket(*key)).hint("rebalance", "__b")
-        dealt.write.partitionBy("__b").option("compression", "zstd").parquet(f"{self.store.path}/{folder}")
-        fs = self.store._fs
-        there = {int(f.getPath().getName()[4:]) for f in fs.globStatus(self.store._at(f"{self.store.path}/{folder}/__b=*")) or []}
-        for b in buckets:
-            held["folders"].pop(str(b), None)
-        held["folders"].update({str(b): f"{folder}/__b={b}" for b in sorted(there)})
-        self.wrote[name] = len(there)
+    def replace(self, name: str, df: DataFrame | Callable[[list[int]], DataFrame], buckets: list[int], *key: str, rounds: int = 1) -> None:
+        """``df`` becomes the content of these buckets of a table; all others stay as they are.
+
+        If it is a function, it gives the rows of some of the buckets, which are written in ``rounds``: shuffle files
+        hold only a round's share of the table at a time.
+        """
+        fs, self.wrote[name] = self.store._fs, 0
+        for part in [buckets[i::rounds] for i in range(rounds)]:
+            rows = df(part) if callable(df) else df
+            folder = f"{name}/w-{uuid.uuid4().hex[:16]}"
+            held = self._table(name, rows.schema, "folders")
+            # A large bucket is split into several files where the plan finds it out of proportion.
+            dealt = rows.withColumn("__b", self.store.bucket(*key)).hint("rebalance", "__b")
+            with freeing(self.store.spark):
+                dealt.write.partitionBy("__b").option("compression", "zstd").parquet(f"{self.store.path}/{folder}")
+            there = {int(f.getPath().getName()[4:]) for f in fs.globStatus(self.store._at(f"{self.store.path}/{folder}/__b=*")) or []}
+            for b in part:
+                held["folders"].pop(str(b), None)
+            held["folders"].update({str(b): f"{folder}/__b={b}" for b in sorted(there)})
+            self.wrote[name] += len(there)
 
     def append(self, name: str, df: DataFrame, order: list[str], *, level: int = 0, number: int | None = None) -> int:
-        """One more segment of a log, sorted by ``order`` so that a reader skips what it doesn't ask for; returns its rows."""
+        """One more segment of a log, each file sorted by ``order`` so that a reader skips what it doesn't ask for; returns its rows.
+
+        Rows stay in the tasks that made them. Nothing is shuffled, and a file of few passages has short
+        dictionaries of their identifiers.
+        """
         folder = f"{name}/w-{uuid.uuid4().hex[:16]}"
         number = self.state["number"] if number is None else number
         laid = df.withColumn("seg", F.lit(number).cast("long"))
-        # Ranges would compute the rows a second time to find their limits. A key that many rows have goes to several files.
-        laid = laid.repartition(order[0], *[F.pmod(F.xxhash64(c), F.lit(SPREAD)) for c in order[1:]]).sortWithinPartitions(*order)
-        laid.write.option("compression", "zstd").parquet(f"{self.store.path}/{folder}")
+        with freeing(self.store.spark):
+            laid.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{self.store.path}/{folder}")
         n = self.store.spark.read.schema(laid.schema).parquet(f"{self.store.path}/{folder}").count()
         held = self._table(name, laid.schema, "segments")
         if n:
