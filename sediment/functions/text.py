@@ -174,8 +174,8 @@ def content_hash(text: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """Lower case, only ASCII letters, digits and single spaces."""
-    return collapse(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]+", " "))
+    """Lower case, only ASCII letters, digits and single spaces: one class of characters, so that its pattern takes a single pass."""
+    return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def hash60(text: Column) -> Column:
